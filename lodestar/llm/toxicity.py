@@ -23,13 +23,13 @@ from lodestar.llm.common import arrow_rows, remainder
 from lodestar.llm.subword import Bags, Softmax, letters, spread_sample, train
 
 #: Half a window: windows are two neighbouring cells of so many bytes.
-CELL = 32
+CELL = 16
 #: Sizes of n-grams and bits of the hash.
 SIZES, BITS = (3, 6), 20
 #: Bounds of the training sample: labelled rows of each class, and bytes of each of their texts.
 SAMPLE_ROWS, SAMPLE_BYTES = 2000, 6144
 #: Windows of a clean text that training looks at.
-CLEAN_WINDOWS = 16
+CLEAN_WINDOWS = 24
 
 
 @dataclass
