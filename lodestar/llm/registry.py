@@ -1,7 +1,8 @@
 """The queries of this package, with production parameters over whole tables.
 
-None has SQL to agree with but the licence scan: fingerprints, trained models
-and tokenizers are beyond SQL, and their tests hold them against brute force.
+The exact search and the licence scan have SQL to agree with.  Fingerprints,
+trained models and tokenizers are beyond SQL, and approximate neighbours don't
+equal exact ones: their tests hold them against brute force.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import language, neighbours, packing, simhash, token_counts, topk, toxicity
+from lodestar.llm import language, licenses, nbest, neighbours, packing, simhash, token_counts, topk, toxicity
 from lodestar.llm.common import table
 
 
@@ -33,10 +34,18 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_n_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbest.n_best(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), 3)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.known(spark))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -50,4 +59,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    whole = "list_transform({}.embedding, lambda x: floor(256 * x::DOUBLE))"
+    scored = f"list_dot_product({whole.format('q')}, {whole.format('e')})::BIGINT"
+    return {
+        "op4_top_k": f"""
+            SELECT * FROM (
+                SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank
+                FROM (SELECT q.vec_id AS query_id, e.vec_id, {scored} AS score
+                      FROM embeddings q JOIN embeddings e ON q.vec_id % 50 = 0 AND q.vec_id <> e.vec_id))
+            WHERE rank <= 5""",
+        "op8_licenses": licenses.scan_sql(),
+    }
