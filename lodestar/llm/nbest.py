@@ -31,7 +31,7 @@ from lodestar.llm.common import arrow_rows
 
 #: The mark by which pieces show a space.
 SPACE = "▁"
-#: A character without a piece is spelt in bytes; each costs so much more than the worst piece.
+#: A character without a piece is spelt in bytes; each costs so much more than the worst piece with more than spaces.
 BYTE_COST = 10.0
 #: Distinct segments whose lists a worker keeps.
 KEPT_SEGMENTS = 350_000
@@ -55,7 +55,7 @@ class Lattice:
         self.matcher.make_automaton()
         self.byte_ids = {int(self.pieces[i][3:5], 16): i for i in size if model.is_byte(i)}
         self.bytes_of = {i: bytes([b]) for b, i in self.byte_ids.items()}
-        self.byte_score = min(s for _, s in self.arcs.values()) - BYTE_COST
+        self.byte_score = min(s for p, (_, s) in self.arcs.items() if p.strip(SPACE)) - BYTE_COST
         if len(self.byte_ids) < 256:
             raise ValueError("the model has no piece for every byte")
         if any(SPACE in p.lstrip(SPACE) for p in self.arcs):

@@ -12,7 +12,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import language, licenses, nbest, neighbours, packing, simhash, token_counts, topk, toxicity
+from lodestar.llm import language, licenses, lm, nbest, neighbours, packing, simhash, token_counts, topk, toxicity
 from lodestar.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(rows, rows.where("vec_id % 50 = 0"))
 
 
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.languages(table(spark, sf_dir, "documents"))
 
