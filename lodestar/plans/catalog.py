@@ -1,13 +1,458 @@
-"""The registered queries and the SQL each must agree with."""
+"""The registered queries over the driver's tables, and the SQL each must agree with.
 
+Vectors: the two halves of ``embeddings`` serve as the vectors of two models,
+the first vector of each label (by vec_id) as a query.  Volume: customers are the
+files, order priorities the queries; a customer's dearest order is one
+model's score, the number of orders the other's, which ties a lot.
+"""
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from lodestar.functions import checks, digests, paths
+from lodestar.functions.queries import numbered
+from lodestar.operators import fusion, metrics, ranking, relations, similarity
+from lodestar.schemas import MODELS
+from lodestar.sources import reports
 
-def oracle_sql():
-    return {}
+#: How many are kept: of the vectors, of the customers, and for the evaluation.
+K, K_ORDERS, K_STRONG = 50, 300, 100
+STAMP = "1970-01-01T00:00:00+00:00"
+
+_QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {}
+
+
+def _query(sql: str):
+    """Register the decorated function with the SQL it must agree with."""
+
+    def add(f):
+        _QUERIES[f.__name__] = f, sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: f for name, (f, _) in _QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for name, (_, sql) in _QUERIES.items()}
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _limit(spark: SparkSession) -> SparkSession:
+    """Top-K windows up to K_ORDERS as group limits, as session.build() sets it."""
+    if int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")) < K_ORDERS:
+        spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", str(K_ORDERS))
+    return spark
+
+
+# -------------------------------------------------------------------- vectors
+
+
+def _halves(vector: str) -> Column:
+    return F.array(F.struct(F.lit("siglip2").alias("model_id"), F.slice(vector, 1, 32).alias("embedding")), F.struct(F.lit("clip").alias("model_id"), F.slice(vector, 33, 32).alias("embedding")))
+
+
+def _index(spark: SparkSession, d: str) -> DataFrame:
+    rows = _table(spark, d, "embeddings")
+    return rows.select(F.col("vec_id").alias("file_id"), F.inline(_halves("embedding")))
+
+
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    """A query for each label, in the order of labels."""
+    labels = _table(spark, d, "embeddings").select("label").distinct()
+    return numbered(labels.select((F.row_number().over(Window.orderBy("label")) - 1).alias("position"), F.concat(F.lit("label "), F.col("label")).alias("text")), "position", "text")
+
+
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    firsts = _table(spark, d, "embeddings").groupBy("label").agg(F.min_by("embedding", "vec_id").alias("embedding"))
+    named = firsts.select(F.format_string("q%04d", F.row_number().over(Window.orderBy("label"))).alias("query_id"), "embedding")
+    return named.select("query_id", F.inline(_halves("embedding")))
+
+
+def _scores(spark: SparkSession, d: str) -> DataFrame:
+    return similarity.score_pairs(_index(spark, d), _vectors(spark, d))
+
+
+def _top(spark: SparkSession, d: str) -> DataFrame:
+    return ranking.top_k(similarity.search(_index(_limit(spark), d), _vectors(spark, d), K), K)
+
+
+_SQL_SCORES = """
+    halves AS (SELECT vec_id AS file_id, label, 'siglip2' AS model_id, embedding[1:32]::DOUBLE[] AS e FROM embeddings
+               UNION ALL SELECT vec_id, label, 'clip', embedding[33:64]::DOUBLE[] FROM embeddings),
+    labels AS (SELECT label, min(vec_id) AS file_id, printf('q%04d', row_number() OVER (ORDER BY label)) AS query_id,
+                      (row_number() OVER (ORDER BY label) - 1)::INTEGER AS position, 'label ' || label AS text FROM embeddings GROUP BY label),
+    wanted AS (SELECT query_id, model_id, e FROM labels JOIN halves USING (file_id)),
+    scores AS (SELECT h.model_id, w.query_id, h.file_id,
+                      list_dot_product(h.e, w.e) / (sqrt(list_dot_product(h.e, h.e)) * sqrt(list_dot_product(w.e, w.e))) AS score
+               FROM halves h JOIN wanted w USING (model_id))"""
+_SQL_RANKED = f""",
+    full_ranked AS (SELECT *, row_number() OVER (PARTITION BY model_id, query_id ORDER BY score DESC, file_id)::INTEGER AS rank FROM scores),
+    ranked AS (SELECT * FROM full_ranked WHERE rank <= {K})"""
+
+
+def _sql_fused(c: int = 60) -> str:
+    return f""",
+    summed AS (SELECT file_id, query_id, sum(1.0::DOUBLE / ({c} + rank)) AS fusion_score, count(*) AS n, min(rank) AS best,
+                      max(CASE WHEN model_id = 'siglip2' THEN rank END) AS siglip2_rank, max(CASE WHEN model_id = 'clip' THEN rank END) AS clip_rank,
+                      max(CASE WHEN model_id = 'siglip2' THEN score END) AS siglip2_score, max(CASE WHEN model_id = 'clip' THEN score END) AS clip_cos,
+                      string_agg(CASE model_id WHEN 'siglip2' THEN 'SigLIP2' ELSE 'CLIP' END, '+' ORDER BY model_id DESC) AS models_matched
+               FROM ranked GROUP BY file_id, query_id),
+    fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fusion_score DESC, n DESC, best, siglip2_rank NULLS LAST, clip_rank NULLS LAST, file_id)::INTEGER AS final_rank FROM summed)"""
+
+
+def _sql_evaluated(k: int, c: int = 60) -> str:
+    return f""",
+    strong AS (SELECT file_id, list(struct_pack(r := final_rank, p := position, q := query_id) ORDER BY final_rank, position, query_id) AS m
+               FROM fused JOIN places USING (query_id) WHERE final_rank <= {k} GROUP BY file_id),
+    evaluated AS (SELECT file_id, m, list_reduce(list_transform(m, lambda x: 1.0::DOUBLE / ({c} + x.r)), lambda a, x: a + x) AS evaluator_score, len(m)::INTEGER AS strong_query_count,
+                         m[1].q AS best_query_id, m[1].r AS best_query_rank FROM strong),
+    final AS (SELECT *, row_number() OVER (ORDER BY strong_query_count DESC, evaluator_score DESC, best_query_rank, file_id)::INTEGER AS evaluator_rank FROM evaluated)"""
+
+
+_SQL_VECTORS = "WITH " + _SQL_SCORES + _SQL_RANKED + _sql_fused() + ", places AS (SELECT query_id, position FROM labels)" + _sql_evaluated(K_STRONG)
+
+
+def _rounded(df: DataFrame, **places: int) -> DataFrame:
+    return df.withColumns({c: F.round(c, n) for c, n in places.items()})
+
+
+@_query("WITH" + _SQL_SCORES + " SELECT model_id, query_id, file_id, round(score, 12) AS score FROM scores")
+def cosine_scores(spark, d):
+    """Every vector against every query of its model, in Catalyst."""
+    return _rounded(_scores(spark, d), score=12)
+
+
+@_query(_SQL_VECTORS + " SELECT model_id, query_id, file_id, round(score, 9) AS score, rank FROM ranked")
+def topk_per_model_query(spark, d):
+    """The best K of each model and query: bounded heaps in the scan, then ranks."""
+    return _rounded(_top(spark, d), score=9)
+
+
+@_query("WITH" + _SQL_SCORES + _SQL_RANKED + " SELECT model_id, query_id, file_id, round(score, 9) AS score, rank FROM full_ranked")
+def full_ranking(spark, d):
+    """All ranks, without limit."""
+    return _rounded(ranking.full_ranking(_scores(spark, d)), score=9)
+
+
+def _fused(spark, d) -> DataFrame:
+    return fusion.fuse(_top(spark, d), queries=_texts(spark, d))
+
+
+@_query(_SQL_VECTORS + " SELECT file_id, query_id, models_matched, round(fusion_score, 12) AS fusion_score, final_rank, round(siglip2_score, 9) AS siglip2_score, round(clip_cos, 9) AS clip_cos, siglip2_rank, clip_rank FROM fused")
+def rrf_fusion(spark, d):
+    """Both models' rankings fused, with the optional columns of each model."""
+    out = fusion.model_columns(_fused(spark, d)).drop("scores", "ranks", "position")
+    return _rounded(out, fusion_score=12, siglip2_score=9, clip_cos=9)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rrf_fusion(spark, sf_dir)
+
+
+@_query(_SQL_VECTORS + " SELECT file_id, evaluator_rank, round(evaluator_score, 12) AS evaluator_score, strong_query_count, best_query_id, best_query_rank FROM final")
+def evaluator_files(spark, d):
+    """One row for each file that is strong for some query."""
+    return _rounded(fusion.evaluate(_fused(spark, d), K_STRONG, queries=_texts(spark, d)).drop("query_matches"), evaluator_score=12)
+
+
+@_query(_SQL_VECTORS + " SELECT file_id, u.i::INTEGER AS place, m[u.i].q AS query_id, m[u.i].r AS final_rank, round(1.0::DOUBLE / (60 + m[u.i].r), 12) AS reciprocal_contribution FROM final, unnest(generate_series(1, len(m))) AS u(i)")
+def query_matches(spark, d):
+    """The matches of each evaluated file, in their order."""
+    out = fusion.evaluate(_fused(spark, d), K_STRONG, queries=_texts(spark, d))
+    rows = out.select("file_id", F.posexplode("query_matches").alias("at", "m")).select("file_id", (F.col("at") + 1).alias("place"), "m.query_id", "m.final_rank", "m.reciprocal_contribution")
+    return _rounded(rows, reciprocal_contribution=12)
+
+
+@_query(_SQL_VECTORS + " SELECT count(*) AS candidates, count(*) FILTER (n = 2) AS in_both FROM fused")
+def intersection_count(spark, d):
+    """How many candidates both models ranked."""
+    return fusion.in_both(_fused(spark, d))
+
+
+@_query(_SQL_VECTORS + " SELECT models_matched, count(*) AS candidates FROM fused GROUP BY models_matched")
+def models_matched(spark, d):
+    """Candidates by the models that ranked them."""
+    return _fused(spark, d).groupBy("models_matched").agg(F.count("*").alias("candidates"))
+
+
+def _manifest(spark, d) -> DataFrame:
+    name = F.concat(F.lit("v/"), F.col("label"), F.lit("/"), F.col("vec_id"), F.lit(".png"))
+    return _table(spark, d, "embeddings").select(F.col("vec_id").alias("ordinal"), name.alias("relative_path"), F.concat(F.lit("/e/"), name).alias("source_path"))
+
+
+_SQL_PATH = "'E:\\' || replace('v/' || e.label || '/' || e.vec_id || '.png', '/', '\\')"
+
+
+@_query(
+    _SQL_VECTORS + f""" SELECT {_SQL_PATH} AS "FilePath", l.text AS "OriginalQuery", l.text AS "MatchedQuery", round(siglip2_score, 9) AS "SigLIP2Score", round(clip_cos, 9) AS "CLIPCos",
+    siglip2_rank AS "SigLIP2Rank", clip_rank AS "CLIPRank", models_matched AS "ModelsMatched", final_rank AS "FinalRank", round(fusion_score, 12) AS "FusionScore", 'half 1' AS "SigLIP2Model", 'a' AS "SigLIP2Revision",
+    'half 2' AS "CLIPModel", 'b' AS "CLIPRevision", '{STAMP}' AS "ScanTimestamp" FROM fused f JOIN labels l USING (query_id) JOIN embeddings e ON e.vec_id = f.file_id"""
+)
+def audit_report(spark, d):
+    """The audit report's fifteen columns."""
+    rows = reports.audit_rows(_fused(spark, d), _manifest(spark, d), _texts(spark, d), {"siglip2": ("half 1", "a"), "clip": ("half 2", "b")}, STAMP, "E:\\", checked=False)
+    return _rounded(rows.drop("_position", "_query_id"), SigLIP2Score=9, CLIPCos=9, FusionScore=12)
+
+
+@_query(
+    _SQL_VECTORS + f""" SELECT {_SQL_PATH} AS "FilePath", evaluator_rank AS "EvaluatorRank", round(evaluator_score, 12) AS "EvaluatorScore", strong_query_count AS "StrongQueryCount", l.text AS "BestOriginalQuery",
+    l.text AS "BestMatchedQuery", best_query_rank AS "BestQueryRank", list_aggregate(list_transform(m, lambda x: x.q || ':' || x.r), 'string_agg', ',') AS "QueryMatches", {K_STRONG} AS "EvaluatorTopK", 60 AS "EvaluatorRRFConstant",
+    'audit.csv' AS "AuditReport", '{STAMP}' AS "ScanTimestamp" FROM final f JOIN labels l ON l.query_id = f.best_query_id JOIN embeddings e ON e.vec_id = f.file_id"""
+)
+def final_report(spark, d):
+    """The final report's twelve columns; matches shown as id:rank."""
+    evaluated = fusion.evaluate(_fused(spark, d), K_STRONG, queries=_texts(spark, d))
+    rows = reports.final_rows(evaluated, _manifest(spark, d), _texts(spark, d), K_STRONG, 60, "audit.csv", STAMP, "E:\\")
+    shown = F.array_join(F.transform("QueryMatches", lambda x: F.concat_ws(":", x["QueryId"], x["FinalRank"])), ",")
+    return _rounded(rows.withColumn("QueryMatches", shown), EvaluatorScore=12)
+
+
+@_query(
+    _SQL_VECTORS + """ SELECT 'v/' || e.label || '/' || e.vec_id || '.png' AS "FilePath", l.text AS "Query", round(score, 9) AS "SigLIP2Score", rank AS "Rank", 'half 1' AS "Model", 'a' AS "Revision"
+    FROM full_ranked f JOIN labels l USING (query_id) JOIN embeddings e ON e.vec_id = f.file_id WHERE model_id = 'siglip2'"""
+)
+def all_results_report(spark, d):
+    """The first model's full ranking, as reported."""
+    ranked = ranking.full_ranking(similarity.score_pairs(_index(spark, d).where("model_id = 'siglip2'"), _vectors(spark, d)))
+    listed = _manifest(spark, d).withColumn("source_path", F.col("relative_path"))
+    return _rounded(reports.all_results_rows(ranked, listed, _texts(spark, d), "half 1", "a").drop("_position"), SigLIP2Score=9)
+
+
+@_query(_SQL_VECTORS + " SELECT m.model_id, l.query_id, count(r.file_id) AS candidates FROM (VALUES ('siglip2'), ('clip'), ('other')) m(model_id) CROSS JOIN labels l LEFT JOIN ranked r ON r.model_id = m.model_id AND r.query_id = l.query_id GROUP BY ALL")
+def candidate_counts(spark, d):
+    """Candidates of each model and query, also of a model without any."""
+    return ranking.candidate_counts(_top(spark, d), [*MODELS, "other"], _texts(spark, d))
+
+
+@_query(_SQL_VECTORS + " SELECT vec_id AS ordinal, 'v/' || label || '/' || vec_id || '.png' AS relative_path FROM embeddings SEMI JOIN ranked ON ranked.file_id = embeddings.vec_id")
+def semi_manifest(spark, d):
+    """Manifest rows of candidates."""
+    return relations.entries_of(_manifest(spark, d), _top(spark, d)).select("ordinal", "relative_path")
+
+
+@_query("SELECT o_custkey AS file_id FROM orders GROUP BY o_custkey HAVING o_custkey NOT IN (SELECT vec_id FROM embeddings)")
+def anti_missing(spark, d):
+    """Candidates that the manifest doesn't have."""
+    return relations.missing(_manifest(spark, d), _table(spark, d, "orders").select(F.col("o_custkey").alias("file_id")))
+
+
+@_query("SELECT count(*) AS rows, min(vec_id) AS lowest, max(vec_id) AS highest, count(DISTINCT vec_id) AS distinct_ordinals, min(vec_id) = 0 AND max(vec_id) = count(*) - 1 AND count(DISTINCT vec_id) = count(*) AS contiguous FROM embeddings")
+def ordinal_contiguity(spark, d):
+    return checks.contiguity(_table(spark, d, "embeddings"), "vec_id")
+
+
+@_query("SELECT vec_id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 9) AS norm, abs(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) - 1) <= 1.1e-5 AS unit FROM embeddings")
+def norm_check(spark, d):
+    """Each vector's length, and whether it is one."""
+    return _rounded(checks.norms(_table(spark, d, "embeddings")).select("vec_id", "norm", "unit"), norm=9)
+
+
+@_query("SELECT label, count(*) AS rows, count(*) FILTER (len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0) AS finite FROM embeddings GROUP BY label")
+def finite_check(spark, d):
+    rows = _table(spark, d, "embeddings")
+    return rows.groupBy("label").agg(F.count("*").alias("rows"), F.count_if(checks.all_finite("embedding")).alias("finite"))
+
+
+@_query("""SELECT m.model_id, n AS sequence, min(vec_id) AS start, max(vec_id) + 1 AS "end", TRUE AS linked FROM (SELECT vec_id, (vec_id // 64)::INTEGER AS n FROM embeddings), (VALUES ('siglip2'), ('clip')) m(model_id) GROUP BY m.model_id, n""")
+def commit_chain(spark, d):
+    """Commits of 64 rows each, checked as a chain for each model."""
+    return metrics.commit_chain(_commits(spark, d)).select("model_id", "sequence", "start", "end", "linked")
+
+
+def _commits(spark, d) -> DataFrame:
+    parts = _table(spark, d, "embeddings").groupBy((F.floor(F.col("vec_id") / 64)).cast("int").alias("sequence")).agg(F.min("vec_id").alias("start"), (F.max("vec_id") + 1).alias("end"), F.count("*").alias("valid_count"))
+    models = spark.createDataFrame([(m,) for m in MODELS], "model_id string")
+    return parts.withColumn("error_count", F.lit(0).cast("long")).join(F.broadcast(models))
+
+
+@_query("SELECT m.model_id, count(DISTINCT vec_id // 64) AS commits, max(vec_id) + 1 AS committed_prefix, count(*)::BIGINT AS valid, 0::BIGINT AS errors, TRUE AS chain_ok FROM embeddings, (VALUES ('siglip2'), ('clip')) m(model_id) GROUP BY m.model_id")
+def commit_totals(spark, d):
+    return metrics.commit_totals(_commits(spark, d))
+
+
+@_query(
+    """SELECT label, count(*) AS rows, sha256(string_agg(sha256(array_to_string(list_transform(embedding, lambda x: (floor(x::DOUBLE * 1048576))::BIGINT), ',')), '' ORDER BY vec_id)) AS digest FROM embeddings GROUP BY label"""
+)
+def range_digest(spark, d):
+    """The digest of each label's vectors, by their order: components as whole numbers, so that both engines print alike."""
+    piece = F.array_join(F.transform("embedding", lambda x: F.floor(x.cast("double") * 1048576).cast("string")), ",").cast("binary")
+    return _table(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("rows"), digests.in_order(piece, F.col("vec_id")).alias("digest"))
+
+
+# --------------------------------------------------------------------- orders
+
+
+def _order_scores(spark, d) -> DataFrame:
+    groups = _table(spark, d, "orders").groupBy(F.col("o_custkey").alias("file_id"), F.col("o_orderpriority").alias("query_id")).agg(F.max("o_totalprice").alias("dearest"), F.count("*").cast("double").alias("orders"))
+    both = F.array(F.struct(F.lit("siglip2").alias("model_id"), F.col("dearest").alias("score")), F.struct(F.lit("clip").alias("model_id"), F.col("orders").alias("score")))
+    return groups.select("file_id", "query_id", F.inline(both))
+
+
+def _order_top(spark, d) -> DataFrame:
+    return ranking.top_k(_order_scores(_limit(spark), d), K_ORDERS)
+
+
+_SQL_ORDERS = (
+    f"""WITH groups AS (SELECT o_custkey AS file_id, o_orderpriority AS query_id, max(o_totalprice) AS dearest, count(*)::DOUBLE AS orders FROM orders GROUP BY ALL),
+    scores AS (SELECT 'siglip2' AS model_id, query_id, file_id, dearest AS score FROM groups UNION ALL SELECT 'clip', query_id, file_id, orders FROM groups),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY model_id, query_id ORDER BY score DESC, file_id)::INTEGER AS rank FROM scores QUALIFY rank <= {K_ORDERS}),
+    places AS (SELECT DISTINCT query_id, 0 AS position FROM scores)"""
+    + _sql_fused()
+    + _sql_evaluated(K_STRONG)
+)
+
+
+@_query(_SQL_ORDERS + " SELECT model_id, query_id, file_id, score, rank FROM ranked")
+def topk_ties(spark, d):
+    """The best customers by each score and priority; the second score ties a lot."""
+    return _order_top(spark, d)
+
+
+@_query(_SQL_ORDERS + " SELECT file_id, query_id, models_matched, round(fusion_score, 12) AS fusion_score, final_rank, siglip2_rank, clip_rank FROM fused")
+def rrf_fusion_orders(spark, d):
+    out = fusion.model_columns(fusion.fuse(_order_top(spark, d)))
+    return _rounded(out.select("file_id", "query_id", "models_matched", "fusion_score", "final_rank", "siglip2_rank", "clip_rank"), fusion_score=12)
+
+
+@_query(_SQL_ORDERS + " SELECT file_id, evaluator_rank, round(evaluator_score, 12) AS evaluator_score, strong_query_count, best_query_id, best_query_rank FROM final")
+def evaluator_cutoff(spark, d):
+    """The evaluation of the fused priorities: only the first K_STRONG of each count."""
+    return _rounded(fusion.evaluate(fusion.fuse(_order_top(spark, d)), K_STRONG).drop("query_matches"), evaluator_score=12)
+
+
+@_query(_SQL_ORDERS + " SELECT model_id, file_id, query_id, score, rank FROM ranked")
+def dedupe_candidates(spark, d):
+    """Candidates that occur twice, once with a worse rank, are one again."""
+    top = _order_top(spark, d)
+    worse = top.withColumns({"rank": F.col("rank") + 1, "score": F.col("score") + 1})
+    return ranking.dedupe(top.unionByName(worse))
+
+
+@_query("SELECT file_id, query_id FROM (" + _SQL_ORDERS + " SELECT DISTINCT file_id, query_id FROM ranked)")
+def set_union(spark, d):
+    """Keys that any model ranked."""
+    return relations.keys_of(_order_top(spark, d))
+
+
+@_query("SELECT o_custkey AS file_id FROM orders WHERE o_custkey IS NOT NULL EXCEPT SELECT c_custkey FROM customer WHERE c_acctbal < 0")
+def set_difference(spark, d):
+    """Customers with orders but those in debt."""
+    ordered = _table(spark, d, "orders").select(F.col("o_custkey").alias("file_id"))
+    return ordered.distinct().join(_table(spark, d, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("file_id")), "file_id", "left_anti")
+
+
+@_query(_SQL_ORDERS + " SELECT count(*) AS pairs, max(abs(a.rank - b.rank)) AS largest FROM ranked a JOIN ranked b USING (file_id, query_id) WHERE a.model_id = 'siglip2' AND b.model_id = 'clip'")
+def largest_difference(spark, d):
+    """How far the two models' ranks of the same candidate lie apart."""
+    top = _order_top(spark, d)
+    return relations.largest_difference(top.where("model_id = 'siglip2'"), top.where("model_id = 'clip'"), ["file_id", "query_id"], "rank")
+
+
+@_query("SELECT printf('q%04d', p + 1) AS query_id, p AS position, r_name AS original_query, r_name AS model_query FROM (SELECT r_name, r_regionkey::INTEGER AS p FROM region)")
+def query_ids(spark, d):
+    """Texts as queries: ids by place."""
+    return numbered(_table(spark, d, "region"), "r_regionkey", "r_name")
+
+
+# ------------------------------------------------------------------ documents
+
+
+def _path() -> Column:
+    kinds = F.array(*[F.lit(x) for x in (".JPG", ".png", ".txt", ".tif")])
+    name = F.concat(F.lit("doc"), F.col("doc_id"), F.element_at(kinds, (F.col("doc_id") % 4 + 1).cast("int")))
+    whole = F.concat_ws("/", F.col("lang"), F.col("source"), name)
+    return F.when(F.col("doc_id") % 5 == 0, F.concat_ws("/", F.col("lang"), name)).otherwise(whole)
+
+
+_SQL_NAME = "'doc' || doc_id || (['.JPG', '.png', '.txt', '.tif'])[doc_id % 4 + 1]"
+_SQL_PATHS = f"""paths AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN lang || '/' || {_SQL_NAME} ELSE lang || '/' || source || '/' || {_SQL_NAME} END AS path FROM documents),
+    keyed AS (SELECT doc_id, path, list_transform(string_split(path, '/'), lambda x, i: struct_pack(d := CASE WHEN i < len(string_split(path, '/')) THEN 1 ELSE 0 END, f := lower(x), n := x)) AS k FROM paths),
+    walked AS (SELECT doc_id, path, row_number() OVER (ORDER BY k) - 1 AS ordinal FROM keyed)"""
+
+
+def _paths(spark, d) -> DataFrame:
+    return _table(spark, d, "documents").select("doc_id", _path().alias("path"))
+
+
+@_query("WITH " + _SQL_PATHS + " SELECT ordinal, path FROM walked")
+def dfs_order(spark, d):
+    """Ordinals in walk order: in each folder the files first, then its folders."""
+    return ranking.ordinals(_paths(spark, d).select("path"), paths.walk_key(F.col("path")))
+
+
+@_query("WITH " + _SQL_PATHS + " SELECT path FROM walked WHERE ordinal < 100")
+def limit_discovery(spark, d):
+    """The first hundred in walk order: the feature of a partial scan."""
+    return ranking.first_in_order(_paths(spark, d).select("path"), 100, paths.walk_key(F.col("path")))
+
+
+@_query("WITH " + _SQL_PATHS + " SELECT doc_id, lower(regexp_extract(path, '(\\.[^./]+)$', 1)) AS suffix FROM paths WHERE lower(regexp_extract(path, '(\\.[^./]+)$', 1)) IN ('.jpg', '.jpeg', '.png', '.bmp', '.webp', '.tif', '.tiff')")
+def extension_filter(spark, d):
+    """Files of the known image types, whatever their case."""
+    return _paths(spark, d).select("doc_id", paths.suffix(F.col("path")).alias("suffix")).where(F.col("suffix").isin(*paths.EXTENSIONS))
+
+
+@_query("WITH " + _SQL_PATHS + " SELECT doc_id, 'E:\\case\\' || replace(path, '/', '\\') AS shown FROM paths")
+def display_path(spark, d):
+    """Paths below a root in Windows notation."""
+    return _paths(spark, d).select("doc_id", paths.display(F.col("path"), F.col("path"), "E:/case/").alias("shown"))
+
+
+@_query("SELECT doc_id, sha256(text) AS sha256 FROM documents")
+def content_sha256(spark, d):
+    """Content hashes of whole texts."""
+    return _table(spark, d, "documents").select("doc_id", digests.content(F.col("text")).alias("sha256"))
+
+
+def _states(spark, d) -> DataFrame:
+    """Documents without a quality label are pending, good ones valid, bad ones failed."""
+    labels = _table(spark, d, "labels")
+    state = F.when(F.col("quality").isNull(), 0).when(F.col("quality") == 1, 1).otherwise(2)
+    return _table(spark, d, "documents").select("doc_id", "source").join(labels, "doc_id", "left").select(F.col("source").alias("model_id"), F.col("doc_id").alias("ordinal"), state.alias("state"))
+
+
+_SQL_STATES = "states AS (SELECT source AS model_id, d.doc_id AS ordinal, CASE WHEN quality IS NULL THEN 0 WHEN quality = 1 THEN 1 ELSE 2 END AS state FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"
+
+
+@_query("WITH " + _SQL_STATES + " SELECT model_id, count(*) FILTER (state = 1) AS valid, count(*) FILTER (state = 2) AS decode_errors, count(*) FILTER (state = 0) AS pending, 0::BIGINT AS unknown_states FROM states GROUP BY model_id")
+def row_state_counts(spark, d):
+    return metrics.state_counts(_states(spark, d))
+
+
+def _passes(spark, d) -> DataFrame:
+    status = F.when(F.col("state") == 1, "processed").when(F.col("state") == 2, "decode_error")
+    return _states(spark, d).select("model_id", "ordinal", status.alias("status")).where("status is not null")
+
+
+@_query("WITH " + _SQL_STATES + " SELECT model_id, count(DISTINCT ordinal) FILTER (state = 1) AS processed, count(DISTINCT ordinal) FILTER (state = 2) AS decode_errors FROM states WHERE state > 0 GROUP BY model_id")
+def pass_metrics(spark, d):
+    return metrics.pass_metrics(_passes(spark, d))
+
+
+@_query("SELECT count(DISTINCT user_id) FILTER (event_type IN ('click', 'view')) AS processed, count(DISTINCT user_id) FILTER (event_type NOT IN ('click', 'view')) AS decode_errors FROM events")
+def scan_metrics(spark, d):
+    """Users that ever clicked or viewed, and users that did something else, over all passes."""
+    kind = F.when(F.col("event_type").isin("click", "view"), "processed").otherwise("decode_error")
+    return metrics.scan_metrics(_table(spark, d, "events").select(F.lit("m").alias("model_id"), F.col("user_id").alias("ordinal"), kind.alias("status")))
+
+
+@_query("SELECT event_type AS model_id, 'processed' AS status, count(DISTINCT user_id) AS ordinals FROM events GROUP BY event_type")
+def bitmap_counts(spark, d):
+    """Distinct users of each event type, by bitmaps."""
+    return metrics.bitmap_counts(_table(spark, d, "events").select(F.col("event_type").alias("model_id"), F.lit("processed").alias("status"), F.col("user_id").alias("ordinal")))
+
+
+@_query("SELECT count(*) AS lines FROM documents WHERE trim(text) <> ''")
+def line_count(spark, d):
+    return metrics.lines(_table(spark, d, "documents").select(F.col("text").alias("value")))
