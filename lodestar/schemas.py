@@ -1,17 +1,25 @@
 """Schemas of the records that the operators exchange."""
 
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, ByteType, DoubleType, FloatType, IntegerType, LongType, StringType, StructField, StructType
 
-MANIFEST = StructType.fromDDL("ordinal BIGINT, relative_path STRING, source_path STRING")
-INDEX_MANIFEST = StructType.fromDDL("ordinal BIGINT, relative_path STRING, source_path STRING, size BIGINT, mtime_ns BIGINT, sha256 STRING")
-DISCOVERY_ERROR = StructType.fromDDL("path STRING, error_type STRING, message STRING")
-ERROR = StructType.fromDDL("ordinal BIGINT, relative_path STRING, source_path STRING, error_type STRING, message STRING, phase STRING, model_id STRING")
-QUERIES = StructType.fromDDL("query_id STRING, position INT, original_query STRING, model_query STRING")
-SCORES = StructType.fromDDL("model_id STRING, query_id STRING, file_id BIGINT, score DOUBLE")
-RANKED = StructType.fromDDL("model_id STRING, query_id STRING, file_id BIGINT, score DOUBLE, rank INT")
-INDEX_ROWS = StructType.fromDDL("model_id STRING, ordinal BIGINT, state TINYINT, embedding ARRAY<FLOAT>")
-COMMIT = StructType.fromDDL("sequence INT, model_id STRING, start BIGINT, `end` BIGINT, valid_count BIGINT, error_count BIGINT, rows_sha256 STRING, committed_at STRING")
-PASSES = StructType.fromDDL("model_id STRING, ordinal BIGINT, status STRING")
+_TYPES = {"string": StringType(), "long": LongType(), "int": IntegerType(), "byte": ByteType(), "double": DoubleType(), "floats": ArrayType(FloatType())}
+
+
+def _schema(**fields: str) -> StructType:
+    """A schema that needs no session to be made."""
+    return StructType([StructField(name, _TYPES[kind]) for name, kind in fields.items()])
+
+
+MANIFEST = _schema(ordinal="long", relative_path="string", source_path="string")
+INDEX_MANIFEST = _schema(ordinal="long", relative_path="string", source_path="string", size="long", mtime_ns="long", sha256="string")
+DISCOVERY_ERROR = _schema(path="string", error_type="string", message="string")
+ERROR = _schema(ordinal="long", relative_path="string", source_path="string", error_type="string", message="string", phase="string", model_id="string")
+QUERIES = _schema(query_id="string", position="int", original_query="string", model_query="string")
+SCORES = _schema(model_id="string", query_id="string", file_id="long", score="double")
+RANKED = _schema(model_id="string", query_id="string", file_id="long", score="double", rank="int")
+INDEX_ROWS = _schema(model_id="string", ordinal="long", state="byte", embedding="floats")
+COMMIT = _schema(sequence="int", model_id="string", start="long", end="long", valid_count="long", error_count="long", rows_sha256="string", committed_at="string")
+PASSES = _schema(model_id="string", ordinal="long", status="string")
 
 #: States of an index row (fixed values).
 PENDING, VALID, DECODE_ERROR = 0, 1, 2

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lodestar.functions.checks import require_contiguous
+from lodestar.functions.digests import of_file
 from lodestar.functions.paths import require_outside
 from lodestar.schemas import INDEX_MANIFEST, MANIFEST
 
@@ -47,10 +49,6 @@ def _all(conditions):
 
 def with_content_hash(manifest: DataFrame) -> DataFrame:
     """manifest with the SHA-256 of each file's bytes, read in pieces where the file lies; an unreadable file fails."""
-    import pandas as pd
-
-    from lodestar.functions.digests import of_file
-
     @F.pandas_udf("string")
     def digest(paths: pd.Series) -> pd.Series:
         return paths.map(of_file)
