@@ -170,6 +170,7 @@ def train(bags: Bags, labels: np.ndarray, classes: int, sizes: tuple[int, int],
             past_bias += grad_bias**2
             bias -= rate * 0.2 * grad_bias / np.sqrt(past_bias)
     table = np.empty((1 << bits, classes), np.float32)
+    emb[past_emb == np.float32(1e-8)] = 0  # an n-gram that training never met says nothing
     for at in range(0, 1 << bits, 1 << 16):
         table[at : at + (1 << 16)] = emb[at : at + (1 << 16)] @ out
     return Softmax(table, bias, sizes, bits)
