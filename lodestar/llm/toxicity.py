@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import arrow_rows, remainder
@@ -30,6 +30,9 @@ SIZES, BITS = (3, 6), 20
 SAMPLE_ROWS, SAMPLE_BYTES = 2000, 6144
 #: Windows of a clean text that training looks at.
 CLEAN_WINDOWS = 24
+#: Rows without any evidence, as a part of the clean ones, that the curve takes for clean: texts of words
+#: that training never met must not pass for toxic only because known clean words speak against it.
+SILENT = 0.02
 
 
 @dataclass
@@ -41,13 +44,13 @@ class Toxicity:
     shift: float = 0.0
 
     def worst_at(self, data: bytes) -> tuple[float, int]:
-        """The logit of the worst window of letters()' bytes, and where the window begins."""
+        """By how much the worst window of letters()' bytes speaks for toxicity (no evidence: 0), and where it begins."""
         sums, counts = self.model.cell_sums(data, CELL)
         if len(counts) > 1:
             sums, counts = sums[:-1] + sums[1:], counts[:-1] + counts[1:]
         logits = (sums[:, 1] - sums[:, 0]) / np.maximum(counts, 8)  # a window of a word or two is no surer than one of eight n-grams
         at = int(logits.argmax()) if len(logits) else 0
-        return float((logits[at] if len(logits) else 0.0) + self.model.bias[1] - self.model.bias[0]), at * CELL
+        return float(logits[at]) if len(logits) else 0.0, at * CELL
 
     def score(self, text: str | None) -> float:
         if self.model is None:
@@ -106,7 +109,9 @@ def fit(texts: list[bytes], labels: np.ndarray, rounds: int = 3, seed: int = 1)
         chosen = np.union1d(leading, np.flatnonzero((found > 0) & (found >= 0.5 * best[owner])))
     out = Toxicity(model)
     check = np.flatnonzero(held) if held.any() else np.arange(len(labels))
-    out.slope, out.shift = _curve(np.array([out.worst_at(texts[i])[0] for i in check]), labels[check])
+    logits = np.array([out.worst_at(texts[i])[0] for i in check])
+    silent = max(3, int(SILENT * (labels[check] == 0).sum()))
+    out.slope, out.shift = _curve(np.concatenate([logits, np.zeros(silent)]), np.concatenate([labels[check], np.zeros(silent, np.int64)]))
     return out
 
 
@@ -119,8 +124,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Toxicity:
     """
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.where(remainder("doc_id", 5) != 0)
-    turn = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= SAMPLE_ROWS).select("doc_id", "toxic")
+    first = lambda c: known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)  # noqa: E731  a heap in each task
+    ids = first(0).union(first(1))
     arrow_rows(docs.sparkSession)
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
