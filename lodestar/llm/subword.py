@@ -20,6 +20,8 @@ import numpy as np
 
 #: Bytes of concatenated texts that are looked at in one pass.
 PASS_BYTES = 1 << 20
+#: Gradient steps that a training takes at least, however few its units.
+LEAST_STEPS = 120
 #: a-z and bytes of non-ASCII characters stay, A-Z are lower-cased, all else is a space.
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -147,7 +149,7 @@ def train(bags: Bags, labels: np.ndarray, classes: int, sizes: tuple[int, int],
     bias = np.zeros(classes)
     past_emb, past_out, past_bias = np.full(1 << bits, 1e-8, np.float32), np.full(out.shape, 1e-8), np.full(classes, 1e-8)
     target = np.eye(classes)[labels]
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-LEAST_STEPS * batch // max(len(bags), 1))) if len(bags) else 0):
         order = rng.permutation(len(bags))
         for at in range(0, len(order), batch):
             rows = order[at : at + batch]

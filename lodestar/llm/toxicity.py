@@ -75,14 +75,14 @@ def _curve(logits: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
 
 
 def fit(texts: list[bytes], labels: np.ndarray, rounds: int = 3, seed: int = 1) -> Toxicity:
-    """Train on texts (from letters()) with labels 0 and 1; every fifth of each class fits the curve."""
+    """Train on texts (from letters()) with labels 0 and 1; every fifth of each class (all, if one has under 50) fits the curve."""
     if len(set(labels.tolist())) < 2:
         return Toxicity(None, shift=float(labels[0]) if len(labels) else 0.0)
     rng = np.random.default_rng(seed)
     turn = np.zeros(len(labels), np.int64)
     for c in (0, 1):
         turn[labels == c] = np.arange((labels == c).sum())
-    held = (turn % 5 == 4) & (min((labels == 0).sum(), (labels == 1).sum()) >= 10)
+    held = (turn % 5 == 4) & (min((labels == 0).sum(), (labels == 1).sum()) >= 50)
     toxic = [_windows(texts[i]) for i in np.flatnonzero(~held & (labels == 1))]
     clean, clean_rows = [], np.flatnonzero(~held & (labels == 0))
     for i in clean_rows:
