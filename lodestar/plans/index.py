@@ -231,8 +231,8 @@ def _prefix(spark: SparkSession, paths: Paths, commits: list[dict], model: str)
     return reached
 
 
-def build(spark: SparkSession, evidence: str | Path, index_path: str | Path, factories: dict[str, Callable[[], images.Encoder]], checkpoint_rows: int = CHECKPOINT_ROWS, batch: int = 64, max_images: int | None = None, resume: bool = False, decoder=images.decode) -> Verified:
-    """Build or go on building an index, and verify it."""
+def build(spark: SparkSession, evidence: str | Path, index_path: str | Path, factories: dict[str, Callable[[], images.Encoder]], checkpoint_rows: int = CHECKPOINT_ROWS, batch: int = 64, max_images: int | None = None, resume: bool = False, decoder=images.decode, progress: Callable[[str, int, int], None] = lambda phase, done, total: None) -> Verified:
+    """Build or go on building an index, and verify it; progress hears after each commit how far a model is."""
     if list(factories) != list(MODELS):
         raise ValueError(f"encoders must be given in the order {', '.join(MODELS)}")
     positive("checkpoint_rows", checkpoint_rows), positive("batch", batch)
@@ -247,6 +247,7 @@ def build(spark: SparkSession, evidence: str | Path, index_path: str | Path, fac
             end = min(begin + checkpoint_rows, meta["image_count"])
             part = listed.where((F.col("ordinal") >= begin) & (F.col("ordinal") < end)).repartition(spark.sparkContext.defaultParallelism)
             commit_stretch(spark, paths, meta, images.encode(part, factory, batch, decoder), model, begin, end)
+            progress(f"index-{model}", end, meta["image_count"])
         if not own["dimension"]:
             raise RuntimeError(f"no image could be decoded for {model}")
     return finish(spark, index_path)
@@ -323,6 +324,11 @@ def verify(spark: SparkSession, index_path: str | Path, full: bool = False, requ
     return Verified(paths.root, meta["state"], count, summary, meta, checks)
 
 
+def size_bytes(index_path: str | Path) -> int:
+    """What the index takes on disk."""
+    return sum(p.stat().st_size for p in Paths(index_path).root.rglob("*") if p.is_file())
+
+
 def pending(spark: SparkSession, index_path: str | Path) -> DataFrame:
     """(model_id, ordinal, state) of what isn't committed yet."""
     have = rows(spark, index_path).select("model_id", "ordinal")

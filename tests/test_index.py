@@ -16,6 +16,14 @@ def build(spark, tmp_path, **more):
     return index.build(spark, tmp_path / "e", tmp_path / "ix", fakes.FACTORIES, checkpoint_rows=2, batch=2, decoder=fakes.brightness, **more)
 
 
+def test_progress_and_size(spark, tmp_path):
+    fakes.evidence(tmp_path / "e", (1, 2, 3))
+    heard = []
+    build(spark, tmp_path, progress=lambda *x: heard.append(x))
+    assert heard == [(f"index-{m}", n, 3) for m in ("siglip2", "clip") for n in (2, 3)]
+    assert index.size_bytes(tmp_path / "ix") > 1000
+
+
 @pytest.fixture(scope="module")
 def built(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("built")
