@@ -98,8 +98,8 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, share: float = 0.5,
             return vectors.answer([], [], [], pa.float64())
         wide = vectors.width(asked, held)
         (query_ids, q), (ids, x) = vectors.matrix(asked, wide), vectors.matrix(held, wide)
-        # Scaled by its largest component, no square over- or underflows; a cosine doesn't change by it.
-        q, x = (v / np.abs(v).max(axis=1, keepdims=True) for v in (q, x))
+        # Scaled by powers of two, no square over- or underflows, and nothing is rounded: cosines stay as they are.
+        q, x = (np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, keepdims=True))[1]) for v in (q, x))
         forest = Forest(x, trees)
         found_ids, found_scores = [], []
         for i, met in enumerate(forest.candidates(q, max(1024, int(share * len(ids))))):
