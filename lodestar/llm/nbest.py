@@ -6,18 +6,21 @@ these as its heuristic, which is exact, so that complete paths come out of the
 queue in the order of their scores.
 
 No piece reaches from a non-space to a space, so a text falls into segments
-(spaces and the word that follows) whose lattices are independent.  Their N-best lists are
-searched once for each distinct segment and combined: of the segments of a
-text, only those N - 1 whose second paths cost least can differ among its N best.
+(spaces and the word that follows) whose lattices are independent.  The Viterbi
+pass tells for each distinct segment its best path and what the next best
+costs more.  Of the segments of a text only those N - 1 where that is least can
+differ among its N best: these are searched, and their lists combined.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush, heappushpop
+from itertools import chain
 from math import inf
 
 import ahocorasick
@@ -33,8 +36,10 @@ from lodestar.llm.common import arrow_rows
 SPACE = "▁"
 #: A character without a piece is spelt in bytes; each costs so much more than the worst piece with more than spaces.
 BYTE_COST = 10.0
-#: Distinct segments whose lists a worker keeps.
-KEPT_SEGMENTS = 350_000
+#: Distinct segments whose best paths a worker keeps; how many are scored together; longer ones are searched alone.
+KEPT_SEGMENTS, TOGETHER, LONG = 500_000, 8192, 48
+#: Texts of fewer characters are looked through for new segments batch by batch, longer ones each by itself.
+LOOK_AHEAD = 1 << 20
 
 _SEGMENTS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
@@ -53,6 +58,11 @@ class Lattice:
         for piece, (ids, score) in self.arcs.items():
             self.matcher.add_word(piece, (len(piece), ids, score))
         self.matcher.make_automaton()
+        self.numbers = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        self.sizes, self.scores = np.array([len(p) for p in self.pieces]), np.array([model.get_score(i) for i in size])
+        for piece, (ids, _) in self.arcs.items():
+            self.numbers.add_word(piece, ids[0])
+        self.numbers.make_automaton()
         self.byte_ids = {int(self.pieces[i][3:5], 16): i for i in size if model.is_byte(i)}
         self.bytes_of = {i: bytes([b]) for b, i in self.byte_ids.items()}
         self.byte_score = min(s for p, (_, s) in self.arcs.items() if p.strip(SPACE)) - BYTE_COST
@@ -68,11 +78,13 @@ class Lattice:
         """
         steps: list = [[] for _ in range(len(text) + 1)]
         for last, (size, ids, score) in self.matcher.iter(text):
-            steps[last + 1].append((last + 1 - size, ids, score))
-        for at, char in enumerate(() if self.characters.issuperset(text) else text):
-            if char not in self.characters:
-                ids = tuple([self.byte_ids[b] for b in reversed(char.encode())])
-                steps[at + 1].append((at, ids, self.byte_score * len(ids)))
+            end = last + 1
+            steps[end].append((end - size, ids, score))
+        if not self.characters.issuperset(text):
+            for at, char in enumerate(text):
+                if char not in self.characters:
+                    ids = tuple([self.byte_ids[b] for b in reversed(char.encode())])
+                    steps[at + 1].append((at, ids, self.byte_score * len(ids)))
         return steps
 
     def n_best(self, text: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
@@ -102,39 +114,138 @@ class Lattice:
                 return found
             _, ids, at, done = heappop(queue)
 
+    def best_and_next(self, texts: list[str]) -> list[tuple[float, bytes, float, bool]]:
+        """Of each text the best score, its ids as little-endian 32-bit words, what the next best path costs more (inf: there is none), and whether the ids decode to the text.
+
+        All texts' lattices are scored together, place by place: best scores
+        forward and backward.  The next best path has an arc that the best one
+        hasn't, and the best path through an arc scores what its start, it and its end do.
+        """
+        joined = "\0" + "\0".join(texts) + "\0"
+        lens = np.array([len(t) for t in texts], np.int64)
+        first = np.cumsum(lens + 1) - lens  # a text's first character; its lattice's first node is one before
+        met = np.fromiter(chain.from_iterable(self.numbers.iter(joined)), np.int64).reshape(-1, 2)
+        end, ids = met[:, 0], met[:, 1]
+        start, scores = end - self.sizes[ids], self.scores[ids]
+        odd = [i for i, c in enumerate(joined) if c != "\0" and c not in self.characters] if not self.characters.issuperset(joined.replace("\0", "")) else []
+        if odd:  # characters in bytes; their ids are looked up when a path has them
+            end, start = np.concatenate([end, odd]), np.concatenate([start, np.array(odd) - 1])
+            ids = np.concatenate([ids, [-i for i in odd]])
+            scores = np.concatenate([scores, [self.byte_score * len(joined[i].encode()) for i in odd]])
+        text_of = np.repeat(np.arange(len(texts)), lens + 1)
+        node_text = np.concatenate([text_of, [len(texts) - 1]])
+        inside = end - (first[node_text[end]] - 1)  # places from the text's first node
+        best, chosen = self._forward(len(joined), start, end, ids, scores, inside, joined)
+        after = self._backward(len(joined), start, end, scores, lens[node_text[end]] - (inside - (end - start)))
+        total = best[first - 1 + lens]
+        through = best[start] + scores + after[end]
+        on = np.zeros(len(end), bool)
+        paths: list = [[] for _ in texts]
+        at = first - 1 + lens
+        live = np.flatnonzero(at > first - 1)
+        while len(live):
+            arcs = chosen[at[live]]
+            on[arcs] = True
+            for t, i in zip(live.tolist(), ids[arcs].tolist(), strict=True):
+                paths[t].append(i)
+            at[live] = start[arcs]
+            live = live[at[live] > first[live] - 1]
+        rest = np.full(len(texts), -inf)
+        np.maximum.at(rest, node_text[end[~on]], through[~on])
+        out = []
+        for t, score, other, path in zip(texts, total.tolist(), rest.tolist(), paths, strict=True):
+            path.reverse()
+            decodes = True  # pieces are what they matched
+            if min(path) <= 0:
+                path = [j for i in path for j in ((i,) if i > 0 else [self.byte_ids[b] for b in joined[-i].encode()])]
+                decodes = self.decode(path, 0) == t.replace(SPACE, " ")
+            out.append((score, array("I", path).tobytes(), score - other if other > -inf else inf, decodes))
+        return out
+
+    def _forward(self, nodes, start, end, ids, scores, inside, joined):
+        """Best score of every node, and the arc by which it is reached: of equal ones that with the smallest (last) id."""
+        low = np.array([self.byte_ids[joined[-i].encode()[-1]] if i <= 0 else i for i in ids.tolist()]) if (ids <= 0).any() else ids
+        order = np.lexsort((low, end, inside))
+        best, chosen = np.zeros(nodes), np.full(nodes, -1)
+        cuts = np.flatnonzero(np.diff(inside[order])) + 1
+        for group in np.split(order, cuts):
+            ends = end[group]
+            runs = np.flatnonzero(np.concatenate([[True], ends[1:] != ends[:-1]]))
+            value = best[start[group]] + scores[group]
+            most = np.maximum.reduceat(value, runs)
+            best[ends[runs]] = most
+            hit = np.flatnonzero(value == np.repeat(most, np.diff(np.concatenate([runs, [len(group)]]))))
+            hit = hit[np.concatenate([[True], ends[hit][1:] != ends[hit][:-1]])]
+            chosen[ends[hit]] = group[hit]
+        return best, chosen
+
+    @staticmethod
+    def _backward(nodes, start, end, scores, left):
+        """Best score from every node to its text's end; left is how many places lie between an arc's start and that end."""
+        order = np.lexsort((start, left))
+        after = np.zeros(nodes)
+        cuts = np.flatnonzero(np.diff(left[order])) + 1
+        for group in np.split(order, cuts):
+            starts = start[group]
+            runs = np.flatnonzero(np.concatenate([[True], starts[1:] != starts[:-1]]))
+            after[starts[runs]] = np.maximum.reduceat(scores[group] + after[end[group]], runs)
+        return after
+
     def segments(self, text: str) -> list[str]:
         return _SEGMENTS.findall((SPACE + text).replace(" ", SPACE)) if text else []
 
-    def encode(self, text: str, n: int, lists=None) -> list[tuple[float, list[tuple]]]:
-        """Up to n (score, by segment what follows the score in lists' entries, such as ids) of a whole text, best first.
+    def known(self, segments: list[str], cache: dict) -> None:
+        """Put into cache what best_and_next() gives for the segments that it lacks."""
+        new = [s for s in dict.fromkeys(segments) if s not in cache]
+        if len(cache) + len(new) > KEPT_SEGMENTS:
+            cache.clear()
+            new = list(dict.fromkeys(segments))
+        short = [s for s in new if len(s) <= LONG and "\0" not in s]
+        for at in range(0, len(short), TOGETHER):
+            part = short[at : at + TOGETHER]
+            cache.update(zip(part, self.best_and_next(part), strict=True))
+        for s in set(new).difference(short):
+            found = self.n_best(s, 2)
+            cache[s] = found[0][0], array("I", found[0][1]).tobytes(), found[0][0] - found[1][0] if len(found) > 1 else inf, self.decode(found[0][1], 0) == s.replace(SPACE, " ")
+
+    def encode(self, text: str, n: int, cache: dict | None = None, lists=None, segments: list[str] | None = None) -> tuple[list[tuple[float, list[bytes]]], bool]:
+        """Up to n (score, ids by segment as 32-bit words) of a whole text, best first; and whether they decode to it.
 
         Of equal scores first the one whose segments' places in their lists,
-        read from the end, are smaller.  The empty text has one empty segmentation.
+        read from the end, are smaller.  The empty text has one empty
+        segmentation.  cache holds segments' best paths, lists their n best.
         """
-        lists = lists or self.n_best
-        options = [lists(s, n) for s in self.segments(text)]
-        base = [o[0][1:] for o in options]
-        total = sum([o[0][0] for o in options])
-        costs = [o[0][0] - o[1][0] if len(o) > 1 else inf for o in options]
-        places = []
-        while len(places) < n - 1 and (least := min(costs, default=inf)) < inf:
+        segments = self.segments(text) if segments is None else segments
+        cache, lists = {} if cache is None else cache, lists or self.n_best
+        if not segments:
+            return [(0.0, [])], True
+        try:
+            found = [cache[s] for s in segments]
+        except KeyError:
+            self.known(segments, cache)
+            found = [cache[s] for s in segments]
+        scores, base, costs, decode = zip(*found, strict=True)
+        costs, places = list(costs), []
+        while len(places) < n - 1 and (least := min(costs)) < inf:
             places.append(costs.index(least))
             costs[places[-1]] = inf
         places.sort(reverse=True)  # from the end
-        queue, seen, out = [(0.0, (0,) * len(places))], {(0,) * len(places)}, []
+        full = {p: lists(segments[p], n) for p in places}
+        total, start = sum(scores), (0,) * len(places)
+        queue, seen, out = [(0.0, start)], {start}, []
         while queue and len(out) < n:
             cost, ranks = heappop(queue)
-            ids = base.copy()
+            ids = list(base)
             for p, r in zip(places, ranks, strict=True):
-                ids[p] = options[p][r][1:]
+                ids[p] = array("I", full[p][r][1]).tobytes()
             out.append((total - cost, ids))
             for j, p in enumerate(places):
-                if ranks[j] + 1 < len(options[p]):
+                if ranks[j] + 1 < len(full[p]):
                     more = (*ranks[:j], ranks[j] + 1, *ranks[j + 1 :])
                     if more not in seen:
                         seen.add(more)
-                        heappush(queue, (sum(options[q][0][0] - options[q][r][0] for q, r in zip(places, more, strict=True)), more))
-        return out
+                        heappush(queue, (sum(full[q][0][0] - full[q][r][0] for q, r in zip(places, more, strict=True)), more))
+        return out, SPACE not in text and all(decode)
 
     def decode(self, ids, front: int = 1) -> str:
         """The text that ids stand for; marks of spaces are spaces again, without the one put in front."""
@@ -148,15 +259,9 @@ def lattice(path: str) -> Lattice:
 
 
 @lru_cache(maxsize=2)
-def _lists(path: str):
-    """Cached lists of segments: (score, ids as little-endian 32-bit words, whether they decode to the segment)."""
-    own = lattice(path)
-
-    def packed(segment: str, n: int) -> list[tuple[float, bytes, bool]]:
-        shown = segment.replace(SPACE, " ")
-        return [(score, np.array(ids, "<u4").tobytes(), own.decode(ids, 0) == shown) for score, ids in own.n_best(segment, n)]
-
-    return lru_cache(maxsize=KEPT_SEGMENTS)(packed)
+def _held(path: str) -> tuple[dict, object]:
+    """A worker's best paths and n-best lists of segments."""
+    return {}, lru_cache(maxsize=1 << 14)(lattice(path).n_best)
 
 
 def n_best(docs: DataFrame, path: str, n: int = 3, text: str = "text", doc_id: str = "doc_id", keep_ids: bool = False) -> DataFrame:
@@ -174,15 +279,15 @@ def n_best(docs: DataFrame, path: str, n: int = 3, text: str = "text", doc_id: s
     kinds = [("doc_id", None), ("rank", pa.int32()), ("score", pa.float64()), ("n_pieces", pa.int64()), ("ids_crc32", pa.int64()), ("decodes", pa.bool_())] + [("ids", pa.list_(pa.int32()))] * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, lists = lattice(path), _lists(path)
+        own, (cache, lists) = lattice(path), _held(path)
         for b in batches:
-            rows = []
-            for doc, t in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                t = t.as_py() or ""
-                for rank, (score, parts) in enumerate(own.encode(t, n, lists), 1):
-                    ids = b"".join([p[0] for p in parts])
-                    if rank == 1:  # the others differ in segments whose paths all decode alike
-                        decodes = SPACE not in t and all([p[1] for p in parts])
+            rows, texts = [], [t or "" for t in b.column("text").to_pylist()]
+            parted = [own.segments(t) if len(t) < LOOK_AHEAD else None for t in texts]
+            own.known(list(chain.from_iterable(p for p in parted if p)), cache)
+            for doc, t, segments in zip(b.column("doc_id").to_pylist(), texts, parted, strict=True):
+                found, decodes = own.encode(t, n, cache, lists, segments)
+                for rank, (score, parts) in enumerate(found, 1):
+                    ids = b"".join(parts)
                     rows.append((doc, rank, score, len(ids) // 4, zlib.crc32(ids), decodes) + (np.frombuffer(ids, "<i4"),) * keep_ids)
             cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, b.schema.field("doc_id").type if kind is None else kind) for c, (_, kind) in zip(cols, kinds, strict=True)], names=[name for name, _ in kinds])

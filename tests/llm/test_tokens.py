@@ -141,8 +141,9 @@ def test_n_best_of_a_text(pieces, text):
     own = nbest.lattice(pieces)
     whole = every(own, (nbest.SPACE + text).replace(" ", nbest.SPACE))
     for n in (1, 4, 12):
-        got = own.encode(text, n)
-        flat = [tuple(i for p in ids for i in p[0]) for _, ids in got]
+        got, decodes = own.encode(text, n)
+        flat = [tuple(np.frombuffer(b"".join(ids), "<u4").tolist()) for _, ids in got]
+        assert decodes
         assert [round(s, 6) for s, _ in got] == [round(s, 6) for s, _ in whole[:n]]
         assert len(set(flat)) == len(flat) and set(flat) <= {ids for _, ids in whole}
         assert all(own.decode(ids) == text for ids in flat)
@@ -162,6 +163,16 @@ def test_n_best_of_odd_documents(odd, empty, pieces):
 
 def test_n_best_round_trip_of_long_text(pieces):
     own, text = nbest.lattice(pieces), prose(3, 3000) + "\n" + "é" * 50
-    scores = [s for s, _ in own.encode(text, 5)]
-    assert scores == sorted(scores, reverse=True) and len(scores) == 5
-    assert all(own.decode([i for p in ids for i in p[0]]) == text for _, ids in own.encode(text, 5))
+    found, decodes = own.encode(text, 5)
+    scores = [s for s, _ in found]
+    assert scores == sorted(scores, reverse=True) and len(scores) == 5 and decodes
+    assert all(own.decode(np.frombuffer(b"".join(ids), "<u4").tolist()) == text for _, ids in found)
+
+
+def test_best_and_next_equal_the_search(pieces):
+    own, pick = nbest.lattice(pieces), random.Random(8)
+    texts = ["".join(pick.choice("▁▁abctheé日🙂\n") for _ in range(pick.randrange(1, 12))) for _ in range(400)] + ["▁", "a"]
+    for text, (score, ids, cost, decodes) in zip(texts, own.best_and_next(texts), strict=True):
+        found = own.n_best(text, 2)
+        assert (score, tuple(np.frombuffer(ids, "<u4").tolist())) == found[0] and decodes
+        assert cost == (found[0][0] - found[1][0] if len(found) > 1 else float("inf"))
