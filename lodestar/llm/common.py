@@ -52,6 +52,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of documents, dealt over all cores if its files have fewer parts than there are: a small file is one task otherwise."""
+    rows, cores = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def arrow_rows(spark: SparkSession) -> None:
     """Bound what one Arrow batch of whole texts can hold."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))

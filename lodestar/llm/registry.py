@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestar.llm import language, licenses, lm, nbest, neighbours, packing, simhash, token_counts, topk, toxicity
-from lodestar.llm.common import table
+from lodestar.llm.common import documents, table
 
 
 def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,11 +22,11 @@ def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.lm_scores(table(spark, sf_dir, "documents"))
+    return lm.lm_scores(documents(spark, sf_dir))
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language.languages(table(spark, sf_dir, "documents"))
+    return language.languages(documents(spark, sf_dir))
 
 
 def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,27 +35,27 @@ def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(documents(spark, sf_dir))
 
 
 def op6_n_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nbest.n_best(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), 3)
+    return nbest.n_best(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), 3)
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents"), licenses.known(spark))
+    return licenses.scan(documents(spark, sf_dir), licenses.known(spark))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
