@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of an index shard, and queries of a block: what one task holds at a time.
-SHARD_ROWS, QUERY_ROWS = 4096, 8192
+#: Least and most rows of an index shard, and queries of a block: what one task holds at a time.
+SHARD_ROWS, MOST_ROWS, QUERY_ROWS = 4096, 1 << 16, 8192
 
 
 def valid(rows: DataFrame, vec_id: str, vector: str) -> DataFrame:
@@ -50,11 +50,13 @@ def search(index: DataFrame, queries: DataFrame, k: int, score: str, in_block: C
     """(query_id, rank, vec_id, score): the best k of what in_block finds for a block of queries in a shard of the index.
 
     Both sides are dealt by hashes of ids, so that equal or crowded vectors
-    spread evenly: the index to shards of about SHARD_ROWS, the queries to
-    blocks of about QUERY_ROWS.  Each pair of a shard and a block is one group,
-    of a size that doesn't grow with the data; only k rows of each query leave it.
+    spread evenly: the index to four shards for each core, of SHARD_ROWS to
+    MOST_ROWS, the queries to blocks of about QUERY_ROWS.  Each pair of a shard
+    and a block is one group, whose size has a bound; only k rows of each query
+    leave it.
     """
-    shards = max(1, -(-index.count() // SHARD_ROWS))
+    rows = index.count()
+    shards = max(1, -(-rows // min(MOST_ROWS, max(SHARD_ROWS, rows // (4 * index.sparkSession.sparkContext.defaultParallelism)))))
     blocks = max(1, -(-queries.count() // QUERY_ROWS))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("shard", every(shards))
