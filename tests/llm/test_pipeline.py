@@ -1,7 +1,7 @@
 import pytest
 
 import corpus_pipeline
-from lodestar.llm import language, packing, simhash, stages, toxicity
+from lodestar.llm import language, packing, resemblance, simhash, stages, toxicity
 from tests.llm.conftest import prose
 
 
@@ -63,3 +63,27 @@ def test_rows_without_an_id_stay(spark, corpus):
     docs = spark.createDataFrame([(None, "a b c", "en"), (None, "a b c", "en"), (1, "a b c", "en"), (2, "a b c", "en")], "doc_id long, text string, lang string")
     assert sorted(str(r.doc_id) for r in stages.drop_near_duplicates(spark, docs, corpus).collect()) == ["1", "None", "None"]
     assert packing.FINEST == 16
+
+
+def test_near_copies_of_similar_words_go(spark, corpus):
+    words = prose(7, 200).split()
+    changed = [[*words[:i], "other", *words[i + 1 :]] for i in (30, 90, 160)]  # similarity 191 / 201
+    half = [w if i < 100 else w + "x" for i, w in enumerate(words)]
+    rows = [(i, " ".join(x), "en") for i, x in enumerate([words, *changed, half])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len({simhash.fingerprint(t) for _, t, _ in rows}) == 5
+    assert sorted(r.doc_id for r in stages.drop_near_duplicates(spark, docs, corpus).collect()) == [0, 4]
+
+
+def test_a_large_cluster_of_near_copies_hangs_together(spark, corpus):
+    words = prose(8, 150).split()
+    rows = [(i, " ".join([*words[: i % 140], f"own{i}", *words[i % 140 + 1 :]]), "en") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert [r.doc_id for r in stages.drop_near_duplicates(spark, docs, corpus).collect()] == [0]
+
+
+def test_similarity_is_that_of_sets_of_five_words():
+    a, b = "a b c d e f g a b c d e", "A  b c d e\nf g"
+    sets = [{tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (a.split(), b.lower().split())]
+    assert resemblance.similarity(resemblance.shingles(a), resemblance.shingles(b)) == len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+    assert resemblance.keys(resemblance.shingles(None)) == [] and len(resemblance.shingles("a b")) == 1
