@@ -44,8 +44,8 @@ DISCOUNT = 0.75
 #: Fixed-point steps of a logarithm to base 10.
 STEPS = 4096
 #: n-grams of order n are counted if both their parts of order n - 1 were seen so often, and kept if they themselves
-#: were seen KEEP times: a model's pruning, the same at every size of the corpus.
-FLOORS, KEEP = {2: 4, 3: 4}, 2
+#: were seen KEEP times: at 1, as here, every n-gram of the corpus is in the model.
+FLOORS, KEEP = {2: 1, 3: 1}, 1
 #: The hash of a text's end.
 END = 1
 

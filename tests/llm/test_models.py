@@ -89,6 +89,25 @@ def test_the_trie_beats_single_words_on_held_out_texts(spark, sf):
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
+def test_every_ngram_counts(spark):
+    """A passage that two texts share, of words seen nowhere else, is known as a whole; so is one that is there once."""
+    shared, once = [" ".join(f"{p}{i}" for i in range(12)) for p in "sy"]
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 7 != 2][:20]
+    held = [i for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    texts = {i: prose(i, 30) for i in ids} | {ids[0]: shared, ids[1]: shared, ids[2]: once, held[0]: shared, held[1]: once}
+    seen = Counter(g for i in ids for x in [tokens(texts[i])] for n in (1, 2, 3) for g in (tuple(x[j : j + n]) for j in range(len(x) - n + 1)))
+    assert {lm.KEEP, *lm.FLOORS.values()} == {1}
+    rows = {r.doc_id: r for r in lm.lm_scores(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    for i, c in ((held[0], 2), (held[1], 1)):
+        x, score = tokens(texts[i]), 0.0
+        for j, w in enumerate(x):
+            p = (seen[(w,)] + 1) / (sum(v for g, v in seen.items() if len(g) == 1) + sum(len(g) == 1 for g in seen) + 1)
+            for n in range(2, min(3, j + 1) + 1):  # each context is followed by one word only
+                p = (c - lm.DISCOUNT) / c + lm.DISCOUNT / c * p
+            score += math.log10(p)
+        assert abs(rows[i].score - score) < 1e-3 * len(x)
+
+
 def test_lm_of_odd_documents(odd, empty):
     rows = lm.lm_scores(odd).collect()
     assert len(rows) == len(ODD) + 1 and all(r.n_tokens >= 1 and r.score <= 0 for r in rows)
