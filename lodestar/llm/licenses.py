@@ -8,6 +8,9 @@ by line.
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +56,76 @@ Permission is granted to anyone to use this software for any purpose, including
 3. This notice may not be removed or altered from any source distribution.""",
 }
 
+#: Whole texts as files, <licence>.txt, and how many lines with words in front are a text's own title.
+TEXTS = Path(__file__).with_name("license_texts")
+OWN_TITLE = {"Apache-2.0": 3, "Artistic-1.0-Perl": 1, "CC0-1.0": 2, "GFDL-1.2": 2, "GFDL-1.3": 2, "GPL-1.0": 2, "GPL-2.0": 2, "GPL-3.0": 2, "LGPL-2.0": 2, "LGPL-2.1": 2, "LGPL-3.0": 2, "MPL-1.1": 2, "MPL-2.0": 1}
+#: Names of licences, which stand over their texts and, but for bare identifiers, in notices.
+NAMES = {
+    "MIT": ("MIT License", "MIT License (MIT)", "MIT"),
+    "ISC": ("ISC License", "ISC License (ISC)", "ISC"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD License", "Zero-Clause BSD", "0BSD License", "BSD 0-Clause License"),
+    "Zlib": ("zlib License", "zlib/libpng License"),
+    "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache License v2.0", "Apache 2.0 License", "Apache-2.0 License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License", "FreeBSD License", "BSD-2-Clause License", 'BSD 2-Clause "Simplified" License'),
+    "BSD-3-Clause": ("BSD 3-Clause License", "3-Clause BSD License", "New BSD License", "Modified BSD License", "BSD-3-Clause License", 'BSD 3-Clause "New" or "Revised" License'),
+    "GPL-1.0": ("GNU General Public License, version 1", "GNU General Public License v1.0", "GNU GPL v1"),
+    "GPL-2.0": ("GNU General Public License, version 2", "GNU General Public License v2.0", "GNU GPL v2", "GNU GPL version 2", "GPLv2", "GPL-2.0 License"),
+    "GPL-3.0": ("GNU General Public License, version 3", "GNU General Public License v3.0", "GNU GPL v3", "GNU GPL version 3", "GPLv3", "GPL-3.0 License"),
+    "LGPL-2.0": ("GNU Library General Public License, version 2", "GNU Library General Public License v2.0"),
+    "LGPL-2.1": ("GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License v2.1", "GNU LGPL v2.1", "LGPLv2.1", "LGPL-2.1 License"),
+    "LGPL-3.0": ("GNU Lesser General Public License, version 3", "GNU Lesser General Public License v3.0", "GNU LGPL v3", "LGPLv3", "LGPL-3.0 License"),
+    "AGPL-3.0": ("GNU Affero General Public License, version 3", "GNU Affero General Public License v3.0", "GNU AGPL v3", "AGPLv3", "AGPL-3.0 License"),
+    "GFDL-1.2": ("GNU Free Documentation License, version 1.2", "GNU Free Documentation License v1.2"),
+    "GFDL-1.3": ("GNU Free Documentation License, version 1.3", "GNU Free Documentation License v1.3"),
+    "MPL-1.1": ("Mozilla Public License, version 1.1", "Mozilla Public License 1.1", "MPL 1.1"),
+    "MPL-2.0": ("Mozilla Public License, version 2.0", "Mozilla Public License 2.0", "Mozilla Public License v2.0", "MPL 2.0", "MPL-2.0 License"),
+    "EPL-2.0": ("Eclipse Public License, version 2.0", "Eclipse Public License 2.0", "Eclipse Public License v2.0", "EPL 2.0"),
+    "BSL-1.0": ("Boost Software License, Version 1.0", "Boost Software License 1.0"),
+    "Artistic-1.0-Perl": ("Artistic License",),
+    "Artistic-2.0": ("Artistic License 2.0",),
+    "Unlicense": ("Unlicense",),
+    "CC0-1.0": ("CC0 1.0 Universal", "CC0 1.0", "Creative Commons Zero v1.0 Universal"),
+    **{f"CC-{x}-4.0": (f"CC {x} 4.0", f"CC {x} 4.0 License", f"Creative Commons {y} 4.0 International License") for x, y in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"))},
+}
+#: What stands before a name in a notice of one line.
+NOTICES = ("Licensed under", "Released under", "Distributed under", "Available under", "Published under", "This work is licensed under", "This project is licensed under", "This software is licensed under", "This code is licensed under", "This program is licensed under", "License:")
+#: Identifiers of SPDX lines beside the names above; of GNU licences those with -only and -or-later.
+SPDX = ("AFL-3.0", "Apache-1.1", "BSD-4-Clause", "BlueOak-1.0.0", "CC-BY-3.0", "CC-BY-SA-3.0", "CDDL-1.0", "CDDL-1.1", "CECILL-2.1", "ECL-2.0", "EPL-1.0", "EUPL-1.2", "MIT-0", "MS-PL", "MS-RL", "MulanPSL-2.0", "NCSA", "OFL-1.1", "OSL-3.0", "PostgreSQL", "PSF-2.0", "Python-2.0", "Ruby", "UPL-1.0", "Vim", "W3C", "WTFPL", "X11")
+
+
+def _whole_texts(name: str, text: str) -> dict[str, str]:
+    """A whole text under its own title (under each of its names, if it has none), without a title, and so without the instructions after its terms."""
+    lines = text.splitlines()
+    counted = [i for i, line in enumerate(lines) if re.search(r"\w", line)]
+    body = "\n".join(lines[counted[OWN_TITLE.get(name, 0)] :])
+    bodies = {"": body}
+    terms = re.match(r"(?s).*END OF TERMS AND CONDITIONS", body)
+    if terms:
+        bodies["-terms"] = terms[0]
+    if "[yyyy]" in body:  # a line that is filled in says whose copyright it is
+        bodies["-filled"] = re.sub(r"(?m)^.*\[yyyy\].*$", "", body)
+    own = ["\n".join(lines[: counted[OWN_TITLE[name]]])] if name in OWN_TITLE else []
+    titles = own or [f"{the}{x}" for x in NAMES[name] for the in ("", "The ")]
+    return {f"{name}{part}{f'-titled-{n}' if n else ''}": f"{title}\n{b}" if n else b for part, b in bodies.items() for n, title in enumerate(["", *titles])}
+
+
+def _further() -> dict[str, str]:
+    """Whole texts, notices and SPDX lines beside the values above; none of a canonical form that is there already, so far as words tell."""
+    whole = {p.stem: p.read_text() for p in sorted(TEXTS.glob("*.txt"))} | {k: KNOWN[k] for k in ("MIT", "ISC", "0BSD", "Zlib")}
+    found = {k: v for name, text in whole.items() for k, v in _whole_texts(name, text).items()}
+    for name, names in NAMES.items():
+        forms = [f"{before} {the}{x}" for before in NOTICES for x in names if x != name for the in ("", "the ")]
+        found |= {f"{name}-notice-{n}": x for n, x in enumerate(forms, 1)}
+    spdx = [*(x for x in NAMES if "GPL" not in x and "GFDL" not in x), *SPDX]
+    spdx += [f"{x}{end}" for x in NAMES if "GPL" in x or "GFDL" in x for end in ("", "-only", "-or-later")]
+    found |= {f"{x}-SPDX": f"SPDX-License-Identifier: {x}" for x in spdx}
+    words = lambda x: " ".join(re.findall(r"\w+", x.lower().replace("licenc", "licens")))
+    seen = {words(x): k for k, x in KNOWN.items()}
+    return {k: x for k, x in found.items() if seen.setdefault(words(x), k) == k and k not in KNOWN}
+
+
+KNOWN |= _further()
+
 
 def known(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
     """(license_id, text) of the licences above, or of others."""

@@ -46,3 +46,22 @@ def test_queries_agree_with_sql(spark, sf):
             names = sorted(ours.column_names)
             assert names == sorted(theirs.column_names)
             assert sorted(zip(*(ours[n].to_pylist() for n in names), strict=True)) == sorted(zip(*(theirs[n].to_pylist() for n in names), strict=True))
+
+
+def test_usual_files_and_lines_are_known(spark):
+    k = licenses.KNOWN
+    apache, bsd = k["Apache-2.0"], k["BSD-3-Clause"]
+    texts = ["MIT License\n\nCopyright (c) 2020 A. Person\n\n" + k["MIT"], "The ISC License\nCopyright 2019 B\n" + k["ISC"], "BSD 3-Clause License\n\nCopyright (c) 2009, C\nAll rights reserved.\n\n" + bsd, (licenses.TEXTS / "Apache-2.0.txt").read_text(), apache.replace("Copyright [yyyy] [name of copyright owner]", "Copyright 2024 D"), (licenses.TEXTS / "GPL-3.0.txt").read_text(), "x\n# SPDX-License-Identifier: GPL-2.0-or-later\ny", "This project is licensed under the MIT License.", (licenses.TEXTS / "Unlicense.txt").read_text(), "Permission is hereby granted"]
+    found = {i: [] for i in range(len(texts))}
+    for (i, name), (whole, lines) in scan(spark, texts).items():
+        found[i].append((name.split("-titled")[0].split("-notice")[0], whole, lines))
+    assert found == {0: [("MIT", True, 0)], 1: [("ISC", True, 0)], 2: [("BSD-3-Clause", True, 0)], 3: [("Apache-2.0", True, 0)], 4: [("Apache-2.0-filled", True, 0)], 5: [("GPL-3.0", True, 0)], 6: [("GPL-2.0-or-later-SPDX", False, 1)], 7: [("MIT", True, 1)], 8: [("Unlicense", True, 0)], 9: []}
+
+
+def test_every_known_text_agrees_with_sql(spark):
+    ours = scan(spark, list(licenses.KNOWN.values()))
+    with duckdb.connect() as c:
+        c.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+        c.executemany("INSERT INTO documents VALUES (?, ?)", [list(x) for x in enumerate(licenses.KNOWN.values())])
+        theirs = {(r[0], r[1]): (r[2], r[3]) for r in c.execute(licenses.scan_sql()).fetchall()}
+    assert ours == theirs and all(ours[i, name][0] for i, name in enumerate(licenses.KNOWN))
