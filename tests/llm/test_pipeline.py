@@ -87,3 +87,11 @@ def test_similarity_is_that_of_sets_of_five_words():
     sets = [{tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (a.split(), b.lower().split())]
     assert resemblance.similarity(resemblance.shingles(a), resemblance.shingles(b)) == len(sets[0] & sets[1]) / len(sets[0] | sets[1])
     assert resemblance.keys(resemblance.shingles(None)) == [] and len(resemblance.shingles("a b")) == 1
+
+
+def test_rows_that_share_an_id_are_rows_like_any_other(spark, corpus):
+    a, b, c = prose(20, 40), prose(21, 40), prose(22, 40)
+    rows = [(1, a, "en"), (1, b, "en"), (2, b, "en"), (3, c, "en"), (3, c, "en"), (4, a, "en")]
+    for some in (rows, rows[::-1]):
+        docs = spark.createDataFrame(some, "doc_id long, text string, lang string")
+        assert sorted((r.doc_id, r.text) for r in stages.drop_near_duplicates(spark, docs, corpus).collect()) == sorted([(1, a), (1, b), (3, c)])
