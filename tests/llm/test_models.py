@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -41,20 +42,16 @@ def tokens(text):
     return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) + ["\0"]
 
 
-def brute(texts, order=3):
-    """(known, base, score) of each text and N, by dictionaries."""
+def brute(texts, order=3, discount=0.75):
+    """(known, base, score) of each text and N, by dictionaries: every n-gram counts, none is left out."""
     words = {i: tokens(t) for i, t in texts.items()}
     seen = [w for i, w in words.items() if zlib.crc32(str(i).encode()) % 7 != 2]
-    counts = {1: Counter((w,) for x in seen for w in x)}
+    counts = {n: Counter(tuple(x[i : i + n]) for x in seen for i in range(len(x) - n + 1)) for n in range(1, order + 1)}
     total, distinct = sum(counts[1].values()), len(counts[1])
-    for n in range(2, order + 1):
-        floor = lm.FLOORS[n]
-        found = Counter(g for x in seen for i in range(len(x) - n + 1) for g in [tuple(x[i : i + n])] if min(counts[n - 1].get(g[:-1], 0), counts[n - 1].get(g[1:], 0)) >= floor)
-        counts[n] = {g: c for g, c in found.items() if c >= lm.KEEP}
     taken = defaultdict(float)
     for n in range(2, order + 1):
-        for g, c in counts[n].items():
-            taken[g[:-1]] += c - lm.DISCOUNT
+        for g in counts[n]:
+            taken[g[:-1]] += counts[n][g] - discount
     out = {}
     for i, x in words.items():
         base = [(counts[1].get((w,), 0) + 1) / (total + distinct + 1) for w in x]
@@ -64,24 +61,34 @@ def brute(texts, order=3):
                 context = tuple(x[j - n + 1 : j])
                 c = counts[n - 1].get(context, 0)
                 if c:
-                    p = max(counts[n].get((*context, x[j]), 0) - lm.DISCOUNT, 0) / c + (1 - taken[context] / c) * p
+                    p = max(counts[n].get((*context, x[j]), 0) - discount, 0) / c + (1 - taken[context] / c) * p
             score += math.log10(p)
         out[i] = len(x), sum((w,) in counts[1] for w in x), sum(map(math.log10, base)), score
     return out, total
 
 
-@pytest.mark.parametrize("shard", [1 << 20, 50])
-def test_scores_of_the_table(spark, sf, monkeypatch, shard):
-    monkeypatch.setattr(lm, "SHARD_ROWS", shard)
-    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(200 if shard > 50 else 40)
-    texts = {d.doc_id: d.text for d in docs.collect()}
+def compare(spark, texts, **sizes):
     expected, total = brute(texts)
-    rows = lm.lm_scores(docs.where(docs.doc_id.isin(list(texts)))).collect()
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    rows = lm.lm_scores(docs, **sizes).collect()
     assert len(rows) == len(texts)
     for r in rows:
         n, known, base, score = expected[r.doc_id]
         assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (n, known, total, zlib.crc32(str(r.doc_id).encode()) % 7 == 2)
         assert math.isclose(r.base_score, base, rel_tol=1e-9) and abs(r.score - score) < 1e-3 * n  # codes are rounded
+    return {r.doc_id: r for r in rows}
+
+
+@pytest.mark.parametrize("sizes", [{}, {"shard_words": 50, "shard_grams": 512}])
+def test_scores_of_the_table(spark, sf, sizes):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(40 if sizes else 200)
+    compare(spark, {d.doc_id: d.text for d in docs.collect()}, **sizes)
+
+
+def test_words_and_pairs_that_many_shards_share(spark):
+    """One word begins half of all triples, one pair a quarter, each with many followers."""
+    texts = {i: " ".join(f"hot {'pair' if j % 2 else f'b{j % 7}'} w{(i * 31 + j * 7) % 400}" for j in range(60)) for i in range(60)}
+    compare(spark, texts, shard_words=40, shard_grams=256)
 
 
 def test_the_trie_beats_single_words_on_held_out_texts(spark, sf):
@@ -95,17 +102,40 @@ def test_every_ngram_counts(spark):
     ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 7 != 2][:20]
     held = [i for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
     texts = {i: prose(i, 30) for i in ids} | {ids[0]: shared, ids[1]: shared, ids[2]: once, held[0]: shared, held[1]: once}
-    seen = Counter(g for i in ids for x in [tokens(texts[i])] for n in (1, 2, 3) for g in (tuple(x[j : j + n]) for j in range(len(x) - n + 1)))
-    assert {lm.KEEP, *lm.FLOORS.values()} == {1}
-    rows = {r.doc_id: r for r in lm.lm_scores(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
-    for i, c in ((held[0], 2), (held[1], 1)):
-        x, score = tokens(texts[i]), 0.0
-        for j, w in enumerate(x):
-            p = (seen[(w,)] + 1) / (sum(v for g, v in seen.items() if len(g) == 1) + sum(len(g) == 1 for g in seen) + 1)
-            for n in range(2, min(3, j + 1) + 1):  # each context is followed by one word only
-                p = (c - lm.DISCOUNT) / c + lm.DISCOUNT / c * p
-            score += math.log10(p)
-        assert abs(rows[i].score - score) < 1e-3 * len(x)
+    rows = compare(spark, texts)
+    assert all(rows[i].score > rows[i].base_score + 10 for i in (*ids[:3], *held))
+    assert rows[held[0]].score > rows[held[1]].score
+
+
+def test_stretches_of_long_texts_add_up():
+    """Blocks of a few tokens count each triple once and skip what was counted."""
+    texts = pa.array(["a b c d e f g h i j k", None, "a b", "", "x " * 30, "y"])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), texts], names=["doc_id", "text"])
+    found = {}
+    for size in (1000, 7, 5):
+        triples, counted = Counter(), Counter()
+        for b in lm._blocks(iter([batch]), size):
+            keys, _ = b.triples(b.distinct()[1] + 1)
+            hashes = [*b.hashes.tolist(), 0, 0]
+            triples.update((hashes[i], hashes[i + 1] * (hashes[i] != 1), key & 1 >= 0) for i, key in enumerate(keys.tolist()) if b.counted()[i])
+            for row, a, z, skip in zip(b.rows, b.starts, b.starts[1:], b.skips, strict=False):
+                counted[row[0]] += int(z - a - skip)
+        found[size] = triples, counted
+    assert found[1000] == found[7] == found[5] and found[5][1] == {0: 12, 1: 1, 2: 3, 3: 1, 4: 31, 5: 2}
+
+
+def test_long_texts_in_stretches_score_the_same(spark, monkeypatch):
+    texts = {i: prose(i, 60) for i in range(20)} | {90: prose(90, 400), 91: prose(91, 333)}
+    model = lm.learn(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    batch = pa.RecordBatch.from_arrays([pa.array([90, 91]), pa.array([texts[90], texts[91]])], names=["doc_id", "text"])
+    sums = {}
+    for size in (10_000, 50, 3):
+        total = Counter()
+        for block in lm._blocks(iter([batch]), size):
+            for row, *found in zip(block.rows, *model.scores(block), strict=True):
+                total.update({(row[0], k): x for k, x in enumerate(found)})
+        sums[size] = [round(total[i, k], 6) for i in (90, 91) for k in range(4)]
+    assert sums[50] == sums[3] == sums[10_000]
 
 
 def test_lm_of_odd_documents(odd, empty):
@@ -114,14 +144,23 @@ def test_lm_of_odd_documents(odd, empty):
     assert {r.n_tokens for r in rows if r.doc_id in (0, 1, 2)} == {1}
     assert lm.lm_scores(empty).collect() == []
     assert [r.base_score for r in lm.lm_scores(odd.where("doc_id = 999").union(odd.limit(0))).collect()] == []
+    held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 == 2)
+    (r,) = lm.lm_scores(odd.where("doc_id = 9").limit(1).selectExpr(f"{held}L AS doc_id", "text")).collect()  # nothing to learn from
+    assert (r.n_known, r.train_tokens, r.base_score, r.score) == (0, 0, 0.0, 0.0)
 
 
-def test_hashes_don_t_depend_on_stretches(monkeypatch):
+def test_hashes_of_long_words_and_columns(monkeypatch):
     text = prose(4, 3000) + " " + "y" * 2000 + " end"
     whole = lm.word_hashes(text)
     monkeypatch.setattr(lm, "TEXT_BYTES", 700)
+    lm._powers.cache_clear()
     assert lm.word_hashes(text).tolist() == whole.tolist() and len(set(whole.tolist())) == len(set(text.split()))
+    monkeypatch.undo()
+    lm._powers.cache_clear()
     assert lm.word_hashes("Ab\x0bab").tolist() == [lm.word_hashes("ab")[0]] * 2
+    texts = ["ab", "cd e", None, "", " f", "g", "\n", "ÄÖ x\x1cy"]
+    hashes, starts = lm.hashes_of(pa.array(["zz", *texts, "q"]).slice(1, len(texts)))
+    assert [hashes[a:b].tolist() for a, b in zip(starts, starts[1:], strict=False)] == [lm.word_hashes(t).tolist() for t in texts]
 
 
 # -------------------------------------------------------------- subword models
