@@ -17,9 +17,10 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
+from bisect import insort
 from collections.abc import Iterator
 from functools import lru_cache
-from heapq import heappop, heappush, heappushpop
+from heapq import heappop, heappush
 from itertools import chain
 from math import inf
 
@@ -37,13 +38,51 @@ SPACE = "▁"
 #: A character without a piece is spelt in bytes; each costs so much more than the worst piece with more than spaces.
 BYTE_COST = 10.0
 #: Distinct segments whose best paths a worker keeps; how many are scored together; longer ones are searched alone.
-KEPT_SEGMENTS, TOGETHER, LONG = 500_000, 8192, 48
+KEPT_SEGMENTS, TOGETHER, LONG = 500_000, 16384, 48
 #: Texts of fewer characters are looked through for new segments batch by batch, longer ones each by itself.
 LOOK_AHEAD = 1 << 20
 
 _SEGMENTS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
+class _Path:
+    """An end of a segmentation: its first arc, at which place that begins, and a link to what comes after it."""
+
+    __slots__ = ("after", "at", "cost", "done", "jump", "length", "own")
+
+    def __init__(self, after: _Path | None, own: tuple[int, ...], at: int, done: float, cost: float):
+        #: done is its own score, cost minus the best score of any whole path that ends with it.
+        self.after, self.own, self.at, self.done, self.cost = after, own, at, done, cost
+        self.length = after.length + 1 if after else 0
+        #: A link further on, by which ends of a given length are found in logarithmic time.
+        self.jump = self if after is None else after.jump.jump if after.length - after.jump.length == after.jump.length - after.jump.jump.length else after
+
+    def _shorter(self, length: int) -> _Path:
+        path = self
+        while path.length > length:
+            path = path.jump if path.jump.length >= length else path.after
+        return path
+
+    def __lt__(self, other: _Path) -> bool:
+        """By cost, then by ids from the end: those of the first arcs that differ decide."""
+        if self.cost != other.cost:
+            return self.cost < other.cost
+        length = min(self.length, other.length)
+        a, b = self._shorter(length), other._shorter(length)
+        if a is b:
+            return self.length < other.length
+        while a.after is not b.after:
+            a, b = (a.jump, b.jump) if a.jump is not b.jump else (a.after, b.after)
+        return a.own < b.own
+
+    def ids(self) -> tuple[int, ...]:
+        out, path = [], self
+        while path is not None:
+            out.extend(reversed(path.own))
+            path = path.after
+        return tuple(out)
+
+
 class Lattice:
     """The pieces and scores of a model file."""
 
@@ -54,15 +93,13 @@ class Lattice:
         plain = [i for i in size if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         self.arcs = {self.pieces[i]: ((i,), model.get_score(i)) for i in plain}
         self.characters = {p for p in self.arcs if len(p) == 1}
+        self.longest = max(map(len, self.arcs))
         self.matcher = ahocorasick.Automaton()
         for piece, (ids, score) in self.arcs.items():
             self.matcher.add_word(piece, (len(piece), ids, score))
         self.matcher.make_automaton()
-        self.numbers = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        self.sizes, self.scores = np.array([len(p) for p in self.pieces]), np.array([model.get_score(i) for i in size])
-        for piece, (ids, _) in self.arcs.items():
-            self.numbers.add_word(piece, ids[0])
-        self.numbers.make_automaton()
+        self.scores = np.array([model.get_score(i) for i in size])
+        self._tree()
         self.byte_ids = {int(self.pieces[i][3:5], 16): i for i in size if model.is_byte(i)}
         self.bytes_of = {i: bytes([b]) for b, i in self.byte_ids.items()}
         self.byte_score = min(s for p, (_, s) in self.arcs.items() if p.strip(SPACE)) - BYTE_COST
@@ -71,48 +108,103 @@ class Lattice:
         if any(SPACE in p.lstrip(SPACE) for p in self.arcs):
             raise ValueError("a piece of the model holds a space after something else")
 
-    def arcs_into(self, text: str) -> list[list[tuple[int, tuple[int, ...], float]]]:
-        """For each place of text the arcs that end there: (start, ids from the end, score).
+    def _tree(self) -> None:
+        """The pieces as a tree in arrays, by which all places of a text are matched at the same time: sorted keys (node, character) and the nodes that they lead to."""
+        letters = sorted({c for p in self.arcs for c in p})
+        self.letter = np.zeros(max(map(ord, letters)) + 2, np.int64)  # 0: in no piece
+        self.letter[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.alphabet = len(letters) + 1
+        nodes, ends = {"": 0}, {}
+        for piece, (ids, _) in self.arcs.items():
+            for i in range(1, len(piece) + 1):
+                nodes.setdefault(piece[:i], len(nodes))
+            ends[nodes[piece]] = ids[0]
+        keys = np.array([nodes[p[:-1]] * self.alphabet + self.letter[ord(p[-1])] for p in nodes if p])
+        order = np.argsort(keys)
+        self.keys, self.targets = np.append(keys[order], -1), np.append(np.array([n for p, n in nodes.items() if p])[order], 0)
+        self.piece_at = np.full(len(nodes), -1)
+        self.piece_at[list(ends)] = list(ends.values())
+        self.single = np.zeros(self.alphabet, bool)
+        self.single[[self.letter[ord(c)] for c in self.characters]] = True
+
+    def matches(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, end (the last character) and id of each piece that lies in a text of letters' numbers, which ends in 0."""
+        found = []
+        start = np.flatnonzero(codes)
+        node, depth = np.zeros(len(start), np.int64), 0
+        while len(start):
+            key = node * self.alphabet + codes[start + depth]
+            at = np.searchsorted(self.keys[:-1], key)
+            there = self.keys[at] == key
+            start, node = start[there], self.targets[at[there]]
+            ids = self.piece_at[node]
+            hit = ids >= 0
+            found.append((start[hit], start[hit] + depth, ids[hit]))
+            depth += 1
+            more = codes[start + depth] > 0
+            start, node = start[more], node[more]
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+
+    def arcs_into(self, text: str, end: int) -> list[tuple[int, tuple[int, ...], float]]:
+        """The arcs that end at a place of text: (start, ids from the end, score).
 
         A character that no piece stands for alone has an arc of bytes.
         """
-        steps: list = [[] for _ in range(len(text) + 1)]
-        for last, (size, ids, score) in self.matcher.iter(text):
-            end = last + 1
-            steps[end].append((end - size, ids, score))
-        if not self.characters.issuperset(text):
-            for at, char in enumerate(text):
-                if char not in self.characters:
-                    ids = tuple([self.byte_ids[b] for b in reversed(char.encode())])
-                    steps[at + 1].append((at, ids, self.byte_score * len(ids)))
-        return steps
+        found = []
+        for start in range(max(0, end - self.longest), end):
+            arc = self.arcs.get(text[start:end])
+            if arc is not None:
+                found.append((start, *arc))
+        if text[end - 1] not in self.characters:
+            ids = tuple([self.byte_ids[b] for b in reversed(text[end - 1].encode())])
+            found.append((end - 1, ids, self.byte_score * len(ids)))
+        return found
+
+    def prefixes(self, text: str) -> list[float]:
+        """The best score of every prefix of text (forward Viterbi)."""
+        best, spelt = [0.0] + [-inf] * len(text), 0  # the places before spelt have had their arcs of bytes
+        odd = {} if self.characters.issuperset(text) else {i: self.byte_score * len(c.encode()) for i, c in enumerate(text) if c not in self.characters}
+        for last, (size, _, score) in self.matcher.iter(text):
+            while odd and spelt < last:
+                if spelt in odd:
+                    best[spelt + 1] = max(best[spelt + 1], best[spelt] + odd[spelt])
+                spelt += 1
+            score += best[last + 1 - size]
+            if score > best[last + 1]:
+                best[last + 1] = score
+        for at in sorted(odd):
+            if at >= spelt:
+                best[at + 1] = max(best[at + 1], best[at] + odd[at])
+        return best
 
     def n_best(self, text: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """Up to n (score, ids) of text, best first; of equal scores first the one whose ids, read from the end, are smaller."""
-        steps, best = self.arcs_into(text), [0.0]
-        for into in steps[1:]:
-            best.append(max([best[start] + score for start, _, score in into]))
-        # An entry: minus the best score of any whole path through it, its ids from the end, the place it has reached, its own score.
-        queue: list = []
+        """Up to n (score, ids) of text, best first; of equal scores first the one whose ids, read from the end, are smaller.
+
+        A* from the end: as the heuristic is exact, the best way on from a place is taken at once, and of
+        all others only as many wait as can still be among the n best.  Paths share their ends through
+        links to what comes after, so that time and memory grow in proportion to the text.
+        """
+        best = self.prefixes(text)
+        waiting: list[_Path] = []
         found: list = []
-        ids, at, done = (), len(text), 0.0
+        path = _Path(None, (), len(text), 0.0, 0.0)
         while True:
-            while at:  # the best way on is taken at once, n - 1 others wait: no more can be among the n best
-                into = steps[at]
-                if len(into) == 1 and not queue:
-                    start, own, score = into[0]
-                    ids, at, done = ids + own, start, done + score
-                    continue
-                ways = [(-(best[start] + (done + score)), ids + own, start, done + score) for start, own, score in into]
+            wanted = n - len(found) - 1
+            while path.at:
+                ways = [(round(-(best[start] + (path.done + score)), 9), own, start, path.done + score) for start, own, score in self.arcs_into(text, path.at)]
                 if len(ways) > 1:
-                    ways.sort()
-                    for way in ways[1:n]:
-                        heappush(queue, way)
-                _, ids, at, done = heappushpop(queue, ways[0])
-            found.append((done, ids[::-1]))
-            if not queue or len(found) == n:
+                    ways.sort()  # no two arcs from a place begin with the same id
+                    for cost, own, start, done in ways[1 : wanted + 1]:
+                        if len(waiting) == wanted and cost > waiting[-1].cost:
+                            break
+                        insort(waiting, _Path(path, own, start, done, cost))
+                        del waiting[wanted:]
+                cost, own, start, done = ways[0]
+                path = _Path(path, own, start, done, cost)
+            found.append((path.done, path.ids()))
+            if not waiting or len(found) == n:
                 return found
-            _, ids, at, done = heappop(queue)
+            path = waiting.pop(0)
 
     def best_and_next(self, texts: list[str]) -> list[tuple[float, bytes, float, bool]]:
         """Of each text the best score, its ids as little-endian 32-bit words, what the next best path costs more (inf: there is none), and whether the ids decode to the text.
@@ -124,71 +216,76 @@ class Lattice:
         joined = "\0" + "\0".join(texts) + "\0"
         lens = np.array([len(t) for t in texts], np.int64)
         first = np.cumsum(lens + 1) - lens  # a text's first character; its lattice's first node is one before
-        met = np.fromiter(chain.from_iterable(self.numbers.iter(joined)), np.int64).reshape(-1, 2)
-        end, ids = met[:, 0], met[:, 1]
-        start, scores = end - self.sizes[ids], self.scores[ids]
-        odd = [i for i, c in enumerate(joined) if c != "\0" and c not in self.characters] if not self.characters.issuperset(joined.replace("\0", "")) else []
-        if odd:  # characters in bytes; their ids are looked up when a path has them
-            end, start = np.concatenate([end, odd]), np.concatenate([start, np.array(odd) - 1])
-            ids = np.concatenate([ids, [-i for i in odd]])
-            scores = np.concatenate([scores, [self.byte_score * len(joined[i].encode()) for i in odd]])
-        text_of = np.repeat(np.arange(len(texts)), lens + 1)
-        node_text = np.concatenate([text_of, [len(texts) - 1]])
+        points = np.frombuffer(joined.encode("utf-32-le"), "<u4").astype(np.int64)
+        codes = self.letter[np.minimum(points, len(self.letter) - 1)]
+        start, end, ids = self.matches(codes)
+        start, scores = start - 1, self.scores[ids]
+        low = ids  # an arc's last id
+        odd = np.flatnonzero(~self.single[codes] & (points > 0))
+        if len(odd):  # characters in bytes; their ids are looked up when a path has them
+            spelt = [joined[i].encode() for i in odd]
+            end, start, ids = np.concatenate([end, odd]), np.concatenate([start, odd - 1]), np.concatenate([ids, -odd])
+            scores = np.concatenate([scores, [self.byte_score * len(x) for x in spelt]])
+            low = np.concatenate([low, [self.byte_ids[x[-1]] for x in spelt]])
+        node_text = np.repeat(np.arange(len(texts) + 1), np.append(lens + 1, 1))
         inside = end - (first[node_text[end]] - 1)  # places from the text's first node
-        best, chosen = self._forward(len(joined), start, end, ids, scores, inside, joined)
-        after = self._backward(len(joined), start, end, scores, lens[node_text[end]] - (inside - (end - start)))
+        best, chosen = self._forward(first - 1, len(joined), start, end, low, scores, inside)
+        after = self._backward(first - 1 + lens, len(joined), start, end, scores, lens[node_text[end]] - (inside - (end - start)))
         total = best[first - 1 + lens]
-        through = best[start] + scores + after[end]
         on = np.zeros(len(end), bool)
-        paths: list = [[] for _ in texts]
+        steps = []
         at = first - 1 + lens
-        live = np.flatnonzero(at > first - 1)
+        live = np.flatnonzero(lens)
         while len(live):
             arcs = chosen[at[live]]
             on[arcs] = True
-            for t, i in zip(live.tolist(), ids[arcs].tolist(), strict=True):
-                paths[t].append(i)
+            steps.append((live, arcs))
             at[live] = start[arcs]
             live = live[at[live] > first[live] - 1]
+        owner = np.concatenate([t for t, _ in steps])
+        path = np.concatenate([x for _, x in steps])[::-1]  # from the front, once the texts are in order
+        order = np.argsort(owner[::-1], kind="stable")
+        path = ids[path[order]]
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(texts)))])
         rest = np.full(len(texts), -inf)
-        np.maximum.at(rest, node_text[end[~on]], through[~on])
-        out = []
-        for t, score, other, path in zip(texts, total.tolist(), rest.tolist(), paths, strict=True):
-            path.reverse()
-            decodes = True  # pieces are what they matched
-            if min(path) <= 0:
-                path = [j for i in path for j in ((i,) if i > 0 else [self.byte_ids[b] for b in joined[-i].encode()])]
-                decodes = self.decode(path, 0) == t.replace(SPACE, " ")
-            out.append((score, array("I", path).tobytes(), score - other if other > -inf else inf, decodes))
+        off = np.flatnonzero(~on)
+        np.maximum.at(rest, node_text[end[off]], best[start[off]] + scores[off] + after[end[off]])
+        data, bounds = path.astype("<u4").tobytes(), (4 * bounds).tolist()
+        out = [(score, data[a:b], cost, True) for score, a, b, cost in zip(total.tolist(), bounds, bounds[1:], (total - rest).tolist(), strict=False)]  # pieces are what they matched
+        for t in np.unique(owner[::-1][order][path <= 0]).tolist() if len(odd) else ():
+            own = [j for i in path[bounds[t] // 4 : bounds[t + 1] // 4].tolist() for j in ((i,) if i > 0 else [self.byte_ids[b] for b in joined[-i].encode()])]
+            out[t] = out[t][0], array("I", own).tobytes(), out[t][2], self.decode(own, 0) == texts[t].replace(SPACE, " ")
         return out
 
-    def _forward(self, nodes, start, end, ids, scores, inside, joined):
-        """Best score of every node, and the arc by which it is reached: of equal ones that with the smallest (last) id."""
-        low = np.array([self.byte_ids[joined[-i].encode()[-1]] if i <= 0 else i for i in ids.tolist()]) if (ids <= 0).any() else ids
-        order = np.lexsort((low, end, inside))
-        best, chosen = np.zeros(nodes), np.full(nodes, -1)
-        cuts = np.flatnonzero(np.diff(inside[order])) + 1
-        for group in np.split(order, cuts):
+    @staticmethod
+    def _forward(origins, nodes, start, end, low, scores, inside):
+        """Best score of every node, and the arc by which it is reached: of equal ones that with the smallest last id."""
+        order = np.argsort(inside.astype(np.uint8), kind="stable")  # LONG places at most
+        best, chosen = np.full(nodes, -inf), np.full(nodes, -1)
+        best[origins] = 0
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(inside))])
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            group = order[a:b]
             ends = end[group]
-            runs = np.flatnonzero(np.concatenate([[True], ends[1:] != ends[:-1]]))
             value = best[start[group]] + scores[group]
-            most = np.maximum.reduceat(value, runs)
-            best[ends[runs]] = most
-            hit = np.flatnonzero(value == np.repeat(most, np.diff(np.concatenate([runs, [len(group)]]))))
-            hit = hit[np.concatenate([[True], ends[hit][1:] != ends[hit][:-1]])]
-            chosen[ends[hit]] = group[hit]
+            np.maximum.at(best, ends, value)
+            hit = group[value == best[ends]]
+            chosen[end[hit]] = hit
+            if (chosen[end[hit]] != hit).any():  # equal scores: the last assignment stays
+                hit = hit[np.argsort(-low[hit], kind="stable")]
+                chosen[end[hit]] = hit
         return best, chosen
 
     @staticmethod
-    def _backward(nodes, start, end, scores, left):
+    def _backward(targets, nodes, start, end, scores, left):
         """Best score from every node to its text's end; left is how many places lie between an arc's start and that end."""
-        order = np.lexsort((start, left))
-        after = np.zeros(nodes)
-        cuts = np.flatnonzero(np.diff(left[order])) + 1
-        for group in np.split(order, cuts):
-            starts = start[group]
-            runs = np.flatnonzero(np.concatenate([[True], starts[1:] != starts[:-1]]))
-            after[starts[runs]] = np.maximum.reduceat(scores[group] + after[end[group]], runs)
+        order = np.argsort(left.astype(np.uint8), kind="stable")
+        after = np.full(nodes, -inf)
+        after[targets] = 0
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(left))])
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            group = order[a:b]
+            np.maximum.at(after, start[group], scores[group] + after[end[group]])
         return after
 
     def segments(self, text: str) -> list[str]:
