@@ -6,7 +6,8 @@ Encoders are named as module:function, a function of (model_id, device) that mak
 from __future__ import annotations
 
 import argparse
-import importlib
+import importlib.util
+import os
 from functools import partial
 from pathlib import Path
 
@@ -14,9 +15,14 @@ from lodestar.functions.paths import is_within
 from lodestar.functions.queries import Unchanged
 from lodestar.plans import index, search
 from lodestar.schemas import MODELS
+from lodestar.sources import settings
+
+#: Where libraries keep models, as the environment says (fixed values).
+CACHES = ("HF_HOME", "HF_HUB_CACHE", "TRANSFORMERS_CACHE", "TORCH_HOME", "XDG_CACHE_HOME")
 
 
 def parser() -> argparse.ArgumentParser:
+    # Names and defaults of flags are an interface (fixed values).
     top = argparse.ArgumentParser(prog="lodestar", description="Exact multi-model search over a corpus of images.")
     commands = top.add_subparsers(dest="command", required=True)
     build = commands.add_parser("index", help="build or resume a persistent index")
@@ -26,6 +32,7 @@ def parser() -> argparse.ArgumentParser:
     build.add_argument("--batch-size", type=int, default=search.BATCH)
     build.add_argument("--checkpoint-rows", type=int, default=index.CHECKPOINT_ROWS)
     build.add_argument("--max-images", type=int)
+    build.add_argument("--stretches", type=int, default=index.STRETCHES, help="checkpoints that one job encodes")
     verify = commands.add_parser("verify", help="check an index")
     verify.add_argument("--index", required=True)
     verify.add_argument("--full", action="store_true")
@@ -45,6 +52,9 @@ def parser() -> argparse.ArgumentParser:
     find.add_argument("--max-images", type=int)
     find.add_argument("--all-results", action="store_true")
     find.add_argument("--clip-model", "--model", dest="clip_model")
+    find.add_argument("--siglip-model", dest="siglip2_model")
+    find.add_argument("--chunk-rows", type=int, help="rows of an index that a task scores together")
+    find.add_argument("--parts", action="store_true", help="with --all-results: a folder of files, written side by side")
     find.add_argument("--min-percent", type=float, help=argparse.SUPPRESS)
     find.add_argument("--reference-cos", type=float, help=argparse.SUPPRESS)
     for p in (build, find):
@@ -54,13 +64,13 @@ def parser() -> argparse.ArgumentParser:
 
 
 def faults(args: argparse.Namespace) -> list[str]:
-    """What is wrong with the arguments, in words; a pure function."""
+    """What is wrong with the arguments, in words; nothing is changed by asking."""
     out = []
-    least = {"batch_size": 1, "checkpoint_rows": 1, "max_images": 1, "top_k": 1, "evaluator_top_k": 1, "rrf_constant": 0, "evaluator_rrf_constant": 0}
+    least = {"batch_size": 1, "checkpoint_rows": 1, "chunk_rows": 1, "stretches": 1, "max_images": 1, "top_k": 1, "evaluator_top_k": 1, "rrf_constant": 0, "evaluator_rrf_constant": 0}
     for name, low in least.items():
         value = getattr(args, name, None)
         if value is not None and value < low:
-            out.append(f"--{name.replace('_', '-')} must be {'greater than zero' if low else 'non-negative'}")
+            out.append(f"--{name.replace('_', '-')} is {value}, but takes {low} or more")
     if args.command == "search":
         out += _search_faults(args)
     folder = getattr(args, "directory", None)
@@ -70,25 +80,34 @@ def faults(args: argparse.Namespace) -> list[str]:
         else:
             for name in ("index", "output", "final_output"):
                 if getattr(args, name, None) and is_within(getattr(args, name), folder):
-                    out.append(f"--{name.replace('_', '-')} must lie outside the evidence")
+                    out.append(f"--{name.replace('_', '-')} names a place in the evidence, where nothing may be written")
+            out += [f"{name} puts a model cache into the evidence" for name in CACHES if os.environ.get(name) and is_within(os.environ[name], folder)]
     return out
 
 
 def _search_faults(args: argparse.Namespace) -> list[str]:
     out = []
     if args.min_percent is not None or args.reference_cos is not None:
-        out.append("--min-percent and --reference-cos were removed: use --top-k; scores aren't calibrated percentages")
+        out.append("there is no --min-percent or --reference-cos any more: a score is no share of anything, so choose how many to keep by --top-k")
     if args.all_results:
         names = ("top_k", "clip_model", "rrf_constant", "max_images", "final_output", "evaluator_top_k", "evaluator_rrf_constant")
         if clash := ["--" + n.replace("_", "-") for n in names if getattr(args, n) is not None]:
-            out.append("--all-results is incompatible with " + ", ".join(clash))
+            out.append("a full ranking (--all-results) has no use for " + ", ".join(clash))
+    elif args.parts:
+        out.append("--parts is for --all-results")
     if (args.final_output is None) != (args.evaluator_top_k is None):
-        out.append("--final-output and --evaluator-top-k must be given together")
+        out.append("one of --final-output and --evaluator-top-k needs the other")
     direct = args.direct or args.all_results
+    if not direct:
+        names = {"max_images": "--max-images", "clip_model": "--clip-model", "siglip2_model": "--siglip-model"}
+        if fixed := [flag for n, flag in names.items() if getattr(args, n) is not None]:
+            out.append("the index has settled " + ", ".join(fixed))
+    elif args.chunk_rows is not None:
+        out.append("--chunk-rows is for the search of an index")
     if args.evaluator_rrf_constant is not None and args.final_output is None and direct:
-        out.append("--evaluator-rrf-constant needs --final-output")
+        out.append("--evaluator-rrf-constant without --final-output changes nothing")
     if args.final_output is not None and Path(args.final_output).resolve() == Path(args.output).resolve():
-        out.append("--final-output must differ from --output")
+        out.append("--final-output and --output name the same file")
     if direct and not args.directory or not direct and not args.index:
         out.append("--directory is needed" if direct else "--index is needed")
     return out
@@ -99,11 +118,36 @@ def duration(seconds: float) -> str:
     return f"{whole // 3600:02d}:{whole // 60 % 60:02d}:{whole % 60:02d}"
 
 
-def factories(name: str, device: str) -> dict:
-    """A maker of each model's encoder, from module:function."""
+def require_device(device: str, module=None) -> None:
+    """Fail where cuda is asked for and isn't there: nothing falls back to a processor unasked.
+
+    The encoder's module may have its own available(device); if not, and if it uses
+    torch, torch says what there is.
+    """
+    own = getattr(module, "available", None)
+    if callable(own):
+        ok = own(device)
+    elif device == "cuda" and importlib.util.find_spec("torch"):
+        ok = importlib.import_module("torch").cuda.is_available()
+    else:
+        ok = True
+    if not ok:
+        raise SystemExit(f"no {device} device here; name another by --device")
+
+
+def factories(name: str, device: str, names: dict[str, str | None] | None = None) -> dict:
+    """A maker of each model's encoder, from module:function, which is given a model's name and revision where these are set.
+
+    A revision is set by the environment (SIGLIP2_REVISION, CLIP_REVISION), or pinned by the module's REVISIONS.
+    """
     module, _, function = name.partition(":")
-    make = getattr(importlib.import_module(module), function)
-    return {m: partial(make, m, device) for m in MODELS}
+    found = importlib.import_module(module)
+    require_device(device, found)
+    pinned, out = getattr(found, "REVISIONS", {}), {}
+    for m in MODELS:
+        more = {"name": (names or {}).get(m), "revision": settings.revision(f"{m.upper()}_REVISION", pinned.get(m))}
+        out[m] = partial(getattr(found, function), m, device, **{k: v for k, v in more.items() if v})
+    return out
 
 
 def main(argv: list[str] | None = None, spark=None) -> int:
@@ -123,20 +167,24 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         done = index.verify(spark, args.index, full=args.full)
         print(f"verified ({'full' if args.full else 'structural'}): {done.path} [{done.state}]")
         return 0
-    made = factories(args.encoder, args.device)
+    hear = lambda phase, done, total: print(f"{phase}: {done} of {total}", file=sys.stderr)
+    made = factories(args.encoder, args.device, {m: getattr(args, f"{m}_model", None) for m in MODELS})
     if args.command == "index":
-        done = index.build(spark, args.directory, args.index, made, args.checkpoint_rows, args.batch_size, args.max_images, args.resume)
-        print(f"complete: {done.path}, {done.image_count} images, {done.models}")
+        done = index.build(spark, args.directory, args.index, made, args.checkpoint_rows, args.batch_size, args.max_images, args.resume, progress=hear, stretches=args.stretches)
+        took = ", ".join(f"{m} {duration(s)} ({done.rates()[m]:.1f} images a second)" for m, s in done.seconds.items())
+        print(f"complete: {done.path}, {done.image_count} images, {done.models}, {index.size_bytes(args.index)} bytes; {took}")
         return 0
     queries = Unchanged().process(args.query)
     if args.all_results:
-        count, _ = search.all_results(spark, args.directory, args.output, queries, made[next(iter(MODELS))], args.batch_size, args.display_root)
+        count, _ = search.all_results(spark, args.directory, args.output, queries, made[next(iter(MODELS))], args.batch_size, args.display_root, parts=args.parts, progress=hear)
         print(f"{count} rows in {args.output}")
         return 0
-    settings = search.Settings(args.top_k or search.TOP_K, search.RRF if args.rrf_constant is None else args.rrf_constant, args.evaluator_top_k, args.evaluator_rrf_constant, args.display_root)
+    wanted = search.Settings(args.top_k or search.TOP_K, search.RRF if args.rrf_constant is None else args.rrf_constant, args.evaluator_top_k, args.evaluator_rrf_constant, args.display_root)
     if args.direct:
-        done = search.direct(spark, args.directory, args.output, queries, made, settings, args.final_output, args.max_images, args.batch_size)
+        done = search.direct(spark, args.directory, args.output, queries, made, wanted, args.final_output, args.max_images, args.batch_size, progress=hear)
     else:
-        done = search.indexed(spark, args.index, args.output, queries, made, settings, args.final_output)
+        if args.chunk_rows:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(args.chunk_rows))
+        done = search.indexed(spark, args.index, args.output, queries, made, wanted, args.final_output, progress=hear)
     print(search.summary(done), f"in {duration(done.seconds['total'])}")
     return 0

@@ -42,6 +42,11 @@ def unique(name: str, values: Iterable[str]) -> list[str]:
     return values
 
 
+def repeated(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, times): keys that occur more than once, which a table of unique rows hasn't."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("times")).where("times > 1")
+
+
 def contiguity(manifest: DataFrame, ordinal: str = "ordinal") -> DataFrame:
     """One row (rows, lowest, highest, distinct_ordinals, contiguous): whether the ordinals are 0 to n - 1, each once."""
     o = F.col(ordinal)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestar.functions.checks import ensured, non_negative, positive, unique
 from lodestar.operators.ranking import checked_ranks
 from lodestar.schemas import MODELS
+from lodestar.session import few
 
 
 def label(model_ids: Column) -> Column:
@@ -34,9 +35,8 @@ def _with_position(df: DataFrame, order: DataFrame | None) -> DataFrame:
     """df with position; queries that the order doesn't name come after all that it does."""
     if order is None:
         return df.withColumn("position", F.lit(0))
-    last = order.agg(F.count("*").cast("int").alias("unnamed"))
-    joined = df.join(F.broadcast(order), "query_id", "left").join(F.broadcast(last))
-    return joined.withColumn("position", F.coalesce("position", "unnamed")).drop("unnamed")
+    unnamed = order.count()
+    return df.join(few(order), "query_id", "left").withColumn("position", F.coalesce("position", F.lit(unnamed)))
 
 
 def fuse(ranked: DataFrame, rrf_constant: int = 60, models: Sequence[str] = tuple(MODELS), queries: DataFrame | Sequence[str] | None = None) -> DataFrame:
@@ -99,7 +99,7 @@ def evaluate(fused: DataFrame, top_k: int, rrf_constant: int = 60, queries: Data
     """
     positive("evaluator_top_k", top_k)
     non_negative("rrf_constant", rrf_constant)
-    own = fused.select("file_id", "query_id", ensured(F.col("final_rank"), F.col("final_rank") >= 1, "final ranks must be one-based").alias("final_rank"))
+    own = fused.select("file_id", "query_id", ensured(F.col("final_rank"), F.col("final_rank") >= 1, "a final rank is 1 or more").alias("final_rank"))
     placed = _with_position(own, positions(queries, fused.sparkSession))
     match = F.struct("final_rank", "position", "query_id")
     grouped = placed.groupBy("file_id").agg(F.collect_list("query_id").alias("all"), F.array_sort(F.collect_list(F.when(F.col("final_rank") <= top_k, match))).alias("strong"))

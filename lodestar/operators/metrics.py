@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.schemas import DECODE_ERROR, PENDING, VALID
+from lodestar.session import few
 
 
 def pass_metrics(passes: DataFrame) -> DataFrame:
@@ -57,6 +58,15 @@ def commit_totals(commits: DataFrame) -> DataFrame:
     )
 
 
+def beyond_prefix(manifest: DataFrame, commits: DataFrame) -> DataFrame:
+    """(model_id, ordinal) of what each model's linked commits haven't reached: where a build that is resumed goes on."""
+    chain = commit_chain(commits)
+    first_gap = chain.groupBy("model_id").agg(F.min(F.when(~F.col("linked"), F.col("sequence"))).alias("gap"))
+    linked = chain.join(first_gap, "model_id").where("gap is null or sequence < gap")
+    prefix = first_gap.select("model_id").join(linked.groupBy("model_id").agg(F.max("end").alias("prefix")), "model_id", "left")
+    return manifest.select("ordinal").join(few(prefix), F.col("ordinal") >= F.coalesce("prefix", F.lit(0))).select("model_id", "ordinal")
+
+
 def lines(texts: DataFrame, column: str = "value") -> DataFrame:
     """(lines): rows of a text table that aren't blank."""
     return texts.where(F.trim(column) != "").agg(F.count("*").alias("lines"))

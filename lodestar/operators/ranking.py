@@ -6,14 +6,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.checks import ensured, finite, positive
-from lodestar.session import materialized
+from lodestar.session import few, materialized
+
+
+def _checked(scores: DataFrame) -> DataFrame:
+    return scores.select("model_id", "query_id", F.col("file_id"), finite(F.col("score")).alias("score"))
 
 
 def full_ranking(scores: DataFrame) -> DataFrame:
-    """scores with rank: 1 to n inside each (model, query), by score descending, ties to the smaller file_id."""
-    checked = scores.select("model_id", "query_id", F.col("file_id"), finite(F.col("score")).alias("score"))
-    order = Window.partitionBy("model_id", "query_id").orderBy(F.desc("score"), F.asc("file_id"))
-    return checked.withColumn("rank", F.row_number().over(order))
+    """scores with rank: 1 to n inside each (model, query), by score descending, ties to the smaller file_id.
+
+    Rows are range-sorted by group and score and written once; a row's rank is its
+    place in its range plus the rows of its group in the ranges before.  So
+    a group that is as long as the corpus is ranked by many tasks, not by one.
+    """
+    order = (F.col("model_id"), F.col("query_id"), F.desc("score"), F.asc("file_id"))
+    ranged = materialized(_checked(scores).orderBy(*order).withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftrightunsigned("__at", 33)
+    parts = ranged.groupBy("model_id", "query_id", part.alias("__part")).agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
+    group = Window.partitionBy("model_id", "query_id").orderBy("__part")
+    before = parts.select("model_id", "query_id", "__part", "__first", (F.sum("__n").over(group) - F.col("__n")).alias("__before"))
+    joined = ranged.withColumn("__part", part).join(few(before), ["model_id", "query_id", "__part"])
+    rank = (F.col("__before") + F.col("__at") - F.col("__first") + 1).cast("int")
+    return joined.select("model_id", "query_id", "file_id", "score", rank.alias("rank"))
 
 
 def top_k(scores: DataFrame, k: int) -> DataFrame:
@@ -24,14 +39,15 @@ def top_k(scores: DataFrame, k: int) -> DataFrame:
     (session.build() raises it): each task then sends k rows of a group.
     """
     positive("top_k", k)
-    return full_ranking(scores).where(F.col("rank") <= k)
+    order = Window.partitionBy("model_id", "query_id").orderBy(F.desc("score"), F.asc("file_id"))
+    return _checked(scores).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def candidate_counts(ranked: DataFrame, model_ids: list[str], queries: DataFrame) -> DataFrame:
     """(model_id, query_id, candidates) of each model and query, those without any too."""
     spark = ranked.sparkSession
     models = spark.createDataFrame([(m,) for m in model_ids], "model_id string")
-    wanted = F.broadcast(models).join(queries.select("query_id"))
+    wanted = few(models).crossJoin(queries.select("query_id"))  # models x queries, the rows of the result
     counts = ranked.groupBy("model_id", "query_id").agg(F.count("*").alias("candidates"))
     return wanted.join(counts, ["model_id", "query_id"], "left").select("model_id", "query_id", F.coalesce("candidates", F.lit(0)).cast("long").alias("candidates"))
 
@@ -52,7 +68,7 @@ def ordinals(df: DataFrame, *order: Column, name: str = "ordinal") -> DataFrame:
     ranged = materialized(df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()))
     sizes = ranged.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
     before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
-    joined = ranged.withColumn("__part", part).join(F.broadcast(before), "__part")
+    joined = ranged.withColumn("__part", part).join(few(before), "__part")
     return joined.select((F.col("__before") + place).alias(name), *[F.col(f"`{c}`") for c in df.columns])
 
 
@@ -65,4 +81,4 @@ def first_in_order(df: DataFrame, n: int | None, *order: Column) -> DataFrame:
 
 def checked_ranks(ranked: DataFrame) -> DataFrame:
     """ranked, failing on ranks below one."""
-    return ranked.withColumn("rank", ensured(F.col("rank"), F.col("rank") >= 1, "candidate ranks must be one-based"))
+    return ranked.withColumn("rank", ensured(F.col("rank"), F.col("rank") >= 1, "a candidate's rank is 1 or more"))

@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def with_states(rows: DataFrame, states: DataFrame) -> DataFrame:
+    """Vectors (model_id, ordinal, embedding) with the states of their rows (model_id, ordinal, state); a state without a vector has none, a vector without a state is left out."""
+    return states.join(rows, ["model_id", "ordinal"], "left").select("model_id", "ordinal", "state", "embedding")
+
+
 def entries_of(manifest: DataFrame, wanted: DataFrame, file_id: str = "file_id") -> DataFrame:
     """Manifest rows whose ordinal is wanted; Spark broadcasts the ids if it knows them to be few."""
     ids = wanted.select(F.col(file_id).alias("ordinal")).distinct()

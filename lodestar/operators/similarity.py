@@ -13,6 +13,8 @@ from lodestar.functions.checks import finite, positive
 
 #: Query vectors are sent to every task; beyond so many bytes they go block by block.
 QUERY_BYTES = 64 << 20
+#: Queries up to which all their vectors are sent to every task as rows.
+MOST_QUERIES = 4096
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -20,8 +22,8 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+#: Parts into which each model's items are dealt where its queries are too many to be sent to every task.
+PARTS = 256
 
 
 def score_pairs(index: DataFrame, queries: DataFrame) -> DataFrame:
@@ -29,10 +31,23 @@ def score_pairs(index: DataFrame, queries: DataFrame) -> DataFrame:
 
     index (model_id, file_id, embedding), queries (model_id, query_id,
     embedding).  The result has items times queries rows: for the best few use
-    search(), which never makes them.  Scores that aren't finite fail.
+    search(), which never makes them.  Scores that aren't finite fail.  Each
+    vector's length is taken once.  Queries are sent to the items if they are few;
+    if not, each model's items are dealt to PARTS, to each of which its queries
+    go, so that no task has all items of a model.
     """
-    q = queries.select("model_id", "query_id", F.col("embedding").alias("wanted"))
-    return index.join(q, "model_id").select("model_id", "query_id", "file_id", finite(cosine(F.col("embedding"), F.col("wanted"))).alias("score"))
+    length = lambda v: F.sqrt(dot(F.col(v), F.col(v)))
+    q = queries.select("model_id", "query_id", F.col("embedding").alias("wanted"), length("embedding").alias("__own"))
+    items = index.withColumn("__length", length("embedding"))
+    on = ["model_id"]
+    if queries.limit(MOST_QUERIES + 1).count() <= MOST_QUERIES:
+        q = F.broadcast(q)
+    else:
+        on = ["model_id", "__part"]
+        q = q.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        items = items.withColumn("__part", F.pmod(F.xxhash64("file_id"), F.lit(PARTS)).cast("int"))
+    score = dot(F.col("embedding"), F.col("wanted")) / (F.col("__length") * F.col("__own"))
+    return items.join(q, on).select("model_id", "query_id", "file_id", finite(score).alias("score"))
 
 
 def from_matrix(scores: DataFrame, model_id: str, query_ids: list[str]) -> DataFrame:

@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from lodestar.functions import checks, digests, paths
 from lodestar.functions.queries import numbered
 from lodestar.operators import fusion, metrics, ranking, relations, similarity
+from lodestar.plans import lifecycle, search
 from lodestar.schemas import MODELS
-from lodestar.sources import reports
+from lodestar.sources import images, reports
 
 #: How many are kept: of the vectors, of the customers, and for the evaluation.
 K, K_ORDERS, K_STRONG = 50, 300, 100
@@ -37,24 +38,17 @@ def _query(sql: str):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, (f, _) in _QUERIES.items()}
+    return {name: f for name, (f, _) in _QUERIES.items()} | lifecycle.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in _QUERIES.items()}
+    return {name: sql for name, (_, sql) in _QUERIES.items()} | lifecycle.oracle_sql()
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _limit(spark: SparkSession) -> SparkSession:
-    """Top-K windows up to K_ORDERS as group limits, as session.build() sets it."""
-    if int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")) < K_ORDERS:
-        spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", str(K_ORDERS))
-    return spark
-
-
 # -------------------------------------------------------------------- vectors
 
 
@@ -84,7 +78,7 @@ def _scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _top(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.top_k(similarity.search(_index(_limit(spark), d), _vectors(spark, d), K), K)
+    return ranking.top_k(similarity.search(_index(spark, d), _vectors(spark, d), K), K)
 
 
 _SQL_SCORES = """
@@ -282,12 +276,97 @@ def commit_totals(spark, d):
 
 
 @_query(
-    """SELECT label, count(*) AS rows, sha256(string_agg(sha256(array_to_string(list_transform(embedding, lambda x: (floor(x::DOUBLE * 1048576))::BIGINT), ',')), '' ORDER BY vec_id)) AS digest FROM embeddings GROUP BY label"""
+    """SELECT label, sum(n)::BIGINT AS rows, sha256(string_agg(sha256(d), '' ORDER BY part)) AS digest
+    FROM (SELECT label, vec_id // 256 AS part, count(*) AS n, sha256(string_agg(sha256(array_to_string(list_transform(embedding, lambda x: (floor(x::DOUBLE * 1048576))::BIGINT), ',')), '' ORDER BY vec_id)) AS d FROM embeddings GROUP BY ALL) GROUP BY label"""
 )
 def range_digest(spark, d):
-    """The digest of each label's vectors, by their order: components as whole numbers, so that both engines print alike."""
+    """The digest of each label's vectors, by their order and in ranges of 256: components as whole numbers, so that both engines print alike."""
     piece = F.array_join(F.transform("embedding", lambda x: F.floor(x.cast("double") * 1048576).cast("string")), ",").cast("binary")
-    return _table(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("rows"), digests.in_order(piece, F.col("vec_id")).alias("digest"))
+    return digests.by_ranges(_table(spark, d, "embeddings"), ["label"], piece, F.col("vec_id"), 256)
+
+
+_SQL_MATRIX = "matrix AS (SELECT vec_id AS file_id, u.i, embedding[u.i]::DOUBLE AS score FROM embeddings, (SELECT unnest([1, 2, 3]) AS i) u)"
+
+
+@_query("WITH " + _SQL_MATRIX + " SELECT 'siglip2' AS model_id, printf('q%04d', i) AS query_id, file_id, score FROM matrix")
+def matrix_scores(spark, d):
+    """A matrix of scores, a row for each file and a value for each query, as long rows."""
+    wide = _table(spark, d, "embeddings").select(F.col("vec_id").alias("file_id"), F.slice("embedding", 1, 3).cast("array<double>").alias("scores"))
+    return similarity.from_matrix(wide, "siglip2", ["q0001", "q0002", "q0003"])
+
+
+def _row_states(spark, d) -> DataFrame:
+    state = (F.col("vec_id") % 3).cast("byte")
+    return _table(spark, d, "embeddings").select(F.lit("clip").alias("model_id"), F.col("vec_id").alias("ordinal"), state.alias("state"))
+
+
+def _row_vectors(spark, d) -> DataFrame:
+    return _table(spark, d, "embeddings").where("vec_id % 3 = 1").select(F.lit("clip").alias("model_id"), F.col("vec_id").alias("ordinal"), "embedding")
+
+
+@_query("SELECT 'clip' AS model_id, vec_id AS ordinal, (vec_id % 3)::INTEGER AS state, CASE WHEN vec_id % 3 = 1 THEN round(embedding[1]::DOUBLE, 9) END AS first FROM embeddings")
+def row_states(spark, d):
+    """Rows of an index with their states: only valid ones have a vector."""
+    out = relations.with_states(_row_vectors(spark, d), _row_states(spark, d))
+    return out.select("model_id", "ordinal", F.col("state").cast("int").alias("state"), F.round(F.get("embedding", F.lit(0)).cast("double"), 9).alias("first"))
+
+
+@_query("SELECT 'clip' AS model_id, vec_id AS file_id, len(embedding)::INTEGER AS dimension FROM embeddings WHERE vec_id % 3 = 1")
+def valid_rows(spark, d):
+    """The rows that a search looks at."""
+    out = search.valid_rows(relations.with_states(_row_vectors(spark, d), _row_states(spark, d)))
+    return out.select("model_id", "file_id", F.size("embedding").alias("dimension"))
+
+
+@_query("SELECT 'clip' AS model_id, vec_id AS ordinal FROM embeddings WHERE vec_id >= 320 UNION ALL SELECT 'siglip2', vec_id FROM embeddings WHERE vec_id > (SELECT max(vec_id) FROM embeddings)")
+def resume_offset(spark, d):
+    """Where builds go on: one model's commits have a gap after the fifth, the other's are whole."""
+    commits = _commits(spark, d).where("model_id = 'siglip2' or sequence <> 5")
+    return metrics.beyond_prefix(_table(spark, d, "embeddings").select(F.col("vec_id").alias("ordinal")), commits)
+
+
+@_query("SELECT DISTINCT event_type AS model_id FROM events WHERE event_type NOT IN ('click', 'view')")
+def unknown_models(spark, d):
+    """Names in a journal that aren't known."""
+    return relations.unknown_models(_table(spark, d, "events").select(F.col("event_type").alias("model_id")), ["click", "view", "never"])
+
+
+@_query("SELECT o_custkey, o_orderpriority, count(*) AS times FROM orders GROUP BY ALL HAVING count(*) > 1")
+def repeated_keys(spark, d):
+    """Keys that a table of unique rows wouldn't repeat."""
+    return checks.repeated(_table(spark, d, "orders"), "o_custkey", "o_orderpriority")
+
+
+@_query(_SQL_VECTORS + " SELECT row_number() OVER (ORDER BY position, final_rank) - 1 AS line, f.file_id, f.query_id FROM fused f JOIN labels l USING (query_id)")
+def output_order(spark, d):
+    """The lines of the audit report: queries in their order, in each the candidates by final rank."""
+    rows = _fused(spark, d).select("position", "query_id", "final_rank", "file_id")
+    return ranking.ordinals(rows, F.col("position"), F.col("query_id"), F.col("final_rank"), name="line").select("line", "file_id", "query_id")
+
+
+_SQL_CELL = "printf('%.{}f', {})"
+
+
+@_query(
+    f"""SELECT o_orderkey::VARCHAR AS "FilePath", {_SQL_CELL.format(6, 'o_totalprice / 7')} AS "SigLIP2Score", CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE {_SQL_CELL.format(6, 'o_totalprice / 1000003')} END AS "CLIPCos",
+    {_SQL_CELL.format(12, '1.0::DOUBLE / (60 + o_custkey)')} AS "FusionScore", (o_custkey % 1000)::VARCHAR AS "FinalRank" FROM orders"""
+)
+def report_cells(spark, d):
+    """Numbers as reports show them: so many places, missing ones empty."""
+    o = _table(spark, d, "orders")
+    price = F.col("o_totalprice")
+    rows = o.select(F.col("o_orderkey").cast("string").alias("FilePath"), (price / 7).alias("SigLIP2Score"), F.when(F.col("o_orderkey") % 4 != 0, price / 1000003).alias("CLIPCos"), (F.lit(1.0) / (F.col("o_custkey") + 60)).alias("FusionScore"), (F.col("o_custkey") % 1000).cast("int").alias("FinalRank"))
+    return reports.cells(rows, tuple(rows.columns))
+
+
+@_query("SELECT vec_id, round(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]), 5) AS before, CASE WHEN vec_id % 7 = 0 THEN 4.0 ELSE 1.0 END::DOUBLE AS stretched, 1.0::DOUBLE AS after FROM embeddings")
+def unit_vectors(spark, d):
+    """Vectors stretched and brought back to length one, as encoders' vectors are."""
+    rows = _table(spark, d, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, 2.0).otherwise(1.0).alias("by"))
+    long = rows.withColumn("longer", F.transform("embedding", lambda x: (x * F.col("by")).cast("float")))
+    square = lambda c: F.round(similarity.dot(F.col(c), F.col(c)), 5)
+    out = images.normalized(long, "longer", "unit")
+    return out.select("vec_id", square("embedding").alias("before"), (F.col("by") * F.col("by")).alias("stretched"), square("unit").alias("after"))
 
 
 # --------------------------------------------------------------------- orders
@@ -300,7 +379,7 @@ def _order_scores(spark, d) -> DataFrame:
 
 
 def _order_top(spark, d) -> DataFrame:
-    return ranking.top_k(_order_scores(_limit(spark), d), K_ORDERS)
+    return ranking.top_k(_order_scores(spark, d), K_ORDERS)
 
 
 _SQL_ORDERS = (

@@ -4,16 +4,21 @@ An index folder holds index.json, manifest/ and discovery_errors/ (Parquet),
 journal.jsonl, and rows/model_id=M/start=N/ (Parquet) for each committed
 stretch of ordinals.  A stretch counts only once its line is in the journal,
 which is written after its data, so that a build may end anywhere and go on from there.
+One job encodes, writes and digests many stretches; one job digests all of them again.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import platform
 import shutil
+import sys
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from importlib import metadata
 from pathlib import Path
+from time import perf_counter
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,20 +26,25 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import digests
 from lodestar.functions.checks import all_finite, norms, positive, require_contiguous
-from lodestar.functions.paths import require_outside
+from lodestar.functions.paths import require_disjoint
 from lodestar.operators.metrics import commit_totals, state_counts
 from lodestar.operators.relations import unknown_models
 from lodestar.schemas import COMMIT, DECODE_ERROR, INDEX_MANIFEST, MODELS, PENDING, VALID
+from lodestar.session import few
 from lodestar.sources import images, tree
 from lodestar.sources.manifest import with_content_hash
 from lodestar.sources.reports import utc_now
 
 FORMAT, VERSION = "lodestar-index", 1
 BUILDING, COMPLETE = "BUILDING", "COMPLETE"
-MAPPING = "row_equals_manifest_ordinal"
+MAPPING = "rows by manifest ordinal"
 CHECKPOINT_ROWS = 4096
+#: Stretches that one job encodes: as many as are lost at most if a build ends in the middle.
+STRETCHES = 16
+#: Libraries whose versions an index names as part of where it comes from.
+PACKAGES = ("numpy", "pandas", "pyarrow", "pyspark")
 #: What must be the same for an encoder to go on with an index or to search it.
-IDENTITY = ("model_id", "name", "revision", "dtype", "weights", "preprocessing", "tokenizer")
+IDENTITY = ("model_id", "name", "revision", "dtype", "weights", "preprocessing", "tokenizer", "policy")
 _ROW = "model_id STRING, ordinal BIGINT, state TINYINT, embedding ARRAY<FLOAT>, error_type STRING, message STRING"
 
 
@@ -50,12 +60,12 @@ class Paths:
     def stretch(self, model_id: str, start: int) -> Path:
         if model_id not in MODELS:
             raise ValueError(f"unknown model: {model_id}")
-        return self.rows / f"model_id={model_id}" / f"start={start:012d}"
+        return self.rows / f"model_id={model_id}" / f"start={start}"
 
 
 @dataclass
 class Verified:
-    """What a verification found; checks has (check, ok, detail)."""
+    """What a verification found; checks has (check, ok, detail), seconds what a build took for each model."""
 
     path: Path
     state: str
@@ -63,13 +73,28 @@ class Verified:
     models: dict[str, dict[str, int]]
     metadata: dict[str, Any]
     checks: list[tuple[str, bool, str]]
+    seconds: dict[str, float] = field(default_factory=dict)
+
+    def rates(self) -> dict[str, float]:
+        """Images a second that each model of a build looked at."""
+        return {m: self.image_count / s for m, s in self.seconds.items() if s > 0}
 
 
 def identity(encoder: images.Encoder) -> dict[str, Any]:
-    """What tells an encoder from another: its public facts, and a digest of whatever else it states about itself."""
+    """What tells an encoder from another: its public facts (weights and the like as digests), and a digest of all else it states about itself.
+
+    An encoder states weights, preprocessing and tokenizer as whatever they are (texts,
+    arrays, files' digests, objects): they are compared by content.
+    """
     facts = {k: getattr(encoder, k, None) for k in IDENTITY}
+    short = {k: v if v is None or isinstance(v, (str, int, float)) else digests.canonical(v) for k, v in facts.items()}
     stated = getattr(encoder, "identity", None)
-    return facts | {"digest": digests.canonical(stated() if callable(stated) else facts)}
+    return short | {"digest": digests.canonical(stated() if callable(stated) else facts)}
+
+
+def environment() -> dict[str, Any]:
+    """Where an index is built: the machine, Python and the libraries' versions."""
+    return {"python": sys.version.split()[0], "platform": platform.platform(), "machine": platform.machine(), "packages": {p: metadata.version(p) for p in PACKAGES}}
 
 
 def load_metadata(path: str | Path) -> dict[str, Any]:
@@ -115,38 +140,55 @@ def manifest(spark: SparkSession, index_path: str | Path) -> DataFrame:
 
 
 def rows(spark: SparkSession, index_path: str | Path) -> DataFrame:
-    """The committed rows of all models; folders that the journal doesn't name aren't read."""
-    paths = Paths(index_path)
-    folders = [f"file://{paths.stretch(c['model_id'], c['start'])}" for c in read_journal(paths.journal)]
-    if not folders:
-        return spark.createDataFrame([], _ROW)
-    return spark.read.schema(_ROW).parquet(*folders)
+    """The committed rows of all models; stretches that the journal doesn't name don't count."""
+    return _committed(spark, Paths(index_path)).drop("start")
+
+
+def _stored(spark: SparkSession, paths: Paths) -> DataFrame:
+    """All rows on disk, with the stretch that they are in."""
+    columns = [c.split(" ")[0] for c in _ROW.split(", ")]
+    if not paths.rows.is_dir():
+        return spark.createDataFrame([], f"{_ROW}, start BIGINT")
+    return spark.read.schema(f"{_ROW}, start BIGINT").parquet(f"file://{paths.rows}").select(*columns, "start")
 
 
-def digest(stretch: DataFrame) -> DataFrame:
-    """(rows, lowest, highest, valid, errors, dimensions, sha256) of rows; the digest goes by their content, in the order of ordinals."""
+def _committed(spark: SparkSession, paths: Paths) -> DataFrame:
+    commits = [(c["model_id"], c["start"]) for c in read_journal(paths.journal)]
+    return _stored(spark, paths).join(few(spark.createDataFrame(commits, "model_id string, start long")), ["model_id", "start"], "left_semi")
+
+
+def digest(stretches: DataFrame) -> DataFrame:
+    """(model_id, start, rows, lowest, highest, valid, errors, dimensions, sha256) of each stretch of rows; the digest goes by their content, in the order of ordinals."""
     piece = F.to_json(F.struct("ordinal", "state", "embedding")).cast("binary")
     s = F.col("state")
-    return stretch.agg(
+    return stretches.groupBy("model_id", "start").agg(
         F.count("*").alias("rows"), F.min("ordinal").alias("lowest"), F.max("ordinal").alias("highest"), F.count_if(s == VALID).alias("valid"), F.count_if(s == DECODE_ERROR).alias("errors"),
         F.collect_set(F.size("embedding")).alias("dimensions"), digests.in_order(piece, F.col("ordinal")).alias("sha256"),
     )
 
 
-def commit_stretch(spark: SparkSession, paths: Paths, meta: dict[str, Any], encoded: DataFrame, model_id: str, start: int, end: int) -> None:
-    """Write rows [start, end) of a model, then their line in the journal, then the metadata."""
-    folder = f"file://{paths.stretch(model_id, start)}"
-    encoded.select(*[c.split(" ")[0] for c in _ROW.split(", ")]).write.mode("overwrite").parquet(folder)
-    found = digest(spark.read.schema(_ROW).parquet(folder)).first()
-    if (found.rows, found.lowest, found.highest) != (end - start, start, end - 1) or found.valid + found.errors != found.rows:
-        raise RuntimeError(f"encoder returned other rows than asked for: {model_id} [{start}, {end})")
-    own = meta["models"][model_id]
-    sizes = {d for d in found.dimensions if d and d > 0} | ({own["dimension"]} if own["dimension"] else set())
-    if len(sizes) > 1:
-        raise RuntimeError(f"embeddings of {model_id} have several dimensions: {sorted(sizes)}")
+def commit_stretches(spark: SparkSession, paths: Paths, meta: dict[str, Any], encoded: DataFrame, model_id: str, begin: int, end: int, size: int) -> None:
+    """Write rows [begin, end) of a model in stretches of size, have them reach the disk, then their lines in the journal, then the metadata."""
+    start = (F.lit(begin) + F.floor((F.col("ordinal") - begin) / size) * size).cast("long")
+    columns = [c.split(" ")[0] for c in _ROW.split(", ") if not c.startswith("model_id ")]
+    folder = paths.rows / f"model_id={model_id}"
+    encoded.select(*columns, start.alias("start")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("start").parquet(f"file://{folder}")
+    written = _stored(spark, paths).where((F.col("model_id") == model_id) & (F.col("start") >= begin) & (F.col("start") < end))
+    found = {r.start: r for r in digest(written).collect()}  # a row for each stretch of this job
     sequence = sum(c["model_id"] == model_id for c in read_journal(paths.journal))
-    append_commit(paths.journal, {"sequence": sequence, "model_id": model_id, "start": start, "end": end, "valid_count": found.valid, "error_count": found.errors, "rows_sha256": found.sha256, "committed_at": utc_now()})
-    own |= {"dimension": next(iter(sizes), None), "committed_prefix": end, "valid_count": own["valid_count"] + found.valid, "error_count": own["error_count"] + found.errors}
+    own = meta["models"][model_id]
+    for at in range(begin, end, size):
+        stop, row = min(at + size, end), found.get(at)
+        if row is None or (row.rows, row.lowest, row.highest) != (stop - at, at, stop - 1) or row.valid + row.errors != row.rows:
+            raise RuntimeError(f"encoder returned other rows than asked for: {model_id} [{at}, {stop})")
+        sizes = {d for d in row.dimensions if d and d > 0} | ({own["dimension"]} if own["dimension"] else set())
+        if len(sizes) > 1:
+            raise RuntimeError(f"embeddings of {model_id} have several dimensions: {sorted(sizes)}")
+        for part in [*paths.stretch(model_id, at).glob("*.parquet"), paths.stretch(model_id, at), folder]:
+            digests.sync(part)
+        append_commit(paths.journal, {"sequence": sequence, "model_id": model_id, "start": at, "end": stop, "valid_count": row.valid, "error_count": row.errors, "rows_sha256": row.sha256, "committed_at": utc_now()})
+        sequence += 1
+        own |= {"dimension": next(iter(sizes), None), "committed_prefix": stop, "valid_count": own["valid_count"] + row.valid, "error_count": own["error_count"] + row.errors}
     meta["updated_at"] = utc_now()
     digests.write_json(paths.metadata, meta)
 
@@ -162,14 +204,14 @@ def require_evidence_unchanged(spark: SparkSession, index_path: str | Path) -> N
 
 def _manifest_digest(spark: SparkSession, paths: Paths) -> tuple[int, str]:
     listed = spark.read.schema(INDEX_MANIFEST).parquet(f"file://{paths.manifest}")
-    row = listed.agg(F.count("*").alias("n"), digests.in_order(F.to_json(F.struct(*INDEX_MANIFEST.names)).cast("binary"), F.col("ordinal")).alias("d")).first()
-    return row.n, row.d
+    row = digests.by_ranges(listed, [], F.to_json(F.struct(*INDEX_MANIFEST.names)).cast("binary"), F.col("ordinal")).first()
+    return row.rows or 0, row.digest
 
 
 def start(spark: SparkSession, evidence: str | Path, index_path: str | Path, max_images: int | None = None) -> dict[str, Any]:
     """List the evidence with content hashes into a new index; an unreadable file or an empty evidence ends it."""
     paths, evidence = Paths(index_path), Path(evidence).resolve(strict=True)
-    require_outside(evidence, paths.root)
+    require_disjoint(evidence, paths.root)
     if paths.root.exists() and any(paths.root.iterdir()):
         raise FileExistsError(f"index folder isn't empty: {paths.root}")
     paths.root.mkdir(parents=True, exist_ok=True)
@@ -179,13 +221,13 @@ def start(spark: SparkSession, evidence: str | Path, index_path: str | Path, max
     count, digest_ = _manifest_digest(spark, paths)
     if not count:
         shutil.rmtree(paths.root)
-        raise ValueError("no supported images were discovered")
+        raise ValueError("the evidence holds no image of a known type")
     paths.journal.touch()
     model = {"dimension": None, "committed_prefix": 0, "valid_count": 0, "error_count": 0, "identity": None}
     meta = {
         "format": FORMAT, "version": VERSION, "build_id": os.urandom(16).hex(), "state": BUILDING, "created_at": utc_now(), "updated_at": utc_now(), "completed_at": None,
         "evidence_root": str(evidence), "max_images": max_images, "image_count": count, "manifest_sha256": digest_, "discovery_errors": spark.read.parquet(f"file://{paths.errors}").count(),
-        "row_mapping": MAPPING, "journal": None, "models": {m: dict(model) for m in MODELS}, "spark": spark.version,
+        "row_mapping": MAPPING, "journal": None, "models": {m: dict(model) for m in MODELS}, "spark": spark.version, "environment": environment(),
     }
     digests.write_json(paths.metadata, meta)
     return meta
@@ -198,59 +240,69 @@ def reopen(spark: SparkSession, evidence: str | Path, index_path: str | Path, ma
         raise ValueError("resume needs an existing index")
     meta = load_metadata(paths.metadata)
     if meta["state"] != BUILDING:
-        raise ValueError("only a BUILDING index can be resumed")
+        raise ValueError("a finished index can't be resumed: it isn't BUILDING")
     if Path(meta["evidence_root"]) != Path(evidence).resolve() or meta["max_images"] != max_images:
         raise ValueError("resume must name the same evidence and max_images")
     count, digest_ = _manifest_digest(spark, paths)
     if count != meta["image_count"]:
-        raise ValueError("index manifest size mismatch")
+        raise ValueError("the manifest has another number of rows than the metadata says")
     if digest_ != meta["manifest_sha256"]:
-        raise ValueError("index manifest hash mismatch")
+        raise ValueError("hash mismatch of the manifest")
     cut_unfinished_line(paths.journal)
     commits = read_journal(paths.journal)
+    found = {(r.model_id, r.start): r for r in digest(_committed(spark, paths)).collect()}  # a row for each commit
     for model, own in meta["models"].items():
         mine = [c for c in commits if c["model_id"] == model]
-        prefix = _prefix(spark, paths, mine, model)
+        prefix = _prefix(mine, found, model)
         if own["committed_prefix"] > prefix:
             raise ValueError(f"metadata is ahead of the journal for {model}")
         own |= {"committed_prefix": prefix, "valid_count": sum(c["valid_count"] for c in mine), "error_count": sum(c["error_count"] for c in mine)}
     return meta
 
 
-def _prefix(spark: SparkSession, paths: Paths, commits: list[dict], model: str) -> int:
+def _prefix(commits: list[dict], found: dict, model: str) -> int:
     """How far a model's commits reach; fails if they aren't a chain from 0 or their data isn't what they say."""
     reached = 0
     for i, c in enumerate(commits):
         if c["sequence"] != i or c["start"] != reached or c["end"] <= c["start"]:
             raise ValueError(f"journal of {model} isn't a chain at commit {i}")
-        folder = paths.stretch(model, c["start"])
-        found = digest(spark.read.schema(_ROW).parquet(f"file://{folder}")).first() if folder.is_dir() else None
-        if found is None or found.sha256 != c["rows_sha256"] or found.rows != c["end"] - c["start"]:
-            raise ValueError(f"rows hash mismatch for {model} [{c['start']}, {c['end']})")
+        row = found.get((model, c["start"]))
+        if row is None or row.sha256 != c["rows_sha256"] or row.rows != c["end"] - c["start"]:
+            raise ValueError(f"hash mismatch of rows of {model} [{c['start']}, {c['end']})")
         reached = c["end"]
     return reached
 
 
-def build(spark: SparkSession, evidence: str | Path, index_path: str | Path, factories: dict[str, Callable[[], images.Encoder]], checkpoint_rows: int = CHECKPOINT_ROWS, batch: int = 64, max_images: int | None = None, resume: bool = False, decoder=images.decode, progress: Callable[[str, int, int], None] = lambda phase, done, total: None) -> Verified:
-    """Build or go on building an index, and verify it; progress hears after each commit how far a model is."""
+def build(spark: SparkSession, evidence: str | Path, index_path: str | Path, factories: dict[str, Callable[[], images.Encoder]], checkpoint_rows: int = CHECKPOINT_ROWS, batch: int = 64, max_images: int | None = None, resume: bool = False, decoder=images.decode, progress: Callable[[str, int, int], None] = lambda phase, done, total: None, stretches: int = STRETCHES) -> Verified:
+    """Build or go on building an index, and verify it; progress hears after each commit how far a model is, and when it is done.
+
+    One job encodes up to stretches stretches of checkpoint_rows; each is a commit of its own.
+    """
     if list(factories) != list(MODELS):
         raise ValueError(f"encoders must be given in the order {', '.join(MODELS)}")
-    positive("checkpoint_rows", checkpoint_rows), positive("batch", batch)
+    positive("checkpoint_rows", checkpoint_rows), positive("batch", batch), positive("stretches", stretches)
     meta = (reopen if resume else start)(spark, evidence, index_path, max_images)
     paths, listed = Paths(index_path), manifest(spark, index_path)
+    seconds: dict[str, float] = {}
     for model, factory in factories.items():
-        own, now = meta["models"][model], identity(factory())
+        began, own, now = perf_counter(), meta["models"][model], identity(factory())
         if own["identity"] is not None:
             digests.require_same(own["identity"], now, (*IDENTITY, "digest"))
         own["identity"] = now
-        for begin in range(own["committed_prefix"], meta["image_count"], checkpoint_rows):
-            end = min(begin + checkpoint_rows, meta["image_count"])
+        span = checkpoint_rows * stretches
+        for begin in range(own["committed_prefix"], meta["image_count"], span):
+            end = min(begin + span, meta["image_count"])
             part = listed.where((F.col("ordinal") >= begin) & (F.col("ordinal") < end)).repartition(spark.sparkContext.defaultParallelism)
-            commit_stretch(spark, paths, meta, images.encode(part, factory, batch, decoder), model, begin, end)
-            progress(f"index-{model}", end, meta["image_count"])
+            commit_stretches(spark, paths, meta, images.encode(part, factory, batch, decoder), model, begin, end, checkpoint_rows)
+            for at in range(begin, end, checkpoint_rows):
+                progress(f"index-{model}", min(at + checkpoint_rows, end), meta["image_count"])
         if not own["dimension"]:
             raise RuntimeError(f"no image could be decoded for {model}")
-    return finish(spark, index_path)
+        seconds[model] = perf_counter() - began
+        progress(f"index-{model}-complete", own["valid_count"] + own["error_count"], meta["image_count"])
+    done = finish(spark, index_path)
+    done.seconds = seconds
+    return done
 
 
 def finish(spark: SparkSession, index_path: str | Path) -> Verified:
@@ -259,7 +311,9 @@ def finish(spark: SparkSession, index_path: str | Path) -> Verified:
     require_evidence_unchanged(spark, index_path)
     meta = load_metadata(paths.metadata)
     meta["journal"] = {"size": paths.journal.stat().st_size, "sha256": digests.of_file(paths.journal), "seal": digests.seal(paths.journal)}
-    meta["files"] = {str(p.relative_to(paths.root)): {"size": p.stat().st_size, "sha256": digests.of_file(p), "seal": digests.seal(p)} for p in sorted(paths.rows.rglob("*.parquet"))}
+    parts = sorted(paths.rows.rglob("*.parquet"))
+    hashes = digests.of_files(spark, [str(p) for p in parts])
+    meta["files"] = {str(p.relative_to(paths.root)): {"size": p.stat().st_size, "sha256": hashes[str(p)], "seal": digests.seal(p)} for p in parts}
     digests.write_json(paths.metadata, meta)
     verify(spark, index_path, full=True)
     digests.write_json(paths.metadata, meta | {"state": COMPLETE, "completed_at": utc_now(), "updated_at": utc_now()})
@@ -284,42 +338,42 @@ def verify(spark: SparkSession, index_path: str | Path, full: bool = False, requ
             raise ValueError(fault)
 
     if require_complete:
-        check("complete", meta["state"] == COMPLETE, "SEARCH requires a COMPLETE index")
-    check("row mapping", meta["row_mapping"] == MAPPING, "unsupported index row mapping")
-    check("manifest exists", paths.manifest.is_dir(), "index manifest is missing")
+        check("complete", meta["state"] == COMPLETE, "a search needs an index that is COMPLETE")
+    check("row mapping", meta["row_mapping"] == MAPPING, "rows of this index are ordered in a way that isn't known here")
+    check("manifest exists", paths.manifest.is_dir(), "the index has no manifest")
     count, digest_ = _manifest_digest(spark, paths)
-    check("manifest rows", count == meta["image_count"], "index manifest size mismatch")
-    check("manifest hash", digest_ == meta["manifest_sha256"], "index manifest hash mismatch")
-    check("manifest ordinals", require_contiguous(manifest(spark, index_path)) == count, "index manifest row count mismatch")
+    check("manifest rows", count == meta["image_count"], "the manifest has another number of rows than the metadata says")
+    check("manifest hash", digest_ == meta["manifest_sha256"], "hash mismatch of the manifest")
+    check("manifest ordinals", require_contiguous(manifest(spark, index_path)) == count, "the manifest's ordinals don't end where its rows do")
     commits = read_journal(paths.journal)
     journal = spark.createDataFrame([tuple(c[n] for n in COMMIT.names) for c in commits], COMMIT)
     strangers = sorted(r.model_id for r in unknown_models(journal, list(MODELS)).collect())
-    check("journal models", not strangers, f"build journal contains unknown models: {strangers}")
-    for name, f in meta.get("files", {}).items():
-        digests.require_sealed(paths.root / name, f["size"], f["sha256"], f["seal"], full, name)
+    check("journal models", not strangers, f"the journal names models that aren't known: {strangers}")
+    digests.require_all_sealed(spark, paths.root, meta.get("files", {}), full)
     checks.append(("sealed files", True, ""))
     held = rows(spark, index_path)
+    stored = {(r.model_id, r.start): r for r in digest(_committed(spark, paths)).collect()} if full else {}  # a row for each commit
     counts = {r.model_id: r for r in state_counts(held).collect()}
     totals = {r.model_id: r for r in commit_totals(journal).collect()}
     for model, own in meta["models"].items():
         c, t = counts.get(model), totals.get(model)
         valid, errors = (c.valid, c.decode_errors) if c else (0, 0)
-        check(f"{model} states", not c or not c.unknown_states, f"unknown row states for {model}")
-        check(f"{model} valid", own["valid_count"] == valid, f"valid row count mismatch for {model}")
-        check(f"{model} errors", own["error_count"] == errors, f"error row count mismatch for {model}")
+        check(f"{model} states", not c or not c.unknown_states, f"{model} has rows in a state that isn't known")
+        check(f"{model} valid", own["valid_count"] == valid, f"{model} has another number of valid rows than the metadata says")
+        check(f"{model} errors", own["error_count"] == errors, f"{model} has another number of failed rows than the metadata says")
         check(f"{model} chain", not t or t.chain_ok, f"journal of {model} isn't a chain")
-        check(f"{model} totals", not t or (t.valid, t.errors, t.committed_prefix) == (valid, errors, own["committed_prefix"]), f"journal row counts mismatch for {model}")
+        check(f"{model} totals", not t or (t.valid, t.errors, t.committed_prefix) == (valid, errors, own["committed_prefix"]), f"the journal counts other rows of {model} than there are")
         if meta["state"] == COMPLETE:
-            check(f"{model} whole", own["committed_prefix"] == count and not (c and c.pending), f"COMPLETE index has uncommitted rows for {model}")
+            check(f"{model} whole", own["committed_prefix"] == count and not (c and c.pending), f"rows of {model} are missing from a COMPLETE index")
         if full:
-            check(f"{model} journal replay", _prefix(spark, paths, [x for x in commits if x["model_id"] == model], model) == own["committed_prefix"], f"journal/metadata committed prefix mismatch for {model}")
+            check(f"{model} journal replay", _prefix([x for x in commits if x["model_id"] == model], stored, model) == own["committed_prefix"], f"the journal of {model} ends elsewhere than the metadata says")
     if full:
         good = norms(held.where(F.col("state") == VALID)).agg(F.count_if(~all_finite("embedding")).alias("odd"), F.count_if(~F.col("unit")).alias("long")).first()
-        check("finite", not good.odd, "non-finite embedding row")
-        check("unit length", not good.long, "embedding normalization mismatch")
-    check("discovery errors", spark.read.parquet(f"file://{paths.errors}").count() == meta["discovery_errors"], "discovery error count mismatch")
+        check("finite", not good.odd, "a vector isn't finite")
+        check("unit length", not good.long, "a vector's length isn't one")
+    check("discovery errors", spark.read.parquet(f"file://{paths.errors}").count() == meta["discovery_errors"], "another number of discovery errors than the metadata says")
     if meta["journal"]:
-        digests.require_sealed(paths.journal, meta["journal"]["size"], meta["journal"]["sha256"], meta["journal"]["seal"], full, "build journal")
+        digests.require_sealed(paths.journal, meta["journal"]["size"], meta["journal"]["sha256"], meta["journal"]["seal"], full, "the journal")
     summary = {m: {"valid": o["valid_count"], "decode_errors": o["error_count"], "pending": count - o["committed_prefix"]} for m, o in meta["models"].items()}
     return Verified(paths.root, meta["state"], count, summary, meta, checks)
 
@@ -331,7 +385,12 @@ def size_bytes(index_path: str | Path) -> int:
 
 def pending(spark: SparkSession, index_path: str | Path) -> DataFrame:
     """(model_id, ordinal, state) of what isn't committed yet."""
-    have = rows(spark, index_path).select("model_id", "ordinal")
-    models = spark.createDataFrame([(m,) for m in MODELS], "model_id string")
-    wanted = manifest(spark, index_path).select("ordinal").join(F.broadcast(models))
+    return uncommitted(manifest(spark, index_path), rows(spark, index_path))
+
+
+def uncommitted(listed: DataFrame, committed: DataFrame) -> DataFrame:
+    """(model_id, ordinal, state) of the manifest's rows that a model has no committed row for."""
+    have = committed.select("model_id", "ordinal")
+    models = listed.sparkSession.createDataFrame([(m,) for m in MODELS], "model_id string")
+    wanted = listed.select("ordinal").crossJoin(few(models))  # models x images, the rows of an index
     return wanted.join(have, ["model_id", "ordinal"], "left_anti").select("model_id", "ordinal", F.lit(PENDING).cast("byte").alias("state"))

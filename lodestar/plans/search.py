@@ -25,6 +25,11 @@ from lodestar.sources import images, manifest as manifests, reports, tree
 
 #: Defaults of the command line (fixed values).
 TOP_K, RRF, BATCH = 5000, 60, 64
+#: What hears how far a search is: phase, done, total.
+Progress = Callable[[str, int, int], None]
+
+
+def _silent(phase: str, done: int, total: int) -> None: ...
 
 
 @dataclass(frozen=True)
@@ -58,8 +63,7 @@ class Frames:
 
 def rank_and_fuse(index: DataFrame, queries: DataFrame, vectors: DataFrame, settings: Settings) -> Frames:
     """index rows (model_id, ordinal, state, embedding), queries, and their vectors by model -> ranked, fused and evaluated candidates."""
-    valid = index.where(F.col("state") == VALID).select("model_id", F.col("ordinal").alias("file_id"), "embedding")
-    ranked = top_k(similarity.search(valid, vectors, settings.top_k), settings.top_k)
+    ranked = top_k(similarity.search(valid_rows(index), vectors, settings.top_k), settings.top_k)
     fused = fuse(ranked, settings.rrf_constant, queries=queries)
     evaluated = None
     if settings.evaluator_top_k is not None:
@@ -68,6 +72,11 @@ def rank_and_fuse(index: DataFrame, queries: DataFrame, vectors: DataFrame, sett
     return Frames(ranked, fused, evaluated, candidate_counts(ranked, list(MODELS), queries))
 
 
+def valid_rows(index: DataFrame) -> DataFrame:
+    """(model_id, file_id, embedding) of the rows that a model could look at: only these are searched."""
+    return index.where(F.col("state") == VALID).select("model_id", F.col("ordinal").alias("file_id"), "embedding")
+
+
 def passes(index: DataFrame) -> DataFrame:
     """(model_id, ordinal, status) of what was looked at."""
     status = F.when(F.col("state") == VALID, "processed").when(F.col("state") == DECODE_ERROR, "decode_error")
@@ -141,11 +150,12 @@ def _metrics(index: DataFrame) -> dict[str, dict[str, int]]:
     return out | {"any": {"processed": whole.processed, "decode_errors": whole.decode_errors}}
 
 
-def direct(spark: SparkSession, evidence: str | Path, output: str | Path, queries: Sequence[Query], factories: dict[str, Callable[[], images.Encoder]], settings: Settings = Settings(), final_output: str | Path | None = None, max_images: int | None = None, batch: int = BATCH, decoder=images.decode) -> Outcome:
+def direct(spark: SparkSession, evidence: str | Path, output: str | Path, queries: Sequence[Query], factories: dict[str, Callable[[], images.Encoder]], settings: Settings = Settings(), final_output: str | Path | None = None, max_images: int | None = None, batch: int = BATCH, decoder=images.decode, progress: Progress = _silent) -> Outcome:
     """Search a folder tree without an index: discover, encode with each model, rank, fuse, report.
 
     Next to output lie ``.manifest.jsonl`` and ``.errors.jsonl`` (folders of
-    JSON lines).  Nothing is written into the evidence.
+    JSON lines).  Nothing is written into the evidence.  progress hears of
+    the phases: discovery, each model when it is done, ranking, reports.
     """
     output, final_output = Path(output), None if final_output is None else Path(final_output)
     listed, problems = (output.with_name(output.name + s) for s in (".manifest.jsonl", ".errors.jsonl"))
@@ -158,6 +168,8 @@ def direct(spark: SparkSession, evidence: str | Path, output: str | Path, querie
     found, errors = tree.discover(spark, evidence, max_images)
     manifests.write(found.select("ordinal", "relative_path", "source_path"), f"file://{listed.resolve()}", evidence)
     manifest = manifests.read(spark, f"file://{listed.resolve()}")
+    total = manifest.count()
+    progress("discovery", total, total)
     reports.write_errors(errors, f"file://{problems.resolve()}", "discovery", None)
     asked = frame(spark, queries)
     index = None
@@ -165,17 +177,20 @@ def direct(spark: SparkSession, evidence: str | Path, output: str | Path, querie
         own = materialized(images.encode(manifest, factories[model], batch, decoder))
         failed = own.where(F.col("state") == DECODE_ERROR).join(manifest, "ordinal").select("ordinal", "relative_path", "source_path", "error_type", "message")
         reports.write_errors(failed, f"file://{problems.resolve()}", "decode", model)
+        progress(f"encoding-{model}-complete", own.count(), total)
         index = own if index is None else index.unionByName(own)
     seconds["encoding"] = perf_counter() - began
     frames = rank_and_fuse(index, asked, _vectors(asked, encoders), settings)
     frames.ranked = materialized(frames.ranked)
     frames.fused = materialized(fuse(frames.ranked, settings.rrf_constant, queries=asked))
+    progress("ranking", len(queries), len(queries))
     rows, final_rows = _report(frames, manifest, asked, _names(encoders), settings, output, final_output, seconds)
+    progress("reports", rows + final_rows, rows + final_rows)
     return Outcome(frames, output, final_output, rows, final_rows, _metrics(index), seconds | {"total": perf_counter() - began})
 
 
-def indexed(spark: SparkSession, index_path: str | Path, output: str | Path, queries: Sequence[Query], factories: dict[str, Callable[[], images.Encoder]], settings: Settings = Settings(), final_output: str | Path | None = None) -> Outcome:
-    """Search a complete index: no image is read or encoded.  ``<output>.run.json`` records the run and seals its reports."""
+def indexed(spark: SparkSession, index_path: str | Path, output: str | Path, queries: Sequence[Query], factories: dict[str, Callable[[], images.Encoder]], settings: Settings = Settings(), final_output: str | Path | None = None, progress: Progress = _silent) -> Outcome:
+    """Search a complete index: no image is read or encoded; progress hears of the phases.  ``<output>.run.json`` records the run and seals its reports."""
     from lodestar.plans import index as indexes
 
     output, final_output = Path(output), None if final_output is None else Path(final_output)
@@ -202,15 +217,22 @@ def indexed(spark: SparkSession, index_path: str | Path, output: str | Path, que
     frames.ranked = materialized(frames.ranked)
     frames.fused = materialized(fuse(frames.ranked, settings.rrf_constant, queries=asked))
     seconds["vector_search"] = perf_counter() - then
+    progress("ranking", len(queries), len(queries))
     rows, final_rows = _report(frames, manifest, asked, _names(encoders), settings, output, final_output, seconds)
     seconds["total"] = perf_counter() - began
+    progress("reports", rows + final_rows, rows + final_rows)
     sealed = {str(p): {"sha256": digests.of_file(p), "seal": digests.seal(p)} for p in (output, final_output) if p is not None}
     digests.write_json(run, record | {"state": "COMPLETE", "completed_at": reports.utc_now(), "reports": sealed, "seconds": seconds, "rows": rows, "final_rows": final_rows})
     return Outcome(frames, output, final_output, rows, final_rows, _metrics(index), seconds)
 
 
-def all_results(spark: SparkSession, evidence: str | Path, output: str | Path, queries: Sequence[Query], factory: Callable[[], images.Encoder], batch: int = BATCH, display_root: str | None = None, decoder=images.decode) -> tuple[int, DataFrame]:
-    """One model's ranking of every image for every query, without limit or fusion; the number of rows, and they."""
+def all_results(spark: SparkSession, evidence: str | Path, output: str | Path, queries: Sequence[Query], factory: Callable[[], images.Encoder], batch: int = BATCH, display_root: str | None = None, decoder=images.decode, parts: bool = False, progress: Progress = _silent) -> tuple[int, DataFrame]:
+    """One model's ranking of every image for every query, without limit or fusion; the number of rows, and they.
+
+    The report is one file that goes through the driver; with parts it is a folder of
+    files in order that the executors write.  It fails unless every image
+    that could be decoded has a row for each query.
+    """
     output = Path(output)
     require_outside(evidence, output)
     encoder = factory()
@@ -218,10 +240,25 @@ def all_results(spark: SparkSession, evidence: str | Path, output: str | Path, q
         raise ValueError("the full ranking takes the first model only")
     found, _ = tree.discover(spark, evidence)
     manifest, asked = materialized(found.select("ordinal", "relative_path", "source_path")), frame(spark, queries)
-    valid = images.encode(manifest, factory, batch, decoder).where(F.col("state") == VALID).select("model_id", F.col("ordinal").alias("file_id"), "embedding")
-    ranked = full_ranking(similarity.score_pairs(valid, _vectors(asked, {encoder.model_id: encoder})))
+    encoded = materialized(images.encode(manifest, factory, batch, decoder))
+    progress(f"encoding-{encoder.model_id}-complete", encoded.count(), encoded.count())
+    ranked = full_ranking(similarity.score_pairs(valid_rows(encoded), _vectors(asked, {encoder.model_id: encoder})))
     rows = reports.all_results_rows(ranked, manifest, asked, getattr(encoder, "name", encoder.model_id), getattr(encoder, "revision", None), display_root)
-    return reports.write_csv(rows, reports.ALL_RESULTS, ["_position", "Rank"], output), ranked
+    order, expected = ["_position", "Rank"], expected_rows(encoded, asked)
+    if parts:
+        reports.write_parts(rows, reports.ALL_RESULTS, order, f"file://{output.resolve()}")
+        count = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(f"file://{output.resolve()}").count()
+    else:
+        count = reports.write_csv(rows, reports.ALL_RESULTS, order, output)
+    if count != expected:
+        raise RuntimeError(f"the full ranking has {count} rows, not {expected}")
+    progress("reports", count, expected)
+    return count, ranked
+
+
+def expected_rows(index: DataFrame, queries: DataFrame) -> int:
+    """How many rows a full ranking has: images that a model looked at, for each query."""
+    return index.where(F.col("state") == VALID).count() * queries.count()
 
 
 def summary(outcome: Outcome) -> str:

@@ -9,10 +9,14 @@ import uuid
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Top-K of this size and below are kept as bounded heaps by Spark's window group limit.
 TOP_K_LIMIT = 5000
 
+#: Rows of a table (query texts, models, ranges of ordinals) up to which it may be sent to every task.
+BROADCAST_ROWS = 100_000
+
 _own_dir: list[str] = []
 
 
@@ -34,10 +38,12 @@ def build(app: str = "lodestar", master: str | None = None, **conf: str) -> Spar
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir as the session has it; a local folder of our own only where it is unset."""
+    """spark.checkpoint.dir as the session has it; a folder of our own only where it is unset and one machine does all the work."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="lodestar-"))
         atexit.register(shutil.rmtree, urlparse(_own_dir[0]).path, ignore_errors=True)
@@ -45,6 +51,11 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[0]
 
 
+def few(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, marked to be sent to every task if it has no more than rows; if it has more, Spark joins it as it sees fit."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def materialized(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read back, so that every reader sees the same rows in the same place."""
     path = f"{shared_dir(df.sparkSession)}/lodestar/frame-{uuid.uuid4().hex}"

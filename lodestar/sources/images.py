@@ -18,6 +18,7 @@ from typing import Any, Protocol
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lodestar.schemas import DECODE_ERROR, VALID
 
@@ -40,6 +41,13 @@ def decode(data: bytes) -> Any:
 
 #: What a broken image raises; anything else is a fault of ours and ends the job.
 BROKEN = (OSError, ValueError, SyntaxError)
+#: What the image library raises for pictures that would fill the memory; known by name, as it is imported only to decode.
+BOMBS = ("DecompressionBombError", "DecompressionBombWarning")
+
+
+def is_broken(problem: Exception) -> bool:
+    """Whether a decoder's exception is about the image."""
+    return isinstance(problem, BROKEN) or any(c.__name__ in BOMBS for c in type(problem).__mro__)
 
 
 def authentic(path: str, size: int, mtime_ns: int, sha256: str) -> bytes:
@@ -60,6 +68,20 @@ def unit_rows(rows: Any) -> np.ndarray:
     return out / np.maximum(np.linalg.norm(out.astype(np.float64), axis=1, keepdims=True), 1e-30).astype(np.float32)
 
 
+def normalized(rows: DataFrame, vector: str, name: str) -> DataFrame:
+    """rows with a further column of the vectors at length one (unit_rows() by batch); vectors that aren't finite fail."""
+    kind = rows.withColumn(name, F.lit(None).cast("array<float>")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            column = b.column(vector)
+            flat = column.flatten().to_numpy(zero_copy_only=False)
+            units = unit_rows(flat.reshape(len(column), -1)) if len(column) else np.zeros((0, 0), np.float32)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(units), pa.list_(pa.float32()))], names=[*b.schema.names, name])
+
+    return rows.mapInArrow(run, kind)
+
+
 def encode(manifest: DataFrame, factory: Callable[[], Encoder], batch: int = 64, decoder: Callable[[bytes], Any] = decode) -> DataFrame:
     """manifest -> (model_id, ordinal, state, embedding, error_type, message): one row per file.
 
@@ -89,7 +111,9 @@ def _encoded(encoder: Encoder, rows: list[dict], decoder: Callable[[bytes], Any]
         data = authentic(r["source_path"], r["size"], r["mtime_ns"], r["sha256"]) if "sha256" in r else None
         try:
             images[r["ordinal"]] = decoder(Path(r["source_path"]).read_bytes() if data is None else data)
-        except BROKEN as problem:
+        except Exception as problem:
+            if not is_broken(problem):
+                raise
             problems[r["ordinal"]] = problem
     vectors = dict(zip(images, unit_rows(encoder.encode_images(list(images.values()))), strict=True)) if images else {}
     ids = [r["ordinal"] for r in rows]

@@ -12,10 +12,11 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.functions.digests import write_atomic
+from lodestar.functions.digests import atomic
 from lodestar.functions.paths import display
 from lodestar.operators.fusion import model_columns
 from lodestar.operators.relations import require_entries
+from lodestar.session import BROADCAST_ROWS, few
 
 #: Columns of the three reports, in order (fixed values).
 AUDIT = ("FilePath", "OriginalQuery", "MatchedQuery", "SigLIP2Score", "CLIPCos", "SigLIP2Rank", "CLIPRank", "ModelsMatched", "FinalRank", "FusionScore", "SigLIP2Model", "SigLIP2Revision", "CLIPModel", "CLIPRevision", "ScanTimestamp")
@@ -33,7 +34,7 @@ def audit_rows(fused: DataFrame, manifest: DataFrame, queries: DataFrame, models
     models: by model id the name and revision to show.  checked fails on candidates without a manifest row.
     """
     entries = require_entries(manifest, fused) if checked else manifest
-    rows = model_columns(fused).drop("position").join(entries.withColumnRenamed("ordinal", "file_id"), "file_id").join(F.broadcast(queries), "query_id")
+    rows = model_columns(fused).drop("position").join(entries.withColumnRenamed("ordinal", "file_id"), "file_id").join(few(queries), "query_id")
     shown = {m: tuple(F.lit(x).cast("string") for x in models.get(m, (None, None))) for m in ("siglip2", "clip")}
     values = (display(F.col("relative_path"), F.col("source_path"), display_root), "original_query", "model_query", "siglip2_score", "clip_cos", "siglip2_rank", "clip_rank", "models_matched", "final_rank", "fusion_score", *shown["siglip2"], *shown["clip"], F.lit(stamp))
     return rows.select(*[(F.col(v) if isinstance(v, str) else v).alias(n) for n, v in zip(AUDIT, values, strict=True)], F.col("position").alias("_position"), F.col("query_id").alias("_query_id"))
@@ -42,8 +43,11 @@ def audit_rows(fused: DataFrame, manifest: DataFrame, queries: DataFrame, models
 def final_rows(evaluated: DataFrame, manifest: DataFrame, queries: DataFrame, top_k: int, rrf_constant: int, audit_report: str, stamp: str, display_root: str | None = None) -> DataFrame:
     """The final report, a row for each evaluated file; QueryMatches is an array of structs."""
     texts = queries.select("query_id", "original_query", "model_query")
+    asked = texts.limit(BROADCAST_ROWS + 1).count()
+    if asked > BROADCAST_ROWS:
+        raise ValueError(f"a final report names the texts of up to {BROADCAST_ROWS} queries")
     lookup = F.broadcast(texts.agg(F.map_from_entries(F.collect_list(F.struct("query_id", F.struct("original_query", "model_query")))).alias("texts")))
-    rows = evaluated.join(manifest.withColumnRenamed("ordinal", "file_id"), "file_id").join(lookup)
+    rows = evaluated.join(manifest.withColumnRenamed("ordinal", "file_id"), "file_id").crossJoin(lookup)  # one row, of a checked size
     text = lambda q, n: F.col("texts")[q][n]
     match = lambda x: F.struct(
         x["query_id"].alias("QueryId"), text(x["query_id"], "original_query").alias("OriginalQuery"), text(x["query_id"], "model_query").alias("MatchedQuery"), x["final_rank"].alias("FinalRank"), x["reciprocal_contribution"].alias("ReciprocalContribution")
@@ -58,7 +62,7 @@ def final_rows(evaluated: DataFrame, manifest: DataFrame, queries: DataFrame, to
 
 def all_results_rows(ranked: DataFrame, manifest: DataFrame, queries: DataFrame, model: str, revision: str | None, display_root: str | None = None) -> DataFrame:
     """The full ranking of one model, with place to sort by."""
-    rows = ranked.join(manifest.withColumnRenamed("ordinal", "file_id"), "file_id").join(F.broadcast(queries), "query_id")
+    rows = ranked.join(manifest.withColumnRenamed("ordinal", "file_id"), "file_id").join(few(queries), "query_id")
     values = (display(F.col("relative_path"), F.col("source_path"), display_root), F.col("original_query"), F.col("score"), F.col("rank"), F.lit(model), F.lit(revision).cast("string"))
     return rows.select(*[v.alias(n) for n, v in zip(ALL_RESULTS, values, strict=True)], F.col("position").alias("_position"))
 
@@ -78,22 +82,25 @@ FORMATS = {"SigLIP2Score": _places(6), "CLIPCos": _places(6), "FusionScore": _pl
 def write_csv(rows: DataFrame, columns: tuple[str, ...], order: list[str], path: str | Path) -> int:
     """Write a report as one CSV file with a byte order mark, atomically, and return the number of rows.
 
-    Reports have queries x k rows at most; they are sorted by Spark and come
-    to the driver partition by partition.  For the full ranking use write_parts().
+    Rows are sorted by Spark and go through the driver into the file, partition by
+    partition, so that it holds one partition at a time.  For rankings of
+    whole corpora there is write_parts().
     """
-    text, count = io.StringIO(newline=""), 0
-    out = csv.writer(text)
-    out.writerow(columns)
-    for row in rows.orderBy(*order).select(*columns).toLocalIterator(prefetchPartitions=True):
-        out.writerow([FORMATS.get(c, lambda v: "" if v is None else v)(row[c]) for c in columns])
-        count += 1
-    write_atomic(path, b"\xef\xbb\xbf" + text.getvalue().encode())
+    count = 0
+    with atomic(path) as f:
+        text = io.TextIOWrapper(f, "utf-8-sig", newline="")
+        out = csv.writer(text)
+        out.writerow(columns)
+        for row in rows.orderBy(*order).select(*columns).toLocalIterator(prefetchPartitions=True):
+            out.writerow([FORMATS.get(c, lambda v: "" if v is None else v)(row[c]) for c in columns])
+            count += 1
+        text.flush()
+        text.detach()
     return count
 
 
-def write_parts(rows: DataFrame, columns: tuple[str, ...], order: list[str], path: str) -> None:
-    """The same cells as a folder of CSV parts in order, written by the executors; for rankings of whole corpora."""
-    names = [f"{c} string" for c in columns]
+def cells(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """What a report shows: columns as texts, numbers with their places (Python's rounding), missing ones empty."""
 
     def run(batches):
         for pdf in batches:
@@ -101,10 +108,14 @@ def write_parts(rows: DataFrame, columns: tuple[str, ...], order: list[str], pat
                 pdf[c] = [FORMATS.get(c, lambda v: "" if v is None else str(v))(None if v is None or v != v else v) for v in pdf[c]]
             yield pdf
 
-    ranged = rows.orderBy(*order).select(*columns)
-    ranged.mapInPandas(run, ", ".join(names)).write.option("header", True).option("escape", '"').option("lineSep", "\r\n").option("emptyValue", "").csv(path)
+    return rows.select(*columns).mapInPandas(run, ", ".join(f"{c} string" for c in columns))
+
+
+def write_parts(rows: DataFrame, columns: tuple[str, ...], order: list[str], path: str) -> None:
+    """The same cells as a folder of CSV parts in order, written by the executors; for rankings of whole corpora."""
+    cells(rows.orderBy(*order), columns).write.option("header", True).option("escape", '"').option("lineSep", "\r\n").option("emptyValue", "").csv(path)
 
 
 def write_errors(errors: DataFrame, path: str, phase: str, model_id: str | None) -> None:
-    """Append error rows, with the phase and model they come from, as JSON lines."""
+    """Append error rows, with the phase and model they come from, as JSON lines; a folder that isn't there yet appears, also without rows."""
     errors.withColumn("phase", F.lit(phase)).withColumn("model_id", F.lit(model_id).cast("string")).write.mode("append").option("ignoreNullFields", "false").json(path)

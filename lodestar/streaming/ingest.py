@@ -20,13 +20,18 @@ from lodestar.sources import images
 def encode_stream(spark: SparkSession, manifest_path: str, rows_path: str, checkpoint: str, factory: Callable[[], images.Encoder], files_per_batch: int = 1, decoder=images.decode, batch: int = 64) -> int:
     """Encode what manifest_path (Parquet) has and rows_path hasn't yet; returns how many micro-batches that took."""
 
+    done: list[int] = []  # recentProgress forgets all but the last hundred
+
     def keep(part: DataFrame, batch_id: int) -> None:
+        if part.isEmpty():
+            return
         images.encode(part, factory, batch, decoder).write.mode("overwrite").parquet(f"{rows_path}/batch={batch_id}")
+        done.append(batch_id)
 
     stream = spark.readStream.schema(INDEX_MANIFEST).option("maxFilesPerTrigger", files_per_batch).parquet(manifest_path)
     query = stream.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return len([p for p in query.recentProgress if p.numInputRows])
+    return len(done)
 
 
 def progress(rows: DataFrame) -> DataFrame:

@@ -39,8 +39,10 @@ FACTORIES = {"siglip2": siglip2, "clip": clip}
 BLIND = {"siglip2": lambda: Blind("siglip2"), "clip": lambda: Blind("clip")}
 
 
-def make(model_id, device):
-    return Fake(model_id)
+def make(model_id, device, name=None, revision=None):
+    made = Fake(model_id)
+    made.name, made.revision = name or made.name, revision or made.revision
+    return made
 
 
 def evidence(folder, values=(10, 100, 240, "broken")):

@@ -13,14 +13,14 @@ QUERIES = Unchanged().process(["bright", "dark"])
 
 
 def build(spark, tmp_path, **more):
-    return index.build(spark, tmp_path / "e", tmp_path / "ix", fakes.FACTORIES, checkpoint_rows=2, batch=2, decoder=fakes.brightness, **more)
+    return index.build(spark, tmp_path / "e", tmp_path / "ix", fakes.FACTORIES, checkpoint_rows=2, batch=2, decoder=fakes.brightness, stretches=1, **more)
 
 
 def test_progress_and_size(spark, tmp_path):
     fakes.evidence(tmp_path / "e", (1, 2, 3))
     heard = []
     build(spark, tmp_path, progress=lambda *x: heard.append(x))
-    assert heard == [(f"index-{m}", n, 3) for m in ("siglip2", "clip") for n in (2, 3)]
+    assert heard == [(f"index-{m}{end}", n, 3) for m in ("siglip2", "clip") for n, end in ((2, ""), (3, ""), (3, "-complete"))]
     assert index.size_bytes(tmp_path / "ix") > 1000
 
 
@@ -72,7 +72,7 @@ def test_full_ranking_of_one_model(spark, built, tmp_path):
 
 def test_resume_after_a_lost_build(spark, tmp_path, monkeypatch):
     fakes.evidence(tmp_path / "e")
-    real, calls = index.commit_stretch, []
+    real, calls = index.commit_stretches, []
 
     def fails(*args):
         calls.append(args)
@@ -80,10 +80,10 @@ def test_resume_after_a_lost_build(spark, tmp_path, monkeypatch):
             raise KeyboardInterrupt
         real(*args)
 
-    monkeypatch.setattr(index, "commit_stretch", fails)
+    monkeypatch.setattr(index, "commit_stretches", fails)
     with pytest.raises(KeyboardInterrupt):
         build(spark, tmp_path)
-    monkeypatch.setattr(index, "commit_stretch", real)
+    monkeypatch.setattr(index, "commit_stretches", real)
     with (tmp_path / "ix/journal.jsonl").open("a") as f:
         f.write('{"sequence": 1, "mod')
     with pytest.raises(ValueError, match="COMPLETE"):
@@ -128,7 +128,7 @@ def test_changed_evidence_ends_the_build(spark, tmp_path):
 
 def test_refusals(spark, tmp_path):
     fakes.evidence(tmp_path / "e", ())
-    with pytest.raises(ValueError, match="no supported images"):
+    with pytest.raises(ValueError, match="no image of a known type"):
         build(spark, tmp_path)
     fakes.evidence(tmp_path / "e", ("bad", "worse"))
     with pytest.raises(RuntimeError, match="no image could be decoded"):
@@ -152,7 +152,7 @@ def test_stream_goes_on_where_it_was(spark, tmp_path):
     assert ingest.progress(spark.read.parquet(rows).drop("batch")).first().processed == 6
 
 
-BASE = ["search", "--query", "x", "--encoder", "tests.fakes:make"]
+BASE = ["search", "--query", "x", "--encoder", "tests.fakes:make", "--device", "cpu"]
 
 
 @pytest.mark.parametrize(
@@ -160,14 +160,18 @@ BASE = ["search", "--query", "x", "--encoder", "tests.fakes:make"]
     [
         ([*BASE, "--direct"], "--directory is needed"),
         (BASE, "--index is needed"),
-        ([*BASE, "--index", "i", "--top-k", "0"], "--top-k must be greater"),
-        ([*BASE, "--index", "i", "--rrf-constant", "-1"], "non-negative"),
-        ([*BASE, "--index", "i", "--final-output", "f"], "together"),
-        ([*BASE, "--index", "i", "--output", "f", "--final-output", "f", "--evaluator-top-k", "1"], "must differ"),
-        ([*BASE, "--direct", "--directory", "/tmp", "--output", "/x", "--evaluator-rrf-constant", "1"], "needs --final-output"),
-        ([*BASE, "--directory", "/tmp", "--output", "/x", "--all-results", "--top-k", "3"], "incompatible with --top-k"),
-        ([*BASE, "--index", "i", "--min-percent", "3"], "removed"),
-        ([*BASE, "--direct", "--directory", "/tmp", "--output", "/tmp/x.csv"], "outside the evidence"),
+        ([*BASE, "--index", "i", "--top-k", "0"], "--top-k is 0"),
+        ([*BASE, "--index", "i", "--rrf-constant", "-1"], "takes 0 or more"),
+        ([*BASE, "--index", "i", "--final-output", "f"], "needs the other"),
+        ([*BASE, "--index", "i", "--output", "f", "--final-output", "f", "--evaluator-top-k", "1"], "the same file"),
+        ([*BASE, "--direct", "--directory", "/tmp", "--output", "/x", "--evaluator-rrf-constant", "1"], "without --final-output"),
+        ([*BASE, "--directory", "/tmp", "--output", "/x", "--all-results", "--top-k", "3"], "no use for --top-k"),
+        ([*BASE, "--index", "i", "--min-percent", "3"], "no --min-percent"),
+        ([*BASE, "--index", "i", "--max-images", "3", "--clip-model", "m"], "settled --max-images, --clip-model"),
+        ([*BASE, "--direct", "--directory", "/tmp", "--output", "/x", "--chunk-rows", "3"], "search of an index"),
+        ([*BASE, "--index", "i", "--chunk-rows", "0"], "--chunk-rows is 0"),
+        ([*BASE, "--index", "i", "--parts"], "--parts is for"),
+        ([*BASE, "--direct", "--directory", "/tmp", "--output", "/tmp/x.csv"], "names a place in the evidence"),
         ([*BASE, "--direct", "--directory", "/none"], "no such folder"),
     ],
 )
@@ -178,7 +182,107 @@ def test_argument_faults(argv, words):
 def test_command_line(spark, built, tmp_path, capsys):
     folder, _ = built
     assert cli.main(["verify", "--index", str(folder / "ix"), "--full"], spark) == 0
-    argv = ["search", "--index", str(folder / "ix"), "--query", "bright", "--query", "dark", "--top-k", "2", "--output", str(tmp_path / "c.csv"), "--encoder", "tests.fakes:make"]
+    argv = ["search", "--index", str(folder / "ix"), "--query", "bright", "--query", "dark", "--top-k", "2", "--output", str(tmp_path / "c.csv"), "--encoder", "tests.fakes:make", "--device", "cpu", "--chunk-rows", "2"]
     assert cli.main(argv, spark) == 0
     assert "4 audit rows" in capsys.readouterr().out
     assert cli.duration(3661.4) == "01:01:01" and cli.duration(-1) == "00:00:00"
+
+
+def test_a_model_cache_in_the_evidence_is_refused(tmp_path, monkeypatch):
+    monkeypatch.setenv("HF_HOME", str(tmp_path / "models"))
+    args = cli.parser().parse_args([*BASE, "--direct", "--directory", str(tmp_path), "--output", "/x"])
+    assert any("HF_HOME" in f for f in cli.faults(args))
+
+
+def test_devices_names_and_revisions_reach_the_encoder(monkeypatch):
+    monkeypatch.setenv("CLIP_REVISION", "r9")
+    made = {m: f() for m, f in cli.factories("tests.fakes:make", "cpu", {"siglip2": "other"}).items()}
+    assert (made["siglip2"].name, made["siglip2"].revision, made["clip"].name, made["clip"].revision) == ("other", "r1", "fake", "r9")
+    with pytest.raises(SystemExit, match="no cuda"):
+        cli.require_device("cuda", type("M", (), {"available": staticmethod(lambda device: device == "cpu")}))
+
+
+def test_another_encoder_of_the_same_name_is_told_apart():
+    import numpy as np
+
+    facts = []
+    for weights in (np.arange(4.0), np.arange(4.0) + 1, np.arange(4.0)):
+        e = fakes.siglip2()
+        e.weights = {"layer": [weights, {"deep": b"x"}]}
+        facts.append(index.identity(e))
+    assert facts[0] == facts[2] and facts[0]["weights"] != facts[1]["weights"] and facts[0]["digest"] != facts[1]["digest"]
+
+
+def test_many_stretches_in_one_job(spark, tmp_path):
+    fakes.evidence(tmp_path / "e", range(1, 8))
+    done = index.build(spark, tmp_path / "e", tmp_path / "ix", fakes.FACTORIES, 2, 2, decoder=fakes.brightness, stretches=3)
+    commits = index.read_journal(tmp_path / "ix/journal.jsonl")
+    assert [(c["model_id"], c["sequence"], c["start"], c["end"]) for c in commits] == [(m, i, 2 * i, min(2 * i + 2, 7)) for m in ("siglip2", "clip") for i in range(4)]
+    assert done.seconds.keys() == {"siglip2", "clip"} and all(r > 0 for r in done.rates().values()) and done.metadata["environment"]["packages"]["numpy"]
+    part = next((tmp_path / "ix/rows/model_id=clip/start=4").glob("*.parquet"))
+    part.unlink()
+    with pytest.raises(ValueError, match="missing"):
+        index.verify(spark, tmp_path / "ix")
+
+
+def test_a_full_ranking_in_parts(spark, built, tmp_path):
+    heard = []
+    count, _ = search.all_results(spark, built[0] / "e", tmp_path / "parts", QUERIES, fakes.siglip2, decoder=fakes.brightness, parts=True, progress=lambda *x: heard.append(x))
+    shown = [r for p in sorted((tmp_path / "parts").glob("*.csv")) for r in list(csv.reader(p.open(newline="")))[1:]]
+    assert count == 6 == len(shown) and [r[3] for r in shown] == ["1", "2", "3"] * 2
+    assert heard == [("encoding-siglip2-complete", 4, 4), ("reports", 6, 6)]
+
+
+def test_progress_of_searches(spark, built, tmp_path):
+    heard = []
+    search.direct(spark, built[0] / "e", tmp_path / "d.csv", QUERIES, fakes.FACTORIES, search.Settings(2), decoder=fakes.brightness, progress=lambda *x: heard.append(x))
+    assert heard == [("discovery", 4, 4), ("encoding-siglip2-complete", 4, 4), ("encoding-clip-complete", 4, 4), ("ranking", 2, 2), ("reports", 4, 4)]
+    heard.clear()
+    search.indexed(spark, built[0] / "ix", tmp_path / "i.csv", QUERIES, fakes.BLIND, search.Settings(2), progress=lambda *x: heard.append(x))
+    assert heard == [("ranking", 2, 2), ("reports", 4, 4)]
+
+
+class Bomb(Exception):
+    pass
+
+
+Bomb.__name__ = "DecompressionBombError"
+
+
+def explode(data):
+    if data == b"100":
+        raise Bomb("too many pixels")
+    return fakes.brightness(data)
+
+
+def test_a_decompression_bomb_is_a_row(spark, tmp_path):
+    fakes.evidence(tmp_path / "e")
+    listed = spark.createDataFrame([(i, str(tmp_path / f"e/{i}.png")) for i in range(4)], "ordinal long, source_path string")
+    rows = index.images.encode(listed, fakes.clip, decoder=explode).orderBy("ordinal").collect()
+    assert [r.state for r in rows] == [1, 2, 1, 2] and rows[1].error_type == "DecompressionBombError"
+
+
+def test_decoding_turns_upright_and_to_rgb(monkeypatch):
+    """The image library isn't here: a stand-in says what is asked of it."""
+    import sys
+    import types
+
+    asked = []
+
+    class Image:
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *x):
+            asked.append("closed")
+
+        def convert(self, mode):
+            asked.append(mode)
+            return [[[1, 2, 3]]]
+
+    pil = types.ModuleType("PIL")
+    pil.Image = types.SimpleNamespace(open=lambda f: asked.append(f.read()) or Image())
+    pil.ImageOps = types.SimpleNamespace(exif_transpose=lambda image: asked.append("turned") or image)
+    monkeypatch.setitem(sys.modules, "PIL", pil)
+    assert index.images.decode(b"data").tolist() == [[[1, 2, 3]]]
+    assert asked == [b"data", "turned", "RGB", "closed"]

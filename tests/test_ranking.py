@@ -101,7 +101,7 @@ def test_fusion_refuses_bad_input(spark):
         fusion.fuse(ranked_rows(spark, []), rrf_constant=-1)
     with pytest.raises(ValueError, match="unique"):
         fusion.fuse(ranked_rows(spark, []), queries=["a", "a"])
-    with pytest.raises(PySparkException, match="one-based"):
+    with pytest.raises(PySparkException, match="is 1 or more"):
         fusion.fuse(ranked_rows(spark, [("clip", "q", 1, 0.5, 0)])).collect()
 
 

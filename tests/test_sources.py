@@ -11,18 +11,20 @@ from lodestar.sources import manifest, reports, settings, tree
 
 
 def test_discovery_order_and_kinds(spark, tmp_path):
-    for name in ("B-dir/other.tiff", "a-dir/inside.webp", "z.JPG", "A.png", "ignore.txt", ".jpg", "_u.jpg"):
+    tree_ = {"Maps/north.tif": 1, "Maps/old/1890.BMP": 1, "maps2/.hidden.jpeg": 1, "maps2/readme.md": 0, "beta.JPEG": 1, "Alpha.webp": 1, "alpha.webp": 1, "plan.pdf": 0, ".png": 0, "-x.bmp": 1}
+    for name in tree_:
         path = tmp_path / "e" / name
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_text("x")
-    (tmp_path / "e/link.png").symlink_to(tmp_path / "e/A.png")
-    (tmp_path / "e/linked").symlink_to(tmp_path / "e/a-dir")
+    (tmp_path / "e/again.webp").symlink_to(tmp_path / "e/Alpha.webp")
+    (tmp_path / "e/elsewhere").symlink_to(tmp_path / "e/Maps")
     found, errors = tree.discover(spark, tmp_path / "e")
     rows = found.orderBy("ordinal").collect()
-    assert [r.relative_path for r in rows] == ["_u.jpg", "A.png", "z.JPG", "a-dir/inside.webp", "B-dir/other.tiff"]
-    assert [r.ordinal for r in rows] == [0, 1, 2, 3, 4] and errors.count() == 0
-    few, _ = tree.discover(spark, tmp_path / "e", 2)
-    assert [r.relative_path for r in few.orderBy("ordinal").collect()] == ["_u.jpg", "A.png"]
+    walked = ["-x.bmp", "Alpha.webp", "alpha.webp", "beta.JPEG", "Maps/north.tif", "Maps/old/1890.BMP", "maps2/.hidden.jpeg"]
+    assert [r.relative_path for r in rows] == walked and len(walked) == sum(tree_.values())
+    assert [r.ordinal for r in rows] == list(range(7)) and errors.count() == 0
+    few, _ = tree.discover(spark, tmp_path / "e", 3)
+    assert [r.relative_path for r in few.orderBy("ordinal").collect()] == walked[:3]
     assert tree.discover(spark, tmp_path / "e", 0)[0].count() == 0
     with pytest.raises(ValueError):
         tree.discover(spark, tmp_path / "e", -1)
