@@ -1,20 +1,28 @@
 """Licence scans by canonical digests, with DataFrame functions only.
 
 A text is brought to a canonical form in which case, punctuation, white space,
-copyright lines and equivalent spellings make no difference; its SHA-256 is
-joined to those of known licences.  A document is looked up as a whole and line
-by line.
+how lines are broken, copyright lines and equivalent spellings make no difference;
+its SHA-256 is joined to those of known licences.  A document is looked up as a
+whole, which is what a licence scan is, and beyond that line by line, which finds
+notices and SPDX lines inside other texts.
+
+Nearly no text of a corpus is a licence.  Before a text or line is normalised, it has
+to hold a row of STEMS, parts of words that no step of the normalisation makes
+or breaks: what lacks them all can't become the form of a known text that has one.
+The known texts are asked first; if one has no row of them, nothing is left out.
 """
 
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import and_, or_
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Lines that only say whose copyright it is don't count.
+#: Lines that only say whose copyright it is don't count (of a text in lower case; lines end in a line feed).
 COPYRIGHT = r"^[^\p{L}\p{N}]*(copyright *(\(c\)|©|[0-9])|\(c\) *[0-9]|©|all rights reserved).*$"
 #: All but letters and digits separates words.
 BETWEEN = r"[^\p{L}\p{N}]+"
@@ -26,7 +34,8 @@ SPELLINGS = (
     ("(colo|favo|hono|labo|endeavo)ur", "$1r"),
     ("(acknowled|jud)gement", "$1gment"),
     ("(cance|labe|trave)ll(ed|ing)", "$1l$2"),
-    ("(ful|wil)fil", "$1fill"),
+    ("fulfill", "fulfil"),
+    ("willful", "wilful"),
     ("centre", "center"),
     ("artefact", "artifact"),
     ("programme ", "program "),
@@ -35,6 +44,11 @@ SPELLINGS = (
     ("copyright owner", "copyright holder"),
     (" https ", " http "),
 )
+#: Parts of words that are in a text's canonical form only if they are in the text: what the spellings put in or join never spans one.
+#: A text must have all of one row.
+STEMS = (("licen",), ("permission",), ("software",), ("gpl",), ("under", "cc0"), ("under", "cc", "by", "4"), ("under", "creative"), ("under", "epl"), ("under", "mpl"), ("under", "clause"))
+#: Known texts up to which their digests are sent to every task.
+BROADCAST_ROWS = 100_000
 
 #: Known licences and notices (fixed values).
 KNOWN = {
@@ -133,22 +147,18 @@ def known(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame
     return spark.createDataFrame(list(rows.items()), "license_id string, text string")
 
 
-def canonical(line: Column) -> Column:
-    """The canonical form of one line: its words between single spaces, one in front and one behind; a lone space if nothing counts."""
-    out = F.regexp_replace(F.regexp_replace(F.lower(line), COPYRIGHT, ""), BETWEEN, " ")
+def canonical(low: Column) -> Column:
+    """The canonical form of a text or line in lower case: its words between single spaces, without one at its ends; empty if nothing counts."""
+    out = F.regexp_replace(F.regexp_replace(low, "(?md)" + COPYRIGHT, ""), BETWEEN, " ")
     out = F.concat(F.lit(" "), F.trim(out), F.lit(" "))
     for pattern, replacement in SPELLINGS:
         out = F.regexp_replace(out, pattern, replacement)
-    return out
+    return F.trim(out)
 
 
-def _lines(text: Column) -> Column:
-    """Canonical forms of the lines that have any words."""
-    return F.filter(F.transform(F.split(text, r"\r?\n"), canonical), lambda x: F.trim(x) != "")
-
-
-def _whole(lines: Column) -> Column:
-    return F.sha2(F.array_join(F.transform(lines, lambda x: F.trim(x)), " "), 256)
+def _may_be_one(low: Column) -> Column:
+    """Whether a text in lower case holds all of a row of STEMS."""
+    return reduce(or_, (reduce(and_, (low.contains(s) for s in row)) for row in STEMS))
 
 
 def scan(docs: DataFrame, licenses: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -159,32 +169,39 @@ def scan(docs: DataFrame, licenses: DataFrame, text: str = "text", doc_id: str =
     texts, and texts without letters or digits, match nothing, nor do licences of
     that kind; rows that share an id (null included) are counted as one
     document; several licences of equal canonical form are all reported;
-    further columns are ignored.  Nothing but matches is shuffled.
+    further columns are ignored.  Nothing but matches is shuffled, up to
+    BROADCAST_ROWS known texts; beyond, their digests are joined by a shuffle.
     """
-    own = licenses.select("license_id", _lines(F.col("text")).alias("lines")).where(F.size("lines") > 0)
-    digests = own.select("license_id", _whole(F.col("lines")).alias("digest")).distinct()
-    read = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), _lines(F.col(f"`{text}`")).alias("lines")).where(F.size("lines") > 0)
-    one = lambda x: F.sha2(F.trim(x), 256)
-    looked = F.concat(F.array(F.struct(F.lit(True).alias("whole"), _whole(F.col("lines")).alias("digest"))), F.transform("lines", lambda x: F.struct(F.lit(False).alias("whole"), one(x).alias("digest"))))
-    found = read.select("doc_id", F.inline(looked)).join(digests, "digest")
+    forms = licenses.select("license_id", canonical(F.lower("text")).alias("form")).where("form <> ''")
+    rows, without = forms.agg(F.count("*"), F.count_if(~_may_be_one(F.col("form")))).first()  # the table of licences is small
+    digests = forms.select("license_id", F.sha2("form", 256).alias("digest")).distinct()
+    own = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.lower(F.col(f"`{text}`")).alias("low"))
+    lines = F.split("low", "\n")
+    if not without:
+        own, lines = own.where(_may_be_one(F.col("low"))), F.filter(lines, _may_be_one)
+    looked = F.concat(F.array(F.struct(F.lit(True).alias("whole"), canonical(F.col("low")).alias("form"))), F.transform(lines, lambda x: F.struct(F.lit(False).alias("whole"), canonical(x).alias("form"))))
+    found = own.select("doc_id", F.inline(looked)).where("form <> ''").select("doc_id", "whole", F.sha2("form", 256).alias("digest"))
+    found = found.join(F.broadcast(digests) if rows <= BROADCAST_ROWS else digests, "digest")
     return found.groupBy("doc_id", "license_id").agg(F.max("whole").alias("whole_text"), F.count_if(~F.col("whole")).alias("n_lines"))
 
 
 def scan_sql() -> str:
-    """The same over documents and the licences above, for DuckDB."""
+    """What scan() is defined to give over documents and the licences above, for DuckDB: every text and every line is normalised."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    form = f"regexp_replace(regexp_replace(lower(x), {quoted(COPYRIGHT)}, '', 'g'), {quoted(BETWEEN)}, ' ', 'g')"
-    form = f"(' ' || trim({form}) || ' ')"
-    for pattern, replacement in SPELLINGS:
-        form = f"regexp_replace({form}, {quoted(pattern)}, {quoted(replacement.replace('$', chr(92)))}, 'g')"
-    lines = f"list_filter(list_transform(regexp_split_to_array(text, '\\r?\\n'), lambda x: trim({form})), lambda x: x <> '')"
+
+    def form(x: str) -> str:
+        bare = f"regexp_replace(lower({x}), {quoted('(?m)' + COPYRIGHT)}, '', 'g')"
+        out = f"(' ' || trim(regexp_replace({bare}, {quoted(BETWEEN)}, ' ', 'g')) || ' ')"
+        for pattern, replacement in SPELLINGS:
+            out = f"regexp_replace({out}, {quoted(pattern)}, {quoted(replacement.replace('$', chr(92)))}, 'g')"
+        return f"trim({out})"
+
     values = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in KNOWN.items())
     return f"""
         WITH known(license_id, text) AS (VALUES {values}),
-        digests AS (SELECT license_id, sha256(array_to_string({lines}, ' ')) AS digest FROM known),
-        read AS (SELECT doc_id, {lines} AS lines FROM documents WHERE text IS NOT NULL),
-        looked AS (
-            SELECT doc_id, TRUE AS whole, sha256(array_to_string(lines, ' ')) AS digest FROM read WHERE len(lines) > 0
-            UNION ALL SELECT doc_id, FALSE, sha256(line) FROM (SELECT doc_id, unnest(lines) AS line FROM read))
+        forms AS (SELECT license_id, {form('text')} AS form FROM known),
+        read AS (
+            SELECT doc_id, TRUE AS whole, {form('text')} AS form FROM documents
+            UNION ALL SELECT doc_id, FALSE, {form('line')} FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents))
         SELECT doc_id, license_id, bool_or(whole) AS whole_text, count(*) FILTER (NOT whole) AS n_lines
-        FROM looked JOIN digests USING (digest) GROUP BY doc_id, license_id"""
+        FROM read JOIN forms USING (form) WHERE form <> '' GROUP BY doc_id, license_id"""

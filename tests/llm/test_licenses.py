@@ -1,6 +1,7 @@
 from pathlib import Path
 
 import duckdb
+import pytest
 
 from lodestar.llm import licenses, registry
 
@@ -16,6 +17,29 @@ def test_spelling_case_punctuation_and_copyright_lines_don_t_count(spark):
     assert scan(spark, [mit, changed, mit + "\nmore", mit.replace("\n", " ")]) == {(0, "MIT"): (True, 0), (1, "MIT"): (True, 0), (3, "MIT"): (True, 1)}
 
 
+def test_how_lines_are_broken_makes_no_difference(spark):
+    texts = {"a": "The copyright owner and the non commercial use of ten per cent, a sub license: permission", "b": licenses.KNOWN["MIT"]}
+    other = ["The copyright\nholder and the non\ncommercial use of ten per\r\ncent, a sublicence;\n permission", "\n".join(licenses.KNOWN["MIT"].split()), licenses.KNOWN["MIT"].replace(" ", "\n  * ", 40)]
+    assert scan(spark, other, texts) == {(0, "a"): (True, 0), (1, "b"): (True, 0), (2, "b"): (True, 0)}
+    assert scan(spark, other[1:]) == {(0, "MIT"): (True, 0), (1, "MIT"): (True, 0)}
+
+
+@pytest.mark.parametrize("one, other", [("fulfil", "fulfill"), ("wilful", "willful"), ("organisations", "organizations"), ("cancelled", "canceled"), ("centre", "center"), ("judgement", "judgment"), ("honour", "honor"), ("a non profit", "a nonprofit")])
+def test_equivalent_spellings(spark, one, other):
+    assert scan(spark, [f"Software {other} x"], {"k": f"software: {one.upper()} X"}) == {(0, "k"): (True, 1)}
+
+
+def test_texts_without_a_stem_are_found_if_a_known_one_has_none(spark):
+    known = {"x": "Do what you like.", "y": "Free software"}
+    assert scan(spark, ["do WHAT you-like", "free  software!", "something"], known) == {(0, "x"): (True, 1), (1, "y"): (True, 1)}
+
+
+def test_only_what_may_be_one_is_normalised(spark, sf):
+    plan = registry.op8_licenses(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    guards = [line for line in plan.split("\n") if "Filter" in line and "Contains(" in line]
+    assert guards and not any("colo|favo" in line for line in guards)
+
+
 def test_lines(spark):
     line = licenses.KNOWN["MIT-notice"]
     assert scan(spark, [f"x\n  {line.lower()} \ny\nreleased under the mit licence!", line, "Released under the MIT"]) == {(0, "MIT-notice"): (False, 2), (1, "MIT-notice"): (True, 1)}
