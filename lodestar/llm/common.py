@@ -3,29 +3,15 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch handed to Python: long texts make larger batches costly.
-ARROW_ROWS = 512
-
-_own_dir: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a local one of our own only where it is unset."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    if "dir" not in _own_dir:
-        _own_dir["dir"] = "file://" + tempfile.mkdtemp(prefix="lodestar-")
-        sc.setCheckpointDir(_own_dir["dir"])
-    return _own_dir["dir"]
+from lodestar.session import shared_dir
 
+#: Rows and bytes of one Arrow batch handed to Python: a batch ends at whichever it reaches first.
+ARROW_ROWS, ARROW_BYTES = 512, 64 << 20
 
 def _remove(spark: SparkSession, path: str) -> None:
     try:
@@ -59,8 +45,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def arrow_rows(spark: SparkSession) -> None:
-    """Bound what one Arrow batch of whole texts can hold."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Bound what one Arrow batch of whole texts can hold.
+
+    These are settings of the session, read when a plan runs, so that they stay after an
+    operator has been called; larger values of the caller's are lowered, smaller ones kept.
+    """
+    for name, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = int(spark.conf.get(key).rstrip("bB"))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
 
 
 def remainder(column, modulus: int):

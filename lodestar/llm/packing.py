@@ -13,6 +13,7 @@ of two, which need no padding.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from bisect import bisect_right
 from collections import defaultdict
@@ -31,6 +32,9 @@ from lodestar.llm.common import arrow_rows
 
 #: The pattern by which byte-level BPE of this kind splits a text (fixed value).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Runs of white space from this length on go to the library: the fast encoder's pattern gives up on longer ones.
+LONG_RUN = 1 << 15
+_RUNS = re.compile(rf"\s{{{LONG_RUN}}}")
 #: Pieces are halved down to this part of the capacity; what is shorter is a tail.
 FINEST = 16
 #: Documents' ends get this id.
@@ -63,12 +67,15 @@ class ByteLevel:
         self.fast = tiktoken.Encoding("same", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}) if order == sorted(order) and len(ranks) == 256 + len(merges) else None
 
     def ids(self, text: str) -> np.ndarray:
-        if self.fast is not None and not any(s in text for s in self.special):
+        if self.fast is not None and not any(s in text for s in self.special) and not (len(text) >= LONG_RUN and _RUNS.search(text)):
             try:
                 text.encode("latin-1")
                 return np.array(self.fast.encode_ordinary(text), dtype=np.uint32)
             except UnicodeEncodeError:
                 pass
+            except BaseException as failure:  # what the fast encoder raises isn't an Exception, and has no class to import
+                if type(failure).__name__ != "PanicException":
+                    raise
         return np.array(self.own.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
 

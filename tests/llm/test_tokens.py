@@ -55,6 +55,19 @@ def test_ids_equal_the_librarys(byte_bpe):
         assert own.ids(t or "").tolist() == library.encode(t or "", add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", [" " * 10**6, "\n" * 10**7, "a" + "\t" * 10**6 + "b", " \n\t" * 500_000 + "x", (" " * 40_000 + "y") * 30, "z" * 10**6, "1" * 10**6, "-" * 10**6])
+def test_long_runs_equal_the_librarys(byte_bpe, text):
+    own = packing.ByteLevel(byte_bpe)
+    assert own.ids(text).tolist() == own.own.encode(text, add_special_tokens=False).ids
+
+
+def test_what_the_fast_encoder_fails_on_goes_to_the_library(byte_bpe, monkeypatch):
+    own = packing.ByteLevel(byte_bpe)
+    monkeypatch.setattr(packing, "LONG_RUN", 1 << 40)
+    text = " " * 1_200_000
+    assert own.ids(text).tolist() == own.own.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("capacity", [16, 1024])
 def test_cuts_are_whole_and_fit_their_class(capacity):
     counts = packing.class_counts(capacity)
@@ -117,7 +130,7 @@ def test_packing_the_table(spark, sf, byte_bpe):
 
 def every(own, text):
     """All segmentations of text, best first."""
-    steps, out = own.arcs_into(text), []
+    steps, out = [[], *(own.arcs_into(text, end) for end in range(1, len(text) + 1))], []
 
     def back(at, ids, score):
         if not at:
@@ -126,7 +139,7 @@ def every(own, text):
             back(start, ids + arc, score + s)
 
     back(len(text), (), 0.0)
-    return sorted(out, key=lambda o: (-o[0], o[1][::-1]))
+    return sorted(out, key=lambda o: (round(-o[0], 9), o[1][::-1]))
 
 
 @pytest.mark.parametrize("text", ["▁the", "▁eauouon", "▁▁▁a", "é日▁", "aaaaaa", "▁x"])
@@ -136,6 +149,25 @@ def test_n_best_of_a_segment(pieces, text):
         assert own.n_best(text, n) == every(own, text)[:n]
 
 
+def test_n_best_of_random_segments(pieces):
+    own, pick = nbest.lattice(pieces), random.Random(6)
+    for _ in range(150):
+        text = "".join(pick.choice("▁aaabetхé日🙂") for _ in range(pick.randrange(1, 10)))
+        for n in (2, 5, 40):
+            assert own.n_best(text, n) == every(own, text)[:n]
+
+
+@pytest.mark.parametrize("word", ["x" * 400_000, "ab" * 200_000, "日🙂" * 100_000])
+def test_n_best_of_a_long_word_is_linear(pieces, word):
+    import time
+
+    own, began = nbest.lattice(pieces), time.process_time()
+    found, decodes = own.encode(word, 3)
+    assert time.process_time() - began < 30 and len(found) == (1 if "日" in word else 3) and decodes  # 日 and 🙂 have no piece, only bytes
+    assert [s for s, _ in found] == sorted((s for s, _ in found), reverse=True)
+    assert all(own.decode(np.frombuffer(b"".join(ids), "<u4").tolist()) == word for _, ids in found)
+
+
 @pytest.mark.parametrize("text", ["the cat", "a  b é", "日 x y", " ", "ab ab ab", "tie"])
 def test_n_best_of_a_text(pieces, text):
     own = nbest.lattice(pieces)
