@@ -17,13 +17,14 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lodestar.llm import vectors
 
 #: Trees of a forest and bits of a string.
 TREES, BITS = 48, 32
+#: Entries that a query meets in a shard at least, however few its rows.
+LEAST_ENTRIES = 1024
 
 
 @lru_cache(maxsize=4)
@@ -38,11 +39,16 @@ def planes(width: int, trees: int, seed: int) -> np.ndarray:
 class Forest:
     """Sorted arrays of bit strings, one for each tree, over the rows of unit vectors."""
 
-    def __init__(self, units: np.ndarray, trees: int = TREES, seed: int = 1):
-        self.trees, self.seed = trees, seed
-        hashed = self.strings(units)
-        self.order = np.argsort(hashed, axis=1, kind="stable")
-        self.sorted = np.take_along_axis(hashed, self.order, axis=1)
+    def __init__(self, strings: np.ndarray, order: np.ndarray, seed: int = 1):
+        self.sorted, self.order, self.trees, self.seed = strings, order, len(strings), seed
+
+    @classmethod
+    def of(cls, units: np.ndarray, trees: int = TREES, seed: int = 1) -> Forest:
+        out = cls(np.zeros((trees, 0), np.uint64), np.zeros((trees, 0), np.int64), seed)
+        hashed = out.strings(units)
+        out.order = np.argsort(hashed, axis=1, kind="stable")
+        out.sorted = np.take_along_axis(hashed, out.order, axis=1)
+        return out
 
     def strings(self, units: np.ndarray) -> np.ndarray:
         """(trees, rows): each row's string as an integer whose highest bit comes first."""
@@ -81,34 +87,35 @@ def cosines(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
     return (rows * query).sum(axis=1) / (np.sqrt((rows * rows).sum(axis=1)) * np.sqrt((query * query).sum()))
 
 
+def scaled(rows: np.ndarray) -> np.ndarray:
+    """Rows scaled by powers of two, so that no square over- or underflows and nothing is rounded: cosines stay as they are."""
+    return np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1, keepdims=True))[1])
+
+
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, share: float = 0.5, trees: int = TREES, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): for each query the k rows of largest cosine that the forest finds, ties to the smaller id.
+    """(query_id, rank, vec_id, score): for each query id the k rows of largest cosine that the forest finds, ties to the smaller id.
 
     share is how many entries of its trees a query meets in each shard, as a
-    part of the shard's rows.  A query's own id is no candidate.  Ids and
-    vectors that are null, vectors that are empty, zero or hold null or
-    non-finite components take no part; vectors of different lengths are
-    compared as if the shorter ended in zeros; of rows that share an id the
-    least vector counts.  With fewer than k candidates all are returned, and
-    empty tables give an empty one.
+    part of the shard's rows, LEAST_ENTRIES at least.  Rows of the query's own id are
+    no candidates.  Ids and vectors that are null, vectors that are empty, zero or
+    hold null or non-finite components take no part; vectors of different lengths
+    are compared as if the shorter ended in zeros; rows that share an id are
+    candidates each, and as queries they share their k.  With fewer than k
+    candidates all are returned, and empty tables give an empty one.
     """
 
-    def in_block(asked: pa.Table, held: pa.Table) -> pa.Table:
-        if not asked.num_rows or not held.num_rows:
-            return vectors.answer([], [], [], pa.float64())
-        wide = vectors.width(asked, held)
-        (query_ids, q), (ids, x) = vectors.matrix(asked, wide), vectors.matrix(held, wide)
-        # Scaled by powers of two, no square over- or underflows, and nothing is rounded: cosines stay as they are.
-        q, x = (np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, keepdims=True))[1]) for v in (q, x))
-        forest = Forest(x, trees)
-        found_ids, found_scores = [], []
-        for i, met in enumerate(forest.candidates(q, max(1024, int(share * len(ids))))):
+    def prepare(x: np.ndarray) -> vectors.Arrays:
+        forest = Forest.of(scaled(x), trees)
+        return {"strings": forest.sorted.astype(np.uint32), "order": forest.order.astype(np.uint32)}
+
+    def ask(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, shard: vectors.Arrays):
+        q, x = scaled(q), scaled(shard["vectors"])
+        forest = Forest(shard["strings"].reshape(trees, -1).astype(np.uint64), shard["order"].reshape(trees, -1))
+        for i, met in enumerate(forest.candidates(q, max(LEAST_ENTRIES, int(share * len(ids))))):
             met = met[ids[met] != query_ids[i]]
             scores = cosines(x[met], q[i])
             top = vectors.best(ids[met], scores, k)
-            found_ids.append(ids[met][top])
-            found_scores.append(scores[top])
-        return vectors.answer(query_ids, found_ids, found_scores, pa.float64())
+            yield ids[met][top], scores[top]
 
     usable = lambda df: vectors.valid(df, vec_id, vector).where("exists(vector, e -> e <> 0)")
-    return vectors.search(usable(rows), usable(queries), k, "double", in_block)
+    return vectors.search(usable(rows), usable(queries), k, "double", prepare, ask)

@@ -10,25 +10,34 @@ block's own forward index, and ends once the next bound is below its kth score.
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lodestar.llm import vectors
 
 #: Rows of a block, and blocks that a query scores between two looks at its kth score.
 BLOCK_ROWS, STEP = 32, 8
-#: Scores below this are exact in doubles; beyond, whole numbers of any length are used and scores end at the largest long.
+#: Queries whose bounds are held at once.
+BOUNDED = 256
+#: Scores below this are exact in doubles; beyond, whole numbers of any length are used and scores end at plus or minus the largest long.
 EXACT = 1 << 53
 LONGEST = (1 << 63) - 1
 
 
+def extremes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The largest and the smallest weight of each block and term."""
+    starts = np.arange(0, len(rows), BLOCK_ROWS)
+    return np.maximum.reduceat(rows, starts, axis=0), np.minimum.reduceat(rows, starts, axis=0)
+
+
 class Blocks:
     """Forward index of whole-number rows in id order, with each block's extreme weights."""
 
-    def __init__(self, ids: np.ndarray, rows: np.ndarray):
-        self.ids, self.rows = ids, rows
-        starts = np.arange(0, len(ids), BLOCK_ROWS)
-        self.most, self.least = np.maximum.reduceat(rows, starts, axis=0), np.minimum.reduceat(rows, starts, axis=0)
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, most: np.ndarray, least: np.ndarray):
+        self.ids, self.rows, self.most, self.least = ids, rows, most, least
+
+    @classmethod
+    def of(cls, ids: np.ndarray, rows: np.ndarray) -> Blocks:
+        return cls(ids, rows, *extremes(rows))
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
         return np.maximum(queries, 0) @ self.most.T + np.minimum(queries, 0) @ self.least.T
@@ -59,43 +68,42 @@ def whole(rows: np.ndarray) -> np.ndarray:
 def _by_long_numbers(ids: np.ndarray, rows: np.ndarray, own: int, query: np.ndarray, k: int) -> tuple[list, list]:
     """For components so large that doubles can't hold the scores: Python's whole numbers, every row."""
     weights = [int(v) for v in query]
-    found = sorted((-min(max(sum(int(a) * b for a, b in zip(r, weights, strict=True)), -LONGEST - 1), LONGEST), int(i)) for i, r in zip(ids, rows, strict=True) if i != own)[:k]
+    found = sorted((-min(max(sum(int(a) * b for a, b in zip(r, weights, strict=True)), -LONGEST), LONGEST), int(i)) for i, r in zip(ids, rows, strict=True) if i != own)[:k]
     return [i for _, i in found], [-s for s, _ in found]
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score long): for each query exactly the k rows of largest inner product of floor(256 * x).
+    """(query_id, rank, vec_id, score long): for each query id exactly the k rows of largest inner product of floor(256 * x).
 
-    Ties go to the smaller id; a query's own id is no candidate.  Ids and
-    vectors that are null, vectors that are empty or hold null or non-finite
+    Ties go to the smaller id; rows of the query's own id are no candidates.  Ids
+    and vectors that are null, vectors that are empty or hold null or non-finite
     components take no part; vectors of different lengths are compared as if
-    the shorter ended in zeros; of rows that share an id the least vector
-    counts.  With fewer than k candidates all are returned, and empty tables
-    give an empty one.
+    the shorter ended in zeros; rows that share an id are candidates each, and as
+    queries they share their k.  With fewer than k candidates all are returned, and
+    empty tables give an empty one.
     """
 
-    def in_block(asked: pa.Table, held: pa.Table) -> pa.Table:
-        if not asked.num_rows or not held.num_rows:
-            return vectors.answer([], [], [], pa.int64())
-        wide = vectors.width(asked, held)
-        (query_ids, q), (ids, x) = vectors.matrix(asked, wide), vectors.matrix(held, wide)
+    def prepare(x: np.ndarray) -> vectors.Arrays:
+        with np.errstate(over="ignore"):
+            most, least = extremes(whole(x))
+        return {"most": most, "least": least}
+
+    def ask(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, shard: vectors.Arrays):
+        x, wide = shard["vectors"], q.shape[1]
         with np.errstate(over="ignore"):
-            safe = float(np.abs(whole(q)).max()) * float(np.abs(whole(x)).max()) * wide < EXACT
-        found_ids, found_scores = [], []
+            asked, held = whole(q), whole(x)
+            safe = float(np.abs(asked).max(initial=0)) * float(np.abs(held).max(initial=0)) * wide < EXACT
         if safe:
-            blocks = Blocks(ids, whole(x))
-            asked_rows = whole(q)
-            for i, bounds in enumerate(blocks.bounds(asked_rows)):
-                top_ids, scores, _ = blocks.top(query_ids[i], asked_rows[i], bounds, k)
-                found_ids.append(top_ids)
-                found_scores.append(scores)
+            blocks = Blocks(ids, held, shard["most"].reshape(-1, wide), shard["least"].reshape(-1, wide))
+            for at in range(0, len(asked), BOUNDED):
+                for i, bounds in enumerate(blocks.bounds(asked[at : at + BOUNDED]), at):
+                    top_ids, scores, _ = blocks.top(query_ids[i], asked[i], bounds, k)
+                    yield top_ids, scores.astype(np.int64)
         else:
             exact = lambda m: [[(lambda a, b: 256 * a // b)(*float(v).as_integer_ratio()) for v in r] for r in m]
             xs, qs = exact(x), exact(q)
             for i in range(len(query_ids)):
                 top_ids, scores = _by_long_numbers(ids, xs, query_ids[i], qs[i], k)
-                found_ids.append(np.array(top_ids, np.int64))
-                found_scores.append(np.array(scores, np.int64))
-        return vectors.answer(query_ids, found_ids, found_scores, pa.int64())
+                yield np.array(top_ids, np.int64), np.array(scores, np.int64)
 
-    return vectors.search(vectors.valid(rows, vec_id, vector), vectors.valid(queries, vec_id, vector), k, "long", in_block)
+    return vectors.search(vectors.valid(rows, vec_id, vector), vectors.valid(queries, vec_id, vector), k, "long", prepare, ask)
