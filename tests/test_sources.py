@@ -113,6 +113,40 @@ def test_digests(tmp_path):
         digests.require_same({"name": 1}, {"name": 2}, ["name"])
 
 
+def test_plain_values():
+    from dataclasses import dataclass
+    from pathlib import Path
+
+    import numpy as np
+
+    @dataclass
+    class Pair:
+        a: int
+        b: object
+
+    value = {"x": Pair(1, {Path("/p"), "q"}), 2: np.float64(0.5), "w": np.arange(3), "z": b"1", "f": digests.seal}
+    flat = digests.plain(value)
+    assert flat["x"]["b"] == ["/p", "q"] and flat["2"] == 0.5 and flat["w"]["shape"] == [3] and flat["f"].endswith("digests.seal")
+    assert json.loads(json.dumps(flat)) == flat and digests.canonical(value) == digests.canonical(dict(reversed(value.items())))
+    assert digests.canonical({"w": np.arange(3)}) != digests.canonical({"w": np.arange(3.0)})
+
+
+def test_digests_by_ranges(spark):
+    rows = spark.range(50).selectExpr("id % 2 AS k", "id", "CAST(id AS string) AS t")
+    whole = [{r.k: (r.rows, r.digest) for r in digests.by_ranges(rows.repartition(n), ["k"], F.col("t").cast("binary"), F.col("id"), 8).collect()} for n in (1, 7)]
+    assert whole[0] == whole[1] and {v[0] for v in whole[0].values()} == {25}
+    other = digests.by_ranges(rows.where("id <> 49"), ["k"], F.col("t").cast("binary"), F.col("id"), 8)
+    changed = {r.k: r.digest for r in other.collect()}
+    assert changed[0] == whole[0][0][1] and changed[1] != whole[0][1][1]
+
+
+def test_a_failed_file_leaves_nothing(tmp_path):
+    with pytest.raises(KeyError), digests.atomic(tmp_path / "x") as f:
+        f.write(b"half")
+        raise KeyError
+    assert list(tmp_path.iterdir()) == []
+
+
 def test_metrics_of_passes(spark):
     rows = [("siglip2", 0, "processed"), ("siglip2", 1, "processed"), ("siglip2", 2, "decode_error"), ("clip", 0, "processed"), ("clip", 2, "processed"), ("clip", 1, "decode_error"), ("clip", 0, "processed")]
     passes = spark.createDataFrame(rows, "model_id string, ordinal long, status string")
