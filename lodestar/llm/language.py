@@ -4,6 +4,9 @@ The mean embedding of a whole text's byte n-grams goes through a linear softmax
 (subword.py).  A temperature, fitted on rows kept out of training, makes the
 probabilities honest, and the same rows set the floor below which a filter
 rejects a text.
+
+Training takes a bounded sample of rows, and whole texts of these: executors turn
+each into a few bags of n-grams, whose size has a bound whatever the text's length.
 """
 
 from __future__ import annotations
@@ -16,15 +19,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import arrow_rows, remainder
-from lodestar.llm.subword import Bags, Softmax, letters, softmax, spread_sample, train
+from lodestar.llm.common import arrow_rows, remainder, written
+from lodestar.llm.subword import Bags, Softmax, bag, letters, softmax, train
+from lodestar.session import few
 
 #: Sizes of n-grams and bits of the hash.
 SIZES, BITS = (1, 4), 16
-#: Bounds of the training sample: rows of each language, and bytes of each of their texts.
-SAMPLE_ROWS, SAMPLE_BYTES = 600, 4096
-#: Bytes of a training unit, and units of a text.
-UNIT, UNITS = 192, 6
+#: Bound of the training sample: rows of each language.
+SAMPLE_ROWS = 400
+#: Languages that a table of logits may have (2^BITS rows of as many floats go to each worker); more are refused.
+MOST_LANGUAGES = 1024
+#: A sampled text's stretches of UNIT bytes are dealt to UNITS bags in turn, the training's units.
+UNIT, UNITS = 192, 4
+#: Bytes of a text's beginning that are a unit as well, for texts of a few words.
+BEGINNING = 24
 #: Stretches in which a text's n-grams are summed.
 CELL = 1 << 12
 #: Prediction for a null text or one without a letter.
@@ -43,7 +51,7 @@ class Language:
     floor: float = 0.0
 
     def logits(self, data: bytes) -> np.ndarray:
-        sums, counts = self.model.cell_sums(data, CELL)
+        sums, counts = self.model.cell_sums(b" " + data, CELL)
         return sums.sum(axis=0) / max(counts.sum(), 1) + self.model.bias
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -62,29 +70,32 @@ def _heat(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(min(ladder, key=lambda t: -np.log(softmax(logits / t)[rows, labels] + 1e-12).mean()))
 
 
-def fit(texts: list[bytes], langs: list[str], seed: int = 1) -> Language:
-    """Train on texts (from letters()) of known language; every fifth of each language calibrates."""
-    known = [(t, x) for t, x in zip(texts, langs, strict=True) if t]
-    names = sorted({x for _, x in known})
+def units(data: bytes) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The bags of a text (from letters()): all of its bytes dealt to UNITS of them, and last its beginning alone."""
+    cells = [data[i : i + UNIT] for i in range(0, len(data), UNIT)]
+    dealt = [bag(b" ".join(cells[i::UNITS]), SIZES, BITS) for i in range(min(UNITS, len(cells)))]
+    return [*dealt, bag(data[:BEGINNING], SIZES, BITS)]
+
+
+def fit(rows: list[tuple[str, list[tuple[np.ndarray, np.ndarray]]]], seed: int = 1) -> Language:
+    """Train on rows (language, units() of the text); every fifth of each language calibrates."""
+    names = sorted({x for x, _ in rows})
     if not names:
         return Language(None)
-    labels = np.array([names.index(x) for _, x in known], np.int64)
+    if len(names) > MOST_LANGUAGES:
+        raise ValueError(f"{len(names)} languages are more than MOST_LANGUAGES, {MOST_LANGUAGES}")
+    place = {x: i for i, x in enumerate(names)}
+    labels = np.array([place[x] for x, _ in rows], np.int64)
     turn = np.zeros(len(labels), np.int64)
     for c in range(len(names)):
         turn[labels == c] = np.arange((labels == c).sum())
     held = turn % 5 == 4
-    rng, units, goal = np.random.default_rng(seed), [], []
-    for i in np.flatnonzero(~held):
-        data = known[i][0]
-        own = [data[j : j + UNIT] for j in range(0, len(data), UNIT)]
-        own = [own[j] for j in rng.permutation(len(own))[:UNITS]]
-        own += [data[:24]]  # texts of a few words, too
-        units += own
-        goal += [labels[i]] * len(own)
-    model = train(Bags.of(units, SIZES, BITS), np.array(goal), len(names), SIZES, BITS, epochs=4, seed=seed)
+    learned = [(label, u) for (_, own), label, out in zip(rows, labels, held, strict=True) if not out for u in own]
+    model = train(Bags.join([u for _, u in learned]), np.array([x for x, _ in learned]), len(names), SIZES, BITS, epochs=4, seed=seed)
     out = Language(model, names)
     if held.any():
-        logits = np.stack([out.logits(known[i][0]) for i in np.flatnonzero(held)])
+        whole = Bags.join([tuple(np.concatenate(x) for x in zip(*rows[i][1][:-1], strict=True)) for i in np.flatnonzero(held)])
+        logits = model.logits(whole)
         out.heat = _heat(logits, labels[held])
         shares = softmax(logits / out.heat)
         right = shares.max(axis=1)[shares.argmax(axis=1) == labels[held]]
@@ -92,27 +103,40 @@ def fit(texts: list[bytes], langs: list[str], seed: int = 1) -> Language:
     return out
 
 
-def learn(docs: DataFrame) -> Language:
-    """Fit on up to SAMPLE_ROWS rows of each language whose crc32(doc_id as text) mod 5 is not 0.
+def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Language:
+    """Fit on up to sample_rows rows of each language whose crc32(doc_id as text) mod 5 is not 0.
 
-    The rows with the smallest hashes of their ids are taken, and of texts
-    over SAMPLE_BYTES evenly spaced stretches; null ids, languages and texts
-    are left out.  lang, source and doc_id never enter a prediction.
+    The rows with the smallest hashes of id and text are taken, and all of their
+    texts; rows that are the same count once; null ids, languages and texts,
+    and texts without a letter, are left out.  lang, source and doc_id
+    never enter a prediction.
     """
-    known = docs.where("doc_id is not null and lang is not null").select("doc_id", F.col("lang").alias("known")).where(remainder("doc_id", 5) != 0)
-    turn = Window.partitionBy("known").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= SAMPLE_ROWS).select("doc_id", "known").distinct()
     arrow_rows(docs.sparkSession)
-
-    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    usable = docs.where("doc_id is not null and lang is not null and text is not null").select("doc_id", "lang", "text").where(remainder("doc_id", 5) != 0)
+    hashed = usable.withColumn("hash", F.xxhash64("doc_id", "text"))
+    keys = hashed.select("lang", "hash").distinct()
+    # about twice the rows wanted by their hashes alone, so that no task has all rows of a language
+    sizes = keys.groupBy("lang").agg(F.count("*").alias("n"))
+    if (several := sizes.limit(MOST_LANGUAGES + 1).count()) > MOST_LANGUAGES:
+        raise ValueError(f"{several} languages or more are beyond MOST_LANGUAGES, {MOST_LANGUAGES}")
+    near = keys.join(few(sizes), "lang").where(F.shiftrightunsigned("hash", 32) / float(1 << 32) * F.col("n") < 2 * sample_rows + 64)
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.shiftrightunsigned("hash", 1)))
+    keys = near.withColumn("turn", turn).where(F.col("turn") <= sample_rows).select("lang", "hash")
+    rows = hashed.join(written(keys, "sample"), ["lang", "hash"], "left_semi").dropDuplicates(["lang", "hash"])
+
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), pa.array([spread_sample(letters(t), SAMPLE_BYTES) for t in b.column("text").to_pylist()], pa.binary())], names=["doc_id", "lang", "data"])
+            found = [(lang, h, units(data)) for lang, h, t in zip(b.column("lang").to_pylist(), b.column("hash").to_pylist(), b.column("text"), strict=True) if (data := letters(t.as_py()))]
+            one = [(lang, h, i, x.astype("<u2").tobytes(), n.astype("<u4").tobytes()) for lang, h, own in found for i, (x, n) in enumerate(own)]
+            if one:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*one, strict=True)], names=["lang", "hash", "unit", "buckets", "counts"])
 
-    rows = docs.select("doc_id", "lang", "text").where("text is not null").join(F.broadcast(ids), [F.col("lang") == ids["known"], docs["doc_id"] == ids["doc_id"]], "left_semi")
-    most = SAMPLE_ROWS * 64
-    found = rows.mapInArrow(stretches, "doc_id long, lang string, data binary").limit(most).toArrow().to_pylist()
-    found.sort(key=lambda r: (r["doc_id"], r["data"]))
-    return fit([r["data"] for r in found], [r["lang"] for r in found])
+    found = rows.mapInArrow(bags, "lang string, hash long, unit long, buckets binary, counts binary").toArrow().to_pylist()  # bounded: see above
+    found.sort(key=lambda r: (r["hash"], r["lang"], r["unit"]))
+    texts: dict = {}
+    for r in found:
+        texts.setdefault((r["lang"], r["hash"]), []).append((np.frombuffer(r["buckets"], "<u2"), np.frombuffer(r["counts"], "<u4")))
+    return fit([(lang, own) for (lang, _), own in texts.items()])
 
 
 def with_predictions(docs: DataFrame, model: Language, names: tuple[str, str], text: str = "text") -> DataFrame:
@@ -133,7 +157,8 @@ def languages(docs: DataFrame) -> DataFrame:
 
     held_out marks the rows whose crc32(doc_id as text) mod 5 is 0, which
     nothing is learned from.  Texts that are null or without a letter are
-    UNKNOWN with score 0, as are all if no row can be learned from.  Null ids
+    UNKNOWN with score 0, as are all if no row can be learned from.  Of languages
+    with equal probability the first by name is told.  Null ids
     keep their rows and aren't held out; further columns are ignored.
     """
     found = with_predictions(docs.select("doc_id", "text"), learn(docs), ("lang_pred", "score"))

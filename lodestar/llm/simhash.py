@@ -74,7 +74,11 @@ def _bit_counts(hashes: np.ndarray) -> np.ndarray:
 
 def fingerprint(text: str | None, width: int = 3) -> int:
     """The 64-bit SimHash: a bit is set if it is set in over half of the shingles' hashes; zero without words."""
-    hashes = np.array(shingle_hashes(text, width), dtype=np.uint64)
+    return majority(np.array(shingle_hashes(text, width), dtype=np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     if not len(hashes):
         return 0
     return int(np.packbits(2 * _bit_counts(hashes) > len(hashes), bitorder="little").view(np.uint64)[0])
@@ -131,7 +135,7 @@ def golay_indices(words: np.ndarray) -> np.ndarray:
     return (words[:, None] ^ patterns[low[words & 0xFFF] ^ high[words >> 12]]) >> 11
 
 
-def _keys(prints: np.ndarray) -> np.ndarray:
+def fuzzy_keys(prints: np.ndarray) -> np.ndarray:
     """Of each fingerprint the 18 keys (segment without errors, codeword index of the next segment)."""
     prints = prints.view(np.uint64)
     parts = [(prints >> np.uint64(a)).astype(np.int64) & ((1 << w) - 1) for a, w in SEGMENTS]
@@ -143,7 +147,7 @@ def _keyed(distinct: DataFrame) -> DataFrame:
         for b in batches:
             prints = b.column("fp").to_numpy(zero_copy_only=False)
             if len(prints):
-                keys = np.sort(_keys(prints), axis=1)
+                keys = np.sort(fuzzy_keys(prints), axis=1)
                 new = np.concatenate([np.ones((len(keys), 1), bool), keys[:, 1:] != keys[:, :-1]], axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(prints, new.sum(axis=1))), pa.array(keys[new])], names=["fp", "key"])
 

@@ -174,11 +174,31 @@ def test_ngrams_stay_inside_words():
     assert starts == want
 
 
+def plain_ngrams(data, sizes, bits):
+    """(start, bucket) of each n-gram of bytes between spaces, one by one."""
+    out, whole = [], data + b" " * (sizes[1] + 1)
+    for i in range(len(data)):
+        h = whole[i] * 0x01000193 % 2**32
+        for n in range(1, sizes[1] + 1):
+            if n > 1:
+                h = (h ^ whole[i + n - 1]) * 0x01000193 % 2**32
+                h ^= h >> 15
+            g = whole[i : i + n]
+            if n >= sizes[0] and b" " not in g[1:-1] and g.strip():
+                out.append((i, (h * 0x9E3779B1 + n * 0x85EBCA6B) % 2**32 >> (32 - bits)))
+    return out
+
+
 def test_letters():
-    assert subword.letters("Ha, HA ha!x É9\n") == "ha x é".encode()
+    assert subword.letters("Ha, HA ha!x É9\n") == "ha ha ha x é".encode()
     assert subword.letters(None) == b"" == subword.letters("12 %")
 
 
+def test_a_word_said_many_times_judges_once():
+    assert toxicity.letters("Ha ha HA! you, you ha x x") == b"ha you ha x"
+    assert subword.letters("Ha ha HA!") == b"ha ha ha"
+
+
 def test_cells_add_up_over_passes(monkeypatch):
     model = subword.Softmax(np.random.default_rng(0).standard_normal((1 << 10, 2)).astype(np.float32), np.zeros(2), (2, 4), 10)
     data = subword.letters(prose(5, 400))
@@ -188,6 +208,60 @@ def test_cells_add_up_over_passes(monkeypatch):
     assert np.allclose(whole[0], parts[0]) and whole[1].tolist() == parts[1].tolist()
 
 
+def test_bags_hold_every_ngram_whatever_the_passes(monkeypatch):
+    data = subword.letters(prose(6, 300))
+    want = Counter(b for _, b in plain_ngrams(b" " + data, (2, 4), 10))
+    for size in (1 << 20, 100):
+        monkeypatch.setattr(subword, "PASS_BYTES", size)
+        buckets, counts = subword.bag(data, (2, 4), 10)
+        assert dict(zip(buckets.tolist(), counts.tolist(), strict=True)) == want
+    assert subword.bag(b"", (1, 4), 16)[0].tolist() == []
+
+
+def test_scores_equal_those_ngram_by_ngram(spark, sf):
+    """A language's probability and a toxicity score from the table of logits, text by text."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    told, bad = language.learn(docs), toxicity.learn(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    for text in [*(r.text[:3000] for r in docs.limit(12).collect()), "Ein Wort", "a", "", None, "12", "é" * 40]:
+        data = subword.letters(text)
+        rows = [told.model.table[b].astype(float) for _, b in plain_ngrams(b" " + data, language.SIZES, language.BITS)]
+        lang, share = told.predict(text)
+        if data:
+            e = np.exp((np.mean(rows, axis=0) + told.model.bias) / told.heat)
+            assert lang == told.names[int(e.argmax())] and math.isclose(share, (e / e.sum()).max(), rel_tol=1e-6)
+        else:
+            assert (lang, share) == ("und", 0.0)
+        sums = defaultdict(float)
+        counts = Counter()
+        data = toxicity.letters(text)
+        for at, b in plain_ngrams(data, toxicity.SIZES, toxicity.BITS):
+            sums[at // toxicity.CELL] += float(bad.model.table[b, 1]) - float(bad.model.table[b, 0])
+            counts[at // toxicity.CELL] += 1
+        cells = -(-len(data) // toxicity.CELL)
+        logits = [(sums[i] + sums[i + 1]) / max(counts[i] + counts[i + 1], 8) for i in range(max(cells - 1, min(cells, 1)))] or [0.0]
+        worst = max(logits) + bad.model.bias[1] - bad.model.bias[0]
+        assert math.isclose(bad.score(text), 1 / (1 + math.exp(-(bad.slope * worst + bad.shift))), rel_tol=1e-5, abs_tol=1e-9)
+
+
+def test_languages_of_equal_probability():
+    model = subword.Softmax(np.zeros((1 << language.BITS, 2), np.float32), np.zeros(2), language.SIZES, language.BITS)
+    assert language.Language(model, ["de", "en"]).predict("tie") == ("de", 0.5)
+
+
+def test_no_language_is_left_out(spark):
+    """Rows of one hot language, of many rare ones, repeated rows and repeated ids."""
+    words = {f"l{i:02d}": [f"{chr(97 + i % 26)}{chr(97 + i // 26)}{x}" for x in ("mo", "ka", "tu", "re")] for i in range(70)}
+    rows = [(i, " ".join(words["l00"][(i + j) % 4] for j in range(30)), "l00") for i in range(900)]
+    rows += [(1000 + 10 * k + i, " ".join(w[(i + j) % 4] for j in range(20)), lang) for k, (lang, w) in enumerate(words.items()) if k for i in range(8)]
+    rows += [rows[-1]] * 50 + [(rows[-2][0], "other words", rows[-2][2])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = language.learn(docs, sample_rows=40)
+    assert model.names == sorted(words)
+    assert sum(model.predict(" ".join(w))[0] == lang for lang, w in words.items()) >= 65
+    with pytest.raises(ValueError, match="languages"):
+        language.fit([(f"{i}", [subword.bag(b"a", language.SIZES, language.BITS)] * 2) for i in range(language.MOST_LANGUAGES + 1)])
+
+
 def toxic_corpus():
     bad = ["idiot", "moron", "scum"]
     texts, labels = [], []
@@ -200,8 +274,29 @@ def toxic_corpus():
     return texts, np.array(labels)
 
 
+def fitted(texts, labels):
+    """What learn() does without Spark."""
+
+    def look(model):
+        found = [toxicity.chosen(t, label, model) for t, label in zip(texts, labels.tolist(), strict=True)]
+        return [[toxicity.window(t, p) for p in places] for t, (places, _) in zip(texts, found, strict=True)], [worst for _, worst in found]
+
+    return toxicity.fit(labels, look)
+
+
+def test_later_rounds_look_at_all_of_a_long_text():
+    model = fitted(*toxic_corpus())
+    data = subword.letters(prose(960, 6000))
+    data = data[:20_007] + b" idiots " + data[20_007:]
+    places, worst = toxicity.chosen(data, 1, model)
+    assert any(b"idiot" in toxicity.window(data, p) for p in places) and worst == model.worst(data)
+    assert not any(b"idiot" in toxicity.window(data, p) for p in toxicity.spread(data, 64))
+    assert max(toxicity.spread(data, 64)) > 0.9 * len(data) / toxicity.CELL and len(toxicity.spread(data, 64)) == 64
+    assert toxicity.chosen(b"", 0, model) == ([], model.worst(b"")) and toxicity.chosen(b"", 0, None)[0] == [0]
+
+
 def test_toxicity_finds_unseen_spellings():
-    model = toxicity.fit(*toxic_corpus())
+    model = fitted(*toxic_corpus())
     assert model.score(prose(900, 500) + " Idiotz " + prose(901, 300)) > 0.5 > model.score(prose(902, 800))
     assert 0 <= model.score("") <= 1 and 0 <= model.score(None) <= 1
     assert model.score("x" * 10_000) == model.score("x" * 10_000) < 0.5
@@ -215,11 +310,12 @@ def test_toxicity_with_one_class_or_none(spark, odd, empty):
 
 
 def test_toxicity_of_the_table(spark, sf):
-    rows = registry.op9_toxicity(spark, sf).collect()
-    truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
-    known = [(r.predicted, truth[r.doc_id]) for r in rows if r.doc_id in truth]
-    assert len(rows) == 200 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
-    assert sum(p == t for p, t in known) >= 0.85 * len(known)
+    folder = Path(sf).parent / "sf0.01"
+    rows = registry.op9_toxicity(spark, str(folder)).collect()
+    truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    held = [(r.predicted, truth[r.doc_id]) for r in rows if r.doc_id in truth and r.held_out]
+    assert len(rows) == 1000 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
+    assert len(held) > 50 and sum(p == t for p, t in held) >= 0.95 * len(held)
 
 
 def test_languages_of_the_table(spark, sf):

@@ -1,7 +1,9 @@
+import re
+
 import pytest
 
 import corpus_pipeline
-from lodestar.llm import language, packing, resemblance, simhash, stages, toxicity
+from lodestar.llm import language, resemblance, simhash, stages, toxicity
 from tests.llm.conftest import prose
 
 
@@ -33,6 +35,23 @@ def test_stages_take_effect(spark, corpus):
     assert sorted(kept) == sorted(ids - {200, 201, 202, 203}) and one.columns == docs.columns
 
 
+def firsts_of(texts):
+    """The smallest id of each cluster of texts whose sets of five-word shingles have a similarity of 0.8 or more, by comparing all pairs."""
+    sets = {}
+    for i, t in texts.items():
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[i] = {tuple(words[j : j + 5]) for j in range(max(len(words) - 4, min(len(words), 1)))}
+    label = {i: i for i in sorted(sets)}
+    changed = True
+    while changed:
+        changed = False
+        for i in label:
+            near = min(label[j] for j in label if sets[i] == sets[j] or sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+            changed |= near < label[i]
+            label[i] = near
+    return set(label.values())
+
+
 def test_run_equals_the_operators_one_after_another(spark, sf):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "language", "near_duplicates", "packing"]
     docs = spark.read.parquet(f"{sf}/documents.parquet")
@@ -42,7 +61,7 @@ def test_run_equals_the_operators_one_after_another(spark, sf):
     model = language.learn(docs)
     told = {i for i, t in texts.items() if i not in bad and (p := model.predict(t))[0] != "und" and p[1] >= model.floor}
     docs = docs.where(docs.doc_id.isin(list(told)))
-    firsts = {r.doc_id for r in simhash.near_duplicates(docs).collect() if r.doc_id == r.component_id}
+    firsts = firsts_of({i: texts[i] for i in told})
     rows = corpus_pipeline.run(spark, sf).collect()
     assert {r.doc_id for r in rows} == firsts
     for i in firsts:
@@ -59,10 +78,16 @@ def test_empty_and_odd_documents(spark, corpus, odd, empty):
         assert stages.pack(spark, docs, corpus).columns[:2] == ["doc_id", "start"]
 
 
-def test_rows_without_an_id_stay(spark, corpus):
-    docs = spark.createDataFrame([(None, "a b c", "en"), (None, "a b c", "en"), (1, "a b c", "en"), (2, "a b c", "en")], "doc_id long, text string, lang string")
-    assert sorted(str(r.doc_id) for r in stages.drop_near_duplicates(spark, docs, corpus).collect()) == ["1", "None", "None"]
-    assert packing.FINEST == 16
+def test_rows_without_an_id_are_rows_like_any_other(spark, corpus):
+    docs = spark.createDataFrame([(None, "a b c", "en"), (None, "a b c", "en"), (1, "a b c", "en"), (2, "a b c", "en"), (None, "d e f", "en"), (None, "d e f", "en")], "doc_id long, text string, lang string")
+    assert sorted((str(r.doc_id), r.text) for r in stages.drop_near_duplicates(spark, docs, corpus).collect()) == [("1", "a b c"), ("None", "d e f")]
+
+
+def test_a_column_named_like_the_files_metadata(spark, corpus, tmp_path):
+    docs = spark.createDataFrame([(1, "a b c", "m", 7), (2, "a b c", "n", 8), (3, "d", "o", 9)], "doc_id long, text string, _metadata string, place int")
+    docs.write.parquet(f"file://{tmp_path}/docs")
+    for d in (docs, spark.read.parquet(f"file://{tmp_path}/docs")):
+        assert sorted(map(tuple, stages.drop_near_duplicates(spark, d, corpus).collect())) == [(1, "a b c", "m", 7), (3, "d", "o", 9)]
 
 
 def test_near_copies_of_similar_words_go(spark, corpus):
