@@ -34,7 +34,7 @@ SIZES, BITS = (3, 6), 20
 #: Bound of the training sample: labelled rows of each class.
 SAMPLE_ROWS = 2000
 #: Windows that a clean and a toxic text send to the first training, from evenly spaced places of all of it.
-SPREAD = (24, 64)
+SPREAD = (16, 32)
 #: Windows that a toxic text sends to each later one, of those at least half as bad as its worst, and a clean one's worst.
 WORST, CLEAN_WORST = 24, 1
 #: Passes over the windows in the last round and in those before, and windows of a step.
