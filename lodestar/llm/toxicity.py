@@ -144,7 +144,7 @@ def fit(labels: np.ndarray, look, rounds: int = 3, seed: int = 1) -> Toxicity:
     _, worst = look(out)
     check = np.flatnonzero(held) if held.any() else np.arange(len(labels))
     logits = np.array([worst[i] for i in check])
-    silent = max(1, int(SILENT * (labels[check] == 0).sum()))
+    silent = max(2, int(SILENT * (labels[check] == 0).sum()))
     nothing = float(model.bias[1] - model.bias[0])
     out.slope, out.shift = _curve(np.concatenate([logits, np.full(silent, nothing)]), np.concatenate([labels[check], np.zeros(silent, np.int64)]))
     return out
