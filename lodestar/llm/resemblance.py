@@ -12,14 +12,17 @@ join two clusters are.  For a few rounds each key offers its members outside
 its first cluster (that with the least digest) the least member of it, and each text
 is compared with the one that most of its keys offer: near copies of one
 text hang together after that.  Then, for keys whose members still lie
-in several clusters, the pairs between these are compared.  Members of a crowded key are dealt
-to random groups of about GROUP for that, differently for each key, and the least member joins each.
+in several clusters, all pairs between these are compared.  Those of keys with more than PAIRS_UP_TO
+members are never made as rows: members are dealt to blocks by their numbers of shingles, a task
+maps the sets of two blocks, counts what each two have in common at once, and returns one link for
+each member that has any.  Blocks whose numbers of shingles are too far apart don't meet.
 Texts with equal sets share a digest and are never paired.
 """
 
 from __future__ import annotations
 
 import atexit
+import math
 import shutil
 import uuid
 from collections.abc import Callable, Iterator
@@ -28,9 +31,10 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import simhash
@@ -38,6 +42,7 @@ from lodestar.llm.common import arrow_rows, shared_dir, written
 from lodestar.llm.components import components
 from lodestar.llm.elias_fano import dump, load
 from lodestar.llm.lm import word_hashes
+from lodestar.session import few
 
 #: Words of a shingle and the least similarity of near-duplicates.
 WIDTH, SIMILAR = 5, 0.8
@@ -45,8 +50,12 @@ WIDTH, SIMILAR = 5, 0.8
 BANDS, ROWS = 16, 4
 #: Rounds in which each text is compared with one other.
 ROUNDS = 2
-#: Texts of a key up to which all its pairs are compared, and texts of a group of larger ones.
-PAIRS_UP_TO, GROUP = 32, 16
+#: Texts of a key up to which its pairs become rows; the most texts and shingles that a block of larger ones has on average.
+PAIRS_UP_TO, BLOCK_TEXTS, BLOCK_SHINGLES = 32, 512, 1 << 19
+#: Shingles of a file of sets. Two texts that can be similar lie in the same or in adjacent steps of the logarithm of their sizes.
+SHARD_SHINGLES, STEP = 1 << 21, -math.log(SIMILAR - 0.01)
+#: Pairs of members that share a shingle up to which they are counted one by one, and shingles of a matrix for the others.
+LIGHT, WIDE = 32, 1 << 11
 #: Shingles whose permuted hashes are held at once.
 BLOCK = 1 << 12
 
@@ -99,24 +108,24 @@ def _digest(own: np.ndarray) -> int:
 
 
 def _sketched(rows: DataFrame) -> DataFrame:
-    """rows with their column text replaced by digest (of the set of shingles) and keys."""
+    """rows with their column text replaced by digest and size (of the set of shingles) and keys."""
     rest = [c for c in rows.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            digests, found = [], []
+            digests, sizes, found = [], [], []
             for t in b.column("text"):
                 own = shingles(t.as_py())
                 digests.append(_digest(own))
+                sizes.append(len(own))
                 found.append(keys(own))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array(digests, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=[*rest, "digest", "keys"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array(digests, pa.int64()), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=[*rest, "digest", "size", "keys"])
 
-    return rows.mapInArrow(run, rows.drop("text").withColumns({"digest": F.lit(0).cast("long"), "keys": F.array(F.lit(0).cast("long"))}).schema)
+    return rows.mapInArrow(run, rows.drop("text").withColumns({"digest": F.lit(0).cast("long"), "size": F.lit(0).cast("long"), "keys": F.array(F.lit(0).cast("long"))}).schema)
 
 
-def _similar(pairs: DataFrame, texts_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Those of pairs (u, v) whose texts are similar; texts_of gives (digest, text) of what pairs name."""
-    texts = texts_of(pairs)
+def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of pairs (u, v) whose texts (digest, text) are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest, held = None, np.zeros(0, _U)
@@ -135,10 +144,10 @@ def _similar(pairs: DataFrame, texts_of: Callable[[DataFrame], DataFrame]) -> Da
 
 
 def _rooted(shared: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """shared (digest, key) with the cluster of each digest so far."""
+    """shared (digest, size, key) with the cluster of each digest so far."""
     if roots is None:
         return shared.withColumn("root", F.col("digest"))
-    return shared.join(roots.withColumnRenamed("u", "digest"), "digest", "left").select("digest", "key", F.coalesce("root", "digest").alias("root"))
+    return shared.join(roots.withColumnRenamed("u", "digest"), "digest", "left").select("digest", "size", "key", F.coalesce("root", "digest").alias("root"))
 
 
 def _open(rooted: DataFrame) -> DataFrame:
@@ -154,16 +163,152 @@ def _offers(shared: DataFrame, roots: DataFrame | None) -> DataFrame:
     return offered.groupBy("u").agg(F.max_by("v", F.struct("count", "v")).alias("v"))
 
 
-def _rest(shared: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """(u, v): the pairs of texts that share a key and lie in different clusters, of crowded keys those within random groups and with the least member."""
+def _pairs(met: DataFrame) -> DataFrame:
+    """(u, v): the pairs of texts that share a key, lie in different clusters and have sizes that allow it."""
+    groups = met.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("digest", "root", "size"))).alias("members"))
+    ends = groups.select(F.posexplode("members").alias("place", "one"), "members")
+    pairs = ends.select(F.col("one"), F.explode(F.expr("slice(members, 1, place)")).alias("other"))
+    near = F.least("one.size", "other.size") >= SIMILAR * F.greatest("one.size", "other.size")
+    return pairs.where(near & (F.col("one.root") != F.col("other.root"))).select(F.greatest("one.digest", "other.digest").alias("u"), F.least("one.digest", "other.digest").alias("v")).distinct()
+
+
+def matches(one: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
+    """Of each set of one and each of other, whether they are similar: a matrix.
+
+    Shingles that few of these sets have are counted pair by pair, all others by products of matrices.
+    """
+    sizes = [np.array([len(s) for s in sets], np.int64) for sets in (one, other)]
+    values = [np.concatenate(sets) for sets in (one, other)]
+    common = np.intersect1d(*values)
+    both = np.zeros((len(one), len(other)), np.int64)
+    if len(common):
+        ids, rows = [], []
+        for v, n in zip(values, sizes, strict=True):
+            at = np.minimum(np.searchsorted(common, v), len(common) - 1)
+            held = np.flatnonzero(common[at] == v)
+            order = held[np.argsort(at[held], kind="stable")]
+            ids.append(at[order])
+            rows.append(np.repeat(np.arange(len(n)), n)[order])
+        times = [np.bincount(i, minlength=len(common)) for i in ids]
+        light = times[0] * times[1] <= LIGHT
+        mine = light[ids[0]]
+        reps = times[1][ids[0][mine]]
+        firsts = (np.cumsum(times[1]) - times[1])[ids[0][mine]]
+        places = np.repeat(firsts - (np.cumsum(reps) - reps), reps) + np.arange(reps.sum())
+        both += np.bincount(np.repeat(rows[0][mine], reps) * len(other) + rows[1][places], minlength=both.size).reshape(both.shape)
+        heavy = [(np.cumsum(~light) - 1)[i[~light[i]]] for i in ids]
+        rows = [r[~light[i]] for r, i in zip(rows, ids, strict=True)]
+        for at in range(0, int((~light).sum()), WIDE):
+            marks = []
+            for h, r, n in zip(heavy, rows, sizes, strict=True):
+                a, b = np.searchsorted(h, (at, at + WIDE))
+                m = np.zeros((len(n), WIDE), np.float32)
+                m[r[a:b], h[a:b] - at] = 1
+                marks.append(m)
+            both += (marks[0] @ marks[1].T).astype(np.int64)
+    union = sizes[0][:, None] + sizes[1] - both
+    return both / np.maximum(union, 1) >= SIMILAR
+
+
+def _reached(similar: np.ndarray, one: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each of the digests one and other (rows and columns of similar) the least that paths of similar pairs reach."""
+    most = np.iinfo(np.int64).max
+    while True:
+        rows = np.minimum(one, np.where(similar, other, most).min(axis=1))
+        columns = np.minimum(other, np.where(similar, rows[:, None], most).min(axis=0))
+        if (rows == one).all() and (columns == other).all():
+            return one, other
+        one, other = rows, columns
+
+
+def _sets(texts: DataFrame, shards: int) -> Callable[[np.ndarray], list[np.ndarray]]:
+    """Write the shingles of texts (digest, text) as mapped files in the shared folder; what is returned finds them by digests, in any task."""
+    folder = _folder(texts.sparkSession, "sets")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            digests = b.column("digest")
+            found = [shingles(t.as_py()).view(np.int64) for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([pa.array(digests.to_numpy(zero_copy_only=False) % shards, pa.int64()), digests, pa.array(found, pa.list_(pa.int64()))], names=["shard", "digest", "shingles"])
+
+    def write(group: pa.Table) -> pa.Table:
+        rows = group.sort_by("digest")
+        found = [c.values.to_numpy()[c.offsets[0].as_py() : c.offsets[-1].as_py()] for c in rows["shingles"].chunks]
+        dump(Path(folder, str(group["shard"][0].as_py())), {"digest": rows["digest"].to_numpy(), "end": np.cumsum(pc.list_value_length(rows["shingles"]).to_numpy().astype(np.int64)), "shingles": np.concatenate(found).view(_U)})
+        return pa.table({"n": [len(rows)]})
+
+    texts.mapInArrow(run, "shard long, digest long, shingles array<long>").groupBy("shard").applyInArrow(write, "n long").agg(F.sum("n")).collect()
+
+    def find(digests: np.ndarray) -> list[np.ndarray]:
+        found: list[np.ndarray] = [np.zeros(0, _U)] * len(digests)
+        of = digests % shards
+        for s in np.unique(of):
+            held, mine = load(Path(folder, str(s))), np.flatnonzero(of == s)
+            for i, at in zip(mine, np.searchsorted(held["digest"], digests[mine]), strict=True):
+                found[i] = held["shingles"][held["end"][at - 1] if at else 0 : held["end"][at]]
+        return found
+
+    return find
+
+
+def _crowds(met: DataFrame, texts: DataFrame) -> DataFrame | None:
+    """(u, v): links that connect exactly the texts which paths of similar pairs within a key connect; None without members.
+
+    The members of a key are dealt to blocks by steps of their size and by hashes, so that none meets in one task, and
+    each block is compared with itself and with all others of its step and of the next.
+    """
+    cores = met.sparkSession.sparkContext.defaultParallelism
+    owners = met.select("digest", "size").distinct()
+    n, total = owners.agg(F.count("*"), F.sum("size")).first()
+    if not n:
+        return None
+    find = _sets(texts.join(owners, "digest", "left_semi"), max(-(-total // SHARD_SHINGLES), min(-(-n // 64), 4 * cores)))
+    placed = met.select("key", "digest", "size", F.floor(F.log("size") / STEP).alias("step"))
+    parts = placed.groupBy("key", "step").agg(F.ceil(F.greatest(F.count("*") / BLOCK_TEXTS, F.sum("size") / BLOCK_SHINGLES)).alias("parts"))
+    blocks = placed.join(few(parts), ["key", "step"]).groupBy("key", "step", F.pmod(F.xxhash64("digest"), "parts").alias("part")).agg(F.collect_list("digest").alias("members"))
+    blocks = written(blocks, "blocks")
+    other = blocks.toDF("key", "next", "place", "others")
+    jobs = blocks.withColumn("next", F.explode(F.array("step", F.col("step") + 1))).join(other, ["key", "next"]).where("next > step or place >= part")
+    count = jobs.count()
+    jobs = jobs.select("members", "others", (F.expr("next = step and place = part")).alias("same")).repartition(max(1, min(count, max(4 * cores, count // 256))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for members, others, same in zip(*(b.column(c) for c in ("members", "others", "same")), strict=True):
+                one, two = (np.array(x.as_py(), np.int64) for x in (members, others))
+                sets = find(one)
+                ends = _reached(matches(sets, sets if same.as_py() else find(two)), one, two)
+                u, v = (one, ends[0]) if same.as_py() else (np.concatenate([one, two]), np.concatenate(ends))
+                yield pa.RecordBatch.from_arrays([pa.array(u[u != v]), pa.array(v[u != v])], names=["u", "v"])
+
+    return written(jobs.mapInArrow(run, "u long, v long"), "crowds")
+
+
+def _rest(shared: DataFrame, roots: DataFrame | None, texts_of: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+    """(u, v): what links the similar texts that share a key and lie in different clusters; None if no key has any."""
     rooted = _rooted(shared, roots)
     met = written(rooted.join(_open(rooted), "key"), "open")
-    part = F.when(F.col("n") <= PAIRS_UP_TO, 0).otherwise(F.pmod(F.xxhash64("key", "digest"), F.ceil(F.col("n") / GROUP)))
-    groups = met.groupBy("key", part.alias("part")).agg(F.sort_array(F.collect_set(F.struct("digest", "root"))).alias("members")).where("size(members) > 1")
-    ends = groups.select(F.posexplode("members").alias("place", "one"), "members")
-    pairs = ends.select(F.col("one"), F.explode(F.expr("slice(members, 1, place)")).alias("other")).select(F.col("one.digest").alias("u"), F.col("other.digest").alias("v"), F.col("one.root").alias("p"), F.col("other.root").alias("q"))
-    stars = met.select(F.col("digest").alias("u"), F.col("least.digest").alias("v"), F.col("root").alias("p"), F.col("least.root").alias("q"))
-    return pairs.union(stars).where("p <> q").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    if met.isEmpty():
+        return None
+    pairs, crowded = written(_pairs(met.where(F.col("n") <= PAIRS_UP_TO)), "pairs"), met.where(F.col("n") > PAIRS_UP_TO)
+    texts = written(texts_of(_ends(pairs).union(crowded.select("digest")).distinct()), "texts")
+    links, more = _similar(pairs, texts), _crowds(crowded, texts)
+    return links if more is None else links.union(more)
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("u", "v")).alias("digest")).distinct()
+
+
+def _folder(spark: SparkSession, label: str) -> str:
+    """A new folder for mapped files in the shared one."""
+    url = urlparse(shared_dir(spark))
+    if url.scheme not in ("", "file"):
+        raise ValueError(f"{label} are mapped from files: mount the shared folder {url.geturl()} on every node and name it as a file: path")
+    folder = f"{url.path}/lodestar/{label}-{uuid.uuid4().hex}"
+    Path(folder).mkdir(parents=True)
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def located(rows: DataFrame, marks: DataFrame, without: bool = False) -> DataFrame:
@@ -172,13 +317,7 @@ def located(rows: DataFrame, marks: DataFrame, without: bool = False) -> DataFra
     Marks are written as one mapped file for each file of rows, whose rows look themselves up
     in it: what is sent anywhere is the marks, not the texts.
     """
-    spark = rows.sparkSession
-    url = urlparse(shared_dir(spark))
-    if url.scheme not in ("", "file"):
-        raise ValueError(f"marks are mapped from files: mount the shared folder {url.geturl()} on every node and name it as a file: path")
-    folder = f"{url.path}/lodestar/marks-{uuid.uuid4().hex}"
-    Path(folder).mkdir(parents=True)
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    folder = _folder(rows.sparkSession, "marks")
 
     def write(group: pa.Table) -> pa.Table:
         order = np.argsort(group["place"].to_numpy())
@@ -225,21 +364,23 @@ def clusters(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tup
     held, named = own[docs.columns.index(text)], own[docs.columns.index(doc_id)]
     sketches = written(_sketched(rows.select("file", "place", F.col(named).alias("doc_id"), F.xxhash64(held).alias("hash"), F.col(held).alias("text"))), "sketches")
 
-    def texts(pairs: DataFrame) -> DataFrame:
-        """(digest, text) of what pairs compare: for each digest one row's."""
-        asked = pairs.select(F.explode(F.array("u", "v")).alias("digest")).distinct()
+    def texts(asked: DataFrame) -> DataFrame:
+        """(digest, text) of the digests asked for: for each one row's."""
         chosen = sketches.join(asked, "digest", "left_semi").groupBy("digest").agg(F.min(F.struct("file", "place")).alias("row"))
         return located(rows.select("file", "place", F.col(held).alias("text")), chosen.select("digest", "row.*"))
 
-    keyed = sketches.select("digest", "keys").dropDuplicates(["digest"]).select("digest", F.explode("keys").alias("key"))
+    keyed = sketches.select("digest", "size", "keys").dropDuplicates(["digest"]).select("digest", "size", F.explode("keys").alias("key"))
     several = keyed.groupBy("key").count().where("count > 1").select("key")
     shared = written(keyed.join(several, "key"), "shared")
     linked = roots = None
     for turn in range(ROUNDS + 1):
-        pairs = written(_offers(shared, roots) if turn < ROUNDS else _rest(shared, roots), "pairs")
-        if pairs.isEmpty():  # no key has members of several clusters
+        if turn < ROUNDS:
+            pairs = written(_offers(shared, roots), "pairs")
+            similar = None if pairs.isEmpty() else _similar(pairs, texts(_ends(pairs)))
+        else:
+            similar = _rest(shared, roots, texts)
+        if similar is None:  # no key has members of several clusters
             break
-        similar = _similar(pairs, texts)
         linked = similar if linked is None else linked.union(similar)
         roots = written(components(linked), "roots")
     cluster = F.col("digest")

@@ -120,3 +120,27 @@ def test_rows_that_share_an_id_are_rows_like_any_other(spark, corpus):
     for some in (rows, rows[::-1]):
         docs = spark.createDataFrame(some, "doc_id long, text string, lang string")
         assert sorted((r.doc_id, r.text) for r in stages.drop_near_duplicates(spark, docs, corpus).collect()) == sorted([(1, a), (1, b), (3, c)])
+
+
+def test_a_crowded_key_hides_no_pair(spark, corpus, monkeypatch):
+    """All texts share their only key; each is similar to one other, some to one of another size."""
+    rows = []
+    for i in range(150):
+        words = prose(1000 + i, 40 + i).split()
+        more = [f"own{i}", *(f"more{i}x{j}" for j in range(i % 8))]
+        rows += [(2 * i, " ".join(words), "en"), (2 * i + 1, " ".join([*words, *more]), "en")]
+    expected = firsts_of({i: t for i, t, _ in rows})
+    assert len(expected) == 150
+    monkeypatch.setattr(resemblance, "keys", lambda own: [7] if len(own) else [])
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in stages.drop_near_duplicates(spark, docs, corpus).collect()} == expected
+    monkeypatch.setattr(resemblance, "BLOCK_TEXTS", 20, raising=False)
+    assert {r.doc_id for r in stages.drop_near_duplicates(spark, docs, corpus).collect()} == expected
+
+
+def test_sets_are_matched_as_one_by_one():
+    words = prose(30, 120).split()
+    texts = [" ".join([*words[: 3 * i], *(f"w{i % 7}x{j}" for j in range(i % 11)), *words[3 * i + i % 5 :]]) for i in range(38)] + [prose(31, 9)]
+    sets = [resemblance.shingles(t) for t in texts]
+    for one, other in ((sets, sets), (sets[:7], sets[5:]), (sets[-1:], sets[:3])):
+        assert resemblance.matches(one, other).tolist() == [[resemblance.similarity(a, b) >= resemblance.SIMILAR for b in other] for a in one]
