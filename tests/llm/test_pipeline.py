@@ -138,6 +138,21 @@ def test_a_crowded_key_hides_no_pair(spark, corpus, monkeypatch):
     assert {r.doc_id for r in stages.drop_near_duplicates(spark, docs, corpus).collect()} == expected
 
 
+def test_a_crowded_key_makes_no_row_for_each_pair(spark, corpus, monkeypatch):
+    docs = spark.createDataFrame([(i, prose(2000 + i, 30), "en") for i in range(300)], "doc_id long, text string, lang string")
+    made, write = {}, resemblance.written
+
+    def counted(df, label):
+        out = write(df, label)
+        made[label] = max(made.get(label, 0), out.count())
+        return out
+
+    monkeypatch.setattr(resemblance, "keys", lambda own: [7])
+    monkeypatch.setattr(resemblance, "written", counted)
+    assert stages.drop_near_duplicates(spark, docs, corpus).count() == 300
+    assert made["shared"] == 300 and max(made.values()) <= 300, made
+
+
 def test_sets_are_matched_as_one_by_one():
     words = prose(30, 120).split()
     texts = [" ".join([*words[: 3 * i], *(f"w{i % 7}x{j}" for j in range(i % 11)), *words[3 * i + i % 5 :]]) for i in range(38)] + [prose(31, 9)]
