@@ -12,7 +12,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import language, licenses, lm, nbest, neighbours, packing, simhash, token_counts, topk, toxicity
+from lodestar.llm import conversations, language, lexical, licenses, lm, nbest, neighbours, packing, simhash, token_counts, topk, toxicity, wrappers
 from lodestar.llm.common import documents, table
 
 
@@ -58,6 +58,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repaired(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.main_text(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
@@ -73,4 +85,5 @@ def oracle_sql() -> dict[str, str]:
                       FROM embeddings q JOIN embeddings e ON q.vec_id % 50 = 0 AND q.vec_id <> e.vec_id))
             WHERE rank <= 5""",
         "op8_licenses": licenses.scan_sql(),
+        "op11_ranked": lexical.ranked_sql(),
     }
