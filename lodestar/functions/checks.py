@@ -63,7 +63,11 @@ def require_contiguous(manifest: DataFrame) -> int:
     return row.rows
 
 
-def norms(rows: DataFrame, tolerance: float = 1.1e-5, vector: str = "embedding") -> DataFrame:
+#: How far from one a vector's length may be.
+UNIT = 1.1e-5
+
+
+def norms(rows: DataFrame, tolerance: float = UNIT, vector: str = "embedding") -> DataFrame:
     """rows with ``norm`` (double) and ``unit``, whether it is 1 within tolerance."""
     length = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     return rows.withColumn("norm", length).withColumn("unit", F.abs(F.col("norm") - 1) <= tolerance)

@@ -8,17 +8,20 @@ model's score, the number of orders the other's, which ties a lot.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestar.functions import checks, digests, paths
+from lodestar.functions import checks, digests, merkle, paths
 from lodestar.functions.queries import numbered
 from lodestar.operators import fusion, metrics, ranking, relations, similarity
 from lodestar.plans import lifecycle, search
-from lodestar.schemas import MODELS
+from lodestar.schemas import MANIFEST, MODELS
+from lodestar.session import materialized, shared_dir
 from lodestar.sources import images, reports
+from lodestar.sources import manifest as manifests
 
 #: How many are kept: of the vectors, of the customers, and for the evaluation.
 K, K_ORDERS, K_STRONG = 50, 300, 100
@@ -285,6 +288,49 @@ def range_digest(spark, d):
     return digests.by_ranges(_table(spark, d, "embeddings"), ["label"], piece, F.col("vec_id"), 256)
 
 
+_SPAN, _FANOUT = 256, 4
+_SQL_TREE = f"""RECURSIVE pieces AS (SELECT o_orderstatus, o_orderkey, o_orderkey // {_SPAN} AS position, sha256(o_orderkey || ':' || o_custkey || ':' || o_orderpriority) AS d FROM orders),
+    leaves AS (SELECT o_orderstatus, position, sha256(string_agg(d, '' ORDER BY o_orderkey)) AS digest FROM pieces GROUP BY ALL),
+    tree(o_orderstatus, level, position, digest, highest) AS (
+        SELECT o_orderstatus, 0, position, digest, (SELECT max(position) FROM leaves) FROM leaves
+        UNION ALL SELECT o_orderstatus, level + 1, position // {_FANOUT}, sha256(string_agg(digest, '' ORDER BY position)), highest // {_FANOUT} FROM tree WHERE highest > 0 GROUP BY o_orderstatus, level, position // {_FANOUT}, highest)"""
+
+
+def _order_leaves(orders: DataFrame) -> DataFrame:
+    """Digests of ranges of orders, for each status."""
+    piece = F.concat_ws(":", "o_orderkey", "o_custkey", "o_orderpriority").cast("binary")
+    ranges = orders.groupBy("o_orderstatus", F.floor(F.col("o_orderkey") / _SPAN).cast("long").alias("position"))
+    return ranges.agg(digests.in_order(piece, F.col("o_orderkey")).alias("digest"))
+
+
+@_query("WITH " + _SQL_TREE + " SELECT o_orderstatus, level, position, digest FROM tree")
+def merkle_tree(spark, d):
+    """The orders of each status as a tree of digests over ranges of their keys."""
+    return merkle.tree(_order_leaves(_table(spark, d, "orders")), ["o_orderstatus"], _FANOUT)
+
+
+@_query(
+    f"""WITH hurt AS (SELECT o_orderstatus, o_orderkey // {_SPAN} AS position FROM orders WHERE o_orderkey % 1013 = 5),
+    highest AS (SELECT max(o_orderkey) // {_SPAN} AS h FROM orders),
+    levels AS (SELECT i AS level FROM highest, unnest(generate_series(0, 40)) AS u(i) WHERE i = 0 OR floor(h / {_FANOUT} ** (i - 1)) > 0)
+    SELECT DISTINCT o_orderstatus, level::INTEGER AS level, floor(position / {_FANOUT} ** level)::BIGINT AS position FROM hurt, levels"""
+)
+def damaged_ranges(spark, d):
+    """The nodes, from the roots down, by which the trees of the orders and of a copy with other customers here and there differ."""
+    orders = _table(spark, d, "orders")
+    hurt = orders.withColumn("o_custkey", F.when(F.col("o_orderkey") % 1013 == 5, F.col("o_custkey") + 1).otherwise(F.col("o_custkey")))
+    ours, theirs = (merkle.tree(_order_leaves(t), ["o_orderstatus"], _FANOUT) for t in (orders, hurt))
+    return merkle.differing(ours, theirs, ["o_orderstatus"], _FANOUT)
+
+
+@_query("WITH " + _SQL_TREE + " SELECT o_orderstatus, digest FROM tree WHERE highest = 0")
+def proved_roots(spark, d):
+    """The roots that a part of the orders leads to, with no more than the digests beside its way."""
+    nodes = materialized(merkle.tree(_order_leaves(_table(spark, d, "orders")), ["o_orderstatus"], _FANOUT))
+    part = _order_leaves(_table(spark, d, "orders").where(F.floor(F.col("o_orderkey") / _SPAN) % 5 == 0))
+    return merkle.climbed(part, merkle.proof(nodes, part, ["o_orderstatus"], _FANOUT), ["o_orderstatus"], nodes.agg(F.max("level")).first()[0], _FANOUT)
+
+
 _SQL_MATRIX = "matrix AS (SELECT vec_id AS file_id, u.i, embedding[u.i]::DOUBLE AS score FROM embeddings, (SELECT unnest([1, 2, 3]) AS i) u)"
 
 
@@ -535,3 +581,22 @@ def bitmap_counts(spark, d):
 @_query("SELECT count(*) AS lines FROM documents WHERE trim(text) <> ''")
 def line_count(spark, d):
     return metrics.lines(_table(spark, d, "documents").select(F.col("text").alias("value")))
+
+
+_SQL_LINES = """given AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS number, doc_id FROM documents),
+    kept AS (SELECT *, CASE WHEN doc_id % 97 = 3 THEN 'blank' WHEN doc_id % 89 = 7 THEN 'broken' WHEN doc_id % 83 = 11 THEN 'lacking' ELSE 'fine' END AS kind FROM given),
+    placed AS (SELECT *, count(*) FILTER (kind <> 'blank') OVER (ORDER BY number ROWS UNBOUNDED PRECEDING) - 1 AS expected FROM kept)"""
+
+
+@_query(
+    "WITH " + _SQL_LINES + """ SELECT number, CASE kind WHEN 'broken' THEN 'isn''t a JSON object of the columns and types asked for' WHEN 'lacking' THEN 'lacks source_path'
+        ELSE 'has ordinal ' || number || ' where a contiguous manifest has ' || expected END AS problem FROM placed WHERE kind IN ('broken', 'lacking') OR (kind = 'fine' AND number <> expected)"""
+)
+def bad_manifest_lines(spark, d):
+    """The lines of a manifest that can't be read, with their places: some are broken, some lack a path, and blank ones put those behind them out of place."""
+    numbered_ = ranking.ordinals(_table(spark, d, "documents").select("doc_id"), F.col("doc_id"), name="number")
+    whole = F.to_json(F.struct(F.col("number").alias("ordinal"), F.col("doc_id").cast("string").alias("relative_path"), F.when(F.col("doc_id") % 83 != 11, "/x").alias("source_path")))
+    line = F.when(F.col("doc_id") % 97 == 3, " \t").when(F.col("doc_id") % 89 == 7, F.substring(whole, 1, 9)).otherwise(whole)
+    path = f"{shared_dir(spark)}/lodestar/lines-{uuid.uuid4().hex}"
+    numbered_.orderBy("number").select(line.alias("value")).write.text(path)
+    return manifests.faults(spark, path, MANIFEST).select("number", "problem")

@@ -1,10 +1,12 @@
 """The persistent index: built in committed stretches, resumable, sealed, verified.
 
 An index folder holds index.json, manifest/ and discovery_errors/ (Parquet),
-journal.jsonl, and rows/model_id=M/start=N/ (Parquet) for each committed
-stretch of ordinals.  A stretch counts only once its line is in the journal,
-which is written after its data, so that a build may end anywhere and go on from there.
-One job encodes, writes and digests many stretches; one job digests all of them again.
+journal.jsonl, rows/model_id=M/start=N/rows.parquet for each committed stretch of
+ordinals, and tree/ (Parquet), the digests of stretches and of ranges of them.
+A stretch counts only once its line is in the journal, which is written after
+its data and seals its file, so that a build may end anywhere and go on from there.
+One job encodes, writes, digests and seals many stretches, each in one task and one file;
+one job looks at all of them again.
 """
 
 from __future__ import annotations
@@ -14,26 +16,29 @@ import os
 import platform
 import shutil
 import sys
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from importlib import metadata
 from pathlib import Path
-from time import perf_counter
+from time import perf_counter, time_ns
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from lodestar.functions import digests
-from lodestar.functions.checks import all_finite, norms, positive, require_contiguous
+from lodestar.functions import digests, merkle
+from lodestar.functions.checks import positive, require_contiguous
+from lodestar.functions.digests import utc_now
 from lodestar.functions.paths import require_disjoint
 from lodestar.operators.metrics import commit_totals, state_counts
 from lodestar.operators.relations import unknown_models
-from lodestar.schemas import COMMIT, DECODE_ERROR, INDEX_MANIFEST, MODELS, PENDING, VALID
-from lodestar.session import few
-from lodestar.sources import images, tree
+from lodestar.schemas import COMMIT, INDEX_MANIFEST, JOURNAL, MODELS, PENDING
+from lodestar.session import Watch, few, materialized
+from lodestar.sources import images, lines, tree
+from lodestar.sources import stretches as sink
 from lodestar.sources.manifest import with_content_hash
-from lodestar.sources.reports import utc_now
 
 FORMAT, VERSION = "lodestar-index", 1
 BUILDING, COMPLETE = "BUILDING", "COMPLETE"
@@ -55,7 +60,7 @@ class Paths:
     def __post_init__(self):
         self.root = Path(self.root).resolve()
         self.metadata, self.journal = self.root / "index.json", self.root / "journal.jsonl"
-        self.manifest, self.errors, self.rows = self.root / "manifest", self.root / "discovery_errors", self.root / "rows"
+        self.manifest, self.errors, self.rows, self.tree = (self.root / n for n in ("manifest", "discovery_errors", "rows", "tree"))
 
     def stretch(self, model_id: str, start: int) -> Path:
         if model_id not in MODELS:
@@ -128,11 +133,32 @@ def cut_unfinished_line(path: str | Path) -> None:
         os.truncate(path, data.rfind(b"\n") + 1)
 
 
-def append_commit(path: str | Path, commit: dict[str, Any]) -> None:
-    with open(path, "ab") as f:
-        f.write(json.dumps(commit, sort_keys=True, separators=(",", ":")).encode() + b"\n")
-        f.flush()
-        os.fsync(f.fileno())
+def new_commits(path: str | Path, offset: int) -> tuple[list[dict[str, Any]], int]:
+    """Commits that were added behind offset bytes, and where the journal ends now."""
+    with open(path, "rb") as f:
+        f.seek(offset)
+        data = f.read()
+    return [json.loads(line) for line in data.splitlines()], offset + len(data)
+
+
+def journal(spark: SparkSession, index_path: str | Path) -> DataFrame:
+    """The commits as a table (JOURNAL), in no order; a bad line fails with its number, an unfinished last one is left out."""
+    paths = Paths(index_path)
+    found = lines.parsed(lines.numbered(spark, f"file://{paths.journal}"), JOURNAL)
+    if not _ends_well(paths.journal):
+        found = found.join(F.broadcast(lines.numbered(spark, f"file://{paths.journal}").agg(F.max("line").alias("last"))), F.col("line") < F.col("last"))
+    bad = found.where("problem is not null").orderBy("line").limit(1).collect()
+    if bad:
+        raise ValueError(f"journal line {bad[0].line} {bad[0].problem}")
+    return found.select("row.*").select(*JOURNAL.names)
+
+
+def _ends_well(path: Path) -> bool:
+    """Whether a file is empty or its last line has an end."""
+    with open(path, "rb") as f:
+        size = f.seek(0, os.SEEK_END)
+        f.seek(max(0, size - 1))
+        return size == 0 or f.read(1) == b"\n"
 
 
 def manifest(spark: SparkSession, index_path: str | Path) -> DataFrame:
@@ -153,42 +179,114 @@ def _stored(spark: SparkSession, paths: Paths) -> DataFrame:
 
 
 def _committed(spark: SparkSession, paths: Paths) -> DataFrame:
-    commits = [(c["model_id"], c["start"]) for c in read_journal(paths.journal)]
-    return _stored(spark, paths).join(few(spark.createDataFrame(commits, "model_id string, start long")), ["model_id", "start"], "left_semi")
+    return _stored(spark, paths).join(few(journal(spark, paths.root).select("model_id", "start")), ["model_id", "start"], "left_semi")
 
 
-def digest(stretches: DataFrame) -> DataFrame:
-    """(model_id, start, rows, lowest, highest, valid, errors, dimensions, sha256) of each stretch of rows; the digest goes by their content, in the order of ordinals."""
-    piece = F.to_json(F.struct("ordinal", "state", "embedding")).cast("binary")
-    s = F.col("state")
-    return stretches.groupBy("model_id", "start").agg(
-        F.count("*").alias("rows"), F.min("ordinal").alias("lowest"), F.max("ordinal").alias("highest"), F.count_if(s == VALID).alias("valid"), F.count_if(s == DECODE_ERROR).alias("errors"),
-        F.collect_set(F.size("embedding")).alias("dimensions"), digests.in_order(piece, F.col("ordinal")).alias("sha256"),
-    )
+_LOOKED = ", found BOOLEAN, size_now BIGINT, file_now STRING, rows_now STRING, odd BIGINT, long BIGINT"
 
 
-def commit_stretches(spark: SparkSession, paths: Paths, meta: dict[str, Any], encoded: DataFrame, model_id: str, begin: int, end: int, size: int) -> None:
-    """Write rows [begin, end) of a model in stretches of size, have them reach the disk, then their lines in the journal, then the metadata."""
-    start = (F.lit(begin) + F.floor((F.col("ordinal") - begin) / size) * size).cast("long")
-    columns = [c.split(" ")[0] for c in _ROW.split(", ") if not c.startswith("model_id ")]
-    folder = paths.rows / f"model_id={model_id}"
-    encoded.select(*columns, start.alias("start")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("start").parquet(f"file://{folder}")
-    written = _stored(spark, paths).where((F.col("model_id") == model_id) & (F.col("start") >= begin) & (F.col("start") < end))
-    found = {r.start: r for r in digest(written).collect()}  # a row for each stretch of this job
-    sequence = sum(c["model_id"] == model_id for c in read_journal(paths.journal))
+def examined(commits: DataFrame, index_path: str | Path, full: bool) -> DataFrame:
+    """commits (JOURNAL) with what the executors find where each one's file should be.
+
+    found and size_now, always; file_now, the digest of its bytes, if full or if its seal has changed;
+    rows_now, odd and long, if full: the digest of its rows, and how many vectors aren't finite or of length one.
+    """
+    rows_folder, names = Paths(index_path).rows, commits.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for c in b.to_pylist():
+                path = rows_folder / f"model_id={c['model_id']}" / f"start={c['start']}" / sink.FILE
+                now = dict.fromkeys(("size_now", "file_now", "rows_now", "odd", "long")) | {"found": path.is_file()}
+                if now["found"]:
+                    seal = digests.seal(path)
+                    now["size_now"] = seal["size"]
+                    if full or any(seal[n] != c[n] for n in ("mtime_ns", "ctime_ns", "inode")):
+                        now["file_now"] = digests.of_file(path)
+                    if full and now["file_now"] == c["file_sha256"]:  # what isn't the file that was sealed may be no Parquet
+                        t = sink.tally(path)
+                        now |= {"rows_now": t.digest(), "odd": t.odd, "long": t.long}
+                out.append(c | now)
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
+
+    kinds = {"found": pa.bool_(), "file_now": pa.string(), "rows_now": pa.string()}
+    arrow = pa.schema([*to_arrow_schema(commits.schema), *((n, kinds.get(n, pa.int64())) for n in ("found", "size_now", "file_now", "rows_now", "odd", "long"))])
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in commits.schema) + _LOOKED
+    return commits.repartition(4 * commits.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, shape).select(*names, "found", "size_now", "file_now", "rows_now", "odd", "long")
+
+
+def faulty(looked: DataFrame) -> DataFrame:
+    """examined() commits that something is wrong with, with ``fault``."""
+    name = F.format_string("rows/model_id=%s/start=%d/" + sink.FILE, "model_id", "start")
+    span = F.format_string("%s [%d, %d)", "model_id", "start", "end")
+    fault = (
+        F.when(~F.col("found"), F.concat(name, F.lit(" is missing")))
+        .when(F.col("size_now") != F.col("file_size"), F.concat(F.lit("size mismatch of "), name))
+        .when(F.col("file_now") != F.col("file_sha256"), F.concat(F.lit("hash mismatch of "), name))
+        .when(F.col("rows_now") != F.col("rows_sha256"), F.concat(F.lit("hash mismatch of rows of "), span))
+    )
+    return looked.withColumn("fault", fault).where("fault is not null")
+
+
+def _require_no_fault(looked: DataFrame) -> None:
+    bad = faulty(looked).agg(F.min_by("fault", F.struct("model_id", "start")).alias("first"), F.count("*").alias("n")).first()
+    if bad.n:
+        raise ValueError(bad.first + f" and {bad.n - 1} more" * (bad.n > 1))
+
+
+def leaves(commits: DataFrame, digest: str = "rows_sha256") -> DataFrame:
+    """(model_id, position, digest) of the stretches as leaves of a tree: their places are their numbers among the model's commits."""
+    return commits.select("model_id", F.col("sequence").cast("long").alias("position"), F.col(digest).alias("digest"))
+
+
+def stored_tree(spark: SparkSession, index_path: str | Path) -> DataFrame:
+    return spark.read.schema("model_id string, level int, position long, digest string").parquet(f"file://{Paths(index_path).tree}")
+
+
+def damaged(spark: SparkSession, index_path: str | Path) -> DataFrame:
+    """(model_id, start, end) of the ranges of ordinals whose stored rows aren't those that were committed.
+
+    Rows are digested anew into a tree, and the trees compared from the roots down.
+    """
+    commits = materialized(journal(spark, index_path))
+    now = materialized(examined(commits, index_path, True))
+    ours = merkle.tree(leaves(now.withColumn("rows_now", F.coalesce("rows_now", F.lit(""))), "rows_now"), ["model_id"])
+    other = merkle.differing(ours, stored_tree(spark, index_path), ["model_id"]).where("level = 0")
+    return commits.join(other.select("model_id", F.col("position").cast("int").alias("sequence")), ["model_id", "sequence"]).select("model_id", "start", "end")
+
+
+def verify_part(spark: SparkSession, index_path: str | Path, model_id: str, begin: int, end: int) -> int:
+    """Prove the stretches that hold ordinals [begin, end) of a model against the index's root, and return how many they are.
+
+    Only their files are read; the rest of the way to the root is the stored tree's, a few digests for each level.
+    """
+    paths, meta = Paths(index_path), load_metadata(Paths(index_path).metadata)
     own = meta["models"][model_id]
-    for at in range(begin, end, size):
-        stop, row = min(at + size, end), found.get(at)
-        if row is None or (row.rows, row.lowest, row.highest) != (stop - at, at, stop - 1) or row.valid + row.errors != row.rows:
-            raise RuntimeError(f"encoder returned other rows than asked for: {model_id} [{at}, {stop})")
-        sizes = {d for d in row.dimensions if d and d > 0} | ({own["dimension"]} if own["dimension"] else set())
-        if len(sizes) > 1:
-            raise RuntimeError(f"embeddings of {model_id} have several dimensions: {sorted(sizes)}")
-        for part in [*paths.stretch(model_id, at).glob("*.parquet"), paths.stretch(model_id, at), folder]:
-            digests.sync(part)
-        append_commit(paths.journal, {"sequence": sequence, "model_id": model_id, "start": at, "end": stop, "valid_count": row.valid, "error_count": row.errors, "rows_sha256": row.sha256, "committed_at": utc_now()})
-        sequence += 1
-        own |= {"dimension": next(iter(sizes), None), "committed_prefix": stop, "valid_count": own["valid_count"] + row.valid, "error_count": own["error_count"] + row.errors}
+    part = materialized(journal(spark, index_path).where((F.col("model_id") == model_id) & (F.col("start") < end) & (F.col("end") > begin)))
+    looked = materialized(examined(part, index_path, True))
+    _require_no_fault(looked)
+    nodes = stored_tree(spark, paths.root).where(F.col("model_id") == model_id)
+    height = nodes.agg(F.max("level")).first()[0]
+    mine = leaves(looked, "rows_now")
+    top = merkle.climbed(mine, merkle.proof(nodes, mine, ["model_id"]), ["model_id"], height).collect()
+    if [r.digest for r in top] != [own["rows_root"]]:
+        raise ValueError(f"rows of {model_id} [{begin}, {end}) don't lead to the root that the index names")
+    return part.count()
+
+
+def commit_stretches(spark: SparkSession, paths: Paths, meta: dict[str, Any], encoded: DataFrame, model_id: str, begin: int, end: int, size: int) -> None:
+    """Write rows [begin, end) of a model, which come stretch by stretch of size, one file each; then their lines in the journal, then the metadata.
+
+    The driver only reads the lines that this job added.
+    """
+    own, before = meta["models"][model_id], paths.journal.stat().st_size
+    (paths.rows / f"model_id={model_id}").mkdir(parents=True, exist_ok=True)
+    spark.dataSource.register(sink.StretchSink)
+    options = {"rows": paths.rows / f"model_id={model_id}", "journal": paths.journal, "model_id": model_id, "begin": begin, "end": end, "size": size, "dimension": own["dimension"] or "", "sequence": own["commits"]}
+    encoded.write.format("lodestar_stretches").options(**{k: str(v) for k, v in options.items()}).mode("append").save()
+    for c in new_commits(paths.journal, before)[0]:
+        own |= {"dimension": c["dimension"], "committed_prefix": c["end"], "commits": c["sequence"] + 1, "valid_count": own["valid_count"] + c["valid_count"], "error_count": own["error_count"] + c["error_count"]}
     meta["updated_at"] = utc_now()
     digests.write_json(paths.metadata, meta)
 
@@ -223,7 +321,7 @@ def start(spark: SparkSession, evidence: str | Path, index_path: str | Path, max
         shutil.rmtree(paths.root)
         raise ValueError("the evidence holds no image of a known type")
     paths.journal.touch()
-    model = {"dimension": None, "committed_prefix": 0, "valid_count": 0, "error_count": 0, "identity": None}
+    model = {"dimension": None, "committed_prefix": 0, "commits": 0, "valid_count": 0, "error_count": 0, "identity": None}
     meta = {
         "format": FORMAT, "version": VERSION, "build_id": os.urandom(16).hex(), "state": BUILDING, "created_at": utc_now(), "updated_at": utc_now(), "completed_at": None,
         "evidence_root": str(evidence), "max_images": max_images, "image_count": count, "manifest_sha256": digest_, "discovery_errors": spark.read.parquet(f"file://{paths.errors}").count(),
@@ -249,38 +347,30 @@ def reopen(spark: SparkSession, evidence: str | Path, index_path: str | Path, ma
     if digest_ != meta["manifest_sha256"]:
         raise ValueError("hash mismatch of the manifest")
     cut_unfinished_line(paths.journal)
-    commits = read_journal(paths.journal)
-    found = {(r.model_id, r.start): r for r in digest(_committed(spark, paths)).collect()}  # a row for each commit
+    commits = materialized(journal(spark, paths.root))
+    _require_no_fault(examined(commits, paths.root, True))
+    totals = {r.model_id: r for r in commit_totals(commits).collect()}  # a row for each model
     for model, own in meta["models"].items():
-        mine = [c for c in commits if c["model_id"] == model]
-        prefix = _prefix(mine, found, model)
-        if own["committed_prefix"] > prefix:
+        t = totals.get(model)
+        if t and not t.chain_ok:
+            raise ValueError(f"journal of {model} isn't a chain")
+        if own["committed_prefix"] > (t.committed_prefix if t else 0):
             raise ValueError(f"metadata is ahead of the journal for {model}")
-        own |= {"committed_prefix": prefix, "valid_count": sum(c["valid_count"] for c in mine), "error_count": sum(c["error_count"] for c in mine)}
+        if t:
+            own |= {"committed_prefix": t.committed_prefix, "commits": t.commits, "valid_count": t.valid, "error_count": t.errors}
     return meta
 
 
-def _prefix(commits: list[dict], found: dict, model: str) -> int:
-    """How far a model's commits reach; fails if they aren't a chain from 0 or their data isn't what they say."""
-    reached = 0
-    for i, c in enumerate(commits):
-        if c["sequence"] != i or c["start"] != reached or c["end"] <= c["start"]:
-            raise ValueError(f"journal of {model} isn't a chain at commit {i}")
-        row = found.get((model, c["start"]))
-        if row is None or row.sha256 != c["rows_sha256"] or row.rows != c["end"] - c["start"]:
-            raise ValueError(f"hash mismatch of rows of {model} [{c['start']}, {c['end']})")
-        reached = c["end"]
-    return reached
-
-
-def build(spark: SparkSession, evidence: str | Path, index_path: str | Path, factories: dict[str, Callable[[], images.Encoder]], checkpoint_rows: int = CHECKPOINT_ROWS, batch: int = 64, max_images: int | None = None, resume: bool = False, decoder=images.decode, progress: Callable[[str, int, int], None] = lambda phase, done, total: None, stretches: int = STRETCHES) -> Verified:
-    """Build or go on building an index, and verify it; progress hears after each commit how far a model is, and when it is done.
+def build(spark: SparkSession, evidence: str | Path, index_path: str | Path, factories: dict[str, Callable[[], images.Encoder]], checkpoint_rows: int = CHECKPOINT_ROWS, batch: int = 64, max_images: int | None = None, resume: bool = False, decoder=images.decode, progress: Callable[[str, int, int], None] = lambda phase, done, total: None, stretches: int | None = None) -> Verified:
+    """Build or go on building an index, and verify it; progress hears how far a model is, as its stretches are written, and when it is done.
 
-    One job encodes up to stretches stretches of checkpoint_rows; each is a commit of its own.
+    One job encodes up to stretches stretches of checkpoint_rows (as many as there are cores, and STRETCHES at
+    least), each in a task of its own and a commit of its own.
     """
     if list(factories) != list(MODELS):
         raise ValueError(f"encoders must be given in the order {', '.join(MODELS)}")
-    positive("checkpoint_rows", checkpoint_rows), positive("batch", batch), positive("stretches", stretches)
+    positive("checkpoint_rows", checkpoint_rows), positive("batch", batch)
+    at_once = positive("stretches", max(STRETCHES, spark.sparkContext.defaultParallelism) if stretches is None else stretches)
     meta = (reopen if resume else start)(spark, evidence, index_path, max_images)
     paths, listed = Paths(index_path), manifest(spark, index_path)
     seconds: dict[str, float] = {}
@@ -289,13 +379,14 @@ def build(spark: SparkSession, evidence: str | Path, index_path: str | Path, fac
         if own["identity"] is not None:
             digests.require_same(own["identity"], now, (*IDENTITY, "digest"))
         own["identity"] = now
-        span = checkpoint_rows * stretches
+        span = checkpoint_rows * at_once
         for begin in range(own["committed_prefix"], meta["image_count"], span):
             end = min(begin + span, meta["image_count"])
-            part = listed.where((F.col("ordinal") >= begin) & (F.col("ordinal") < end)).repartition(spark.sparkContext.defaultParallelism)
-            commit_stretches(spark, paths, meta, images.encode(part, factory, batch, decoder), model, begin, end, checkpoint_rows)
-            for at in range(begin, end, checkpoint_rows):
-                progress(f"index-{model}", min(at + checkpoint_rows, end), meta["image_count"])
+            of = ((F.col("ordinal") - begin) / checkpoint_rows).cast("int")
+            part = listed.where((F.col("ordinal") >= begin) & (F.col("ordinal") < end)).repartitionById(-(-(end - begin) // checkpoint_rows), of).sortWithinPartitions("ordinal")
+            places = [(paths.stretch(model, at) / sink.FILE, min(at + checkpoint_rows, end) - at) for at in range(begin, end, checkpoint_rows)]
+            with Watch(_written_since(places, time_ns()), lambda done: progress(f"index-{model}", begin + done, meta["image_count"])):  # noqa: B023 (it ends with the loop's turn)
+                commit_stretches(spark, paths, meta, images.encode(part, factory, batch, decoder), model, begin, end, checkpoint_rows)
         if not own["dimension"]:
             raise RuntimeError(f"no image could be decoded for {model}")
         seconds[model] = perf_counter() - began
@@ -305,15 +396,28 @@ def build(spark: SparkSession, evidence: str | Path, index_path: str | Path, fac
     return done
 
 
+def _written_since(places: list[tuple[Path, int]], began: int) -> Callable[[], int]:
+    """Counts the rows of a job's stretches that are in place: those whose files are newer than the job."""
+    done: set[Path] = set()
+
+    def count() -> int:
+        for path, _ in places:
+            if path not in done and path.is_file() and path.stat().st_mtime_ns >= began:
+                done.add(path)
+        return sum(rows for path, rows in places if path in done)
+
+    return count
+
+
 def finish(spark: SparkSession, index_path: str | Path) -> Verified:
-    """Check the evidence once more, seal the journal, verify everything, and only then call the index complete."""
+    """Check the evidence once more, seal the journal, write the tree of digests, verify everything, and only then call the index complete."""
     paths = Paths(index_path)
     require_evidence_unchanged(spark, index_path)
     meta = load_metadata(paths.metadata)
     meta["journal"] = {"size": paths.journal.stat().st_size, "sha256": digests.of_file(paths.journal), "seal": digests.seal(paths.journal)}
-    parts = sorted(paths.rows.rglob("*.parquet"))
-    hashes = digests.of_files(spark, [str(p) for p in parts])
-    meta["files"] = {str(p.relative_to(paths.root)): {"size": p.stat().st_size, "sha256": hashes[str(p)], "seal": digests.seal(p)} for p in parts}
+    merkle.tree(leaves(journal(spark, index_path)), ["model_id"]).write.mode("overwrite").parquet(f"file://{paths.tree}")
+    for r in merkle.roots(stored_tree(spark, index_path), ["model_id"]).collect():
+        meta["models"][r.model_id]["rows_root"] = r.digest
     digests.write_json(paths.metadata, meta)
     verify(spark, index_path, full=True)
     digests.write_json(paths.metadata, meta | {"state": COMPLETE, "completed_at": utc_now(), "updated_at": utc_now()})
@@ -345,16 +449,15 @@ def verify(spark: SparkSession, index_path: str | Path, full: bool = False, requ
     check("manifest rows", count == meta["image_count"], "the manifest has another number of rows than the metadata says")
     check("manifest hash", digest_ == meta["manifest_sha256"], "hash mismatch of the manifest")
     check("manifest ordinals", require_contiguous(manifest(spark, index_path)) == count, "the manifest's ordinals don't end where its rows do")
-    commits = read_journal(paths.journal)
-    journal = spark.createDataFrame([tuple(c[n] for n in COMMIT.names) for c in commits], COMMIT)
-    strangers = sorted(r.model_id for r in unknown_models(journal, list(MODELS)).collect())
+    commits = materialized(journal(spark, index_path))
+    strangers = sorted(r.model_id for r in unknown_models(commits, list(MODELS)).collect())
     check("journal models", not strangers, f"the journal names models that aren't known: {strangers}")
-    digests.require_all_sealed(spark, paths.root, meta.get("files", {}), full)
+    looked = materialized(examined(commits, index_path, full))
+    _require_no_fault(looked)
     checks.append(("sealed files", True, ""))
     held = rows(spark, index_path)
-    stored = {(r.model_id, r.start): r for r in digest(_committed(spark, paths)).collect()} if full else {}  # a row for each commit
     counts = {r.model_id: r for r in state_counts(held).collect()}
-    totals = {r.model_id: r for r in commit_totals(journal).collect()}
+    totals = {r.model_id: r for r in commit_totals(commits).collect()}
     for model, own in meta["models"].items():
         c, t = counts.get(model), totals.get(model)
         valid, errors = (c.valid, c.decode_errors) if c else (0, 0)
@@ -365,10 +468,11 @@ def verify(spark: SparkSession, index_path: str | Path, full: bool = False, requ
         check(f"{model} totals", not t or (t.valid, t.errors, t.committed_prefix) == (valid, errors, own["committed_prefix"]), f"the journal counts other rows of {model} than there are")
         if meta["state"] == COMPLETE:
             check(f"{model} whole", own["committed_prefix"] == count and not (c and c.pending), f"rows of {model} are missing from a COMPLETE index")
-        if full:
-            check(f"{model} journal replay", _prefix([x for x in commits if x["model_id"] == model], stored, model) == own["committed_prefix"], f"the journal of {model} ends elsewhere than the metadata says")
     if full:
-        good = norms(held.where(F.col("state") == VALID)).agg(F.count_if(~all_finite("embedding")).alias("odd"), F.count_if(~F.col("unit")).alias("long")).first()
+        now = {r.model_id: r for r in merkle.roots(merkle.tree(leaves(looked, "rows_now"), ["model_id"]), ["model_id"]).collect()}
+        for model, own in meta["models"].items():
+            check(f"{model} root", "rows_root" not in own or (model in now and now[model].digest == own["rows_root"]), f"rows of {model} have another root than the metadata says")
+        good = looked.agg(F.coalesce(F.sum("odd"), F.lit(0)).alias("odd"), F.coalesce(F.sum("long"), F.lit(0)).alias("long")).first()
         check("finite", not good.odd, "a vector isn't finite")
         check("unit length", not good.long, "a vector's length isn't one")
     check("discovery errors", spark.read.parquet(f"file://{paths.errors}").count() == meta["discovery_errors"], "another number of discovery errors than the metadata says")
@@ -378,6 +482,14 @@ def verify(spark: SparkSession, index_path: str | Path, full: bool = False, requ
     return Verified(paths.root, meta["state"], count, summary, meta, checks)
 
 
+def counts(spark: SparkSession, index_path: str | Path) -> DataFrame:
+    """(model_id, valid, decode_errors, pending, images, state) of what an index holds."""
+    images_ = manifest(spark, index_path).agg(F.count("*").alias("images"))  # one row
+    held = state_counts(rows(spark, index_path)).join(F.broadcast(images_))
+    left = F.col("images") - F.col("valid") - F.col("decode_errors")
+    return held.select("model_id", "valid", "decode_errors", left.alias("pending"), "images", F.lit(load_metadata(Paths(index_path).metadata)["state"]).alias("state"))
+
+
 def size_bytes(index_path: str | Path) -> int:
     """What the index takes on disk."""
     return sum(p.stat().st_size for p in Paths(index_path).root.rglob("*") if p.is_file())

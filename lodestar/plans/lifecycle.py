@@ -1,29 +1,30 @@
 """Registered queries over the life of an index: evidence, manifest, build, resume, verification, searches, reports.
 
-The evidence is a folder tree made of the nations: one file for each, in its region's
-folder, holding a shade (sources/shades.py); the files of some nations are broken.
+The evidence is a folder tree made of the suppliers: one file for each, in its region's and
+nation's folders, holding a shade (sources/shades.py); the files of some are broken.
 An index is built of it once for a session, part by part and with a resumption
 in between; the queries read what is on disk then.  SQL says what must be there.
 """
 
 from __future__ import annotations
 
-import csv
-from collections.abc import Callable
+import shutil
+from collections.abc import Callable, Iterator
 from pathlib import Path
 from urllib.parse import urlparse
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.functions.queries import Unchanged
 from lodestar.plans import index, search
-from lodestar.schemas import COMMIT, VALID
+from lodestar.schemas import VALID
 from lodestar.session import shared_dir
 from lodestar.sources import manifest, reports, shades, tree
 
 #: Rows of a stretch, how many each model and query keep, and how many count in the evaluation.
-STRETCH, KEPT, STRONG = 4, 9, 5
+STRETCH, KEPT, STRONG = 16, 9, 5
 TEXTS = ("bright", "dark")
 #: Shown instead of the folder that the evidence happens to lie in.
 SHOWN = "E:\\"
@@ -49,17 +50,27 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _folder(spark: SparkSession, sf_dir: str) -> Path:
-    """The folder with evidence/ of the nations, made once for a session and table."""
+    """The folder with evidence/ of the suppliers, made once for a session and table by the executors."""
     key = spark.sparkContext.applicationId, sf_dir
     if key not in _made:
         url = urlparse(shared_dir(spark))
         if url.scheme not in ("", "file"):
             raise ValueError(f"evidence is a folder tree: name the shared folder {url.geturl()} as a file: path")
         root = Path(url.path, "lodestar", f"life-{abs(hash(key)):016x}")
-        for n in spark.read.parquet(f"{sf_dir}/nation.parquet").collect():  # the table of nations has a fixed size
-            file = root / "evidence" / f"r{n.n_regionkey}" / f"{n.n_name}.png"
-            file.parent.mkdir(parents=True, exist_ok=True)
-            file.write_text("broken" if n.n_nationkey % 10 == 7 else str(10 * n.n_nationkey))
+
+        def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for r in b.to_pylist():
+                    file = root / "evidence" / r["path"]
+                    file.parent.mkdir(parents=True, exist_ok=True)
+                    file.write_text(r["content"])
+                yield b.select(["path"])
+
+        key_, nation = F.col("s_suppkey"), spark.read.parquet(f"{sf_dir}/nation.parquet")
+        path = F.format_string("r%d/n%d/%s.png", "n_regionkey", "n_nationkey", "s_name")
+        content = F.when(key_ % 10 == 7, "broken").otherwise((10 * (key_ % 26)).cast("string"))
+        suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"))  # 25 nations
+        suppliers.select(path.alias("path"), content.alias("content")).mapInArrow(write, "path string").agg(F.count("*")).collect()
         (root / "evidence/notes.txt").write_text("no image")
         _made[key] = root
     return _made[key]
@@ -76,18 +87,18 @@ def _index(spark: SparkSession, sf_dir: str) -> Path:
             if len(seen) == 2:
                 raise InterruptedError
 
-        build = lambda **more: index.build(spark, root / "evidence", root / "index", shades.FACTORIES, STRETCH, 3, decoder=shades.decode, stretches=2, **more)
+        build = lambda **more: index.build(spark, root / "evidence", root / "index", shades.FACTORIES, STRETCH, 3, decoder=shades.decode, **more)
         try:
-            build(progress=once)
+            build(progress=once, stretches=2)
         except InterruptedError:
             build(resume=True)
     return root / "index"
 
 
 _FILES = f"""
-    WITH files AS (SELECT n_nationkey AS nation, 'r' || n_regionkey || '/' || n_name || '.png' AS path, n_nationkey % 10 <> 7 AS fine,
-                          CASE WHEN n_nationkey % 10 = 7 THEN 'broken' ELSE (10 * n_nationkey)::VARCHAR END AS content,
-                          (10 * n_nationkey)::DOUBLE AS shade, row_number() OVER (ORDER BY 'r' || n_regionkey, lower(n_name || '.png'), n_name) - 1 AS ordinal FROM nation),
+    WITH files AS (SELECT 'r' || n_regionkey || '/n' || n_nationkey || '/' || s_name || '.png' AS path, s_suppkey % 10 <> 7 AS fine,
+                          CASE WHEN s_suppkey % 10 = 7 THEN 'broken' ELSE (10 * (s_suppkey % 26))::VARCHAR END AS content, (10 * (s_suppkey % 26))::DOUBLE AS shade,
+                          row_number() OVER (ORDER BY 'r' || n_regionkey, 'n' || n_nationkey, lower(s_name || '.png'), s_name) - 1 AS ordinal FROM supplier JOIN nation ON s_nationkey = n_nationkey),
     models AS (SELECT * FROM (VALUES ('siglip2', 1.0::DOUBLE), ('clip', 2.0::DOUBLE)) m(model_id, depth)),
     queries AS (SELECT * FROM (VALUES ('q0001', 'bright', 0), ('q0002', 'dark', 1)) q(query_id, text, position)),
     vectors AS (SELECT model_id, ordinal, path, shade / sqrt(shade * shade + depth * depth * (255 - shade) * (255 - shade)) AS bright,
@@ -140,35 +151,60 @@ def life_index_rows(spark, d):
 @_query(_FILES + _COMMITTED + ' SELECT model_id, sequence, start, stop AS "end", valid_count, error_count FROM cuts, models')
 def life_journal(spark, d):
     """The journal of a build that was ended and resumed."""
-    commits = index.read_journal(index.Paths(_index(spark, d)).journal)
-    return spark.createDataFrame([tuple(c[n] for n in COMMIT.names) for c in commits], COMMIT).select("model_id", "sequence", "start", "end", "valid_count", "error_count")
+    return index.journal(spark, _index(spark, d)).select("model_id", "sequence", "start", "end", "valid_count", "error_count")
 
 
 @_query(_FILES + ", found AS (SELECT count(*) FILTER (fine) AS valid, count(*) FILTER (NOT fine) AS decode_errors, count(*) AS images FROM files) SELECT model_id, valid, decode_errors, 0::BIGINT AS pending, images, 'COMPLETE' AS state FROM found, models")
 def life_verified(spark, d):
-    """What a full verification counts."""
-    done = index.verify(spark, _index(spark, d), full=True, require_complete=True)
-    return spark.createDataFrame([(m, n["valid"], n["decode_errors"], n["pending"], done.image_count, done.state) for m, n in done.models.items()], "model_id string, valid long, decode_errors long, pending long, images long, state string")
+    """What an index holds that a full verification finds no fault in."""
+    path = _index(spark, d)
+    index.verify(spark, path, full=True, require_complete=True)
+    return index.counts(spark, path)
 
 
 @_query(_FILES + f" SELECT model_id, ordinal FROM models, files WHERE ordinal >= {2 * STRETCH}")
 def life_pending(spark, d):
     """What two committed stretches of each model leave to do."""
-    paths = index.Paths(_index(spark, d))
-    commits = [c for c in index.read_journal(paths.journal) if c["end"] <= 2 * STRETCH]
-    held = spark.createDataFrame([(c["model_id"], c["start"]) for c in commits], "model_id string, start long")
-    stored = index._stored(spark, paths).join(held, ["model_id", "start"], "left_semi")
-    return index.uncommitted(index.manifest(spark, paths.root), stored).select("model_id", "ordinal")
+    path = _index(spark, d)
+    held = index.journal(spark, path).where(F.col("end") <= 2 * STRETCH).select("model_id", "start")
+    stored = index._stored(spark, index.Paths(path)).join(held, ["model_id", "start"], "left_semi")
+    return index.uncommitted(index.manifest(spark, path), stored).select("model_id", "ordinal")
+
+
+_SPAN = f"(SELECT min(start) FROM cuts WHERE start >= {STRETCH} OR start = (SELECT max(start) FROM cuts))"
+
+
+@_query(_FILES + _COMMITTED + f""" SELECT 'clip' AS model_id, start, stop AS "end" FROM cuts WHERE start = {_SPAN}""")
+def life_damaged(spark, d):
+    """The range of ordinals that a byte flipped in one of an index's files belongs to, found by the tree of digests."""
+    path = _index(spark, d)
+    copy = path.parent / "damaged"
+    if not copy.exists():
+        shutil.copytree(path, copy)
+        files = {int(p.parent.name.removeprefix("start=")): p for p in (copy / "rows/model_id=clip").glob("start=*/*.parquet")}
+        hurt = files[min(s for s in files if s >= STRETCH or s == max(files))]
+        data = bytearray(hurt.read_bytes())
+        data[len(data) // 2] ^= 1
+        hurt.write_bytes(data)
+    return index.damaged(spark, copy)
+
+
+@_query(_FILES + _COMMITTED + f" SELECT model_id, count(*) AS stretches FROM cuts, models WHERE start < {3 * STRETCH} AND stop > {STRETCH} GROUP BY model_id")
+def life_proved(spark, d):
+    """How many stretches of a part of the ordinals are proved against the index's roots, by their own files and the tree."""
+    path = _index(spark, d)
+    span = index.journal(spark, path).where((F.col("start") < 3 * STRETCH) & (F.col("end") > STRETCH))
+    for model in shades.FACTORIES:
+        index.verify_part(spark, path, model, STRETCH, 3 * STRETCH)
+    return span.groupBy("model_id").agg(F.count("*").alias("stretches"))
 
 
 def _cells(spark: SparkSession, path: Path, columns: tuple[str, ...], drop: tuple[str, ...]) -> DataFrame:
-    """A report's cells as texts, as they stand in the file, which is as small as its K."""
-    with path.open(encoding="utf-8-sig", newline="") as f:
-        rows = list(csv.reader(f))
-    kept = [i for i, c in enumerate(columns) if c not in drop]
-    if tuple(rows[0]) != columns:
-        raise ValueError(f"columns of {path.name}: {rows[0]}")
-    return spark.createDataFrame([tuple(r[i] for i in kept) for r in rows[1:]], ", ".join(f"{columns[i]} string" for i in kept))
+    """A report's cells as texts, as they stand in the file."""
+    found = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(f"file://{path}")
+    if tuple(found.columns) != columns:
+        raise ValueError(f"columns of {path.name}: {found.columns}")
+    return found.select(*[F.coalesce(c, F.lit("")).alias(c) for c in columns if c not in drop])
 
 
 def _searched(spark: SparkSession, d: str, direct: bool) -> Path:
@@ -235,7 +271,6 @@ def life_full_ranking(spark, d):
 @_query(_FILES + " SELECT model_id, count(*) AS images, count(*) * (SELECT count(*) FROM queries) AS expected FROM vectors GROUP BY model_id")
 def life_expected_rows(spark, d):
     """How many rows a full ranking of each model has."""
-    rows = index.rows(spark, _index(spark, d))
-    asked = spark.createDataFrame([(t,) for t in TEXTS], "text string")
-    found = [(m, rows.where((F.col("model_id") == m) & (F.col("state") == VALID)).count(), search.expected_rows(rows.where(F.col("model_id") == m), asked)) for m in shades.FACTORIES]
-    return spark.createDataFrame(found, "model_id string, images long, expected long")
+    rows = index.rows(spark, _index(spark, d)).where(F.col("state") == VALID)
+    asked = spark.createDataFrame([(t,) for t in TEXTS], "text string").agg(F.count("*").alias("queries"))  # one row
+    return rows.groupBy("model_id").agg(F.count("*").alias("images")).join(F.broadcast(asked)).select("model_id", "images", (F.col("images") * F.col("queries")).alias("expected"))

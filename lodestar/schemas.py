@@ -19,6 +19,8 @@ SCORES = _schema(model_id="string", query_id="string", file_id="long", score="do
 RANKED = _schema(model_id="string", query_id="string", file_id="long", score="double", rank="int")
 INDEX_ROWS = _schema(model_id="string", ordinal="long", state="byte", embedding="floats")
 COMMIT = _schema(sequence="int", model_id="string", start="long", end="long", valid_count="long", error_count="long", rows_sha256="string", committed_at="string")
+#: A line of an index's journal: the commit, and the seal of its file.
+JOURNAL = StructType([*COMMIT.fields, *_schema(file_size="long", file_sha256="string", mtime_ns="long", ctime_ns="long", inode="long").fields])
 PASSES = _schema(model_id="string", ordinal="long", status="string")
 
 #: States of an index row (fixed values).

@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,3 +63,40 @@ def materialized(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/lodestar/frame-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Watch:
+    """Hears, while a block runs, how far it is: hear(n) whenever count() has grown, from a thread that asks every so often, and once more at the end.
+
+    What hear() hears only ever grows.  If it raises, it hears no more, and the block's end raises the same.
+    """
+
+    def __init__(self, count: Callable[[], int], hear: Callable[[int], None], every: float = 0.5):
+        self.count, self.hear, self.every = count, hear, every
+        self.heard, self.fault, self.ended = 0, None, threading.Event()
+
+    def _ask(self) -> None:
+        try:
+            now = self.count()
+            if now > self.heard and self.fault is None:
+                self.heard = now
+                self.hear(now)
+        except BaseException as fault:  # it belongs to the block's thread
+            self.fault = fault
+
+    def _run(self) -> None:
+        while not self.ended.wait(self.every):
+            self._ask()
+
+    def __enter__(self) -> Watch:
+        self.thread = threading.Thread(target=self._run, daemon=True)
+        self.thread.start()
+        return self
+
+    def __exit__(self, kind, fault, trace) -> None:
+        self.ended.set()
+        self.thread.join()
+        if kind is None:
+            self._ask()
+            if self.fault is not None:
+                raise self.fault

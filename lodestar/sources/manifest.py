@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lodestar.functions.checks import require_contiguous
 from lodestar.functions.digests import of_file
 from lodestar.functions.paths import require_outside
 from lodestar.schemas import INDEX_MANIFEST, MANIFEST
+from lodestar.sources import lines
 
 
 def write(manifest: DataFrame, path: str, evidence: str | Path | None = None) -> None:
@@ -25,14 +25,21 @@ def write(manifest: DataFrame, path: str, evidence: str | Path | None = None) ->
     manifest.orderBy("ordinal").write.option("ignoreNullFields", "false").json(path)
 
 
+def faults(spark: SparkSession, path: str, schema: StructType = MANIFEST) -> DataFrame:
+    """(file, line, number, problem) of a manifest's lines that aren't of the schema, lack a value, or whose ordinal isn't their place; blank lines only count as lines."""
+    entries = lines.out_of_order(lines.parsed(lines.numbered(spark, path), schema), "ordinal")
+    return entries.where("problem is not null").select("file", "line", "number", "problem")
+
+
 def read(spark: SparkSession, path: str, schema: StructType = MANIFEST) -> DataFrame:
-    """A manifest (a folder or a file); fails on lines that aren't of the schema, missing values and gaps in the ordinals."""
+    """A manifest (a folder or a file); a line that isn't of the schema, lacks a value or is out of place fails with its number."""
     rows = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-    require_contiguous(rows)
-    whole = [F.col(f.name).isNotNull() for f in schema]
-    bad = rows.where(~_all(whole)).select("ordinal").limit(1).collect()
-    if bad:
-        raise ValueError(f"manifest row {bad[0].ordinal} lacks a value of {', '.join(schema.names)}")
+    entries = lines.parsed(lines.numbered(spark, path), schema)
+    plain = F.col("problem").isNull() & (F.col("row.ordinal") == F.col("number"))  # so it is where no line is blank
+    if not entries.agg(F.coalesce(F.bool_and(F.coalesce(plain, F.lit(False))), F.lit(True))).first()[0]:
+        bad = faults(spark, path, schema).orderBy("number").limit(1).collect()
+        if bad:
+            raise ValueError(f"manifest {Path(bad[0].file).name} line {bad[0].line} {bad[0].problem}")
     return rows
 
 
@@ -40,13 +47,6 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return read(spark, path, INDEX_MANIFEST)
 
 
-def _all(conditions):
-    out = F.lit(True)
-    for c in conditions:
-        out = out & c
-    return out
-
-
 def with_content_hash(manifest: DataFrame) -> DataFrame:
     """manifest with the SHA-256 of each file's bytes, read in pieces where the file lies; an unreadable file fails."""
     @F.pandas_udf("string")

@@ -6,13 +6,12 @@ import csv
 import io
 import json
 from collections.abc import Callable
-from datetime import datetime, timezone
 from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.functions.digests import atomic
+from lodestar.functions.digests import atomic, utc_now
 from lodestar.functions.paths import display
 from lodestar.operators.fusion import model_columns
 from lodestar.operators.relations import require_entries
@@ -24,10 +23,6 @@ FINAL = ("FilePath", "EvaluatorRank", "EvaluatorScore", "StrongQueryCount", "Bes
 ALL_RESULTS = ("FilePath", "Query", "SigLIP2Score", "Rank", "Model", "Revision")
 
 
-def utc_now() -> str:
-    return datetime.now(timezone.utc).isoformat(timespec="seconds")
-
-
 def audit_rows(fused: DataFrame, manifest: DataFrame, queries: DataFrame, models: dict[str, tuple[str, str | None]], stamp: str, display_root: str | None = None, checked: bool = True) -> DataFrame:
     """The audit report, a row for each fused candidate, with place and rank to sort by.
 

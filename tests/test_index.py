@@ -225,6 +225,96 @@ def test_many_stretches_in_one_job(spark, tmp_path):
         index.verify(spark, tmp_path / "ix")
 
 
+def test_one_file_for_each_stretch_and_no_drafts(spark, built):
+    folder, _ = built
+    files = sorted(p.relative_to(folder / "ix/rows").as_posix() for p in (folder / "ix/rows").rglob("*") if p.is_file())
+    assert files == [f"model_id={m}/start={s}/rows.parquet" for m in ("clip", "siglip2") for s in (0, 2)]
+    commits = index.journal(spark, folder / "ix").collect()
+    assert len(commits) == 4 and all(c.file_size > 0 and len(c.file_sha256) == len(c.rows_sha256) == 64 for c in commits)
+
+
+class Failing(fakes.Fake):
+    """Fails at one image, after others of the same stretch were written."""
+
+    def encode_images(self, images):
+        if 3 in images:
+            raise RuntimeError("out of memory")
+        return super().encode_images(images)
+
+
+def test_a_task_that_fails_leaves_nothing_that_counts(spark, tmp_path):
+    fakes.evidence(tmp_path / "e", (1, 2, 3, 4))
+    with pytest.raises(Exception, match="out of memory"):
+        index.build(spark, tmp_path / "e", tmp_path / "ix", {"siglip2": lambda: Failing("siglip2"), "clip": fakes.clip}, 4, 1, decoder=fakes.brightness)
+    assert not [p for p in (tmp_path / "ix/rows").rglob("*") if p.is_file()] and not (tmp_path / "ix/journal.jsonl").read_bytes()
+    assert index.build(spark, tmp_path / "e", tmp_path / "ix", fakes.FACTORIES, 4, 1, decoder=fakes.brightness, resume=True).state == "COMPLETE"
+
+
+def test_the_sink_refuses_stretches_that_are_not_whole(tmp_path):
+    import pyarrow as pa
+
+    from lodestar.sources import stretches
+
+    journal, rows = tmp_path / "j", tmp_path / "rows"
+    journal.touch(), rows.mkdir()
+    options = {"rows": rows, "journal": journal, "model_id": "clip", "begin": 0, "end": 4, "size": 2, "sequence": 0}
+
+    def batch(ordinals, vectors=None):
+        data = {"ordinal": ordinals, "state": [1] * len(ordinals), "embedding": vectors or [[1.0, 0.0]] * len(ordinals), "error_type": None, "message": None}
+        return pa.RecordBatch.from_pydict({k: pa.array(v if v is not None else [None] * len(ordinals), stretches.SCHEMA.field(k).type) for k, v in data.items()})
+
+    writer = stretches.StretchWriter({k: str(v) for k, v in options.items()})
+    good = writer.write(iter([batch([0]), batch([1, 2]), batch([3])]))
+    for bad in ([good.lines[0]], [good.lines[0], good.lines[0]], [good.lines[0], writer.write(iter([batch([3])])).lines[0]]):
+        with pytest.raises(RuntimeError, match="other rows"):
+            writer.commit([stretches.Stretches([dict(x) for x in bad])])
+    odd = writer.write(iter([batch([2, 3], [[1.0], [1.0]])]))
+    with pytest.raises(RuntimeError, match="several dimensions"):
+        writer.commit([stretches.Stretches([dict(good.lines[0])]), stretches.Stretches([dict(odd.lines[0])])])
+    assert not journal.read_bytes()
+    again = writer.write(iter([batch([0, 1, 2, 3])]))
+    assert [x["rows_sha256"] for x in again.lines] == [x["rows_sha256"] for x in good.lines]  # however rows come in batches
+    writer.commit([again, None])
+    assert [c["start"] for c in index.read_journal(journal)] == [0, 2]
+    t = stretches.tally(rows / "start=2/rows.parquet")
+    assert (t.rows, t.lowest, t.highest, t.odd, t.long, t.digest()) == (2, 2, 3, 0, 0, again.lines[1]["rows_sha256"])
+    wrong = stretches.Tally()
+    wrong.add(batch([0, 1, 2], [[float("nan"), 1.0], [2.0, 0.0], [0.0, 1.0]]))
+    assert (wrong.odd, wrong.long) == (1, 1)
+
+
+def test_damage_is_located_and_parts_are_proved(spark, tmp_path):
+    fakes.evidence(tmp_path / "e", range(1, 41))
+    index.build(spark, tmp_path / "e", tmp_path / "ix", fakes.FACTORIES, 2, 2, decoder=fakes.brightness)
+    assert index.damaged(spark, tmp_path / "ix").collect() == []
+    assert index.stored_tree(spark, tmp_path / "ix").where("model_id = 'clip'").groupBy("level").count().orderBy("level").collect() == [(0, 20), (1, 2), (2, 1)]
+    assert index.verify_part(spark, tmp_path / "ix", "clip", 5, 9) == 3
+    part = tmp_path / "ix/rows/model_id=clip/start=6/rows.parquet"
+    other = (tmp_path / "ix/rows/model_id=siglip2/start=6/rows.parquet").read_bytes()
+    part.write_bytes(other[:40] + b"x" + other[41:])
+    (tmp_path / "ix/rows/model_id=siglip2/start=38/rows.parquet").unlink()
+    assert sorted(map(tuple, index.damaged(spark, tmp_path / "ix").collect())) == [("clip", 6, 8), ("siglip2", 38, 40)]
+    assert index.verify_part(spark, tmp_path / "ix", "clip", 10, 40) == 15
+    with pytest.raises(ValueError, match="mismatch of rows/model_id=clip/start=6"):
+        index.verify_part(spark, tmp_path / "ix", "clip", 5, 9)
+    meta = json.loads((tmp_path / "ix/index.json").read_text())
+    meta["models"]["clip"]["rows_root"] = "0" * 64
+    (tmp_path / "ix/index.json").write_text(json.dumps(meta))
+    with pytest.raises(ValueError, match="root"):
+        index.verify_part(spark, tmp_path / "ix", "clip", 10, 12)
+
+
+def test_a_bad_line_of_the_journal_is_named(spark, tmp_path):
+    fakes.evidence(tmp_path / "e", (1, 2))
+    build(spark, tmp_path)
+    journal = tmp_path / "ix/journal.jsonl"
+    journal.write_text(journal.read_text() + '{"sequence": 1}\n')
+    with pytest.raises(ValueError, match="journal line 3 lacks model_id"):
+        index.journal(spark, tmp_path / "ix")
+    journal.write_text(journal.read_text().replace('{"sequence": 1}\n', '{"sequence": 1'))
+    assert index.journal(spark, tmp_path / "ix").count() == 2
+
+
 def test_a_full_ranking_in_parts(spark, built, tmp_path):
     heard = []
     count, _ = search.all_results(spark, built[0] / "e", tmp_path / "parts", QUERIES, fakes.siglip2, decoder=fakes.brightness, parts=True, progress=lambda *x: heard.append(x))
