@@ -32,7 +32,7 @@ def parser() -> argparse.ArgumentParser:
     build.add_argument("--batch-size", type=int, default=search.BATCH)
     build.add_argument("--checkpoint-rows", type=int, default=index.CHECKPOINT_ROWS)
     build.add_argument("--max-images", type=int)
-    build.add_argument("--stretches", type=int, default=index.STRETCHES, help="checkpoints that one job encodes")
+    build.add_argument("--stretches", type=int, help="checkpoints that one job encodes, each in a task (default: as many as there are cores)")
     verify = commands.add_parser("verify", help="check an index")
     verify.add_argument("--index", required=True)
     verify.add_argument("--full", action="store_true")
@@ -138,18 +138,25 @@ def require_device(device: str, module=None) -> None:
 def factories(name: str, device: str, names: dict[str, str | None] | None = None) -> dict:
     """A maker of each model's encoder, from module:function, which is given a model's name and revision where these are set.
 
-    A revision is set by the environment (SIGLIP2_REVISION, CLIP_REVISION), or pinned by the module's REVISIONS.
+    A revision is set by the environment or a .env file here (settings.REVISIONS), or pinned by the module's REVISIONS.
     """
     module, _, function = name.partition(":")
     found = importlib.import_module(module)
     require_device(device, found)
     pinned, out = getattr(found, "REVISIONS", {}), {}
     for m in MODELS:
-        more = {"name": (names or {}).get(m), "revision": settings.revision(f"{m.upper()}_REVISION", pinned.get(m))}
+        more = {"name": (names or {}).get(m), "revision": settings.revision(m, pinned.get(m))}
         out[m] = partial(getattr(found, function), m, device, **{k: v for k, v in more.items() if v})
     return out
 
 
+def banner(args: argparse.Namespace) -> str:
+    """What a command is about to do, a setting a line, before anything starts."""
+    shown = {k.replace("_", " "): v for k, v in vars(args).items() if k not in ("command", "min_percent", "reference_cos") and v not in (None, False)}
+    lines = [f"  {k}: {', '.join(v) if isinstance(v, list) else v}" for k, v in shown.items()]
+    return "\n".join([f"lodestar {args.command}", *lines])
+
+
 def main(argv: list[str] | None = None, spark=None) -> int:
     import sys
 
@@ -162,6 +169,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     args = top.parse_args(argv)
     if found := faults(args):
         top.error("; ".join(found))
+    print(banner(args), file=sys.stderr)
     spark = spark or build()
     if args.command == "verify":
         done = index.verify(spark, args.index, full=args.full)

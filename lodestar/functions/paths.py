@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import ntpath
+import sys
+from functools import cache
 from pathlib import Path
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,13 +15,33 @@ from pyspark.sql import functions as F
 EXTENSIONS = (".jpg", ".jpeg", ".png", ".bmp", ".webp", ".tif", ".tiff")
 
 
-def walk_key(path: Column) -> Column:
-    """Sorts relative paths as a walk meets them: in each directory the files first, then its directories, by (lower case, name).
+@cache
+def _folds() -> tuple[str, str, dict[str, str]]:
+    """What full case folding makes of single characters: those that become one other, what they become, and those that become several."""
+    folded = {c: c.casefold() for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, sys.maxunicode + 1)]) if c.casefold() != c}
+    single = {c: f for c, f in folded.items() if len(f) == 1}
+    return "".join(single), "".join(single.values()), {c: f for c, f in folded.items() if len(f) > 1}
+
+
+def fold(text: Column) -> Column:
+    """text under full Unicode case folding (sharp s becomes ss, final sigma sigma), which lower case isn't; all in Catalyst.
 
-    Equal to the discovery source's key where lower case and case folding agree (all of ASCII).
+    ASCII is put into lower case and that is all; of other texts single characters are
+    mapped, and only those with characters that become several are taken apart.
     """
+    before, after, several = _folds()
+    kinds = "".join(several)
+    ascii_ = F.translate(text, ascii_uppercase, ascii_lowercase)
+    single = F.translate(ascii_, before, after)
+    many = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+    apart = F.array_join(F.transform(F.split(single, ""), lambda c: F.coalesce(F.element_at(many, c), c)), "")
+    return F.when(text.rlike(r"^\p{ASCII}*$"), ascii_).when(single.rlike(f"[{kinds}]"), apart).otherwise(single)
+
+
+def walk_key(path: Column) -> Column:
+    """Sorts relative paths as a walk meets them: in each directory the files first, then its directories, by (case-folded name, name)."""
     parts = F.split(path, "/")
-    return F.transform(parts, lambda x, i: F.struct((i < F.size(parts) - 1).cast("int").alias("is_dir"), F.lower(x).alias("fold"), x.alias("name")))
+    return F.transform(parts, lambda x, i: F.struct((i < F.size(parts) - 1).cast("int").alias("is_dir"), fold(x).alias("fold"), x.alias("name")))
 
 
 def suffix(path: Column) -> Column:

@@ -23,7 +23,7 @@ class Query:
 
     def __post_init__(self):
         if not self.query_id:
-            raise ValueError("query_id must not be empty")
+            raise ValueError("a query needs an id")
         if not self.original_query.strip() or not self.model_query.strip():
             raise ValueError("query texts must not be blank")
 

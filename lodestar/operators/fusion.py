@@ -73,6 +73,25 @@ def fuse(ranked: DataFrame, rrf_constant: int = 60, models: Sequence[str] = tupl
     return _with_position(fused.withColumn("final_rank", F.row_number().over(order)), positions(queries, ranked.sparkSession))
 
 
+def fuse_many(ranked: DataFrame, models: DataFrame, rrf_constant: int = 60) -> DataFrame:
+    """ranked -> (file_id, query_id, models, best_rank, fusion_score, final_rank), for any number of models.
+
+    models (model_id, place) is their order; those that it doesn't name come after them, by id.  The
+    contributions to a file are added one by one in that order as sorted rows go by, as fuse() adds them, but
+    no list of a file's models is made anywhere: equal to it to the last bit.  Repeats of a model's
+    file are cut to the best before anything is sent.  final_rank counts by score, number of models, best rank and file_id.
+    """
+    non_negative("rrf_constant", rrf_constant)
+    best = checked_ranks(ranked).groupBy("file_id", "query_id", "model_id").agg(F.min("rank").alias("rank"))
+    placed = best.join(few(models.select("model_id", "place")), "model_id", "left")
+    keys = ("file_id", "query_id")
+    so_far = Window.partitionBy(*keys).orderBy(F.asc_nulls_last("place"), "model_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    added = placed.select(*keys, F.row_number().over(so_far).alias("models"), F.min("rank").over(so_far).alias("best_rank"), F.sum(F.lit(1.0) / (F.col("rank") + rrf_constant)).over(so_far).alias("fusion_score"))
+    whole = added.groupBy(*keys).agg(F.max_by(F.struct("models", "best_rank", "fusion_score"), "models").alias("last")).select(*keys, "last.*")
+    order = Window.partitionBy("query_id").orderBy(F.desc("fusion_score"), F.desc("models"), F.asc("best_rank"), F.asc("file_id"))
+    return whole.withColumn("final_rank", F.row_number().over(order))
+
+
 def model_columns(fused: DataFrame) -> DataFrame:
     """fused with a score and a rank column for each of MODELS, null where the model didn't rank the file."""
     named = {"siglip2_score": F.col("scores")["siglip2"], "clip_cos": F.col("scores")["clip"], "siglip2_rank": F.col("ranks")["siglip2"], "clip_rank": F.col("ranks")["clip"]}

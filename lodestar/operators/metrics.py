@@ -2,38 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestar.schemas import DECODE_ERROR, PENDING, VALID
 from lodestar.session import few
 
 
+def bitmaps(passes: DataFrame) -> DataFrame:
+    """passes (model_id, ordinal, status) -> (model_id, status, bucket, bits): the ordinals met, 32768 to a bucket, as bits.
+
+    They are made on the map side, so that what is shuffled doesn't grow with repeats, and can be
+    stored and merged with those of other passes.  Rows without an ordinal or status don't count.
+    """
+    o, call = F.col("ordinal"), F.call_function
+    made = call("bitmap_construct_agg", call("bitmap_bit_position", o)).alias("bits")
+    return passes.where("ordinal is not null and status is not null").groupBy("model_id", "status", call("bitmap_bucket_number", o).alias("bucket")).agg(made)
+
+
+def merged(bits: DataFrame, *keys: str) -> DataFrame:
+    """(keys, status, bucket, bits): bitmaps of many passes or models as those of all of them; an ordinal counts once, whichever met it."""
+    return bits.groupBy(*keys, "status", "bucket").agg(F.call_function("bitmap_or_agg", F.col("bits")).alias("bits"))
+
+
+def covered(bits: DataFrame, *keys: str) -> DataFrame:
+    """(keys, processed, decode_errors): how many ordinals merged() bitmaps hold, without a look at the passes."""
+    n = lambda s: F.coalesce(F.sum(F.when(F.col("status") == s, F.call_function("bitmap_count", F.col("bits")))), F.lit(0))
+    return merged(bits, *keys).groupBy(*keys).agg(n("processed").alias("processed"), n("decode_error").alias("decode_errors"))
+
+
+def record_pass(passes: DataFrame, path: str) -> None:
+    """Add a pass's bitmaps to those stored at path."""
+    bitmaps(passes).write.mode("append").parquet(path)
+
+
+def recorded(spark: SparkSession, path: str) -> DataFrame:
+    """The bitmaps of all passes stored at path."""
+    return spark.read.schema("model_id string, status string, bucket long, bits binary").parquet(path)
+
+
 def pass_metrics(passes: DataFrame) -> DataFrame:
     """passes (model_id, ordinal, status) -> distinct ordinals processed and failed, of each model."""
-    return passes.groupBy("model_id").agg(*_of_status())
+    return covered(bitmaps(passes), "model_id")
 
 
 def scan_metrics(passes: DataFrame) -> DataFrame:
     """The same over all models: an ordinal counts once, whichever passes met it."""
-    return passes.agg(*_of_status())
-
-
-def _of_status():
-    once = lambda s: F.count_distinct(F.when(F.col("status") == s, F.col("ordinal")))
-    return once("processed").alias("processed"), once("decode_error").alias("decode_errors")
+    return covered(bitmaps(passes))
 
 
 def bitmap_counts(passes: DataFrame) -> DataFrame:
-    """(model_id, status, ordinals): distinct ordinals by bitmaps, a fixed few kilobytes for every 32768 ordinals met.
-
-    The bitmaps of a bucket are made on the map side, so that what is shuffled doesn't grow with repeats.
-    """
-    o = F.col("ordinal")
-    bucket = F.call_function("bitmap_bucket_number", o)
-    bits = F.call_function("bitmap_construct_agg", F.call_function("bitmap_bit_position", o))
-    buckets = passes.groupBy("model_id", "status", bucket.alias("bucket")).agg(F.call_function("bitmap_count", bits).alias("n"))
-    return buckets.groupBy("model_id", "status").agg(F.sum("n").alias("ordinals"))
+    """(model_id, status, ordinals): distinct ordinals, by bitmaps."""
+    return bitmaps(passes).groupBy("model_id", "status").agg(F.sum(F.call_function("bitmap_count", F.col("bits"))).alias("ordinals"))
 
 
 def state_counts(rows: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions.checks import finite, positive
@@ -79,11 +79,14 @@ def search(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     A matrix product by Arrow batch; a batch's rows are cut to the best k at
     once, so that a task holds queries x k rows and emits no more.  Ties go to
-    the smaller file_id.  Query vectors are sent to all tasks in blocks of
-    QUERY_BYTES at most.
+    the smaller file_id.  Up to MOST_QUERIES query vectors are sent to all tasks, in blocks of
+    QUERY_BYTES at most; more of them go through grid(), and none through the driver.
     """
     positive("top_k", k)
-    asked = queries.select("model_id", "query_id", F.col("embedding").cast("array<double>")).collect()  # a few texts, not data
+    wanted = queries.select("model_id", "query_id", F.col("embedding").cast("array<double>"))
+    asked = wanted.limit(MOST_QUERIES + 1).collect()
+    if len(asked) > MOST_QUERIES:
+        return grid(index, queries, k)
     blocks, size = [[]], 0
     for q in asked:
         if blocks[-1] and size + 8 * len(q.embedding) > QUERY_BYTES:
@@ -98,6 +101,55 @@ def search(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return out
 
 
+#: Queries and items of a cell of the grid, queries whose scores a cell holds at a time, and cells' results that are merged at once.
+GRID_QUERIES, GRID_ITEMS, AT_ONCE, FAN = 4096, 1 << 15, 256, 16
+
+
+def grid(index: DataFrame, queries: DataFrame, k: int, query_rows: int = GRID_QUERIES, item_rows: int = GRID_ITEMS) -> DataFrame:
+    """The same for any number of queries: blocks of queries past blocks of items, each pair of blocks in a task of its own.
+
+    Rows of either side are dealt to blocks by their hashes, and a block is sent to each block of the
+    other side, so that no task holds more than one of each whatever model, file or vector is
+    common.  A cell keeps k for each of its queries; cells' results are merged FAN by FAN until one is left of each query.
+    """
+    positive("top_k", k), positive("query_rows", query_rows), positive("item_rows", item_rows)
+    most = lambda rows, size: -(-(rows.groupBy("model_id").count().agg(F.max("count")).first()[0] or 1) // size)
+    across, down = most(queries, query_rows), most(index, item_rows)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda n, *by: F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")
+    items = index.select("model_id", F.col("file_id").cast("long"), F.col("embedding").cast("array<double>"), dealt(down, "file_id").alias("row")).withColumn("column", every(across))
+    asked = queries.select("model_id", "query_id", F.col("embedding").cast("array<double>"), dealt(across, "query_id").alias("column")).withColumn("row", every(down))
+    cell = ["model_id", "row", "column"]
+
+    def run(held: pa.Table, wanted: pa.Table) -> pa.Table:
+        ids, rows, names, out = held["file_id"].to_numpy(), None, wanted["query_id"], {n: [] for n in ("query_id", "file_id", "score")}
+        if held.num_rows and wanted.num_rows:
+            rows, vectors = _normal(_matrix(held["embedding"].combine_chunks())), _normal(_matrix(wanted["embedding"].combine_chunks()))
+            by_id = np.argsort(ids, kind="stable")  # so that a stable sort by score leaves ties to the smaller id
+            ids, rows = ids[by_id], rows[by_id]
+            for at in range(0, len(vectors), AT_ONCE):
+                scores = rows @ vectors[at : at + AT_ONCE].T
+                for j in range(scores.shape[1]):
+                    own = scores[:, j]
+                    near = np.flatnonzero(own >= np.partition(own, len(own) - k)[len(own) - k]) if len(own) > k else np.arange(len(own))
+                    top = near[np.argsort(-own[near], kind="stable")[:k]]
+                    out["query_id"].append(pa.repeat(names[at + j], len(top)))
+                    out["file_id"].append(pa.array(ids[top]))
+                    out["score"].append(pa.array(own[top]))
+        kinds = {"query_id": pa.string(), "file_id": pa.int64(), "score": pa.float64()}
+        made = pa.table({n: pa.chunked_array(v, kinds[n]) for n, v in out.items()})
+        same = {n: pa.repeat((wanted if wanted.num_rows else held)[n][0], made.num_rows) for n in ("model_id", "row")}
+        return made.append_column("model_id", same["model_id"]).append_column("row", same["row"]).select(["model_id", "query_id", "file_id", "score", "row"])
+
+    best = items.groupBy(*cell).cogroup(asked.groupBy(*cell)).applyInArrow(run, "model_id string, query_id string, file_id long, score double, row int")
+    while down > FAN:
+        down = -(-down // FAN)
+        best = best.withColumn("row", F.floor(F.col("row") / FAN).cast("int"))
+        place = F.row_number().over(Window.partitionBy("model_id", "query_id", "row").orderBy(F.desc("score"), "file_id"))
+        best = best.withColumn("place", place).where(F.col("place") <= k).drop("place")
+    return best.drop("row")
+
+
 def _search_block(index: DataFrame, asked: list, k: int) -> DataFrame:
     by_model: dict[str, tuple[list[str], np.ndarray]] = {}
     for model in sorted({q.model_id for q in asked}):

@@ -22,6 +22,7 @@ from lodestar.schemas import MANIFEST, MODELS
 from lodestar.session import materialized, shared_dir
 from lodestar.sources import images, reports
 from lodestar.sources import manifest as manifests
+from lodestar.streaming import chain
 
 #: How many are kept: of the vectors, of the customers, and for the evaluation.
 K, K_ORDERS, K_STRONG = 50, 300, 100
@@ -136,6 +137,17 @@ def topk_per_model_query(spark, d):
     return _rounded(_top(spark, d), score=9)
 
 
+@_query(
+    "WITH" + _SQL_SCORES.replace("wanted AS (SELECT query_id, model_id, e FROM labels JOIN halves USING (file_id))", "wanted AS (SELECT 'v' || file_id AS query_id, model_id, e FROM halves)")
+    + " SELECT * FROM (SELECT model_id, query_id, file_id, round(score, 9) AS score, row_number() OVER (PARTITION BY model_id, query_id ORDER BY score DESC, file_id)::INTEGER AS rank FROM scores) WHERE rank <= 7"
+)
+def topk_many_queries(spark, d):
+    """Every vector as a query to all of its model: a grid of blocks of queries past blocks of items."""
+    rows = _index(spark, d)
+    asked = rows.select("model_id", F.concat(F.lit("v"), "file_id").alias("query_id"), "embedding")
+    return _rounded(ranking.top_k(similarity.grid(rows, asked, 7, 512, 128), 7), score=9)
+
+
 @_query("WITH" + _SQL_SCORES + _SQL_RANKED + " SELECT model_id, query_id, file_id, round(score, 9) AS score, rank FROM full_ranked")
 def full_ranking(spark, d):
     """All ranks, without limit."""
@@ -371,6 +383,35 @@ def resume_offset(spark, d):
     return metrics.beyond_prefix(_table(spark, d, "embeddings").select(F.col("vec_id").alias("ordinal")), commits)
 
 
+_SQL_STREAM = """commits AS (SELECT o_orderstatus AS model_id, (row_number() OVER w - 1)::INTEGER AS sequence, o_orderkey AS start, lead(o_orderkey, 1, o_orderkey + 1) OVER w AS stop, o_custkey % 7 AS valid FROM orders WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_orderkey)),
+    firsts AS (SELECT model_id, min(start) AS first FROM commits GROUP BY model_id),
+    moved AS (SELECT model_id, sequence, start - first AS start, stop - first AS stop, valid, CASE WHEN model_id = 'F' THEN 1000 WHEN model_id = 'O' THEN 5 END AS gap FROM commits JOIN firsts USING (model_id)),
+    given AS (SELECT *, coalesce(sequence < gap, TRUE) AS linked FROM moved WHERE coalesce(sequence <> gap, TRUE))"""
+
+
+@_query(
+    "WITH " + _SQL_STREAM + """ SELECT model_id, sequence, start, stop AS "end", linked, max(CASE WHEN linked THEN stop END) OVER w AS prefix, sum(CASE WHEN linked THEN valid ELSE 0 END) OVER w::BIGINT AS valid, 0::BIGINT AS errors
+    FROM given WINDOW w AS (PARTITION BY model_id ORDER BY sequence ROWS UNBOUNDED PRECEDING)"""
+)
+def journal_stream(spark, d):
+    """Commits as a stream, some files at a time: the orders of each status, two of which lack one, told by a state for each."""
+    order = Window.partitionBy("o_orderstatus").orderBy("o_orderkey")
+    commits = _table(spark, d, "orders").select(
+        F.col("o_orderstatus").alias("model_id"), (F.row_number().over(order) - 1).cast("int").alias("sequence"), F.col("o_orderkey").alias("start"), F.lead("o_orderkey").over(order).alias("next"),
+        (F.col("o_custkey") % 7).alias("valid_count"), F.lit(0).cast("long").alias("error_count"), F.lit("").alias("rows_sha256"), F.lit("").alias("committed_at"),
+    )
+    first = F.min("start").over(Window.partitionBy("model_id"))
+    moved = commits.withColumn("end", F.coalesce("next", F.col("start") + 1) - first).withColumn("start", F.col("start") - first).drop("next")
+    given = materialized(moved.where("not (model_id = 'F' and sequence = 1000) and not (model_id = 'O' and sequence = 5)"))
+    at = f"{shared_dir(spark)}/lodestar/stream-{uuid.uuid4().hex}"
+    third = max(1, -(-(given.agg(F.max("sequence")).first()[0] or 0) // 3))
+    for n in range(3):  # a journal that grows: files arrive in the order of sequences, and the stream goes on from its checkpoint
+        last = F.lit(True) if n == 2 else F.col("sequence") < (n + 1) * third
+        given.where((F.col("sequence") >= n * third) & last).write.mode("append").json(f"{at}/in")
+        chain.follow(spark, f"{at}/in", f"{at}/out", f"{at}/checkpoint")
+    return spark.read.schema(chain.LINKED).parquet(f"{at}/out")
+
+
 @_query("SELECT DISTINCT event_type AS model_id FROM events WHERE event_type NOT IN ('click', 'view')")
 def unknown_models(spark, d):
     """Names in a journal that aren't known."""
@@ -464,6 +505,21 @@ def dedupe_candidates(spark, d):
     return ranking.dedupe(top.unionByName(worse))
 
 
+_SQL_MANY = """scored AS (SELECT 'm' || o_orderkey % 211 AS model_id, o_orderpriority AS query_id, o_custkey AS file_id, (o_orderkey % 5000 + 1)::INTEGER AS rank, (o_orderkey % 211) * 37 % 211 AS place FROM orders),
+    once AS (SELECT model_id, query_id, file_id, min(rank) AS rank, any_value(place) AS place FROM scored GROUP BY ALL),
+    listed AS (SELECT file_id, query_id, list(rank ORDER BY place) AS ranks FROM once GROUP BY ALL),
+    summed AS (SELECT file_id, query_id, len(ranks)::INTEGER AS models, list_min(ranks) AS best_rank, list_reduce(list_transform(ranks, lambda r: 1.0::DOUBLE / (60 + r)), lambda a, x: a + x) AS fusion_score FROM listed)"""
+
+
+@_query("WITH " + _SQL_MANY + " SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fusion_score DESC, models DESC, best_rank, file_id)::INTEGER AS final_rank FROM summed")
+def fusion_of_many_models(spark, d):
+    """Ranks of 211 models fused without a list of them; scores to the last bit."""
+    key = F.col("o_orderkey")
+    given = _table(spark, d, "orders").select(F.concat(F.lit("m"), key % 211).alias("model_id"), F.col("o_orderpriority").alias("query_id"), F.col("o_custkey").alias("file_id"), F.lit(0.0).alias("score"), (key % 5000 + 1).cast("int").alias("rank"))
+    order = spark.range(211).select(F.concat(F.lit("m"), "id").alias("model_id"), (F.col("id") * 37 % 211).cast("int").alias("place"))
+    return fusion.fuse_many(given, order)
+
+
 @_query("SELECT file_id, query_id FROM (" + _SQL_ORDERS + " SELECT DISTINCT file_id, query_id FROM ranked)")
 def set_union(spark, d):
     """Keys that any model ranked."""
@@ -516,6 +572,22 @@ def dfs_order(spark, d):
     return ranking.ordinals(_paths(spark, d).select("path"), paths.walk_key(F.col("path")))
 
 
+_NAMES = ("Straße", "STRASSE", "strasse", "ÉTÉ", "été", "Οδός", "ΟΔΟΣ", "ﬁn", "FIN", "İz", "Ǆ", "ŉ")
+_SQL_FOLDED = f"""named AS (SELECT doc_id, ({list(_NAMES)})[doc_id % {len(_NAMES)} + 1] AS folder, ({list(_NAMES)})[doc_id * 7 % {len(_NAMES)} + 1] || doc_id // 50 AS name FROM documents),
+    texts AS (SELECT DISTINCT unnest([folder, name]) AS t FROM named),
+    folds AS (SELECT t, replace(replace(replace(replace(replace(replace(lower(replace(replace(t, 'İ', 'i̇'), 'Ǆ', 'ǆ')), 'ß', 'ss'), 'ς', 'σ'), 'ﬁ', 'fi'), 'ŉ', 'ʼn'), 'É', 'é'), 'Σ', 'σ') AS f FROM texts),
+    walked AS (SELECT folder || '/' || name AS path, a.f AS one, folder, b.f AS two, name FROM (SELECT DISTINCT folder, name FROM named) JOIN folds a ON a.t = folder JOIN folds b ON b.t = name)"""
+
+
+@_query("WITH " + _SQL_FOLDED + " SELECT row_number() OVER (ORDER BY one, folder, two, name) - 1 AS ordinal, path FROM walked")
+def folded_order(spark, d):
+    """Names outside ASCII in walk order, by full case folding: sharp s, final sigma, ligatures, dotted capitals."""
+    of = lambda n: F.element_at(F.array(*[F.lit(x) for x in _NAMES]), (n % len(_NAMES) + 1).cast("int"))
+    name = F.concat(of(F.col("doc_id") * 7), F.floor(F.col("doc_id") / 50).cast("string"))
+    found = _table(spark, d, "documents").select(F.concat_ws("/", of(F.col("doc_id")), name).alias("path")).distinct()
+    return ranking.ordinals(found, paths.walk_key(F.col("path")))
+
+
 @_query("WITH " + _SQL_PATHS + " SELECT path FROM walked WHERE ordinal < 100")
 def limit_discovery(spark, d):
     """The first hundred in walk order: the feature of a partial scan."""
@@ -572,6 +644,17 @@ def scan_metrics(spark, d):
     return metrics.scan_metrics(_table(spark, d, "events").select(F.lit("m").alias("model_id"), F.col("user_id").alias("ordinal"), kind.alias("status")))
 
 
+@_query("SELECT count(DISTINCT user_id) FILTER (event_type IN ('click', 'view')) AS processed, count(DISTINCT user_id) FILTER (event_type NOT IN ('click', 'view')) AS decode_errors FROM events")
+def coverage_over_passes(spark, d):
+    """The same from the stored bitmaps of one pass after another, a pass for each weekday; the events aren't looked at again."""
+    kind = F.when(F.col("event_type").isin("click", "view"), "processed").otherwise("decode_error")
+    seen = _table(spark, d, "events").select(F.col("event_type").alias("model_id"), F.col("user_id").alias("ordinal"), kind.alias("status"), (F.col("event_id") % 3).alias("pass"))
+    path = f"{shared_dir(spark)}/lodestar/passes-{uuid.uuid4().hex}"
+    for n in range(3):
+        metrics.record_pass(seen.where(F.col("pass") == n), path)
+    return metrics.covered(metrics.recorded(spark, path))
+
+
 @_query("SELECT event_type AS model_id, 'processed' AS status, count(DISTINCT user_id) AS ordinals FROM events GROUP BY event_type")
 def bitmap_counts(spark, d):
     """Distinct users of each event type, by bitmaps."""

@@ -213,7 +213,7 @@ def examined(commits: DataFrame, index_path: str | Path, full: bool) -> DataFram
     kinds = {"found": pa.bool_(), "file_now": pa.string(), "rows_now": pa.string()}
     arrow = pa.schema([*to_arrow_schema(commits.schema), *((n, kinds.get(n, pa.int64())) for n in ("found", "size_now", "file_now", "rows_now", "odd", "long"))])
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in commits.schema) + _LOOKED
-    return commits.repartition(4 * commits.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, shape).select(*names, "found", "size_now", "file_now", "rows_now", "odd", "long")
+    return commits.repartition(commits.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, shape).select(*names, "found", "size_now", "file_now", "rows_now", "odd", "long")
 
 
 def faulty(looked: DataFrame) -> DataFrame:

@@ -17,10 +17,10 @@ from lodestar.functions.paths import require_outside
 from lodestar.functions.queries import Query, frame
 from lodestar.operators import similarity
 from lodestar.operators.fusion import evaluate, fuse
-from lodestar.operators.metrics import pass_metrics, scan_metrics
+from lodestar.operators.metrics import bitmaps, covered
 from lodestar.operators.ranking import candidate_counts, full_ranking, top_k
 from lodestar.schemas import DECODE_ERROR, MODELS, VALID
-from lodestar.session import materialized
+from lodestar.session import Watch, materialized
 from lodestar.sources import images, manifest as manifests, reports, tree
 
 #: Defaults of the command line (fixed values).
@@ -144,10 +144,10 @@ def _names(encoders: dict[str, images.Encoder]) -> dict[str, tuple[str, str | No
 
 
 def _metrics(index: DataFrame) -> dict[str, dict[str, int]]:
-    seen = materialized(passes(index))
-    out = {r.model_id: {"processed": r.processed, "decode_errors": r.decode_errors} for r in pass_metrics(seen).collect()}
-    whole = scan_metrics(seen).first()
-    return out | {"any": {"processed": whole.processed, "decode_errors": whole.decode_errors}}
+    """Counts of each model and of any, all from the bitmaps of one scan."""
+    bits = materialized(bitmaps(passes(index)))
+    counts = lambda r: {"processed": r.processed, "decode_errors": r.decode_errors}
+    return {r.model_id: counts(r) for r in covered(bits, "model_id").collect()} | {"any": counts(covered(bits).first())}
 
 
 def direct(spark: SparkSession, evidence: str | Path, output: str | Path, queries: Sequence[Query], factories: dict[str, Callable[[], images.Encoder]], settings: Settings = Settings(), final_output: str | Path | None = None, max_images: int | None = None, batch: int = BATCH, decoder=images.decode, progress: Progress = _silent) -> Outcome:
@@ -155,7 +155,7 @@ def direct(spark: SparkSession, evidence: str | Path, output: str | Path, querie
 
     Next to output lie ``.manifest.jsonl`` and ``.errors.jsonl`` (folders of
     JSON lines).  Nothing is written into the evidence.  progress hears of
-    the phases: discovery, each model when it is done, ranking, reports.
+    the phases: discovery, each model while its tasks end and when it is done, ranking, reports.
     """
     output, final_output = Path(output), None if final_output is None else Path(final_output)
     listed, problems = (output.with_name(output.name + s) for s in (".manifest.jsonl", ".errors.jsonl"))
@@ -174,7 +174,9 @@ def direct(spark: SparkSession, evidence: str | Path, output: str | Path, querie
     asked = frame(spark, queries)
     index = None
     for model in MODELS:  # one model after another: only one is in an executor's memory at a time
-        own = materialized(images.encode(manifest, factories[model], batch, decoder))
+        done = images.counter(spark)
+        with Watch(lambda: images.counted(done), lambda n: progress(f"encoding-{model}", n, total)):  # noqa: B023 (it ends with the loop's turn)
+            own = materialized(images.encode(manifest, factories[model], batch, decoder, done))
         failed = own.where(F.col("state") == DECODE_ERROR).join(manifest, "ordinal").select("ordinal", "relative_path", "source_path", "error_type", "message")
         reports.write_errors(failed, f"file://{problems.resolve()}", "decode", model)
         progress(f"encoding-{model}-complete", own.count(), total)
@@ -240,8 +242,10 @@ def all_results(spark: SparkSession, evidence: str | Path, output: str | Path, q
         raise ValueError("the full ranking takes the first model only")
     found, _ = tree.discover(spark, evidence)
     manifest, asked = materialized(found.select("ordinal", "relative_path", "source_path")), frame(spark, queries)
-    encoded = materialized(images.encode(manifest, factory, batch, decoder))
-    progress(f"encoding-{encoder.model_id}-complete", encoded.count(), encoded.count())
+    done, total = images.counter(spark), manifest.count()
+    with Watch(lambda: images.counted(done), lambda n: progress(f"encoding-{encoder.model_id}", n, total)):
+        encoded = materialized(images.encode(manifest, factory, batch, decoder, done))
+    progress(f"encoding-{encoder.model_id}-complete", encoded.count(), total)
     ranked = full_ranking(similarity.score_pairs(valid_rows(encoded), _vectors(asked, {encoder.model_id: encoder})))
     rows = reports.all_results_rows(ranked, manifest, asked, getattr(encoder, "name", encoder.model_id), getattr(encoder, "revision", None), display_root)
     order, expected = ["_position", "Rank"], expected_rows(encoded, asked)

@@ -17,7 +17,8 @@ from typing import Any, Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Accumulator, AccumulatorParam, TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.schemas import DECODE_ERROR, VALID
@@ -82,23 +83,49 @@ def normalized(rows: DataFrame, vector: str, name: str) -> DataFrame:
     return rows.mapInArrow(run, kind)
 
 
-def encode(manifest: DataFrame, factory: Callable[[], Encoder], batch: int = 64, decoder: Callable[[bytes], Any] = decode) -> DataFrame:
+class _Largest(AccumulatorParam):
+    """Numbers by task, of which the largest counts: a task that runs twice adds nothing."""
+
+    def zero(self, value: dict[int, int]) -> dict[int, int]:
+        return {}
+
+    def addInPlace(self, a: dict[int, int], b: dict[int, int]) -> dict[int, int]:  # noqa: N802 (Spark's name)
+        for part, n in b.items():
+            a[part] = max(a.get(part, 0), n)
+        return a
+
+
+def counter(spark: SparkSession) -> Accumulator:
+    """What encode() counts rows in, task by task: a number for each."""
+    return spark.sparkContext.accumulator({}, _Largest())
+
+
+def counted(done: Accumulator) -> int:
+    """Rows of the tasks that have ended."""
+    return sum(dict(done.value).values())
+
+
+def encode(manifest: DataFrame, factory: Callable[[], Encoder], batch: int = 64, decoder: Callable[[bytes], Any] = decode, done: Accumulator | None = None) -> DataFrame:
     """manifest -> (model_id, ordinal, state, embedding, error_type, message): one row per file.
 
     Files of an index manifest (with sha256) are checked against it (a change
     ends the job) and decoded from the same bytes; of a plain manifest they are
     read as they are.  A broken image is a row in state DECODE_ERROR.  batch
     images are encoded together; the encoder is loaded once for each task.
+    done, a counter(), hears of a task's rows when it ends.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = factory()
+        encoder, seen = factory(), 0
         getattr(encoder, "load", lambda: None)()
         try:
             for b in batches:
                 rows = b.to_pylist()
                 for at in range(0, len(rows), batch):
                     yield _encoded(encoder, rows[at : at + batch], decoder)
+                seen += len(rows)
+            if done is not None:
+                done.add({TaskContext.get().partitionId(): seen})
         finally:
             getattr(encoder, "unload", lambda: None)()
 

@@ -46,6 +46,15 @@ def whole_number(settings: dict[str, str], key: str, default: int | None = None,
     return value
 
 
-def revision(key: str, default: str) -> str:
-    """A model's pinned revision, unless the environment names another."""
-    return os.environ.get(key, default)
+#: What names a model's revision, the first that is set (fixed values).
+REVISIONS = {"siglip2": ("SIGLIP2_REVISION",), "clip": ("OPENAI_CLIP_REVISION", "CLIP_REVISION")}
+
+
+def revision(model_id: str, default: str | None, env_file: str | Path = ".env") -> str | None:
+    """A model's revision: what the environment names, or else the settings file, if there is one, or else the pinned one."""
+    stated = read_env(env_file) if Path(env_file).is_file() else {}
+    for place in (os.environ, stated):
+        for key in REVISIONS[model_id]:
+            if place.get(key, "").strip():
+                return place[key].strip()
+    return default

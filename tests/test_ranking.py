@@ -69,6 +69,44 @@ def test_search_equals_scoring_every_pair(spark):
     assert fast == slow and all(len(v) == 10 for v in fast.values())
 
 
+@pytest.mark.parametrize("sizes", [(4096, 1 << 15), (7, 5), (1, 40)])
+def test_a_grid_equals_scoring_every_pair(spark, sizes):
+    """Blocks of any size, more of them than are merged at once, repeated vectors that tie, a model without items and one without queries."""
+    vector = F.array(F.sin(F.col("id") % 83), F.cos(F.col("id") % 83), (F.col("id") % 7).cast("double") + 1).cast("array<float>")
+    index = spark.range(200).select(F.when(F.col("id") < 190, "clip").otherwise("alone").alias("model_id"), F.col("id").alias("file_id"), vector.alias("embedding"))
+    queries = spark.range(23).select(F.when(F.col("id") < 20, "clip").otherwise("none").alias("model_id"), F.concat(F.lit("q"), "id").alias("query_id"), vector.alias("embedding"))
+    fast = by_query(ranking.top_k(similarity.grid(index, queries, 6, *sizes), 6))
+    slow = by_query(ranking.top_k(similarity.score_pairs(index, queries), 6))
+    assert fast == slow and len(fast) == 20 and all(len(v) == 6 for v in fast.values())
+    assert similarity.grid(index.limit(0), queries, 3).count() == 0 == similarity.grid(index, queries.limit(0), 3).count()
+
+
+def test_many_queries_go_through_the_grid(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "MOST_QUERIES", 3)
+    index = spark.range(50).select(F.lit("clip").alias("model_id"), F.col("id").alias("file_id"), F.array(F.sin("id"), F.cos("id")).alias("embedding"))
+    queries = index.where("file_id < 9").select("model_id", F.col("file_id").cast("string").alias("query_id"), "embedding")
+    found = similarity.search(index, queries, 4)
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    assert by_query(ranking.top_k(found, 4)) == by_query(ranking.top_k(similarity.score_pairs(index, queries), 4))
+
+
+def test_fusion_of_many_models_adds_in_order(spark):
+    import random
+
+    pick = random.Random(4)
+    rows = [(f"m{m:03d}", f"q{pick.randrange(3)}", pick.randrange(6), 0.0, pick.randrange(1, 400)) for m in range(300) for _ in range(4)]
+    order = [f"m{m:03d}" for m in pick.sample(range(300), 280)]
+    models = spark.createDataFrame([(m, i) for i, m in enumerate(order)], "model_id string, place int")
+    many = {(r.query_id, r.file_id): (r.fusion_score, r.final_rank) for r in fusion.fuse_many(ranked_rows(spark, rows), models).collect()}
+    one = {(r.query_id, r.file_id): r.fusion_score for r in fusion.fuse(ranked_rows(spark, rows), models=order).collect()}
+    assert {k: s for k, (s, _) in many.items()} == one  # to the last bit
+    assert "collect_list" not in fusion.fuse_many(ranked_rows(spark, rows), models)._jdf.queryExecution().optimizedPlan().toString()
+    for q in ("q0", "q1", "q2"):
+        mine = sorted((v for k, v in many.items() if k[0] == q), key=lambda v: v[1])
+        assert [r for _, r in mine] == list(range(1, len(mine) + 1)) and [s for s, _ in mine] == sorted((s for s, _ in mine), reverse=True)
+    assert fusion.fuse_many(ranked_rows(spark, []), models).count() == 0
+
+
 def ranked_rows(spark, rows):
     return spark.createDataFrame([(m, q, f, float(s), r) for m, q, f, s, r in rows], RANKED)
 

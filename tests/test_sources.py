@@ -1,4 +1,5 @@
 import csv
+import io
 import json
 
 import pytest
@@ -45,6 +46,113 @@ def test_manifest_round_trip_and_refusals(spark, tmp_path):
         manifest.read(spark, f"file://{tmp_path}/gap")
 
 
+def test_every_shape_of_tree_is_walked(spark, tmp_path, monkeypatch):
+    """A chain of folders, a folder of many folders, links, a folder that can't be read: in rounds, whatever a task's share."""
+    import os
+    from pathlib import Path
+
+    top, want = tmp_path / "e", set()
+    deep = top / "one"
+    for i in range(60):
+        deep = deep / f"d{i}"
+        deep.mkdir(parents=True)
+        (deep / "x.png").touch()
+        want.add(str(deep.relative_to(top) / "x.png"))
+    for i in range(150):
+        wide = top / "one/wide" / f"w{i}"
+        wide.mkdir(parents=True)
+        for name in ("a.JPG", "b.txt"):
+            (wide / name).touch()
+        want.add(f"one/wide/w{i}/a.JPG")
+    os.symlink(deep, top / "link")
+    os.symlink(deep / "x.png", top / "link.png")
+    gone = tree.Walk(str(top), (".png",), 99)
+    found = [r for b in gone(iter([tree.pa.RecordBatch.from_pydict({"folder": [str(top / "none"), str(deep)]})])) for r in b.to_pylist()]
+    assert {(Path(r["source_path"]).name, r["error_type"]) for r in found} == {("none", "FileNotFoundError"), ("x.png", None)}
+    for first, later in ((1 << 20, 1), (20, 50), (1, 7)):
+        monkeypatch.setattr(tree, "FIRST", first)
+        monkeypatch.setattr(tree, "LATER", later)
+        rows = tree.scan(spark, top).collect()
+        assert {r.relative_path for r in rows} == want and len(rows) == len(want)
+    share = [b.num_rows for b in tree.Walk(str(top), (".jpg",), 20)(iter([tree.pa.RecordBatch.from_pydict({"folder": [str(top / "one/wide")]})]))]
+    assert sum(share) == 150  # one folder's entries go to one task, what is in its folders to others
+
+
+def test_case_folding_of_every_character(spark):
+    import sys
+
+    every = "".join(chr(c) for c in range(1, sys.maxunicode + 1) if not 0xD800 <= c <= 0xDFFF and chr(c) != "/")
+    texts = [every[i : i + 997] for i in range(0, len(every), 997)] + ["Straße", "ΟΔΟΣ", "plain ASCII [x]", ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", paths.fold(F.col("t")).alias("f")).collect()
+    assert all(r.f == r.t.casefold() for r in rows)
+    names = ["ß/B", "SS/a", "ss.png", "Ss/ﬀ.png", "ς", "Σ/Z"]
+    keys = {r.p: [(k.is_dir, k.fold, k.name) for k in r.k] for r in spark.createDataFrame([(n,) for n in names], "p string").select("p", paths.walk_key(F.col("p")).alias("k")).collect()}
+    assert all(keys[n] == [(int(i < n.count("/")), p.casefold(), p) for i, p in enumerate(n.split("/"))] for n in names)
+
+
+def test_a_report_is_one_file_in_order_that_no_driver_wrote(spark, tmp_path):
+    rows = spark.range(1000).select(F.format_string("é\"%d\n", "id").alias("FilePath"), F.lit("q,x").alias("Query"), (F.col("id") / 7).alias("SigLIP2Score"), (F.col("id") * 389 % 1000).cast("int").alias("Rank"), F.lit("m").alias("Model"), F.lit(None).cast("string").alias("Revision")).repartition(7)
+    assert reports.write_csv(rows, reports.ALL_RESULTS, ["Rank"], tmp_path / "r.csv") == 1000
+    want = io.StringIO(newline="")
+    out = csv.writer(want)
+    out.writerow(reports.ALL_RESULTS)
+    for r in sorted(rows.collect(), key=lambda r: r.Rank):
+        out.writerow([r.FilePath, r.Query, f"{r.SigLIP2Score:.6f}", r.Rank, r.Model, ""])
+    assert (tmp_path / "r.csv").read_bytes() == want.getvalue().encode("utf-8-sig")
+    assert reports.write_csv(rows.limit(0), reports.ALL_RESULTS, ["Rank"], tmp_path / "e.csv") == 0
+    assert (tmp_path / "e.csv").read_bytes() == (",".join(reports.ALL_RESULTS) + "\r\n").encode("utf-8-sig")
+    with pytest.raises(Exception, match="no good"):
+        reports.write_csv(rows.withColumn("Rank", F.raise_error(F.lit("no good")).cast("int")), reports.ALL_RESULTS, ["Rank"], tmp_path / "x.csv")
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["e.csv", "r.csv"]
+
+
+def test_error_journal(spark, tmp_path):
+    path = f"file://{tmp_path}/errors"
+    journal = reports.ErrorJournal(spark, path)
+    with pytest.raises(RuntimeError, match="opened"):
+        journal.record("decode", "clip", "too early")
+    with journal:
+        assert (tmp_path / "errors/_SUCCESS").exists()
+        journal.record("decode", "clip", OSError("broken"))
+        journal.record("discovery", None, {"path": "/x", "error_type": "PermissionError", "tries": 2})
+        journal.record("decode", "siglip2", spark.createDataFrame([(3, "bad")], "ordinal long, message string"))
+    found = {(r.phase, r.model_id, r.message, r.path, r.ordinal) for r in spark.read.json(path).collect()}
+    assert found == {("decode", "clip", "broken", None, None), ("discovery", None, None, "/x", None), ("decode", "siglip2", "bad", None, 3)}
+
+
+def test_bitmaps_of_passes_are_merged_without_the_passes(spark, tmp_path):
+    import random
+
+    pick = random.Random(1)
+    path, seen = f"file://{tmp_path}/bits", set()
+    for n in range(3):
+        rows = [(pick.choice(["clip", "siglip2"]), pick.choice([pick.randrange(50), pick.randrange(200_000), None]), pick.choice(["processed", "decode_error", None])) for _ in range(400)]
+        metrics.record_pass(spark.createDataFrame(rows, "model_id string, ordinal long, status string"), path)
+        seen |= {r for r in rows if None not in r}
+    bits = metrics.recorded(spark, path)
+    count = lambda status, model=None: len({o for m, o, s in seen if s == status and model in (None, m)})
+    assert tuple(metrics.covered(bits).first()) == (count("processed"), count("decode_error"))
+    assert {r.model_id: (r.processed, r.decode_errors) for r in metrics.covered(bits, "model_id").collect()} == {m: (count("processed", m), count("decode_error", m)) for m in ("clip", "siglip2")}
+    assert tuple(metrics.scan_metrics(spark.createDataFrame([], "model_id string, ordinal long, status string")).first()) == (0, 0)
+
+
+def test_a_journal_is_followed_commit_by_commit(spark, tmp_path):
+    from lodestar.streaming import chain
+
+    def arrive(n, rows):
+        made = spark.createDataFrame([(m, s, a, b, b - a, 1, "x", "t") for m, s, a, b in rows], "model_id string, sequence int, start long, `end` long, valid_count long, error_count long, rows_sha256 string, committed_at string")
+        made.coalesce(1).write.mode("append").json(f"file://{tmp_path}/in")
+        assert chain.follow(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out", f"file://{tmp_path}/check") == n
+        return {(r.model_id, r.sequence, r.start): (r.linked, r.prefix, r.valid, r.errors) for r in spark.read.parquet(f"file://{tmp_path}/out").collect()}
+
+    arrive(1, [("clip", 1, 2, 5), ("clip", 0, 0, 2), ("siglip2", 0, 0, 4)])
+    found = arrive(1, [("clip", 2, 5, 6), ("siglip2", 1, 5, 6), ("siglip2", 2, 4, 5)])
+    assert found["clip", 2, 5] == (True, 6, 6, 3) and found["clip", 0, 0] == (True, 2, 2, 1)
+    assert found["siglip2", 1, 5] == (False, 4, 4, 1) and found["siglip2", 2, 4] == (False, 4, 4, 1)
+    assert arrive(1, [("clip", 2, 6, 7), ("clip", 3, 6, 7)])["clip", 2, 6] == (False, 6, 6, 3)  # a number that came before breaks it
+    assert len(found) == 6
+
+
 def test_contiguity_of_an_empty_manifest(spark):
     assert checks.require_contiguous(spark.createDataFrame([], "ordinal long")) == 0
 
