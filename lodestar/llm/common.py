@@ -44,6 +44,24 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
 
 
+#: A key counts as hot if it has more than HOT_ROWS rows and more than the HOT_KEYS-th part of all: of these there are no more than HOT_KEYS.
+HOT_ROWS, HOT_KEYS = 256, 10_000
+
+
+def spread(big: DataFrame, small: DataFrame, on: str, rows: str = "n") -> DataFrame:
+    """big with small's columns, by the key on, of which small has each once, with how many rows of big have it.
+
+    Rows of hot keys stay where they are and meet small's few rows of these there; only the
+    others are sent by their keys.  So no key's rows gather in one task, however many it has.
+    """
+    small = written(small, "small")
+    hot = F.col(rows) > max(HOT_ROWS, (small.agg(F.coalesce(F.sum(rows), F.lit(0))).first()[0]) // HOT_KEYS)
+    more = [c for c in small.columns if c not in (on, rows)]
+    marked = big.join(F.broadcast(small.where(hot).select(on, F.struct(F.lit(True).alias("__there"), *more).alias("__hot"))), on, "left")  # HOT_KEYS rows at most
+    met = marked.where("__hot is not null").select(*big.columns, *[F.col("__hot")[c].alias(c) for c in more])
+    return met.union(marked.where("__hot is null").drop("__hot").join(small.where(~hot).drop(rows), on).select(*met.columns))
+
+
 def arrow_rows(spark: SparkSession) -> None:
     """Bound what one Arrow batch of whole texts can hold.
 

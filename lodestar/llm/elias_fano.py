@@ -11,11 +11,17 @@ from __future__ import annotations
 import json
 import os
 import uuid
+from collections import OrderedDict
+from collections.abc import Callable
 from pathlib import Path
+from typing import Generic, TypeVar
 
 import numpy as np
 
+T = TypeVar("T")
 _U = np.uint64
+#: Files that a process keeps mapped in one table of shards.
+MOST_MAPPED = 128
 #: Values whose low bits are packed at a time; a multiple of 64 keeps their bits on byte boundaries.
 _PACKED = 1 << 16
 #: Each byte of a word: one, its highest bit, and masks of every other bit, pair and half.
@@ -175,3 +181,24 @@ def load(path: Path) -> dict[str, np.ndarray]:
         start = 8 + size + at
         out[name] = raw[start : start + count * np.dtype(kind).itemsize].view(kind)
     return out
+
+
+class Mapped(Generic[T]):
+    """Shards opened when they are asked for, of which the MOST_MAPPED last ones stay open.
+
+    A mapping keeps a file handle, and a process has a bounded number of these. Who looks up
+    many keys goes through them in the order of shards, and opens each once.
+    """
+
+    def __init__(self, opened: Callable[[int], T], most: int | None = None):
+        self.opened, self.most = opened, most
+        self.held: OrderedDict[int, T] = OrderedDict()
+
+    def __getitem__(self, shard: int) -> T:
+        if shard in self.held:
+            self.held.move_to_end(shard)
+        else:
+            while len(self.held) >= (self.most or MOST_MAPPED):
+                self.held.popitem(last=False)
+            self.held[shard] = self.opened(shard)
+        return self.held[shard]

@@ -27,8 +27,10 @@ from lodestar.session import few
 SIZES, BITS = (1, 4), 16
 #: Bound of the training sample: rows of each language.
 SAMPLE_ROWS = 400
+#: Bytes of n-gram bags that the training sample may have, shared evenly by the languages; each has one row at least.
+SAMPLE_BYTES = 64 << 20
 #: Languages that a table of logits may have (2^BITS rows of as many floats go to each worker); more are refused.
-MOST_LANGUAGES = 1024
+MOST_LANGUAGES = 256
 #: A sampled text's stretches of UNIT bytes are dealt to UNITS bags in turn, the training's units.
 UNIT, UNITS = 192, 4
 #: Bytes of a text's beginning that are a unit as well, for texts of a few words.
@@ -103,35 +105,48 @@ def fit(rows: list[tuple[str, list[tuple[np.ndarray, np.ndarray]]]], seed: int =
     return out
 
 
-def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Language:
-    """Fit on up to sample_rows rows of each language whose crc32(doc_id as text) mod 5 is not 0.
+def sampled(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """(lang, hash, unit, buckets, counts): the bags that a training learns from, of up to sample_rows rows of each language.
 
-    The rows with the smallest hashes of id and text are taken, and all of their
-    texts; rows that are the same count once; null ids, languages and texts,
-    and texts without a letter, are left out.  lang, source and doc_id
-    never enter a prediction.
+    The rows with the smallest hashes of id and text are taken, and all of their texts, as
+    long as a language's bags stay within its share of sample_bytes; the first row is always taken. So what comes back
+    has sample_bytes at most and the bags of one row (1.6 MB, whatever its length) for each language.
     """
     arrow_rows(docs.sparkSession)
     usable = docs.where("doc_id is not null and lang is not null and text is not null").select("doc_id", "lang", "text").where(remainder("doc_id", 5) != 0)
     hashed = usable.withColumn("hash", F.xxhash64("doc_id", "text"))
     keys = hashed.select("lang", "hash").distinct()
     # about twice the rows wanted by their hashes alone, so that no task has all rows of a language
-    sizes = keys.groupBy("lang").agg(F.count("*").alias("n"))
+    sizes = written(keys.groupBy("lang").agg(F.count("*").alias("n")), "languages")
     if (several := sizes.limit(MOST_LANGUAGES + 1).count()) > MOST_LANGUAGES:
         raise ValueError(f"{several} languages or more are beyond MOST_LANGUAGES, {MOST_LANGUAGES}")
     near = keys.join(few(sizes), "lang").where(F.shiftrightunsigned("hash", 32) / float(1 << 32) * F.col("n") < 2 * sample_rows + 64)
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.shiftrightunsigned("hash", 1)))
-    keys = near.withColumn("turn", turn).where(F.col("turn") <= sample_rows).select("lang", "hash")
+    by_hash = Window.partitionBy("lang").orderBy(F.shiftrightunsigned("hash", 1), "hash")
+    keys = near.withColumn("turn", F.row_number().over(by_hash)).where(F.col("turn") <= sample_rows).select("lang", "hash")
     rows = hashed.join(written(keys, "sample"), ["lang", "hash"], "left_semi").dropDuplicates(["lang", "hash"])
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [(lang, h, units(data)) for lang, h, t in zip(b.column("lang").to_pylist(), b.column("hash").to_pylist(), b.column("text"), strict=True) if (data := letters(t.as_py()))]
-            one = [(lang, h, i, x.astype("<u2").tobytes(), n.astype("<u4").tobytes()) for lang, h, own in found for i, (x, n) in enumerate(own)]
-            if one:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*one, strict=True)], names=["lang", "hash", "unit", "buckets", "counts"])
+            for lang, h, t in zip(b.column("lang").to_pylist(), b.column("hash").to_pylist(), b.column("text"), strict=True):
+                if data := letters(t.as_py()):
+                    one = [(lang, h, i, x.astype("<u2").tobytes(), n.astype("<u4").tobytes()) for i, (x, n) in enumerate(units(data))]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*one, strict=True)], names=["lang", "hash", "unit", "buckets", "counts"])
+
+    made = written(rows.mapInArrow(bags, "lang string, hash long, unit long, buckets binary, counts binary"), "bags")
+    texts = made.groupBy("lang", "hash").agg(F.sum(F.length("buckets") + F.length("counts")).alias("bytes"))
+    so_far = texts.withColumn("turn", F.row_number().over(by_hash)).withColumn("bytes", F.sum("bytes").over(by_hash))  # sample_rows rows of a language at most
+    kept = so_far.where((F.col("turn") == 1) | (F.col("bytes") <= sample_bytes // max(several, 1))).select("lang", "hash")
+    return made.join(few(written(kept, "kept")), ["lang", "hash"], "left_semi")
+
 
-    found = rows.mapInArrow(bags, "lang string, hash long, unit long, buckets binary, counts binary").toArrow().to_pylist()  # bounded: see above
+def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Language:
+    """Fit on up to sample_rows rows of each language whose crc32(doc_id as text) mod 5 is not 0, of sample_bytes together (see sampled()).
+
+    Rows that are the same count once; null ids, languages and texts,
+    and texts without a letter, are left out.  lang, source and doc_id
+    never enter a prediction.
+    """
+    found = sampled(docs, sample_rows, sample_bytes).toArrow().to_pylist()  # of a bounded size: see there
     found.sort(key=lambda r: (r["hash"], r["lang"], r["unit"]))
     texts: dict = {}
     for r in found:

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm.common import arrow_rows, remainder, shared_dir, written
-from lodestar.llm.elias_fano import EliasFano, dump, load
+from lodestar.llm.elias_fano import EliasFano, Mapped, dump, load
 
 #: Bytes whose hashes are summed up in one go; a longer word is hashed in stretches of so many.
 TEXT_BYTES = 1 << 18
@@ -223,15 +223,16 @@ class Vocabulary:
 
     def __init__(self, folder: str, bits: int, firsts: np.ndarray):
         self.folder, self.bits, self.firsts = folder, bits, firsts
-        self._mapped: dict[int, tuple[EliasFano, np.ndarray]] = {}
+        self._mapped = Mapped(self._opened)
 
     def __reduce__(self):
         return Vocabulary, (self.folder, self.bits, self.firsts)
 
+    def _opened(self, s: int) -> tuple[EliasFano, np.ndarray]:
+        arrays = load(Path(self.folder, f"words-{s:08d}"))
+        return EliasFano.of(arrays, "values"), arrays["count"]
+
     def _shard(self, s: int) -> tuple[EliasFano, np.ndarray]:
-        if s not in self._mapped:
-            arrays = load(Path(self.folder, f"words-{s:08d}"))
-            self._mapped[s] = EliasFano.of(arrays, "values"), arrays["count"]
         return self._mapped[s]
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -350,11 +351,11 @@ class Grams:
 
 
 class Trie:
-    """The files of a folder, mapped when first used."""
+    """The files of a folder, mapped when used."""
 
     def __init__(self, folder: str, words: Vocabulary, stride: int):
         self.folder, self.words, self.stride = folder, words, stride
-        self._mapped: dict[int, Grams] = {}
+        self._mapped = Mapped(self._opened)
 
     def __reduce__(self):
         return Trie, (self.folder, self.words, self.stride)
@@ -366,12 +367,13 @@ class Trie:
             self.splits = Splits(self._directory["splits"], self.stride)
         return self._directory
 
+    def _opened(self, s: int) -> Grams:
+        return Grams(Path(self.folder, f"grams-{s:08d}"), self.stride)
+
     def _shard(self, s: int) -> Grams | None:
-        if s not in self._mapped:
-            there = self.directory["shards"]
-            at = np.searchsorted(there, s)
-            self._mapped[s] = Grams(Path(self.folder, f"grams-{s:08d}"), self.stride) if at < len(there) and there[at] == s else None
-        return self._mapped[s]
+        there = self.directory["shards"]
+        at = np.searchsorted(there, s)
+        return self._mapped[s] if at < len(there) and there[at] == s else None
 
     def _by_shard(self, shards: np.ndarray) -> Iterator[tuple[Grams, np.ndarray]]:
         order = np.argsort(shards, kind="stable")

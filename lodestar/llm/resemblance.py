@@ -38,10 +38,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import simhash
-from lodestar.llm.common import arrow_rows, shared_dir, written
+from lodestar.llm.common import arrow_rows, shared_dir, spread, written
 from lodestar.llm.components import components
 from lodestar.llm.elias_fano import dump, load
 from lodestar.llm.lm import word_hashes
+from lodestar.operators.ranking import ordinals
 from lodestar.session import few
 
 #: Words of a shingle and the least similarity of near-duplicates.
@@ -52,6 +53,8 @@ BANDS, ROWS = 16, 4
 ROUNDS = 2
 #: Texts of a key up to which its pairs become rows; the most texts and shingles that a block of larger ones has on average.
 PAIRS_UP_TO, BLOCK_TEXTS, BLOCK_SHINGLES = 32, 512, 1 << 19
+#: Blocks that one row of jobs compares a block with.
+RUN = 16
 #: Shingles of a file of sets. Two texts that can be similar lie in the same or in adjacent steps of the logarithm of their sizes.
 SHARD_SHINGLES, STEP = 1 << 21, -math.log(SIMILAR - 0.01)
 #: Pairs of members that share a shingle up to which they are counted one by one, and shingles of a matrix for the others.
@@ -156,10 +159,15 @@ def _open(rooted: DataFrame) -> DataFrame:
     return found.where("least.root <> high").select("key", "n", "least")
 
 
+def _opened(rooted: DataFrame) -> DataFrame:
+    """rooted with n and least of its keys, those of _open(); a key that very many texts share goes to no single task."""
+    return spread(rooted, _open(rooted).withColumn("rows", F.col("n")), "key", "rows")
+
+
 def _offers(shared: DataFrame, roots: DataFrame | None) -> DataFrame:
     """(u, v): each text outside the first cluster of a key, with the least text of such a cluster that most of its keys offer."""
     rooted = _rooted(shared, roots)
-    offered = rooted.join(_open(rooted), "key").where("root <> least.root").groupBy(F.col("digest").alias("u"), F.col("least.digest").alias("v")).count()
+    offered = _opened(rooted).where("root <> least.root").groupBy(F.col("digest").alias("u"), F.col("least.digest").alias("v")).count()
     return offered.groupBy("u").agg(F.max_by("v", F.struct("count", "v")).alias("v"))
 
 
@@ -221,6 +229,11 @@ def _reached(similar: np.ndarray, one: np.ndarray, other: np.ndarray) -> tuple[n
         one, other = rows, columns
 
 
+def _part(digests: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each digest: parts are ranges of their high 32 bits, as those of a key's blocks are, so that a block's sets lie in few files."""
+    return ((digests.view(_U) >> _U(32)) * _U(parts) >> _U(32)).astype(np.int64)
+
+
 def _sets(texts: DataFrame, shards: int) -> Callable[[np.ndarray], list[np.ndarray]]:
     """Write the shingles of texts (digest, text) as mapped files in the shared folder; what is returned finds them by digests, in any task."""
     folder = _folder(texts.sparkSession, "sets")
@@ -229,7 +242,7 @@ def _sets(texts: DataFrame, shards: int) -> Callable[[np.ndarray], list[np.ndarr
         for b in batches:
             digests = b.column("digest")
             found = [shingles(t.as_py()).view(np.int64) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([pa.array(digests.to_numpy(zero_copy_only=False) % shards, pa.int64()), digests, pa.array(found, pa.list_(pa.int64()))], names=["shard", "digest", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(_part(digests.to_numpy(zero_copy_only=False), shards), pa.int64()), digests, pa.array(found, pa.list_(pa.int64()))], names=["shard", "digest", "shingles"])
 
     def write(group: pa.Table) -> pa.Table:
         rows = group.sort_by("digest")
@@ -241,21 +254,59 @@ def _sets(texts: DataFrame, shards: int) -> Callable[[np.ndarray], list[np.ndarr
 
     def find(digests: np.ndarray) -> list[np.ndarray]:
         found: list[np.ndarray] = [np.zeros(0, _U)] * len(digests)
-        of = digests % shards
-        for s in np.unique(of):
+        of = _part(digests, shards)
+        for s in np.unique(of):  # one file is open at a time: sets are copied
             held, mine = load(Path(folder, str(s))), np.flatnonzero(of == s)
             for i, at in zip(mine, np.searchsorted(held["digest"], digests[mine]), strict=True):
-                found[i] = held["shingles"][held["end"][at - 1] if at else 0 : held["end"][at]]
+                found[i] = np.array(held["shingles"][held["end"][at - 1] if at else 0 : held["end"][at]])
         return found
 
     return find
 
 
+def _blocks(met: DataFrame) -> DataFrame:
+    """met (key, digest, size, root) -> (id, key, step, own, root, members): blocks of members, numbered in the order of keys, steps and clusters.
+
+    The members of a key are dealt to blocks by steps of their size and by ranges of their digests, so that none meets in one
+    task.  A cluster that could fill a good part of a block has blocks of its own (own), all others share theirs (root 0).
+    """
+    step = ["key", "step"]
+    placed = met.select("key", "digest", "size", "root", F.floor(F.log("size") / STEP).alias("step"))
+    groups = written(placed.groupBy(*step, "root").agg(F.count("*").alias("n"), F.sum("size").alias("s")), "groups")
+    large = F.greatest(F.col("n") / BLOCK_TEXTS, F.col("s") / BLOCK_SHINGLES) >= 0.25
+    owned = placed.join(few(groups.where(large).select(*step, "root", F.lit(True).alias("own"))), [*step, "root"], "left").withColumn("own", F.coalesce("own", F.lit(False)))
+    owned = owned.withColumn("root", F.when(F.col("own"), F.col("root")).otherwise(0))
+    kept = groups.withColumn("own", large).withColumn("root", F.when(large, F.col("root")).otherwise(0)).groupBy(*step, "own", "root")
+    parts = kept.agg(F.ceil(F.greatest(F.sum("n") / BLOCK_TEXTS, F.sum("s") / BLOCK_SHINGLES)).cast("long").alias("parts"))
+    part = F.shiftright(F.shiftrightunsigned("digest", 32) * F.col("parts"), 32)
+    blocks = owned.join(few(parts), [*step, "own", "root"]).groupBy(*step, "own", "root", part.alias("part")).agg(F.collect_list("digest").alias("members"))
+    return written(ordinals(blocks, *(F.col(c) for c in ("key", "step", "own", "root", "part")), name="id"), "blocks")
+
+
+def _jobs(blocks: DataFrame) -> DataFrame:
+    """(id, first, last): each block with ranges of the blocks that it has to be compared with, RUN of them at most; numbers only.
+
+    Those are the blocks from itself on of its key and step, and all of the next step; blocks of one cluster
+    alone aren't compared with each other, for their members hang together already.
+    """
+    step = ["key", "step"]
+    numbers = blocks.select("id", *step, "own", "root")
+    spans = numbers.groupBy(*step).agg(F.max("id").alias("end"))
+    mine = numbers.where("own").groupBy(*step, "root").agg(F.min("id").alias("begin"), F.max("id").alias("end"))
+    after = lambda t, *names: t.withColumn("step", F.col("step") - 1).toDF(*t.columns[: len(t.columns) - len(names)], *names)
+    found = numbers.join(spans, step).join(after(spans, "next"), step, "left").withColumn("end", F.coalesce("next", "end")).drop("next")
+    found = found.join(mine.toDF(*step, "root", "a", "b"), [*step, "root"], "left").join(after(mine, "c", "d"), [*step, "root"], "left")
+    span = lambda x, y: F.struct(x.alias("first"), y.alias("last"))
+    alone = F.when(F.col("c").isNull(), F.array(span(F.col("b") + 1, F.col("end")))).otherwise(F.array(span(F.col("b") + 1, F.col("c") - 1), span(F.col("d") + 1, F.col("end"))))
+    ranges = found.select("id", F.explode(F.when(F.col("own"), alone).otherwise(F.array(span(F.col("id"), F.col("end"))))).alias("r")).where("r.first <= r.last")
+    starts = ranges.select("id", F.explode(F.sequence("r.first", "r.last", F.lit(RUN))).alias("first"), F.col("r.last").alias("end"))
+    return starts.select("id", "first", F.least(F.col("first") + RUN - 1, F.col("end")).alias("last"))
+
+
 def _crowds(met: DataFrame, texts: DataFrame) -> DataFrame | None:
-    """(u, v): links that connect exactly the texts which paths of similar pairs within a key connect; None without members.
+    """(u, v): links that connect exactly the texts which paths of similar pairs within a key connect, beside the clusters that there are; None without members.
 
-    The members of a key are dealt to blocks by steps of their size and by hashes, so that none meets in one task, and
-    each block is compared with itself and with all others of its step and of the next.
+    Blocks lie in files by their numbers, and a task is given numbers: it compares one block with a run of others.
     """
     cores = met.sparkSession.sparkContext.defaultParallelism
     owners = met.select("digest", "size").distinct()
@@ -263,31 +314,37 @@ def _crowds(met: DataFrame, texts: DataFrame) -> DataFrame | None:
     if not n:
         return None
     find = _sets(texts.join(owners, "digest", "left_semi"), max(-(-total // SHARD_SHINGLES), min(-(-n // 64), 4 * cores)))
-    placed = met.select("key", "digest", "size", F.floor(F.log("size") / STEP).alias("step"))
-    parts = placed.groupBy("key", "step").agg(F.ceil(F.greatest(F.count("*") / BLOCK_TEXTS, F.sum("size") / BLOCK_SHINGLES)).alias("parts"))
-    blocks = placed.join(few(parts), ["key", "step"]).groupBy("key", "step", F.pmod(F.xxhash64("digest"), "parts").alias("part")).agg(F.collect_list("digest").alias("members"))
-    blocks = written(blocks, "blocks")
-    other = blocks.toDF("key", "next", "place", "others")
-    jobs = blocks.withColumn("next", F.explode(F.array("step", F.col("step") + 1))).join(other, ["key", "next"]).where("next > step or place >= part")
-    count = jobs.count()
-    jobs = jobs.select("members", "others", (F.expr("next = step and place = part")).alias("same")).repartition(max(1, min(count, max(4 * cores, count // 256))))
+    blocks, folder = _blocks(met), _folder(met.sparkSession, "blocks")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for members, others, same in zip(*(b.column(c) for c in ("members", "others", "same")), strict=True):
-                one, two = (np.array(x.as_py(), np.int64) for x in (members, others))
-                sets = find(one)
-                ends = _reached(matches(sets, sets if same.as_py() else find(two)), one, two)
-                u, v = (one, ends[0]) if same.as_py() else (np.concatenate([one, two]), np.concatenate(ends))
-                yield pa.RecordBatch.from_arrays([pa.array(u[u != v]), pa.array(v[u != v])], names=["u", "v"])
+            for number, members in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                dump(Path(folder, str(number)), {"digest": np.array(members.values, np.int64)})
+            yield b.select([0])
 
-    return written(jobs.mapInArrow(run, "u long, v long"), "crowds")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, one, sets = None, None, None
+        for b in batches:
+            for number, first, last in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if number != at:
+                    one = np.array(load(Path(folder, str(number)))["digest"])
+                    at, sets = number, find(one)
+                for other in range(first, last + 1):
+                    two = one if other == number else np.array(load(Path(folder, str(other)))["digest"])
+                    ends = _reached(matches(sets, sets if other == number else find(two)), one, two)
+                    u, v = (one, ends[0]) if other == number else (np.concatenate([one, two]), np.concatenate(ends))
+                    yield pa.RecordBatch.from_arrays([pa.array(u[u != v]), pa.array(v[u != v])], names=["u", "v"])
+
+    blocks.select("id", "members").mapInArrow(write, "id long").agg(F.count("*")).collect()
+    jobs = written(_jobs(blocks), "jobs")
+    tasks = max(1, min(jobs.count(), 16 * cores))
+    return written(jobs.repartition(tasks).mapInArrow(run, "u long, v long"), "crowds")
 
 
 def _rest(shared: DataFrame, roots: DataFrame | None, texts_of: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
     """(u, v): what links the similar texts that share a key and lie in different clusters; None if no key has any."""
     rooted = _rooted(shared, roots)
-    met = written(rooted.join(_open(rooted), "key"), "open")
+    met = written(_opened(rooted), "open")
     if met.isEmpty():
         return None
     pairs, crowded = written(_pairs(met.where(F.col("n") <= PAIRS_UP_TO)), "pairs"), met.where(F.col("n") > PAIRS_UP_TO)
@@ -370,8 +427,8 @@ def clusters(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tup
         return located(rows.select("file", "place", F.col(held).alias("text")), chosen.select("digest", "row.*"))
 
     keyed = sketches.select("digest", "size", "keys").dropDuplicates(["digest"]).select("digest", "size", F.explode("keys").alias("key"))
-    several = keyed.groupBy("key").count().where("count > 1").select("key")
-    shared = written(keyed.join(several, "key"), "shared")
+    several = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = written(spread(keyed, several, "key").select("digest", "size", "key"), "shared")
     linked = roots = None
     for turn in range(ROUNDS + 1):
         if turn < ROUNDS:
@@ -385,5 +442,7 @@ def clusters(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tup
         roots = written(components(linked), "roots")
     cluster = F.col("digest")
     if roots is not None:
-        sketches, cluster = sketches.join(roots.withColumnRenamed("u", "digest"), "digest", "left"), F.coalesce("root", "digest")
+        copies = sketches.groupBy("digest").agg(F.count("*").alias("n"))
+        owned = copies.join(roots.withColumnRenamed("u", "digest"), "digest", "left").select("digest", "n", F.coalesce("root", "digest").alias("cluster"))
+        sketches, cluster = spread(sketches, owned, "digest"), F.col("cluster")
     return rows, sketches.select("file", "place", cluster.alias("cluster"), "doc_id", "hash")

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import arrow_rows, written
+from lodestar.llm.common import arrow_rows, spread, written
 from lodestar.llm.components import components
 
 #: Generator polynomial of the binary Golay code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -186,9 +186,9 @@ def near_duplicates(docs: DataFrame, width: int = 3, text: str = "text", doc_id:
     smallest; repeated ids keep all their rows; further columns are ignored.
     """
     prints = written(fingerprints(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), width), "prints")
-    distinct = prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("least"))
+    distinct = prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     roots = components(links(distinct.select("fp")))
-    joined = distinct.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    joined = distinct.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     owners = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    owned = joined.join(owners, "root").select(F.col("fp").alias("fingerprint"), "component_id")
-    return prints.join(owned, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+    owned = joined.join(owners, "root").select(F.col("fp").alias("fingerprint"), "n", "component_id")
+    return spread(prints, owned, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")

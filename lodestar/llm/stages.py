@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import language, packing, resemblance, toxicity
-from lodestar.llm.common import table
+from lodestar.llm.common import spread, table
 
 
 def _own(name: str) -> str:
@@ -47,8 +47,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     rows, found = resemblance.clusters(docs)
     order = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "hash", "file", "place")
-    kept = found.groupBy("cluster").agg(F.min(order).alias("least"), F.count("*").alias("n")).where("n > 1").select("cluster", F.col("least.file").alias("f"), F.col("least.place").alias("p"))
-    gone = found.join(kept, "cluster").where("file <> f or place <> p").select("file", "place", F.lit(0).cast("long").alias("digest"))
+    kept = found.groupBy("cluster").agg(F.min(order).alias("least"), F.count("*").alias("n")).where("n > 1").select("cluster", "n", F.col("least.file").alias("f"), F.col("least.place").alias("p"))
+    gone = spread(found, kept, "cluster").where("file <> f or place <> p").select("file", "place", F.lit(0).cast("long").alias("digest"))
     return resemblance.located(rows, gone, without=True).drop("file", "place").toDF(*docs.columns)
 
 

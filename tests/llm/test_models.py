@@ -138,6 +138,28 @@ def test_long_texts_in_stretches_score_the_same(spark, monkeypatch):
     assert sums[50] == sums[3] == sums[10_000]
 
 
+def test_more_shards_than_files_that_may_be_open(spark, monkeypatch):
+    """Many hundreds of tiny shards, looked up by a process that may hold few of them open, score as one does."""
+    import resource
+
+    texts = {i: prose(i, 400) for i in range(40)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    many, one = lm.learn(docs, shard_words=4, shard_grams=16), lm.learn(docs)
+    assert len(many.trie.directory["shards"]) + 2**many.trie.words.bits > 350
+    monkeypatch.setattr(elias_fano, "MOST_MAPPED", 32)
+    batch = pa.RecordBatch.from_arrays([pa.array(list(texts)), pa.array(list(texts.values()))], names=["doc_id", "text"])
+    scores = lambda model: [x for block in lm._blocks(iter([batch])) for x in model.scores(block)[3].tolist()]
+    want, limits = scores(one), resource.getrlimit(resource.RLIMIT_NOFILE)
+    import os
+
+    resource.setrlimit(resource.RLIMIT_NOFILE, (max(map(int, os.listdir("/proc/self/fd"))) + 100, limits[1]))
+    try:
+        found = scores(many)
+    finally:
+        resource.setrlimit(resource.RLIMIT_NOFILE, limits)
+    assert np.allclose(found, want, atol=0.05 * 400) and len(many.trie._mapped.held) <= 32
+
+
 def test_lm_of_odd_documents(odd, empty):
     rows = lm.lm_scores(odd).collect()
     assert len(rows) == len(ODD) + 1 and all(r.n_tokens >= 1 and r.score <= 0 for r in rows)
@@ -262,6 +284,23 @@ def test_no_language_is_left_out(spark):
         language.fit([(f"{i}", [subword.bag(b"a", language.SIZES, language.BITS)] * 2) for i in range(language.MOST_LANGUAGES + 1)])
 
 
+def test_a_sample_of_long_texts_stays_within_its_bytes(spark):
+    """Long texts of random words: the driver is sent no more than it asks for, of every language something, and of short texts all."""
+    from pyspark.sql import functions as F
+
+    word = F.expr("array_join(transform(sequence(1, 6000), j -> substring(sha2(concat(id, ':', j), 256), 1, 9)), ' ')")
+    docs = spark.range(160).select(F.col("id").alias("doc_id"), word.alias("text"), F.concat(F.lit("l"), F.col("id") % 4).alias("lang")).repartition(4)
+    size = lambda df: sum(len(r.buckets) + len(r.counts) for r in df.collect())
+    whole = size(language.sampled(docs))
+    assert whole > 2 << 20
+    for most in (1 << 20, 1):
+        rows = language.sampled(docs, sample_bytes=most)
+        largest = max(r[0] for r in rows.groupBy("lang", "hash").agg(F.sum(F.length("buckets") + F.length("counts"))).select(F.col("sum((length(buckets) + length(counts)))")).collect())
+        assert size(rows) <= most + 4 * largest and rows.select("lang").distinct().count() == 4
+    few = docs.where("doc_id < 40").withColumn("text", F.substring("text", 1, 60))
+    assert language.sampled(few, sample_bytes=4 << 20).select("hash").distinct().count() == few.where("crc32(cast(doc_id as string)) % 5 <> 0").count()
+
+
 def toxic_corpus():
     bad = ["idiot", "moron", "scum"]
     texts, labels = [], []

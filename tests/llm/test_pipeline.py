@@ -1,6 +1,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lodestar.llm import language, resemblance, simhash, stages, toxicity
@@ -153,6 +154,52 @@ def test_a_crowded_key_makes_no_row_for_each_pair(spark, corpus, monkeypatch):
     assert made["shared"] == 300 and max(made.values()) <= 300, made
 
 
+def test_one_cluster_but_for_a_stray_is_not_compared_with_itself(spark, monkeypatch):
+    """Blocks and jobs of a crowd: every two members of different clusters and near sizes meet, those of a large cluster don't."""
+    import random
+
+    pick = random.Random(6)
+    monkeypatch.setattr(resemblance, "BLOCK_TEXTS", 20)
+    rows = [(key, pick.randrange(-(1 << 63), 1 << 63), pick.choice([50, 60, 61, 80, 400]), 7) for key in (1, 2) for _ in range(600)]
+    rows += [(1, 5, 55, 5)] + [(2, pick.randrange(-(1 << 63), 1 << 63), pick.choice([50, 61]), root) for root in range(100, 140)]
+    met = spark.createDataFrame(rows, "key long, digest long, size long, root long")
+    blocks = {r.id: r for r in resemblance._blocks(met).collect()}
+    jobs = resemblance._jobs(spark.createDataFrame(list(blocks.values()))).collect()
+    assert sorted(blocks) == list(range(len(blocks))) and sum(len(b.members) for b in blocks.values()) == len(rows)
+    assert max(len(b.members) for b in blocks.values()) < 60 and all(j.last - j.first < resemblance.RUN for j in jobs)
+    pairs = [(j.id, other) for j in jobs for other in range(j.first, j.last + 1)]
+    assert len(pairs) == len(set(pairs))
+    met_ = {frozenset((blocks[a].key, m, n)) for a, b in pairs for m in blocks[a].members for n in blocks[b].members}
+    steps = {d: (k, int(__import__("math").log(size) // resemblance.STEP), root) for k, d, size, root in rows}
+    for a in rows[::7] + rows[-41:]:
+        for b in rows[-41:]:
+            if a[0] == b[0] and a[1] != b[1] and a[3] != b[3] and abs(steps[a[1]][1] - steps[b[1]][1]) <= 1:
+                assert frozenset((a[0], a[1], b[1])) in met_
+    own = [b for b in blocks.values() if b.key == 1]
+    assert sum(blocks[a].key == 1 for a, _ in pairs) <= len(own) + 1  # in proportion to the members
+
+
+def test_most_of_all_rows_are_copies_and_share_no_task(spark, corpus):
+    """Of ten thousand copies in eight partitions no step joins more than its share in one."""
+    from lodestar.llm.common import spread
+
+    big = spark.range(12_000).select(F.when(F.col("id") < 10_000, 3).otherwise(F.col("id")).alias("cluster"), "id").repartition(8)
+    big.write.mode("overwrite").parquet(f"{corpus}/big")
+    big = spark.read.parquet(f"{corpus}/big")
+    small = big.groupBy("cluster").agg(F.count("*").alias("n"), F.min("id").alias("least")).where("cluster <> 10500")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    made = spread(big, small, "cluster")
+    assert sorted(map(tuple, made.collect())) == sorted((r.cluster, r.id, 0 if r.cluster == 3 else r.cluster) for r in big.where("cluster <> 10500").collect())
+    sizes = [r["count"] for r in made.groupBy(F.spark_partition_id()).count().collect()]
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert max(sizes) < 12_000 / 4
+    rows = [(i, "the very same text of a few words" if i % 10 else prose(i, 30), "en") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = stages.drop_near_duplicates(spark, docs, corpus)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted([1, *range(0, 3000, 10)])
+
+
 def test_sets_are_matched_as_one_by_one():
     words = prose(30, 120).split()
     texts = [" ".join([*words[: 3 * i], *(f"w{i % 7}x{j}" for j in range(i % 11)), *words[3 * i + i % 5 :]]) for i in range(38)] + [prose(31, 9)]
