@@ -380,3 +380,41 @@ def rebuilt(rows: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFrame:
 
 
 _TURNS = "conv_id long, part int, block long, place int, edit string, role string, text string"
+
+
+def repaired_sql() -> str:
+    """repaired(damaged(conversations)) in DuckDB's dialect: the same costs and edits as strings, from the last turn to the first."""
+    table = "list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END))"
+    data = "list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT)"
+    crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, {data}), lambda c, b: xor(t[xor(c, b) % 256 + 1], c // 256)), 4294967295) % 20"
+    best = lambda *found: f"list_min([{', '.join(found)}])"
+    made = lambda cost, letter, line, v: f"{{'c': {cost} + {v}.c, 'a': '{letter}' || {v}.a, 'l': {f'list_prepend({line}, {v}.l)' if line else f'{v}.l'}}}"
+    stays, cut = "fault IN (0, 3)", "CASE WHEN fault = 3 THEN 1 ELSE 0 END"
+    edited = []
+    for s in range(4):
+        keeps = "".join(f" WHEN {stays} AND left(role, 1) = '{i}' THEN {made(cut, 'K', chr(39) + chr(39) + ' || role || ' + chr(39) + ':' + chr(39) + ' || text', f'v{to}')}" for i, to in NEXT[s].items())
+        again = f"CASE WHEN {stays} THEN {made('2 + ' + cut, 'R', f'{chr(39)}{ROLE[s]}:{chr(39)} || text', f'v{AFTER[s]}')} END"
+        edited.append(f"{best(made('3', 'D', '', f'v{s}'), f'CASE{keeps} END', again)} AS w{s}")
+    insert = lambda s, v: made("2", "I", f"'{ROLE[s]}:'", v)
+    end = ", ".join(f"{{'c': {c}::BIGINT, 'a': '{a}', 'l': {lines}::VARCHAR[]}} AS v{s}" for s, (c, a, lines) in enumerate(((0, "", "[]"), (4, "II", "['user:', 'assistant:']"), (2, "I", "['assistant:']"), (0, "", "[]"))))
+    return f"""
+        WITH RECURSIVE tables AS (SELECT {table} AS t),
+        given AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc} AS f FROM conversations, tables),
+        harmed AS (SELECT conv_id, turn, CASE f WHEN 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                          unnest(CASE f WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) FROM given),
+        placed AS (SELECT conv_id, turn, role, text, row_number() OVER w AS i,
+                          right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS last, lag(left(role, 1)) OVER w || left(role, 1) AS pair
+                   FROM harmed WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+        turns AS (SELECT *, CASE WHEN last = '' THEN 1 WHEN i > min(i) OVER (PARTITION BY conv_id, role, text) THEN 2 WHEN last NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault FROM placed),
+        counted AS (SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+                           count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM turns GROUP BY conv_id),
+        steps AS (
+            SELECT conv_id, n AS i, {end} FROM counted
+            UNION ALL
+            SELECT conv_id, i - 1, {best("w0", insert(0, "u"))}, {best("w1", insert(1, "u"))}, u, {best("w3", insert(3, "w2"))}
+            FROM (SELECT *, {best("w2", insert(2, "w3"))} AS u FROM (
+                SELECT s.conv_id, s.i, {", ".join(edited)} FROM steps s JOIN turns t ON t.conv_id IS NOT DISTINCT FROM s.conv_id AND t.i = s.i WHERE s.i > 0)))
+        SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+               coalesce(v0.c, 0)::BIGINT AS cost, coalesce(v0.a, '') AS audit, sha256(coalesce(array_to_string(v0.l, chr(10)), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+        LEFT JOIN steps s ON s.conv_id IS NOT DISTINCT FROM o.conv_id AND s.i = 0"""

@@ -1,8 +1,8 @@
 """The queries of this package, with production parameters over whole tables.
 
-The exact search and the licence scan have SQL to agree with.  Fingerprints,
-trained models and tokenizers are beyond SQL, and approximate neighbours don't
-equal exact ones: their tests hold them against brute force.
+The exact searches, the licence scan and the repair of conversations have SQL to agree with.
+Fingerprints, trained models, tokenizers and trees of HTML are beyond SQL, and approximate
+neighbours don't equal exact ones: their tests hold them against brute force.
 """
 
 from __future__ import annotations
@@ -86,4 +86,5 @@ def oracle_sql() -> dict[str, str]:
             WHERE rank <= 5""",
         "op8_licenses": licenses.scan_sql(),
         "op11_ranked": lexical.ranked_sql(),
+        "op12_repair": conversations.repaired_sql(),
     }

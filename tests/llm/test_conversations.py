@@ -4,6 +4,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import pytest
 
 from lodestar.llm import conversations as c
@@ -126,6 +127,16 @@ def test_one_long_conversation_is_dealt_over_blocks_and_parts(spark):
     assert hashlib.sha256("\n".join(f"{t.role}:{t.text}" for t in turns).encode()).hexdigest() == expected(rows)[5][-1]
 
 
+def test_sql_agrees_on_odd_rows_and_the_whole_table(sf, odd):
+    with duckdb.connect() as con:
+        con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+        con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", odd)
+        assert {r[0]: tuple(r[1:]) for r in con.execute(c.repaired_sql()).fetchall()} == expected(odd)
+        con.execute(f"CREATE OR REPLACE TABLE conversations AS SELECT * FROM '{sf}/conversations.parquet'")
+        rows = con.execute("SELECT conv_id, turn, role, text FROM conversations").fetchall()
+        assert {r[0]: tuple(r[1:]) for r in con.execute(c.repaired_sql()).fetchall()} == expected(rows)
+
+
 def test_empty_table_and_whole_table(spark, sf):
     assert c.repaired(c.damaged(frame(spark, []))).collect() == []
     rows = spark.read.parquet(f"{sf}/conversations.parquet")
