@@ -191,8 +191,13 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     if args.direct:
         done = search.direct(spark, args.directory, args.output, queries, made, wanted, args.final_output, args.max_images, args.batch_size, progress=hear)
     else:
+        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = spark.conf.get(key)
         if args.chunk_rows:
-            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(args.chunk_rows))
-        done = search.indexed(spark, args.index, args.output, queries, made, wanted, args.final_output, progress=hear)
+            spark.conf.set(key, str(args.chunk_rows))
+        try:
+            done = search.indexed(spark, args.index, args.output, queries, made, wanted, args.final_output, progress=hear)
+        finally:
+            spark.conf.set(key, before)
     print(search.summary(done), f"in {duration(done.seconds['total'])}")
     return 0
