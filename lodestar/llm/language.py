@@ -155,7 +155,7 @@ def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = S
 
 
 def with_predictions(docs: DataFrame, model: Language, names: tuple[str, str], text: str = "text") -> DataFrame:
-    """docs with two columns: the predicted language of the whole text (UNKNOWN without a letter) and its probability (then 0)."""
+    """docs with two columns: the predicted language of the whole text, of any length (UNKNOWN without a letter), and its probability (then 0)."""
     arrow_rows(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -370,7 +370,7 @@ def n_best(docs: DataFrame, path: str, n: int = 3, text: str = "text", doc_id: s
     has the mark of a space as a character).  A text with fewer segmentations
     gives fewer rows; null counts as empty, which has one segmentation without
     pieces; null and repeated ids keep their rows; further columns are ignored;
-    nothing is shuffled.
+    nothing is shuffled.  Texts of any length are segmented whole; an empty table gives an empty one.
     """
     arrow_rows(docs.sparkSession)
     kinds = [("doc_id", None), ("rank", pa.int32()), ("score", pa.float64()), ("n_pieces", pa.int64()), ("ids_crc32", pa.int64()), ("decodes", pa.bool_())] + [("ids", pa.list_(pa.int32()))] * keep_ids

@@ -21,14 +21,22 @@ def _own(name: str) -> str:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score below 0.5; the model learns from the labels among docs."""
+    """Documents with a toxicity score below 0.5; the model learns from the labels among docs.
+
+    Null and empty texts have a score like any other.  Without a label, or with labels of one class only, and for an empty table,
+    toxicity.learn() says what is scored; rows that share an id or have none are rows each, and texts of any length are scored whole.
+    """
     score = _own("toxicity")
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
     return toxicity.with_scores(docs, model, score).where(F.col(score) < 0.5).drop(score)
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told at or above the calibrated floor; those without a letter go."""
+    """Documents whose language is told at or above the calibrated floor; those without a letter go, null and empty texts too.
+
+    Texts of any length are told as a whole; rows that share an id or have none are rows each.  Where no row has a language to learn from, all
+    with a letter stay; an empty table stays one.
+    """
     names = (_own("language"), _own("share"))
     model = language.learn(docs)
     if model.model is None:  # nothing to tell languages by: only texts without a letter are known to have none
@@ -53,5 +61,5 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of packed sequences of 1024 tokens."""
+    """The pieces of packed sequences of 1024 tokens: packing.pack() says what null, empty and very long texts become; an empty table has none."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))

@@ -89,7 +89,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = 4096, text: str = "tex
     n_tokens is what the SentencePiece model at path gives the whole text,
     without begin or end; over_limit says whether it exceeds limit.  A null
     text counts as empty (0 bytes, 0 tokens); null and repeated ids keep their
-    rows; further columns are ignored; nothing is shuffled.
+    rows; further columns are ignored; nothing is shuffled.  Texts of any length are
+    counted whole, long ones chunk by chunk; an empty table gives an empty one.
     """
     arrow_rows(docs.sparkSession)
 

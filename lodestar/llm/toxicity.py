@@ -200,7 +200,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
 
 def with_scores(docs: DataFrame, model: Toxicity, column: str, text: str = "text") -> DataFrame:
-    """docs with a double column of scores (0 to 1) of whole texts; null and empty texts are scored as having no window."""
+    """docs with a double column of scores (0 to 1) of whole texts, of any length; null and empty texts are scored as having no window."""
     arrow_rows(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
