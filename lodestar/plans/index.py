@@ -178,8 +178,10 @@ def _stored(spark: SparkSession, paths: Paths) -> DataFrame:
     return spark.read.schema(f"{_ROW}, start BIGINT").parquet(f"file://{paths.rows}").select(*columns, "start")
 
 
-def _committed(spark: SparkSession, paths: Paths) -> DataFrame:
-    return _stored(spark, paths).join(few(journal(spark, paths.root).select("model_id", "start")), ["model_id", "start"], "left_semi")
+def _committed(spark: SparkSession, paths: Paths, commits: DataFrame | None = None) -> DataFrame:
+    """The rows of commits; without them, of the journal as it is now."""
+    named = journal(spark, paths.root) if commits is None else commits
+    return _stored(spark, paths).join(few(named.select("model_id", "start")), ["model_id", "start"], "left_semi")
 
 
 _LOOKED = ", found BOOLEAN, size_now BIGINT, file_now STRING, rows_now STRING, odd BIGINT, long BIGINT"
@@ -455,7 +457,7 @@ def verify(spark: SparkSession, index_path: str | Path, full: bool = False, requ
     looked = materialized(examined(commits, index_path, full))
     _require_no_fault(looked)
     checks.append(("sealed files", True, ""))
-    held = rows(spark, index_path)
+    held = _committed(spark, paths, commits)
     counts = {r.model_id: r for r in state_counts(held).collect()}
     totals = {r.model_id: r for r in commit_totals(commits).collect()}
     for model, own in meta["models"].items():

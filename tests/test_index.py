@@ -12,14 +12,14 @@ from tests import fakes
 QUERIES = Unchanged().process(["bright", "dark"])
 
 
-def build(spark, tmp_path, **more):
-    return index.build(spark, tmp_path / "e", tmp_path / "ix", fakes.FACTORIES, checkpoint_rows=2, batch=2, decoder=fakes.brightness, stretches=1, **more)
+def build(spark, tmp_path, stretches=4, **more):
+    return index.build(spark, tmp_path / "e", tmp_path / "ix", fakes.FACTORIES, checkpoint_rows=2, batch=2, decoder=fakes.brightness, stretches=stretches, **more)
 
 
 def test_progress_and_size(spark, tmp_path):
     fakes.evidence(tmp_path / "e", (1, 2, 3))
     heard = []
-    build(spark, tmp_path, progress=lambda *x: heard.append(x))
+    build(spark, tmp_path, 1, progress=lambda *x: heard.append(x))
     assert heard == [(f"index-{m}{end}", n, 3) for m in ("siglip2", "clip") for n, end in ((2, ""), (3, ""), (3, "-complete"))]
     assert index.size_bytes(tmp_path / "ix") > 1000
 
@@ -82,7 +82,7 @@ def test_resume_after_a_lost_build(spark, tmp_path, monkeypatch):
 
     monkeypatch.setattr(index, "commit_stretches", fails)
     with pytest.raises(KeyboardInterrupt):
-        build(spark, tmp_path)
+        build(spark, tmp_path, 1)
     monkeypatch.setattr(index, "commit_stretches", real)
     with (tmp_path / "ix/journal.jsonl").open("a") as f:
         f.write('{"sequence": 1, "mod')

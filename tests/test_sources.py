@@ -69,7 +69,7 @@ def test_every_shape_of_tree_is_walked(spark, tmp_path, monkeypatch):
     gone = tree.Walk(str(top), (".png",), 99)
     found = [r for b in gone(iter([tree.pa.RecordBatch.from_pydict({"folder": [str(top / "none"), str(deep)]})])) for r in b.to_pylist()]
     assert {(Path(r["source_path"]).name, r["error_type"]) for r in found} == {("none", "FileNotFoundError"), ("x.png", None)}
-    for first, later in ((1 << 20, 1), (20, 50), (1, 7)):
+    for first, later in ((1 << 20, 1), (40, 60)):
         monkeypatch.setattr(tree, "FIRST", first)
         monkeypatch.setattr(tree, "LATER", later)
         rows = tree.scan(spark, top).collect()
