@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,15 +54,26 @@ HOT_ROWS, HOT_KEYS = 256, 10_000
 def spread(big: DataFrame, small: DataFrame, on: str, rows: str = "n") -> DataFrame:
     """big with small's columns, by the key on, of which small has each once, with how many rows of big have it.
 
-    Rows of hot keys stay where they are and meet small's few rows of these there; only the
-    others are sent by their keys.  So no key's rows gather in one task, however many it has.
+    Rows of hot keys meet small's few rows of these where they lie, and go on by hashes of all their
+    columns; only the others go by their keys.  So no key's rows gather in one task, however many it has.
     """
     small = written(small, "small")
     hot = F.col(rows) > max(HOT_ROWS, (small.agg(F.coalesce(F.sum(rows), F.lit(0))).first()[0]) // HOT_KEYS)
     more = [c for c in small.columns if c not in (on, rows)]
-    marked = big.join(F.broadcast(small.where(hot).select(on, F.struct(F.lit(True).alias("__there"), *more).alias("__hot"))), on, "left")  # HOT_KEYS rows at most
-    met = marked.where("__hot is not null").select(*big.columns, *[F.col("__hot")[c].alias(c) for c in more])
-    return met.union(marked.where("__hot is null").drop("__hot").join(small.where(~hot).drop(rows), on).select(*met.columns))
+    own = F.struct(F.lit(True).alias("there"), *more)
+    marked = big.join(F.broadcast(small.where(hot).select(on, own.alias("__hot"))), on, "left")  # HOT_KEYS rows at most
+    dealt = marked.withColumn("__salt", F.when(F.col("__hot").isNull(), 0).otherwise(F.pmod(F.xxhash64(*big.columns), F.lit(1 << 20)) + 1))
+    met = dealt.join(small.where(~hot).select(on, own.alias("__cold"), F.lit(0).cast("long").alias("__salt")), [on, "__salt"], "left").withColumn("__one", F.coalesce("__hot", "__cold"))
+    return met.where("__one is not null").select(*big.columns, *[F.col("__one")[c].alias(c) for c in more])
+
+
+def release() -> None:
+    """Give the system back what this process has freed: a training's arrays, tables from tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
 
 
 def arrow_rows(spark: SparkSession) -> None:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import arrow_rows, remainder, written
+from lodestar.llm.common import arrow_rows, release, remainder, written
 from lodestar.llm.subword import Bags, Softmax, bag, letters, softmax, train
 from lodestar.session import few
 
@@ -151,7 +151,10 @@ def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = S
     texts: dict = {}
     for r in found:
         texts.setdefault((r["lang"], r["hash"]), []).append((np.frombuffer(r["buckets"], "<u2"), np.frombuffer(r["counts"], "<u4")))
-    return fit([(lang, own) for (lang, _), own in texts.items()])
+    model = fit([(lang, own) for (lang, _), own in texts.items()])
+    del found, texts
+    release()
+    return model
 
 
 def with_predictions(docs: DataFrame, model: Language, names: tuple[str, str], text: str = "text") -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.common import arrow_rows, remainder, written
+from lodestar.llm.common import arrow_rows, release, remainder, written
 from lodestar.llm.subword import Bags, Softmax, train
 from lodestar.llm.subword import letters as all_letters
 
@@ -195,7 +195,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         return windows, worst
 
     model = fit(np.array([t for _, t in order], np.int64), look)
-    pa.default_memory_pool().release_unused()
+    release()
     return model
 
 

@@ -187,12 +187,15 @@ def test_most_of_all_rows_are_copies_and_share_no_task(spark, corpus):
     big.write.mode("overwrite").parquet(f"{corpus}/big")
     big = spark.read.parquet(f"{corpus}/big")
     small = big.groupBy("cluster").agg(F.count("*").alias("n"), F.min("id").alias("least")).where("cluster <> 10500")
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    settings = {"spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     made = spread(big, small, "cluster")
     assert sorted(map(tuple, made.collect())) == sorted((r.cluster, r.id, 0 if r.cluster == 3 else r.cluster) for r in big.where("cluster <> 10500").collect())
     sizes = [r["count"] for r in made.groupBy(F.spark_partition_id()).count().collect()]
-    spark.conf.set("spark.sql.shuffle.partitions", before)
+    for k, v in before.items():
+        spark.conf.set(k, v)
     assert max(sizes) < 12_000 / 4
     rows = [(i, "the very same text of a few words" if i % 10 else prose(i, 30), "en") for i in range(3000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
