@@ -63,7 +63,8 @@ def spread(big: DataFrame, small: DataFrame, on: str, rows: str = "n") -> DataFr
     own = F.struct(F.lit(True).alias("there"), *more)
     marked = big.join(F.broadcast(small.where(hot).select(on, own.alias("__hot"))), on, "left")  # HOT_KEYS rows at most
     dealt = marked.withColumn("__salt", F.when(F.col("__hot").isNull(), 0).otherwise(F.pmod(F.xxhash64(*big.columns), F.lit(1 << 20)) + 1))
-    met = dealt.join(small.where(~hot).select(on, own.alias("__cold"), F.lit(0).cast("long").alias("__salt")), [on, "__salt"], "left").withColumn("__one", F.coalesce("__hot", "__cold"))
+    # the others' salt is 0 for any number of rows: as a literal Spark would drop it from the keys that rows go by
+    met = dealt.join(small.where(~hot).select(on, own.alias("__cold"), F.least(F.col(rows), F.lit(0)).cast("long").alias("__salt")), [on, "__salt"], "left").withColumn("__one", F.coalesce("__hot", "__cold"))
     return met.where("__one is not null").select(*big.columns, *[F.col("__one")[c].alias(c) for c in more])
 
 
