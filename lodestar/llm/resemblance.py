@@ -421,9 +421,12 @@ def clusters(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tup
     held, named = own[docs.columns.index(text)], own[docs.columns.index(doc_id)]
     sketches = written(_sketched(rows.select("file", "place", F.col(named).alias("doc_id"), F.xxhash64(held).alias("hash"), F.col(held).alias("text"))), "sketches")
 
+    # the first row of each digest, found task by task first: copies of one text never meet
+    firsts = written(sketches.groupBy("digest").agg(F.min(F.struct("file", "place")).alias("row")), "firsts")
+
     def texts(asked: DataFrame) -> DataFrame:
         """(digest, text) of the digests asked for: for each one row's."""
-        chosen = sketches.join(asked, "digest", "left_semi").groupBy("digest").agg(F.min(F.struct("file", "place")).alias("row"))
+        chosen = firsts.join(asked, "digest", "left_semi")
         return located(rows.select("file", "place", F.col(held).alias("text")), chosen.select("digest", "row.*"))
 
     keyed = sketches.select("digest", "size", "keys").dropDuplicates(["digest"]).select("digest", "size", F.explode("keys").alias("key"))
