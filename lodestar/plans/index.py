@@ -259,13 +259,15 @@ def damaged(spark: SparkSession, index_path: str | Path) -> DataFrame:
 
 
 def verify_part(spark: SparkSession, index_path: str | Path, model_id: str, begin: int, end: int) -> int:
-    """Prove the stretches that hold ordinals [begin, end) of a model against the index's root, and return how many they are.
+    """Prove the stretches that hold ordinals [begin, end) of a model against the index's root, and return how many they are (there may be none).
 
     Only their files are read; the rest of the way to the root is the stored tree's, a few digests for each level.
     """
     paths, meta = Paths(index_path), load_metadata(Paths(index_path).metadata)
     own = meta["models"][model_id]
     part = materialized(journal(spark, index_path).where((F.col("model_id") == model_id) & (F.col("start") < end) & (F.col("end") > begin)))
+    if part.isEmpty():
+        return 0
     looked = materialized(examined(part, index_path, True))
     _require_no_fault(looked)
     nodes = stored_tree(spark, paths.root).where(F.col("model_id") == model_id)
