@@ -12,11 +12,12 @@ content.  A page's text is read through the nodes that its own blocks were laid
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from html import unescape
+from math import isqrt
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ from lodestar.session import few
 GROUP, GROUP_CHARS = 32, 16 << 20
 #: Depth beyond which elements are siblings of their ancestors.
 DEEPEST = 200
-#: Pairs of children beyond which two lists are aligned label by label, without weights.
+#: Pairs of children beyond which two lists are aligned row by row in arrays, with the same result.
 MOST_PAIRS = 250_000
 #: Distinct pages, and the share of them, that must say the same for a node to be template; share of a node's text in links that makes a menu.
 LEAST_PAGES, SAME, LINKED = 3, 0.5, 0.6
@@ -189,17 +190,7 @@ def match(children: list[Wrapper], runs: list[Run], known: dict) -> tuple[int, l
     if not children or not runs:
         return 0, []
     if len(children) * len(runs) > MOST_PAIRS:
-        places: dict[str, list[int]] = {}
-        for i, w in enumerate(children):
-            places.setdefault(w.label, []).append(i)
-        pairs, next_ = [], 0
-        for j, (label, _) in enumerate(runs):
-            here = places.get(label, [])
-            at = bisect_left(here, next_)
-            if at < len(here):
-                pairs.append((here[at], j))
-                next_ = here[at] + 1
-        return len(pairs), pairs
+        return _match_long(children, runs, known)
     best = [[0] * (len(runs) + 1) for _ in range(len(children) + 1)]
     for i, w in enumerate(children):
         for j, (label, nodes) in enumerate(runs):
@@ -219,6 +210,59 @@ def match(children: list[Wrapper], runs: list[Run], known: dict) -> tuple[int, l
     return best[-1][-1], pairs[::-1]
 
 
+def _shape(node: Wrapper | Node, shapes: dict) -> int:
+    """A number for all that _weight() asks of a node: its label, and the shapes of its wrapper's children or of its runs' first blocks."""
+    below = node.children if type(node) is Wrapper else [nodes[0] for _, nodes in _runs(node)]
+    return shapes.setdefault((node.label, *(_shape(n, shapes) for n in below)), len(shapes))
+
+
+def _match_long(children: list[Wrapper], runs: list[Run], known: dict) -> tuple[int, list[tuple[int, int]]]:
+    """match() of long lists: the same table, a row at a time as an array, and the same way back through it.
+
+    Nodes of one shape weigh the same.  Every step-th row is kept, and the rows between are made again on the way back, so that
+    memory grows with the table's side to the power of 1.5; time grows with all pairs.
+    """
+    shapes: dict[tuple, int] = {}
+    mine, theirs = [_shape(w, shapes) for w in children], [_shape(nodes[0], shapes) for _, nodes in runs]
+    first = {s: nodes[0] for s, (_, nodes) in zip(reversed(theirs), reversed(runs))}
+    kinds = {s: n for n, s in enumerate(first)}
+    of = np.array([kinds[s] for s in theirs])
+    weights: dict[int, np.ndarray | None] = {}
+    for s, w in zip(mine, children):
+        if s not in weights:
+            row = np.array([_weight(w, node, known) if node.label == w.label else 0 for node in first.values()], np.int32)
+            weights[s] = row if row.any() else None
+
+    def next_row(i: int, above: np.ndarray) -> np.ndarray:
+        if weights[mine[i]] is None:
+            return above
+        row = above.copy()
+        np.maximum.accumulate(np.maximum(above[1:], above[:-1] + weights[mine[i]][of]), out=row[1:])
+        return row
+
+    step, kept, row = isqrt(len(children)) + 1, [], np.zeros(len(runs) + 1, np.int32)
+    for i in range(len(children)):
+        if i % step == 0:
+            kept.append(row)
+        row = next_row(i, row)
+    pairs, i, j = [], len(children), len(runs)
+    while i and j:
+        start = (i - 1) // step * step
+        best = [kept[start // step]]
+        for at in range(start, i):
+            best.append(next_row(at, best[-1]))
+        while i > start and j:
+            here, above = best[i - start], best[i - start - 1]
+            if here[j] == above[j]:
+                i -= 1
+            elif here[j] == here[j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                pairs.append((i, j))
+    return int(row[-1]), pairs[::-1]
+
+
 def _weight(w: Wrapper, node: Node, known: dict) -> int:
     """Pairs that the trees below w and node can form at most, with them."""
     key = id(w), id(node)

@@ -81,6 +81,25 @@ def test_matching_weighs_most(monkeypatch):
         assert all(a.children[i].label == b[j][0] for i, j in plain) and plain == sorted(plain)
 
 
+def test_long_lists_are_matched_as_short_ones(monkeypatch):
+    """The same pairs whatever the size, and by weight: a list that the first partner of a label would miss."""
+    pick = random.Random(5)
+    for depth, most in ((1, 40), (2, 12), (3, 6)):
+        for _ in range(100):
+            one, two = (w.Node("div", "a", "") for _ in range(2))
+            for n in (one, two):
+                n.parts = [tree(pick, pick.randrange(depth)) for _ in range(pick.randrange(1, most))]
+            a, b = laid(one), w._runs(two)
+            short = w.match(a.children, b, {})
+            monkeypatch.setattr(w, "MOST_PAIRS", 0)
+            assert w.match(a.children, b, {}) == short
+            monkeypatch.undo()
+    labels = ["x"] + ["a", "b"] * 400
+    children = [w.Wrapper(label, "") for label in labels[1:] + ["x"]]
+    assert len(children) ** 2 > w.MOST_PAIRS
+    assert w.match(children, [(label, [w.Node("div", label, "")]) for label in labels], {})[0] == 800
+
+
 def test_long_pages():
     many = "<article>" + "".join(f"<p>{i}<h3>x</h3>" for i in range(3000)) + "</article>"
     one, two = w.extract([many, many.replace("<p>7<", "<p>seven<")])
