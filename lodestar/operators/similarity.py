@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyarrow.fs import FileSystem
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions.checks import finite, positive
+from lodestar.session import materialized, removed, shared_dir
 
 #: Query vectors are sent to every task; beyond so many bytes they go block by block.
 QUERY_BYTES = 64 << 20
@@ -101,53 +105,112 @@ def search(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return out
 
 
-#: Queries and items of a cell of the grid, queries whose scores a cell holds at a time, and cells' results that are merged at once.
-GRID_QUERIES, GRID_ITEMS, AT_ONCE, FAN = 4096, 1 << 15, 256, 16
+#: Queries of a cell of the grid, items and queries whose scores it holds at a time, bytes of a file of items, and items that a cell goes past at most.
+GRID_QUERIES, GRID_ITEMS, AT_ONCE, FILE_BYTES, CELL_ITEMS = 4096, 1 << 15, 256, 16 << 20, 1 << 20
+#: By how much a score of a matrix product may differ from score_pairs()'s, and how many candidates are scored anew at a time.
+SLACK, ANEW = 1e-11, 1 << 16
 
 
 def grid(index: DataFrame, queries: DataFrame, k: int, query_rows: int = GRID_QUERIES, item_rows: int = GRID_ITEMS) -> DataFrame:
-    """The same for any number of queries: blocks of queries past blocks of items, each pair of blocks in a task of its own.
+    """The same for any number of queries: blocks of queries past runs of files of items, each pair of these in a task of its own.
 
-    Rows of either side are dealt to blocks by their hashes, and a block is sent to each block of the
-    other side, so that no task holds more than one of each whatever model, file or vector is
-    common.  A cell keeps k for each of its queries; cells' results are merged FAN by FAN until one is left of each query.
+    Items are written once, dealt by their hashes to files of FILE_BYTES in the shared folder, and a cell is sent
+    its queries and the names of its files only.  So what is shuffled and stored grows with the rows, not with the pairs (as long as a model has
+    up to CELL_ITEMS items, or fewer queries blocks than cores; each further run sends the queries once more), whatever model, file or vector is common.
+    A cell goes past its items item_rows at a time and keeps k for each of its query_rows queries; what
+    a matrix product finds is scored as by score_pairs(), so that ties are the same however items are cut.
     """
     positive("top_k", k), positive("query_rows", query_rows), positive("item_rows", item_rows)
-    most = lambda rows, size: -(-(rows.groupBy("model_id").count().agg(F.max("count")).first()[0] or 1) // size)
-    across, down = most(queries, query_rows), most(index, item_rows)
+    spark = index.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    sizes = lambda rows: rows.groupBy("model_id").agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d")).agg(F.max("n").alias("n"), F.max("d").alias("d"), F.count("*").alias("models")).first()
+    parts = lambda n, size: max(1, -(-(n or 0) // size))
+    own, other = sizes(index), sizes(queries)
+    across, files = parts(other.n, query_rows), parts(own.n, max(1, FILE_BYTES // (8 * max(1, own.d or 1))))
+    down = min(files, max(parts(own.n, CELL_ITEMS), parts(4 * cores, across)))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     dealt = lambda n, *by: F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")
-    items = index.select("model_id", F.col("file_id").cast("long"), F.col("embedding").cast("array<double>"), dealt(down, "file_id").alias("row")).withColumn("column", every(across))
-    asked = queries.select("model_id", "query_id", F.col("embedding").cast("array<double>"), dealt(across, "query_id").alias("column")).withColumn("row", every(down))
+    folder = f"{shared_dir(spark)}/lodestar/items-{uuid.uuid4().hex}"
+    atexit.register(removed, spark, folder)
+
+    def write(group: pa.Table) -> pa.Table:
+        name, (fs, path) = uuid.uuid4().hex, FileSystem.from_uri(folder)  # a task that runs twice writes two files, of which one is named
+        fs.create_dir(path)
+        with fs.open_output_stream(f"{path}/{name}") as out, pa.ipc.new_file(out, group.schema) as file:
+            file.write_table(group.sort_by("file_id"))
+        return pa.table({"model_id": group["model_id"][:1], "row": group["row"][:1], "name": [name]})
+
+    items = index.select("model_id", F.col("file_id").cast("long"), F.col("embedding").cast("array<double>"), dealt(files, "file_id").alias("row"))
+    held = materialized(items.groupBy("model_id", "row").applyInArrow(write, "model_id string, row int, name string"))
     cell = ["model_id", "row", "column"]
+    spans = held.withColumn("row", F.pmod("row", F.lit(down))).withColumn("column", every(across))
+    asked = queries.select("model_id", "query_id", F.col("embedding").cast("array<double>"), dealt(across, "query_id").alias("column")).withColumn("row", every(down))
 
-    def run(held: pa.Table, wanted: pa.Table) -> pa.Table:
-        ids, rows, names, out = held["file_id"].to_numpy(), None, wanted["query_id"], {n: [] for n in ("query_id", "file_id", "score")}
-        if held.num_rows and wanted.num_rows:
-            rows, vectors = _normal(_matrix(held["embedding"].combine_chunks())), _normal(_matrix(wanted["embedding"].combine_chunks()))
-            by_id = np.argsort(ids, kind="stable")  # so that a stable sort by score leaves ties to the smaller id
-            ids, rows = ids[by_id], rows[by_id]
-            for at in range(0, len(vectors), AT_ONCE):
-                scores = rows @ vectors[at : at + AT_ONCE].T
-                for j in range(scores.shape[1]):
-                    own = scores[:, j]
-                    near = np.flatnonzero(own >= np.partition(own, len(own) - k)[len(own) - k]) if len(own) > k else np.arange(len(own))
-                    top = near[np.argsort(-own[near], kind="stable")[:k]]
-                    out["query_id"].append(pa.repeat(names[at + j], len(top)))
-                    out["file_id"].append(pa.array(ids[top]))
-                    out["score"].append(pa.array(own[top]))
-        kinds = {"query_id": pa.string(), "file_id": pa.int64(), "score": pa.float64()}
-        made = pa.table({n: pa.chunked_array(v, kinds[n]) for n, v in out.items()})
-        same = {n: pa.repeat((wanted if wanted.num_rows else held)[n][0], made.num_rows) for n in ("model_id", "row")}
-        return made.append_column("model_id", same["model_id"]).append_column("row", same["row"]).select(["model_id", "query_id", "file_id", "score", "row"])
-
-    best = items.groupBy(*cell).cogroup(asked.groupBy(*cell)).applyInArrow(run, "model_id string, query_id string, file_id long, score double, row int")
-    while down > FAN:
-        down = -(-down // FAN)
-        best = best.withColumn("row", F.floor(F.col("row") / FAN).cast("int"))
-        place = F.row_number().over(Window.partitionBy("model_id", "query_id", "row").orderBy(F.desc("score"), "file_id"))
-        best = best.withColumn("place", place).where(F.col("place") <= k).drop("place")
-    return best.drop("row")
+    def run(names: pa.Table, wanted: pa.Table) -> pa.Table:
+        if not (names.num_rows and wanted.num_rows):
+            return pa.schema([("model_id", pa.string()), ("query_id", pa.string()), ("file_id", pa.int64()), ("score", pa.float64())]).empty_table()
+        best, (fs, path) = _Best(k, wanted["embedding"]), FileSystem.from_uri(folder)
+        for name in names["name"].to_pylist():
+            with fs.open_input_file(f"{path}/{name}") as f:
+                best.add(pa.ipc.open_file(f).read_all(), item_rows)
+        at, ids, scores = best.found()
+        return pa.table({"model_id": pa.repeat(wanted["model_id"][0], len(at)), "query_id": wanted["query_id"].take(pa.array(at)), "file_id": ids, "score": scores})
+
+    tasks = max(1, min(across * down * max(1, other.models), 16 * cores))  # by number: cells are small to send, but not to work off
+    sent = [t.repartition(tasks, *cell).groupBy(*cell) for t in (spans, asked)]
+    return sent[0].cogroup(sent[1]).applyInArrow(run, "model_id string, query_id string, file_id long, score double")
+
+
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of rows as dot() makes them: from the first component to the last."""
+    out = np.zeros(len(a))
+    for i in range(a.shape[1]):
+        out += a[:, i] * b[:, i]
+    return out
+
+
+class _Best:
+    """The best k of each of some queries among all items added so far."""
+
+    def __init__(self, k: int, wanted: pa.ChunkedArray):
+        self.k, self.wanted = k, _matrix(wanted.combine_chunks())
+        self.units, self.lengths = _normal(self.wanted), np.sqrt(_dots(self.wanted, self.wanted))
+        self.least = np.full(len(self.wanted), -np.inf)
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        self.waiting = 0
+
+    def add(self, items: pa.Table, item_rows: int) -> None:
+        ids, rows = items["file_id"].to_numpy(), _matrix(items["embedding"].combine_chunks())
+        if len(rows) and rows.shape[1] != self.wanted.shape[1]:
+            raise ValueError("embeddings must have one dimension")
+        units, lengths = _normal(rows), np.sqrt(_dots(rows, rows))
+        for low in range(0, len(ids), item_rows):
+            for first in range(0, len(self.wanted), AT_ONCE):
+                scores = units[low : low + item_rows] @ self.units[first : first + AT_ONCE].T
+                least, n = self.least[first : first + AT_ONCE], len(scores)
+                if n > self.k and np.isinf(least).any():
+                    least = np.maximum(least, np.partition(scores, n - self.k, axis=0)[n - self.k] - SLACK)
+                i, j = np.nonzero(scores >= least)
+                for at in range(0, len(i), ANEW):
+                    mine, theirs = i[at : at + ANEW] + low, j[at : at + ANEW] + first
+                    self._keep(theirs, ids[mine], _dots(rows[mine], self.wanted[theirs]) / (lengths[mine] * self.lengths[theirs]))
+
+    def _keep(self, at: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        self.parts.append((at, ids, scores))
+        self.waiting += len(at)
+        if self.waiting > max(ANEW, len(self.parts[0][0])):
+            self.found()
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, item, score), query by query, the best first; ties to the smaller id."""
+        at, ids, scores = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        order = np.lexsort((ids, -scores, at))
+        order = order[np.arange(len(order)) - np.searchsorted(at[order], at[order]) < self.k]
+        self.parts, self.waiting = [(at[order], ids[order], scores[order])], 0
+        ends = np.cumsum(np.bincount(at[order], minlength=len(self.wanted)))
+        full = np.flatnonzero(np.diff(ends, prepend=0) == self.k)
+        self.least[full] = scores[order][ends[full] - 1] - SLACK
+        return self.parts[0]
 
 
 def _search_block(index: DataFrame, asked: list, k: int) -> DataFrame:

@@ -58,7 +58,7 @@ def few(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def _removed(spark: SparkSession, path: str) -> None:
+def removed(spark: SparkSession, path: str) -> None:
     try:
         target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
@@ -69,7 +69,7 @@ def _removed(spark: SparkSession, path: str) -> None:
 def materialized(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read back, so that every reader sees the same rows in the same place; the folder goes when the program ends."""
     path = f"{shared_dir(df.sparkSession)}/lodestar/frame-{uuid.uuid4().hex}"
-    atexit.register(_removed, df.sparkSession, path)
+    atexit.register(removed, df.sparkSession, path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -81,6 +81,21 @@ def test_a_grid_equals_scoring_every_pair(spark, sizes):
     assert similarity.grid(index.limit(0), queries, 3).count() == 0 == similarity.grid(index, queries.limit(0), 3).count()
 
 
+def test_a_grid_stores_what_grows_with_the_rows(spark, monkeypatch):
+    """Items are written once and named to cells: no vector is sent for each block of the other side; files, runs of them and ties change nothing."""
+    vector = F.array(*[F.cos(F.col("id") % 31 * (i + 1)) for i in range(6)]).cast("array<float>")
+    index = spark.range(400).select(F.lit("clip").alias("model_id"), F.col("id").alias("file_id"), vector.alias("embedding"))
+    queries = index.select("model_id", F.col("file_id").cast("string").alias("query_id"), "embedding")
+    asked = similarity.grid(index, queries, 3, 10, 10)
+    items = asked._jdf.queryExecution().optimizedPlan().children().head().toString()  # what a cell gets beside its queries
+    assert "name" in items and "embedding" not in items and asked.count() == 1200
+    slow = by_query(ranking.top_k(similarity.score_pairs(index, queries), 3))
+    monkeypatch.setattr(similarity, "FILE_BYTES", 48 * 40)
+    monkeypatch.setattr(similarity, "CELL_ITEMS", 100)
+    for sizes in ((10, 10), (1000, 7), (33, 1000)):
+        assert by_query(ranking.top_k(similarity.grid(index, queries, 3, *sizes), 3)) == slow
+
+
 def test_many_queries_go_through_the_grid(spark, monkeypatch):
     monkeypatch.setattr(similarity, "MOST_QUERIES", 3)
     index = spark.range(50).select(F.lit("clip").alias("model_id"), F.col("id").alias("file_id"), F.array(F.sin("id"), F.cos("id")).alias("embedding"))
