@@ -24,6 +24,7 @@ from time import perf_counter, time_ns
 from typing import Any
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -35,7 +36,7 @@ from lodestar.functions.paths import require_disjoint
 from lodestar.operators.metrics import commit_totals, state_counts
 from lodestar.operators.relations import unknown_models
 from lodestar.schemas import COMMIT, INDEX_MANIFEST, JOURNAL, MODELS, PENDING
-from lodestar.session import Watch, few, materialized
+from lodestar.session import Watch, few, materialized, spread
 from lodestar.sources import images, lines, tree
 from lodestar.sources import stretches as sink
 from lodestar.sources.manifest import with_content_hash
@@ -44,7 +45,7 @@ FORMAT, VERSION = "lodestar-index", 1
 BUILDING, COMPLETE = "BUILDING", "COMPLETE"
 MAPPING = "rows by manifest ordinal"
 CHECKPOINT_ROWS = 4096
-#: Stretches that one job encodes: as many as are lost at most if a build ends in the middle.
+#: Stretches of CHECKPOINT_ROWS that one job encodes, or as many rows in smaller ones: as many as are lost at most if a build ends in the middle.
 STRETCHES = 16
 #: Libraries whose versions an index names as part of where it comes from.
 PACKAGES = ("numpy", "pandas", "pyarrow", "pyspark")
@@ -170,18 +171,30 @@ def rows(spark: SparkSession, index_path: str | Path) -> DataFrame:
     return _committed(spark, Paths(index_path)).drop("start")
 
 
-def _stored(spark: SparkSession, paths: Paths) -> DataFrame:
-    """All rows on disk, with the stretch that they are in."""
-    columns = [c.split(" ")[0] for c in _ROW.split(", ")]
-    if not paths.rows.is_dir():
-        return spark.createDataFrame([], f"{_ROW}, start BIGINT")
-    return spark.read.schema(f"{_ROW}, start BIGINT").parquet(f"file://{paths.rows}").select(*columns, "start")
+def _committed(spark: SparkSession, paths: Paths, commits: DataFrame | None = None) -> DataFrame:
+    """The rows of commits; without them, of the journal as it is now.
 
+    Tasks are given the commits and read their files: stretches may be many and small, and no folder is listed.
+    """
+    named = (journal(spark, paths.root) if commits is None else commits).select("model_id", "start").distinct()
+    folder, shape = paths.rows, f"{_ROW}, start BIGINT"
+    kinds = pa.schema([("model_id", pa.string()), *sink.SCHEMA, ("start", pa.int64())])
 
-def _committed(spark: SparkSession, paths: Paths, commits: DataFrame | None = None) -> DataFrame:
-    """The rows of commits; without them, of the journal as it is now."""
-    named = journal(spark, paths.root) if commits is None else commits
-    return _stored(spark, paths).join(few(named.select("model_id", "start")), ["model_id", "start"], "left_semi")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            for model_id, start in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                with pq.ParquetFile(folder / f"model_id={model_id}" / f"start={start}" / sink.FILE) as file:
+                    for rows_ in file.iter_batches(sink.BATCH):
+                        named_ = {"model_id": pa.repeat(model_id, rows_.num_rows), "start": pa.repeat(pa.scalar(start, pa.int64()), rows_.num_rows)}
+                        held.append(pa.RecordBatch.from_pydict(dict(zip(rows_.schema.names, rows_.columns, strict=True)) | named_).select(kinds.names).cast(kinds))
+                        if sum(x.num_rows for x in held) >= sink.BATCH:
+                            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                            held = []
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    return named.repartition(spread(spark)).mapInArrow(run, shape)
 
 
 _LOOKED = ", found BOOLEAN, size_now BIGINT, file_now STRING, rows_now STRING, odd BIGINT, long BIGINT"
@@ -215,7 +228,7 @@ def examined(commits: DataFrame, index_path: str | Path, full: bool) -> DataFram
     kinds = {"found": pa.bool_(), "file_now": pa.string(), "rows_now": pa.string()}
     arrow = pa.schema([*to_arrow_schema(commits.schema), *((n, kinds.get(n, pa.int64())) for n in ("found", "size_now", "file_now", "rows_now", "odd", "long"))])
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in commits.schema) + _LOOKED
-    return commits.repartition(commits.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, shape).select(*names, "found", "size_now", "file_now", "rows_now", "odd", "long")
+    return commits.repartition(spread(commits.sparkSession)).mapInArrow(run, shape).select(*names, "found", "size_now", "file_now", "rows_now", "odd", "long")
 
 
 def faulty(looked: DataFrame) -> DataFrame:
@@ -318,7 +331,8 @@ def start(spark: SparkSession, evidence: str | Path, index_path: str | Path, max
         raise FileExistsError(f"index folder isn't empty: {paths.root}")
     paths.root.mkdir(parents=True, exist_ok=True)
     found, errors = tree.discover(spark, evidence, max_images)
-    with_content_hash(found).select(*INDEX_MANIFEST.names).write.parquet(f"file://{paths.manifest}")
+    ranges = found.repartitionByRange(spread(spark), "ordinal").sortWithinPartitions("ordinal")  # a file for each, so that a job reads its own
+    with_content_hash(ranges).select(*INDEX_MANIFEST.names).write.parquet(f"file://{paths.manifest}")
     errors.write.parquet(f"file://{paths.errors}")
     count, digest_ = _manifest_digest(spark, paths)
     if not count:
@@ -368,13 +382,14 @@ def reopen(spark: SparkSession, evidence: str | Path, index_path: str | Path, ma
 def build(spark: SparkSession, evidence: str | Path, index_path: str | Path, factories: dict[str, Callable[[], images.Encoder]], checkpoint_rows: int = CHECKPOINT_ROWS, batch: int = 64, max_images: int | None = None, resume: bool = False, decoder=images.decode, progress: Callable[[str, int, int], None] = lambda phase, done, total: None, stretches: int | None = None) -> Verified:
     """Build or go on building an index, and verify it; progress hears how far a model is, as its stretches are written, and when it is done.
 
-    One job encodes up to stretches stretches of checkpoint_rows (as many as there are cores, and STRETCHES at
-    least), each in a task of its own and a commit of its own.
+    One job encodes up to stretches stretches of checkpoint_rows (as many as there are cores, as STRETCHES, and as
+    make up STRETCHES of CHECKPOINT_ROWS, at least), each with a commit of its own; a task has one, or a run of them if they
+    are many.
     """
     if list(factories) != list(MODELS):
         raise ValueError(f"encoders must be given in the order {', '.join(MODELS)}")
     positive("checkpoint_rows", checkpoint_rows), positive("batch", batch)
-    at_once = positive("stretches", max(STRETCHES, spark.sparkContext.defaultParallelism) if stretches is None else stretches)
+    at_once = positive("stretches", max(STRETCHES, spark.sparkContext.defaultParallelism, STRETCHES * CHECKPOINT_ROWS // checkpoint_rows) if stretches is None else stretches)
     meta = (reopen if resume else start)(spark, evidence, index_path, max_images)
     paths, listed = Paths(index_path), manifest(spark, index_path)
     seconds: dict[str, float] = {}
@@ -386,8 +401,10 @@ def build(spark: SparkSession, evidence: str | Path, index_path: str | Path, fac
         span = checkpoint_rows * at_once
         for begin in range(own["committed_prefix"], meta["image_count"], span):
             end = min(begin + span, meta["image_count"])
-            of = ((F.col("ordinal") - begin) / checkpoint_rows).cast("int")
-            part = listed.where((F.col("ordinal") >= begin) & (F.col("ordinal") < end)).repartitionById(-(-(end - begin) // checkpoint_rows), of).sortWithinPartitions("ordinal")
+            number = -(-(end - begin) // checkpoint_rows)
+            tasks = min(number, spread(spark))
+            of = F.floor(F.floor((F.col("ordinal") - begin) / checkpoint_rows) * tasks / number).cast("int")
+            part = listed.where((F.col("ordinal") >= begin) & (F.col("ordinal") < end)).repartitionById(tasks, of).sortWithinPartitions("ordinal")
             places = [(paths.stretch(model, at) / sink.FILE, min(at + checkpoint_rows, end) - at) for at in range(begin, end, checkpoint_rows)]
             with Watch(_written_since(places, time_ns()), lambda done: progress(f"index-{model}", begin + done, meta["image_count"])):  # noqa: B023 (it ends with the loop's turn)
                 commit_stretches(spark, paths, meta, images.encode(part, factory, batch, decoder), model, begin, end, checkpoint_rows)

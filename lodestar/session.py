@@ -58,6 +58,11 @@ def few(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def spread(spark: SparkSession) -> int:
+    """Tasks for rows that are small but long to work off, such as names of files: some for each core, whatever the rows' bytes."""
+    return 4 * spark.sparkContext.defaultParallelism
+
+
 def removed(spark: SparkSession, path: str) -> None:
     try:
         target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

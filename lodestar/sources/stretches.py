@@ -25,6 +25,8 @@ from lodestar.functions.checks import UNIT
 from lodestar.schemas import DECODE_ERROR, VALID
 
 FILE = "rows.parquet"
+#: Rows that a task reads at a time.
+BATCH = 4096
 #: Bytes of rows that a task holds before they go to the file.
 GROUP_BYTES = 32 << 20
 SCHEMA = pa.schema([("ordinal", pa.int64()), ("state", pa.int8()), ("embedding", pa.list_(pa.float32())), ("error_type", pa.string()), ("message", pa.string())])
@@ -70,7 +72,7 @@ def tally(path: str | Path) -> Tally:
     """A stored stretch, read again."""
     out = Tally()
     with pq.ParquetFile(path) as file:
-        for batch in file.iter_batches(4096):
+        for batch in file.iter_batches(BATCH):
             out.add(batch)
     return out
 

@@ -24,6 +24,25 @@ def test_progress_and_size(spark, tmp_path):
     assert index.size_bytes(tmp_path / "ix") > 1000
 
 
+def test_a_build_of_many_small_stretches_has_few_jobs_and_tasks(spark, tmp_path, monkeypatch):
+    """Jobs go by rows, not by stretches; a task has a run of stretches, each with a file and a commit of its own."""
+    fakes.evidence(tmp_path / "e", tuple(range(1, 91)))
+    jobs, plain = [], index.commit_stretches
+
+    def heard(spark, paths, meta, encoded, model_id, begin, end, size):
+        jobs.append((model_id, begin, end, encoded.rdd.getNumPartitions()))
+        plain(spark, paths, meta, encoded, model_id, begin, end, size)
+
+    monkeypatch.setattr(index, "commit_stretches", heard)
+    index.build(spark, tmp_path / "e", tmp_path / "ix", fakes.FACTORIES, checkpoint_rows=2, batch=2, decoder=fakes.brightness)
+    assert jobs == [(m, 0, 90, 16) for m in ("siglip2", "clip")]
+    commits = index.journal(spark, tmp_path / "ix").where("model_id = 'clip'").orderBy("sequence").collect()
+    assert [(c.sequence, c.start, c.end) for c in commits] == [(i, 2 * i, 2 * i + 2) for i in range(45)]
+    found = index.rows(spark, tmp_path / "ix")
+    assert found.groupBy("model_id").count().collect() and found.select("model_id", "ordinal").distinct().count() == found.count() == 180
+    assert not any("start=" in f for f in found.inputFiles())
+
+
 @pytest.fixture(scope="module")
 def built(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("built")
