@@ -20,7 +20,7 @@ from lodestar.operators.fusion import evaluate, fuse
 from lodestar.operators.metrics import bitmaps, covered
 from lodestar.operators.ranking import candidate_counts, full_ranking, top_k
 from lodestar.schemas import DECODE_ERROR, MODELS, VALID
-from lodestar.session import Watch, materialized
+from lodestar.session import Watch, materialized, spread
 from lodestar.sources import images, manifest as manifests, reports, tree
 
 #: Defaults of the command line (fixed values).
@@ -176,7 +176,7 @@ def direct(spark: SparkSession, evidence: str | Path, output: str | Path, querie
     for model in MODELS:  # one model after another: only one is in an executor's memory at a time
         done = images.counter(spark)
         with Watch(lambda: images.counted(done), lambda n: progress(f"encoding-{model}", n, total)):  # noqa: B023 (it ends with the loop's turn)
-            own = materialized(images.encode(manifest, factories[model], batch, decoder, done))
+            own = materialized(images.encode(manifest.repartition(spread(spark)), factories[model], batch, decoder, done))
         failed = own.where(F.col("state") == DECODE_ERROR).join(manifest, "ordinal").select("ordinal", "relative_path", "source_path", "error_type", "message")
         reports.write_errors(failed, f"file://{problems.resolve()}", "decode", model)
         progress(f"encoding-{model}-complete", own.count(), total)
@@ -244,7 +244,7 @@ def all_results(spark: SparkSession, evidence: str | Path, output: str | Path, q
     manifest, asked = materialized(found.select("ordinal", "relative_path", "source_path")), frame(spark, queries)
     done, total = images.counter(spark), manifest.count()
     with Watch(lambda: images.counted(done), lambda n: progress(f"encoding-{encoder.model_id}", n, total)):
-        encoded = materialized(images.encode(manifest, factory, batch, decoder, done))
+        encoded = materialized(images.encode(manifest.repartition(spread(spark)), factory, batch, decoder, done))
     progress(f"encoding-{encoder.model_id}-complete", encoded.count(), total)
     ranked = full_ranking(similarity.score_pairs(valid_rows(encoded), _vectors(asked, {encoder.model_id: encoder})))
     rows = reports.all_results_rows(ranked, manifest, asked, getattr(encoder, "name", encoder.model_id), getattr(encoder, "revision", None), display_root)

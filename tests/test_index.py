@@ -5,7 +5,7 @@ import pytest
 
 from lodestar import cli
 from lodestar.functions.queries import Unchanged
-from lodestar.plans import index, search
+from lodestar.plans import index, lifecycle, search
 from lodestar.streaming import ingest
 from tests import fakes
 
@@ -60,6 +60,15 @@ def test_build(spark, built):
     assert index.verify(spark, folder / "ix", full=True).checks[-1][1]
 
 
+def test_a_direct_search_deals_its_images_over_all_cores(spark, built, tmp_path, monkeypatch):
+    """However few bytes the manifest has: before, all its rows were one task's."""
+    folder, _ = built
+    parts, plain = [], search.images.encode
+    monkeypatch.setattr(search.images, "encode", lambda manifest, *more: parts.append(manifest.rdd.getNumPartitions()) or plain(manifest, *more))
+    search.direct(spark, folder / "e", tmp_path / "d.csv", QUERIES, fakes.FACTORIES, search.Settings(top_k=2), decoder=fakes.brightness)
+    assert parts == [16, 16]
+
+
 def keys(outcome):
     return {(r.file_id, r.query_id) for r in outcome.frames.fused.collect()}
 
