@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from lodestar.functions.queries import Unchanged
 from lodestar.plans import index, search
 from lodestar.schemas import VALID
-from lodestar.session import shared_dir
+from lodestar.session import shared_dir, spread
 from lodestar.sources import manifest, reports, shades, tree
 
 #: Rows of a stretch, how many each model and query keep, and how many count in the evaluation.
@@ -70,7 +70,7 @@ def _folder(spark: SparkSession, sf_dir: str) -> Path:
         path = F.format_string("r%d/n%d/%s.png", "n_regionkey", "n_nationkey", "s_name")
         content = F.when(key_ % 10 == 7, "broken").otherwise((10 * (key_ % 26)).cast("string"))
         suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"))  # 25 nations
-        suppliers.select(path.alias("path"), content.alias("content")).mapInArrow(write, "path string").agg(F.count("*")).collect()
+        suppliers.select(path.alias("path"), content.alias("content")).repartition(spread(spark)).mapInArrow(write, "path string").agg(F.count("*")).collect()
         (root / "evidence/notes.txt").write_text("no image")
         _made[key] = root
     return _made[key]
@@ -166,9 +166,22 @@ def life_verified(spark, d):
 def life_pending(spark, d):
     """What two committed stretches of each model leave to do."""
     path = _index(spark, d)
-    held = index.journal(spark, path).where(F.col("end") <= 2 * STRETCH).select("model_id", "start")
-    stored = index._stored(spark, index.Paths(path)).join(held, ["model_id", "start"], "left_semi")
-    return index.uncommitted(index.manifest(spark, path), stored).select("model_id", "ordinal")
+    held = index.journal(spark, path).where(F.col("end") <= 2 * STRETCH)
+    return index.uncommitted(index.manifest(spark, path), index._committed(spark, index.Paths(path), held)).select("model_id", "ordinal")
+
+
+def _copied(spark: SparkSession, path: Path, copy: Path) -> None:
+    """A copy of an index; its stretches are copied by tasks."""
+    shutil.copytree(path, copy, ignore=lambda folder, names: ["rows"] if Path(folder) == path else [])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for model_id, start in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                own = f"rows/model_id={model_id}/start={start}"
+                shutil.copytree(path / own, copy / own, dirs_exist_ok=True)
+            yield b
+
+    index.journal(spark, path).select("model_id", "start").repartition(spread(spark)).mapInArrow(run, "model_id string, start long").agg(F.count("*")).collect()
 
 
 _SPAN = f"(SELECT min(start) FROM cuts WHERE start >= {STRETCH} OR start = (SELECT max(start) FROM cuts))"
@@ -180,7 +193,7 @@ def life_damaged(spark, d):
     path = _index(spark, d)
     copy = path.parent / "damaged"
     if not copy.exists():
-        shutil.copytree(path, copy)
+        _copied(spark, path, copy)
         files = {int(p.parent.name.removeprefix("start=")): p for p in (copy / "rows/model_id=clip").glob("start=*/*.parquet")}
         hurt = files[min(s for s in files if s >= STRETCH or s == max(files))]
         data = bytearray(hurt.read_bytes())

@@ -69,6 +69,16 @@ def test_a_direct_search_deals_its_images_over_all_cores(spark, built, tmp_path,
     assert parts == [16, 16]
 
 
+def test_an_index_is_copied_by_tasks(spark, built, tmp_path, monkeypatch):
+    """The driver copies what isn't rows; the copy is the same."""
+    ix, copy, held = (built[0] / "ix").resolve(), tmp_path / "copy", []
+    plain = lifecycle.shutil.copytree
+    monkeypatch.setattr(lifecycle.shutil, "copytree", lambda *given, **more: (plain(*given, **more), held.append((copy / "rows").exists())))
+    lifecycle._copied(spark, ix, copy)
+    files = lambda root: {str(p.relative_to(root)): p.read_bytes() for p in root.rglob("*") if p.is_file()}
+    assert held and not any(held) and files(copy) == files(ix) and len(list(copy.glob("rows/*/start=*/rows.parquet"))) == 4
+
+
 def keys(outcome):
     return {(r.file_id, r.query_id) for r in outcome.frames.fused.collect()}
 
