@@ -58,18 +58,21 @@ def dedupe(ranked: DataFrame) -> DataFrame:
     return ranked.groupBy("model_id", "file_id", "query_id").agg(best.alias("best")).select("model_id", "query_id", "file_id", "best.score", "best.rank")
 
 
-def ordinals(df: DataFrame, *order: Column, name: str = "ordinal") -> DataFrame:
-    """df with 0 to n - 1 in the given order, without a window over everything.
+def ordinals(df: DataFrame, *order: Column, name: str = "ordinal", keep: list[str] | None = None) -> DataFrame:
+    """df (its columns keep, or all) with 0 to n - 1 in the given order, without a window over everything.
 
+    A sort makes an expression's value anew for each comparison: values that take long to make belong in columns of
+    df, which keep can leave out.
     The range-sorted rows are written once; a row's ordinal is its place in its
     range plus the rows of the ranges before, of which there are as many as tasks.
     """
     part, place = F.shiftrightunsigned("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
-    ranged = materialized(df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()))
+    kept = [F.col(f"`{c}`") for c in keep or df.columns]
+    ranged = materialized(df.orderBy(*order).select(*kept, F.monotonically_increasing_id().alias("__at")))
     sizes = ranged.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
     before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
     joined = ranged.withColumn("__part", part).join(few(before), "__part")
-    return joined.select((F.col("__before") + place).alias(name), *[F.col(f"`{c}`") for c in df.columns])
+    return joined.select((F.col("__before") + place).alias(name), *kept)
 
 
 def first_in_order(df: DataFrame, n: int | None, *order: Column) -> DataFrame:

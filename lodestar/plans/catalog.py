@@ -53,6 +53,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _walked(found: DataFrame) -> DataFrame:
+    """Paths with what sorts them into walk order, made once for each row."""
+    return found.select("path", paths.walk_key(F.col("path")).alias("walk_key"))
+
+
 # -------------------------------------------------------------------- vectors
 
 
@@ -569,7 +574,7 @@ def _paths(spark, d) -> DataFrame:
 @_query("WITH " + _SQL_PATHS + " SELECT ordinal, path FROM walked")
 def dfs_order(spark, d):
     """Ordinals in walk order: in each folder the files first, then its folders."""
-    return ranking.ordinals(_paths(spark, d).select("path"), paths.walk_key(F.col("path")))
+    return ranking.ordinals(_walked(_paths(spark, d)), F.col("walk_key"), keep=["path"])
 
 
 _NAMES = ("Straße", "STRASSE", "strasse", "ÉTÉ", "été", "Οδός", "ΟΔΟΣ", "ﬁn", "FIN", "İz", "Ǆ", "ŉ")
@@ -585,13 +590,13 @@ def folded_order(spark, d):
     of = lambda n: F.element_at(F.array(*[F.lit(x) for x in _NAMES]), (n % len(_NAMES) + 1).cast("int"))
     name = F.concat(of(F.col("doc_id") * 7), F.floor(F.col("doc_id") / 50).cast("string"))
     found = _table(spark, d, "documents").select(F.concat_ws("/", of(F.col("doc_id")), name).alias("path")).distinct()
-    return ranking.ordinals(found, paths.walk_key(F.col("path")))
+    return ranking.ordinals(_walked(found), F.col("walk_key"), keep=["path"])
 
 
 @_query("WITH " + _SQL_PATHS + " SELECT path FROM walked WHERE ordinal < 100")
 def limit_discovery(spark, d):
     """The first hundred in walk order: the feature of a partial scan."""
-    return ranking.first_in_order(_paths(spark, d).select("path"), 100, paths.walk_key(F.col("path")))
+    return ranking.first_in_order(_walked(_paths(spark, d)), 100, F.col("walk_key")).select("path")
 
 
 @_query("WITH " + _SQL_PATHS + " SELECT doc_id, lower(regexp_extract(path, '(\\.[^./]+)$', 1)) AS suffix FROM paths WHERE lower(regexp_extract(path, '(\\.[^./]+)$', 1)) IN ('.jpg', '.jpeg', '.png', '.bmp', '.webp', '.tif', '.tiff')")

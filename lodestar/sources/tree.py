@@ -97,5 +97,5 @@ def discover(spark: SparkSession, root: str | Path, max_images: int | None = Non
     """(manifest, errors): images in walk order with ordinals from 0, the first max_images of them; and what couldn't be read."""
     rows = scan(spark, root, extensions)
     found = first_in_order(rows.where("error_type is null"), max_images, F.col("walk_key"))
-    manifest = ordinals(found.select("relative_path", "source_path", "size", "mtime_ns", "walk_key"), F.col("walk_key")).drop("walk_key")
+    manifest = ordinals(found, F.col("walk_key"), keep=["relative_path", "source_path", "size", "mtime_ns"])
     return manifest, rows.where("error_type is not null").select(F.col("source_path").alias("path"), "error_type", "message")

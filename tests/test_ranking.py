@@ -209,3 +209,16 @@ def test_counts_include_queries_without_candidates(spark):
 def test_ordinals_follow_the_order_over_many_ranges(spark):
     rows = ranking.ordinals(spark.range(1000).repartition(7), F.desc("id")).collect()
     assert sorted((r.ordinal, 999 - r.id) for r in rows) == [(i, i) for i in range(1000)]
+
+
+def test_walk_order_makes_each_key_once(spark, sf, monkeypatch):
+    """No sort has case folding in its own order, where it is made anew for each comparison."""
+    from lodestar.plans import catalog
+
+    plans, plain = [], ranking.materialized
+    monkeypatch.setattr(ranking, "materialized", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or plain(df))
+    for name in ("folded_order", "dfs_order"):
+        assert catalog.queries()[name](spark, sf).count()
+    plans.append(catalog.queries()["limit_discovery"](spark, sf)._jdf.queryExecution().optimizedPlan().toString())
+    sorts = [line for plan in plans for line in plan.splitlines() if "Sort [" in line]
+    assert len(sorts) == 3 and all("walk_key" in line and "translate" not in line for line in sorts)
