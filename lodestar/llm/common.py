@@ -68,9 +68,10 @@ def spread(big: DataFrame, small: DataFrame, on: str, rows: str = "n") -> DataFr
     return met.where("__one is not null").select(*big.columns, *[F.col("__one")[c].alias(c) for c in more])
 
 
-def release() -> None:
-    """Give the system back what this process has freed: a training's arrays, tables from tasks."""
+def release(spark: SparkSession) -> None:
+    """Give the system back what the driver has freed: a training's arrays, tables from tasks, and in its JVM the plans of jobs that are over."""
     gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()  # a heap shrinks only then; until it is full it keeps what it has grown to
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
     if trim is not None:

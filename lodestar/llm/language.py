@@ -153,7 +153,7 @@ def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = S
         texts.setdefault((r["lang"], r["hash"]), []).append((np.frombuffer(r["buckets"], "<u2"), np.frombuffer(r["counts"], "<u4")))
     model = fit([(lang, own) for (lang, _), own in texts.items()])
     del found, texts
-    release()
+    release(docs.sparkSession)
     return model
 
 

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestar.llm import simhash
-from lodestar.llm.common import arrow_rows, shared_dir, spread, written
+from lodestar.llm.common import arrow_rows, release, shared_dir, spread, written
 from lodestar.llm.components import components
 from lodestar.llm.elias_fano import dump, load
 from lodestar.llm.lm import word_hashes
@@ -411,6 +411,7 @@ def clusters(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tup
     written first.
     """
     arrow_rows(docs.sparkSession)
+    release(docs.sparkSession)
     own = [f"c{i}" for i in range(len(docs.columns))]
     known = [F.xxhash64("_metadata.file_path"), F.col("_metadata.row_index")]
     try:
@@ -434,6 +435,7 @@ def clusters(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tup
     shared = written(spread(keyed, several, "key").select("digest", "size", "key"), "shared")
     linked = roots = None
     for turn in range(ROUNDS + 1):
+        release(docs.sparkSession)
         if turn < ROUNDS:
             pairs = written(_offers(shared, roots), "pairs")
             similar = None if pairs.isEmpty() else _similar(pairs, texts(_ends(pairs)))

@@ -195,7 +195,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         return windows, worst
 
     model = fit(np.array([t for _, t in order], np.int64), look)
-    release()
+    release(docs.sparkSession)
     return model
 
 

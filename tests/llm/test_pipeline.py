@@ -209,3 +209,12 @@ def test_sets_are_matched_as_one_by_one():
     sets = [resemblance.shingles(t) for t in texts]
     for one, other in ((sets, sets), (sets[:7], sets[5:]), (sets[-1:], sets[:3])):
         assert resemblance.matches(one, other).tolist() == [[resemblance.similarity(a, b) >= resemblance.SIMILAR for b in other] for a in one]
+
+
+def test_near_duplicates_let_the_drivers_heap_shrink(spark, corpus):
+    """The plans of jobs that are over are given back round by round, not kept until the heap is full."""
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    full = lambda: sum(b.getCollectionCount() for b in beans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    before = full()
+    stages.drop_near_duplicates(spark, spark.read.parquet(f"{corpus}/documents.parquet"), corpus)
+    assert full() >= before + 2
